@@ -75,7 +75,8 @@ def range_indexed(rows: DataFrame, order: list[str], sums: dict[str, str]) -> Da
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b): rows (node, root), root the component's smallest node.
+    """Connected components of edges (a, b): a row (node, root) for every node of an edge, root being
+    the component's smallest node.
 
     Each round every node takes its smallest neighbour (grouped minimum, combined before the shuffle), that map
     is followed one step further, and edges are rewritten between the chosen nodes; stars vanish in one round.

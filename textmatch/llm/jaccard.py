@@ -289,8 +289,7 @@ def similar(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFra
     near = components(edges)
 
     of_text = F.col("doc_id") == F.col("node")
-    member = near.select("root", F.col("node")).unionByName(near.select("root", F.col("root").alias("node")).distinct())
-    member = stored(member.join(first.select(F.col("rep").alias("node"), "chars").hint("merge"), "node"))
+    member = stored(near.join(first.select(F.col("rep").alias("node"), "chars").hint("merge"), "node"))
     sizes = member.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("all_chars"))
     weighed = member.join(sizes.hint("merge"), "root").withColumnRenamed("node", "doc_id")
     per = F.greatest(F.col("n") / config.verify_block, F.col("all_chars") / config.block_chars)

@@ -23,7 +23,7 @@ def targets(by_source: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataF
 
     by_source: source, source_size, weight. share times all words are divided by weight; no source gives more than
     cap times its own words, and what is above goes to the others by weight until none is above. Sources ordered
-    by cap * size / weight are capped first, so the level is the first one at which a source stays below its cap.
+    by cap * size / weight are capped first, so the level is that of the first source that stays below its cap; levels fall from there on.
     One row a source; this table has as many rows as there are sources, not documents.
     """
     sized = by_source.withColumn("limit", F.col("source_size") * F.lit(cap)).withColumn("ratio", F.col("limit") / F.col("weight"))
@@ -34,7 +34,7 @@ def targets(by_source: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataF
         F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     )
     levelled = sized.withColumn("level", level)
-    cut = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
+    cut = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
     target = F.least(F.col("limit"), F.coalesce(cut, F.lit(float("inf"))) * F.col("weight"))
     return levelled.withColumn("target", target).drop("limit", "ratio", "level", "weight")
 

@@ -64,7 +64,7 @@ ORACLE = {
                 / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
             FROM weighed
             WINDOW before AS (ORDER BY source_size * 2.0::DOUBLE / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        wanted AS (SELECT source, source_size, least(source_size * 2.0::DOUBLE, (SELECT min(level) FROM levelled WHERE level <= ratio) * weight) AS target FROM levelled),
+        wanted AS (SELECT source, source_size, least(source_size * 2.0::DOUBLE, (SELECT max(level) FROM levelled WHERE level <= ratio) * weight) AS target FROM levelled),
         plan AS (
             SELECT *, floor(target / source_size) AS whole, target / source_size - floor(target / source_size) AS part,
                 target - floor(target / source_size) * source_size AS rest
