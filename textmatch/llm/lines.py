@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textmatch.llm.common import lookup_join, stored
 
@@ -114,7 +115,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
     """Texts without the lines at the given positions."""
 
