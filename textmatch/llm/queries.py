@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmatch.llm import ann, bpe, html, jaccard, lines, mixing, quality, sharding
+from textmatch.llm import ann, bpe, html, jaccard, language, lines, mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,23 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_shard, op3_jaccard, op4_html, op5_quality, op6_neighbours, op7_bpe, op8_lines)}
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages, and documents as pages of their source that declare nothing."""
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    none = F.lit(None).cast("string")
+    model = language.fit(docs)
+    from_pages = pages.select(
+        F.lit(None).cast("long").alias("doc_id"), "page_id", none.alias("text"), "html",
+        language.declared_language(F.col("html")).alias("declared"), *[v.alias(c) for c, v in language.site_columns(F.col("url")).items()],
+    )
+    from_docs = docs.select(
+        "doc_id", F.lit(None).cast("long").alias("page_id"), F.coalesce("text", F.lit("")).alias("text"), none.alias("html"),
+        none.alias("declared"), F.col("source").alias("host"), none.alias("domain"), none.alias("suffix"),
+    )
+    return language.fused(from_docs.unionByName(from_pages), model, keep=("doc_id", "page_id"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_shard, op3_jaccard, op4_html, op5_quality, op6_neighbours, op7_bpe, op8_lines, op9_language)}
 
 ORACLE = {
     "op1_mix": """
