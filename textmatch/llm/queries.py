@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmatch.llm import ann, bpe, html, jaccard, language, lines, mixing, quality, sharding
+from textmatch.llm import ann, bpe, fingerprints, html, jaccard, language, lines, mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +74,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.fused(from_docs.unionByName(from_pages), model, keep=("doc_id", "page_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_shard, op3_jaccard, op4_html, op5_quality, op6_neighbours, op7_bpe, op8_lines, op9_language)}
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_shard, op3_jaccard, op4_html, op5_quality, op6_neighbours, op7_bpe, op8_lines, op9_language, op10_fingerprint)}
 
 ORACLE = {
     "op1_mix": """
