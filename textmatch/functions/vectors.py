@@ -19,4 +19,4 @@ def cosine(a: Column, b: Column) -> Column:
 def fit_score(similarity: Column, low: float = 0.15, high: float = 0.70) -> Column:
     """Similarity between low and high as 0 to 100, rounded half up and clamped; null stays null."""
     scaled = ((similarity - low) / (high - low) * 100).cast("decimal(18,6)")
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.round(scaled, 0).cast("int")))
+    return F.when(scaled.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), F.round(scaled, 0).cast("int"))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("posting_queries",)
+MODULES = ("posting_queries", "text_queries")
 
 
 def _registry():
