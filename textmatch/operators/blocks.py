@@ -38,15 +38,18 @@ def project_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.select("doc_id", F.col("block_id").alias("id"), F.col("block_type").alias("style"), F.when(F.col("block_type") == "bullet", 1).otherwise(0).alias("level"), "text")
 
 
-# Words that name a section of a profile document, longest match deciding.
+# Words that name a section of a profile document, the longest match deciding.
 SECTION_WORDS = {
-    "skills": ("technical skills", "core competencies", "skills", "technologies", "tools"),
-    "summary": ("professional summary", "summary", "profile", "objective", "about me"),
-    "experience": ("professional experience", "work experience", "employment history", "experience", "employment", "work history"),
-    "education": ("education", "academic background", "qualifications"),
-    "projects": ("personal projects", "key projects", "projects"),
-    "certifications": ("certifications", "certificates", "licenses"),
-}
+    "skills": (
+        "skills", "technical skills", "core competencies", "competencies", "technologies", "tech stack", "expertise", "proficiencies", "tools", "languages",
+        "frameworks", "key skills",
+    ),
+    "summary": ("summary", "profile", "objective", "about", "overview", "professional summary", "career summary", "executive summary"),
+    "experience": ("experience", "work experience", "employment", "work history", "professional experience", "career", "positions", "roles"),
+    "education": ("education", "academic", "qualifications", "degrees", "university", "college", "schooling"),
+    "projects": ("projects", "personal projects", "side projects", "open source", "portfolio", "work samples"),
+    "certifications": ("certifications", "certificates", "credentials", "licenses", "accreditations", "awards"),
+}
 
 
 def heading_section(text: Column) -> Column:

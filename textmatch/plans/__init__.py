@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("posting_queries", "text_queries")
+MODULES = ("posting_queries", "text_queries", "scoring_queries", "flow_queries")
 
 
 def _registry():
