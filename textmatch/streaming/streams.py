@@ -80,7 +80,7 @@ class StuckRuns(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "ts_ms long, event_id long, status string")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         best = self.last.get()
         for frame in rows:
             stamps = frame["ts"].astype("datetime64[ms]").astype("int64")
@@ -95,7 +95,7 @@ class StuckRuns(StatefulProcessor):
                 self.handle.registerTimer(best[0] + self.timeout_ms)
         yield pd.DataFrame({"posting_id": pd.Series(dtype="int64"), "status": pd.Series(dtype=object)})
 
-    def handleExpiredTimer(self, key: Any, timer_values: Any, expired_timer: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         last = self.last.get()
         hit = last is not None and last[2] == self.running
         if hit:
