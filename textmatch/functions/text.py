@@ -122,6 +122,34 @@ def normalise_list(value: Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
+CATEGORIES = "array<struct<category:string,skills:array<struct<name:string,level:int>>>>"
+
+
+def _at_three(names: Column) -> Column:
+    """Non-empty names as skills of level 3 in one category; an empty list of categories without any."""
+    kept = F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    skills = F.transform(kept, lambda x: F.struct(x.alias("name"), F.lit(3).alias("level")))
+    return F.when(F.size(kept) > 0, F.array(F.struct(F.lit("Skills").alias("category"), skills.alias("skills")))).otherwise(F.array().cast(CATEGORIES))
+
+
+def normalise_skills(raw: Column) -> Column:
+    """Skills as JSON in one of three shapes, or as plain text, to categories of (name, level).
+
+    Shapes: categories with skills of name and level (3 where it is missing), a list of names, a string cut at commas and
+    newlines. Categories without skills are dropped; null gives an empty list.
+    """
+    categories = F.from_json(raw, CATEGORIES)
+    named = F.filter(categories, lambda c: c["category"].isNotNull() & (F.size(c["skills"]) > 0))
+
+    def filled(c: Column) -> Column:
+        skills = F.transform(c["skills"], lambda s: F.struct(F.coalesce(s["name"], F.lit("")).alias("name"), F.coalesce(s["level"], F.lit(3)).alias("level")))
+        return F.struct(c["category"].alias("category"), skills.alias("skills"))
+
+    is_list, has_categories = F.startswith(F.trim(raw), F.lit("[")), F.size(F.filter(categories, lambda c: c["category"].isNotNull())) > 0
+    plain = F.regexp_replace(raw, '^"|"$', "")
+    return F.when(has_categories, F.transform(named, filled)).when(is_list, _at_three(F.from_json(raw, "array<string>"))).otherwise(_at_three(normalise_list(plain)))
+
+
 def level_dots(level: Column) -> Column:
     """A level from 1 to 5 (clamped) as five dots."""
     n = F.greatest(F.lit(1), F.least(F.lit(5), F.coalesce(level, F.lit(3)))).cast("int")

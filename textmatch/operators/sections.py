@@ -24,6 +24,20 @@ SECTION_KEYS = {
     ),
     "about": ("about us", "about the company", "who we are", "our mission", "about the role", "company overview"),
 }
+# The same for the older form, which knows a title section.
+OLDER_SECTION_KEYS = {
+    "title": (
+        "senior", "engineer", "developer", "scientist", "analyst", "manager", "lead", "architect", "we are looking for", "we're looking for", "about the role",
+        "job title", "position",
+    ),
+    "required": (
+        "required", "requirements", "must have", "must-have", "essential", "minimum qualifications", "basic qualifications", "you must", "what you'll need",
+        "what you need",
+    ),
+    "preferred": ("preferred", "nice to have", "nice-to-have", "bonus", "plus", "additional skills", "good to have", "ideally", "desired"),
+    "responsibilities": ("responsibilities", "what you'll do", "you will", "duties", "day to day", "your role"),
+    "about": ("about us", "about the company", "who we are", "our mission"),
+}
 # Starts of the lines that open a listing's footer.
 FOOTER_STARTS = (
     "role:", "industry type:", "industry:", "department:", "employment type:", "role category:", "job category:", "education", "ug:", "pg:", "key skills",
@@ -72,17 +86,25 @@ def detect_sections(postings: DataFrame, keys: dict[str, tuple[str, ...]] = SECT
     return rows.withColumn("section", section_of(F.col("paragraph"), keys))
 
 
-def extract_title(text: Column) -> Column:
-    """A labelled title of 4 to 79 characters, else the first short line with a title word; '' if there is none."""
+def extract_title(text: Column, older: bool = False) -> Column:
+    """A labelled title of 4 to 79 characters, else the first short line with a title word; '' if there is none.
+
+    older: no phrase is ruled out, only the first nine title words count, and the first line, cut at 80, is better than none.
+    """
     labels = (r"(?i)(?:role|position|job title)\s*[:\-]\s*(.+)", r"(?i)we(?:'re| are) (?:looking|hiring) for an?\s+(.+?)(?:\s+to|\s+who|\.|$)")
 
+    def allowed(line: Column) -> Column:
+        return F.lit(True) if older else ~_any_contained(F.lower(line), NOT_TITLES)
+
     def accepted(label: str) -> Column:
         found = F.trim(F.regexp_extract(text, label, 1))
-        return F.when((F.length(found) > 3) & (F.length(found) < 80) & ~_any_contained(F.lower(found), NOT_TITLES), found)
+        return F.when((F.length(found) > 3) & (F.length(found) < 80) & allowed(found), found)
 
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
-    titled = F.filter(lines, lambda x: (F.length(x) > 0) & (F.length(x) < 100) & _any_contained(F.lower(x), TITLE_WORDS) & ~_any_contained(F.lower(x), NOT_TITLES))
-    return F.coalesce(*[accepted(label) for label in labels], F.try_element_at(titled, F.lit(1)), F.lit(""))
+    words = TITLE_WORDS[:9] if older else TITLE_WORDS
+    titled = F.filter(lines, lambda x: (F.length(x) > 0) & (F.length(x) < 100) & _any_contained(F.lower(x), words) & allowed(x))
+    first = F.substring(F.try_element_at(F.filter(lines, lambda x: x != ""), F.lit(1)), 1, 80) if older else F.lit("")
+    return F.coalesce(*[accepted(label) for label in labels], F.try_element_at(titled, F.lit(1)), first, F.lit(""))
 
 
 def section_lines(sections: DataFrame) -> DataFrame:

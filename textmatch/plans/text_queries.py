@@ -50,8 +50,8 @@ def e2_strip_footer(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-def _section_sql(paragraph: str) -> str:
-    scores = {name: " + ".join(f"CASE WHEN contains({paragraph}, '{p.replace(chr(39), chr(39) * 2)}') THEN {len(p.split())} ELSE 0 END" for p in keys) for name, keys in E.SECTION_KEYS.items()}
+def _section_sql(paragraph: str, sections: dict[str, tuple[str, ...]] = E.SECTION_KEYS) -> str:
+    scores = {name: " + ".join(f"CASE WHEN contains({paragraph}, '{p.replace(chr(39), chr(39) * 2)}') THEN {len(p.split())} ELSE 0 END" for p in keys) for name, keys in sections.items()}
     best = "greatest(" + ", ".join(f"({s})" for s in scores.values()) + ")"
     cases = " ".join(f"WHEN ({s}) = {best} THEN '{name}'" for name, s in scores.items())
     return f"CASE WHEN {best} = 0 THEN 'general' {cases} END"
@@ -63,6 +63,18 @@ def e3_detect_sections(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.lower("paragraph"))).alias("chars"))
 
 
+@query(f"WITH {SPLICE_SQL}, p AS (SELECT posting_id, lower(unnest(regexp_split_to_array(description, '\\n{{2,}}'))) AS para FROM spliced) SELECT section, count(*) AS n FROM (SELECT {_section_sql('para', E.OLDER_SECTION_KEYS)} AS section FROM p) GROUP BY section")
+def e3b_detect_sections_older(spark: SparkSession, d: str) -> DataFrame:
+    return E.detect_sections(spliced(spark, d), E.OLDER_SECTION_KEYS).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, left(trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]), 80) AS found FROM documents WHERE NOT regexp_matches(lower(text), 'engineer|developer|scientist|analyst|manager|lead|architect|designer|specialist|role|position|job title|looking|hiring') AND trim(text) <> ''")
+def e4b_extract_title_older(spark: SparkSession, d: str) -> DataFrame:
+    words = "engineer|developer|scientist|analyst|manager|lead|architect|designer|specialist|role|position|job title|looking|hiring"
+    docs = _docs(spark, d).where(~F.lower("text").rlike(words) & (F.trim("text") != ""))
+    return docs.select("doc_id", E.extract_title(F.col("text"), older=True).alias("found"))
+
+
 @query()
 def e4_extract_title(spark: SparkSession, d: str) -> DataFrame:
     rows = spliced(spark, d)
@@ -145,6 +157,15 @@ def e13_normalise_list(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", F.array_join(X.normalise_list(raw), "|").alias("items"))
 
 
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_type ELSE 'Skills' END AS category, CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 2 END AS n, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size % 5 + 1 AS INTEGER) ELSE 3 END AS level FROM part")
+def e14_normalise_skills(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    nested = F.concat(F.lit('[{"category": "'), "p_type", F.lit('", "skills": [{"name": "a", "level": '), (F.col("p_size") % 5 + 1).cast("string"), F.lit('}]}, {"category": "none", "skills": []}]'))
+    raw = F.when(k == 0, nested).when(k == 1, '["x", " ", "y"]').otherwise("x, y\n")
+    rows = V.table(spark, d, "part").select("p_partkey", X.normalise_skills(raw).alias("c"))
+    return rows.select("p_partkey", F.col("c")[0]["category"].alias("category"), F.size(F.col("c")[0]["skills"]).alias("n"), F.col("c")[0]["skills"][0]["level"].alias("level"))
+
+
 @query("SELECT p_partkey, repeat('●', CAST(greatest(1, least(5, p_size - 20)) AS INTEGER)) || repeat('○', CAST(5 - greatest(1, least(5, p_size - 20)) AS INTEGER)) AS dots FROM part")
 def e15_level_dots(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "part").select("p_partkey", X.level_dots(F.col("p_size") - 20).alias("dots"))
