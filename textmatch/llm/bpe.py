@@ -7,6 +7,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,15 @@ def _ids(coder, text: str):
     return coder.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype("<u4", copy=False)
 
 
+def _planes(ids: np.ndarray) -> bytes:
+    """Ids with their lowest bytes first, then the next ones: the high ones are zeros, which a shuffle compresses well."""
+    return ids.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def encoded(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Token ids of every whole text, and the bytes they decode to.
 
@@ -102,20 +112,21 @@ def _assembled(docs: DataFrame, vocabulary: str, pattern: str, chunk: int, overl
             yield frame.assign(head=heads, tail=tails)
 
     def pieces(frame: pd.DataFrame) -> pd.DataFrame:
-        coder, table, _ = _coder(vocabulary, pattern)
+        coder, _, _ = _coder(vocabulary, pattern)
         frame = frame.sort_values("k")
         texts, ends = frame["text"].tolist(), frame["cut"].tolist()
         parts = [t[:chunk] for t in texts[:-1]]
         parts.append(texts[-1] if pd.isna(ends[-1]) else texts[-1][: chunk + int(ends[-1])])
         begin = frame["begin"].iloc[0]
         text = "".join(parts)[0 if pd.isna(begin) else int(begin) :]
-        ids = _ids(coder, text)
         first = frame.iloc[0]
-        return _frame([(first["doc_id"], first["key"], first["copies"], first["piece"], ids.tobytes(), b"".join(map(table.__getitem__, ids.tolist())))], ["doc_id", "key", "copies", "piece", "ids", "decoded"])
+        return _frame([(first["doc_id"], first["key"], first["copies"], first["piece"], _planes(_ids(coder, text)))], ["doc_id", "key", "copies", "piece", "ids"])
 
     def documents(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("piece")
-        return _frame([(frame["doc_id"].iloc[0], frame["copies"].iloc[0], *row(frame["ids"].tolist(), frame["decoded"].tolist()))], ["doc_id", "copies", *names[1:]])
+        _, table, _ = _coder(vocabulary, pattern)
+        ids = [_from_planes(x) for x in frame.sort_values("piece")["ids"]]
+        decoded = [b"".join(map(table.__getitem__, x.tolist())) for x in ids]
+        return _frame([(frame["doc_id"].iloc[0], frame["copies"].iloc[0], *row([x.tobytes() for x in ids], decoded))], ["doc_id", "copies", *names[1:]])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     short = rows.where(F.length("text") <= chunk).mapInPandas(whole, out)
@@ -136,7 +147,7 @@ def _assembled(docs: DataFrame, vocabulary: str, pattern: str, chunk: int, overl
     id_of = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("y")) & (F.col("k") == F.col("kk"))
     placed = found.select(F.col("doc_id").alias("d"), F.col("key").alias("y"), F.col("k").alias("kk"), "text", "copies").join(cuts.hint("merge"), id_of)
     by_piece = placed.select("doc_id", "key", "copies", "k", "text", "cut", "begin", "piece").groupBy("doc_id", "key", "piece")
-    coded = by_piece.applyInPandas(pieces, "doc_id long, key long, copies long, piece long, ids binary, decoded binary")
+    coded = by_piece.applyInPandas(pieces, "doc_id long, key long, copies long, piece long, ids binary")
     long = coded.groupBy("doc_id", "key").applyInPandas(documents, f"doc_id long, copies long, {out.split(', ', 1)[1]}")
     long = long.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return short.unionByName(long.select(*names))
