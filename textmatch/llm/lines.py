@@ -98,7 +98,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     runs = LineRuns(min_docs, fanout)
     for b in range(batches):
         once = lines.where(F.col("batch") == b).select("h1", "h2", "doc_id", "__hash").distinct()
-        runs.add(once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")))
+        runs.add(stored(once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))))  # else the anti-join would move ahead of the sum, and a common line's rows with it
     frequent = runs.frequent()
 
     gone = lookup_join(lines, frequent, ["h1", "h2"], salt="doc_id")
