@@ -86,7 +86,7 @@ def test_shards_are_contiguous_and_balanced(spark):
 
 
 def cut(text):
-    return set(re.split(r"\n|(?<=[.!?]) ", text or ""))
+    return set(re.split(r"\n|(?<=[^.!?\n]{30}[.!?]) ", text or ""))
 
 
 def test_likeness_equals_that_of_the_sets(spark):
