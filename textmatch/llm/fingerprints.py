@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from textmatch.llm.common import range_indexed, stored
 
-#: Where a text is cut into paragraphs: at line ends, and after a sentence inside a line.
-CUTS = r"\n|(?<=[.!?]) "
+#: Where a text is cut into paragraphs: at line ends, and inside a line after a sentence of 30 characters or more.
+CUTS = r"\n|(?<=[^.!?\n]{30}[.!?]) "
 #: Cells of the printed fingerprint, and cells a sketch has for each digest it is expected to tell apart.
 PRINTED, ROOM = 12, 1.5
 #: How much larger a retry is, and peeling steps (a third of the cells each) before a sketch counts as failed.
@@ -45,67 +45,67 @@ def _check(item: Column) -> Column:
 
 
 def _row(cell: Column, item: Column, n: Column, key: Column, check: Column) -> Column:
-    return F.struct(cell.cast("long").alias("cell"), item.cast("long").alias("item"), n.cast("long").alias("n"), key.alias("key"), check.alias("check"))
+    values = {"__cell": cell, "__item": item, "__n": n, "__key": key, "__check": check}
+    return F.struct(*[v.cast("long").alias(k) for k, v in values.items()])
 
 
 def subtracted(pairs: DataFrame, ids: list[str], level: int) -> DataFrame:
-    """Cells of the sketch of a minus the sketch of b, for rows (ids, a, b, third): counts subtract, keys are or-ed.
+    """Cells of the sketch of a minus the sketch of b, for rows (ids, a, b, __third): counts subtract, keys are xor-ed.
 
     Rows must be partitioned by (some of) ids, so that cells are summed where they are made.
     """
     signed = F.concat(F.transform("a", lambda x: F.struct(x.alias("x"), F.lit(1).alias("n"))), F.transform("b", lambda x: F.struct(x.alias("x"), F.lit(-1).alias("n"))))
-    items = pairs.select(*ids, "third", F.explode(signed).alias("s")).select(*ids, "third", F.col("s.x").alias("x"), F.col("s.n").alias("sign"))
-    x = F.col("x")
-    cells = F.explode(F.array(*[_at(x, j, level, F.col("third")) for j in range(3)]))
-    out = items.select(*ids, "third", "sign", "x", _check(x).alias("c"), cells.alias("cell"))
-    out = out.groupBy(*ids, "third", "cell").agg(F.sum("sign").alias("n"), F.bit_xor("x").alias("key"), F.bit_xor("c").alias("check"))
-    return out.withColumn("item", F.lit(0).cast("long"))
+    items = pairs.select(*ids, "__third", F.explode(signed).alias("__s")).select(*ids, "__third", F.col("__s.x").alias("__x"), F.col("__s.n").alias("__sign"))
+    x = F.col("__x")
+    cells = F.explode(F.array(*[_at(x, j, level, F.col("__third")) for j in range(3)]))
+    out = items.select(*ids, "__third", "__sign", "__x", _check(x).alias("__c"), cells.alias("__cell"))
+    out = out.groupBy(*ids, "__third", "__cell").agg(F.sum("__sign").alias("__n"), F.bit_xor("__x").alias("__key"), F.bit_xor("__c").alias("__check"))
+    return out.withColumn("__item", F.lit(0).cast("long"))
 
 
 def peeled(cells: DataFrame, ids: list[str], level: int, keep_items: bool) -> DataFrame:
-    """Peel subtracted sketches: rows with cell -1 are digests only in a, -2 only in b, others were left over.
+    """Peel subtracted sketches: rows with __cell -1 are digests only in a, -2 only in b, others were left over.
 
     In each step, the cells of one third that hold a single digest give it up, and it is taken out of the other two
     thirds; a digest has one cell in a third, so none is taken twice. A step is one grouped sum without a shuffle.
     keep_items: a row for each digest recovered; otherwise only their numbers.
     """
-    third, key, n = F.col("third"), F.col("key"), F.col("n")
+    third, key, n, check, cell = (F.col(c) for c in ("__third", "__key", "__n", "__check", "__cell"))
+    zero = F.lit(0)
     for step in range(STEPS):
         j = step % 3
-        pure = (F.col("cell") >= j * third) & (F.col("cell") < (j + 1) * third) & (F.abs(n) == 1) & (F.col("check") == _check(key)) & (_at(key, j, level, third) == F.col("cell"))
-        item = key if keep_items else F.lit(0)
-        zero = F.lit(0).cast("long")
-        out = [_row(F.when(n > 0, -1).otherwise(-2), item, F.lit(1), zero, zero)]
-        out += [_row(_at(key, i, level, third), F.lit(0), -n, key, F.col("check")) for i in range(3) if i != j]
-        same = _row(F.col("cell"), F.col("item"), n, key, F.col("check"))
-        rows = cells.select(*ids, "third", F.explode(F.when(pure, F.array(*out)).otherwise(F.array(same))).alias("r")).select(*ids, "third", "r.*")
-        cells = rows.groupBy(*ids, "third", "cell", "item").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"))
-        cells = cells.where("cell < 0 or n <> 0 or key <> 0 or check <> 0")
+        pure = (cell >= j * third) & (cell < (j + 1) * third) & (F.abs(n) == 1) & (check == _check(key)) & (_at(key, j, level, third) == cell)
+        out = [_row(F.when(n > 0, -1).otherwise(-2), key if keep_items else zero, F.lit(1), zero, zero)]
+        out += [_row(_at(key, i, level, third), zero, -n, key, check) for i in range(3) if i != j]
+        same = _row(cell, F.col("__item"), n, key, check)
+        rows = cells.select(*ids, "__third", F.explode(F.when(pure, F.array(*out)).otherwise(F.array(same))).alias("__r")).select(*ids, "__third", "__r.*")
+        cells = rows.groupBy(*ids, "__third", "__cell", "__item").agg(F.sum("__n").alias("__n"), F.bit_xor("__key").alias("__key"), F.bit_xor("__check").alias("__check"))
+        cells = cells.where("__cell < 0 or __n <> 0 or __key <> 0 or __check <> 0")
     return cells
 
 
 def differences(pairs: DataFrame, ids: list[str], expected: Column | float = 0.5, keep_items: bool = True) -> DataFrame:
     """What tells two versions of a document apart, recovered from their sketches.
 
-    pairs: the ids columns (together unique) and arrays a and b of distinct digests. Sketches get ROOM cells for each
+    pairs: the ids columns (together unique; the first one deals them to tasks) and arrays a and b of distinct digests. Sketches get ROOM cells for each
     digest expected to differ (expected: share of all digests of the pair); pairs whose sketch can't be peeled empty are
     done again with sketches LARGER times as large, until none is left, so every difference is found whatever its size.
     Returns ids, side ("a" or "b": the version that has it), and digest, or with keep_items off only_a and only_b, the
     numbers of digests, with a row for every pair. Work is linear in the digests; a pair's cells are in one task.
     """
     rows = pairs.withColumn("__size", F.greatest(F.lit(4), F.ceil((F.size("a") + F.size("b")) * expected * ROOM / 3)).cast("long"))
-    rows = rows.repartition(*[F.col(c) for c in ids])
     done: list[DataFrame] = []
     level = 0
     while True:
-        sized = rows.withColumn("third", F.col("__size") * F.lit(LARGER**level)).drop("__size")
+        rows = rows.repartition(F.col(ids[0]))
+        sized = rows.withColumn("__third", F.col("__size") * F.lit(LARGER**level)).drop("__size")
         cells = peeled(subtracted(sized, ids, level), ids, level, keep_items)
         if keep_items:
             cells = stored(cells)
         told = cells.groupBy(*ids).agg(
-            F.sum(F.when(F.col("cell") == -1, F.col("n")).otherwise(0)).alias("only_a"),
-            F.sum(F.when(F.col("cell") == -2, F.col("n")).otherwise(0)).alias("only_b"),
-            F.count_if(F.col("cell") >= 0).alias("left"),
+            F.sum(F.when(F.col("__cell") == -1, F.col("__n")).otherwise(0)).alias("only_a"),
+            F.sum(F.when(F.col("__cell") == -2, F.col("__n")).otherwise(0)).alias("only_b"),
+            F.count_if(F.col("__cell") >= 0).alias("left"),
         )
         told = stored(told)
         failed = told.where("left > 0").select(*[F.col(c).alias(f"__{c}") for c in ids])
@@ -113,8 +113,8 @@ def differences(pairs: DataFrame, ids: list[str], expected: Column | float = 0.5
         for c in ids:
             match = match & F.col(c).eqNullSafe(F.col(f"__{c}"))
         if keep_items:
-            found = cells.where("cell < 0").join(failed.hint("merge"), match, "left_anti")
-            done.append(found.select(*ids, F.when(F.col("cell") == -1, "a").otherwise("b").alias("side"), F.col("item").alias("digest")))
+            found = cells.where("__cell < 0").join(failed.hint("merge"), match, "left_anti")
+            done.append(found.select(*ids, F.when(F.col("__cell") == -1, "a").otherwise("b").alias("side"), F.col("__item").alias("digest")))
         else:
             done.append(told.where("left = 0").select(*ids, "only_a", "only_b"))
         if not failed.limit(1).count():
@@ -135,13 +135,13 @@ def differences(pairs: DataFrame, ids: list[str], expected: Column | float = 0.5
     return every.select(*ids, F.coalesce("only_a", F.lit(0)).alias("only_a"), F.coalesce("only_b", F.lit(0)).alias("only_b"))
 
 
-def next_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id): the following doc_id in ascending order, the first one after the last; null comes first."""
-    ids = range_indexed(docs.select("doc_id").distinct(), ["doc_id"], {})
-    ids = stored(ids.select("doc_id", "__idx"))
+def next_documents(keys: DataFrame) -> DataFrame:
+    """(key, next_key) of a table (key, doc_id): the following doc_id in ascending order, the first after the last; null comes first."""
+    ids = range_indexed(keys.distinct(), ["doc_id"], {})
+    ids = stored(ids.select("key", "__idx"))
     n = max(1, ids.count())
-    after = ids.select(F.col("doc_id").alias("next_id"), F.col("__idx").alias("__at"))
-    return ids.join(after.hint("merge"), F.pmod(F.col("__idx") + 1, F.lit(n)) == F.col("__at")).select("doc_id", "next_id")
+    after = ids.select(F.col("key").alias("next_key"), F.col("__idx").alias("__at"))
+    return ids.join(after.hint("merge"), F.pmod(F.col("__idx") + 1, F.lit(n)) == F.col("__at")).select("key", "next_key")
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
@@ -152,33 +152,37 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     by as many (or all) first ones of the next document in ascending doc_id. Likeness is the share of common digests in
     all digests of the two, their differences being recovered by differences().
 
-    Texts are shuffled once, by doc_id, and reused; a next document sends its digests and the code points wanted only.
+    Texts are shuffled once, by doc_id, and that shuffle is read twice: a next document sends its digests and the code
+    points wanted only, and the document receives them.
 
     Defined results: null text is empty, and an empty text has one empty paragraph; rows repeated with equal doc_id and
     text get equal rows; where a doc_id has several texts, the one with the smallest hash is its neighbour's next; an
     empty table gives an empty table; other columns are not read.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).repartition("doc_id")
-    wanted = rows.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 4)).alias("take"))
-    order = next_documents(docs)
-    needs = stored(wanted.withColumnRenamed("doc_id", "d").join(order.hint("merge"), F.col("d").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("for_id"), "next_id", "take"))
-    sent = rows.join(needs.hint("merge"), F.col("doc_id").eqNullSafe(F.col("next_id")))
-    sent = sent.select("for_id", F.struct(F.xxhash64("text").alias("h"), F.substring("text", F.lit(1), F.col("take").cast("int")).alias("head"), digests(F.col("text")).alias("next")).alias("s"))
-    sent = sent.groupBy("for_id").agg(F.min("s").alias("s"))
-    met = rows.join(sent.hint("merge"), F.col("doc_id").eqNullSafe(F.col("for_id")))
+    text, key = F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    rows = docs.select(key.alias("key"), text.alias("text")).repartition("key")
+    wanted = docs.select(key.alias("key"), F.floor(F.length(text) / 4).alias("take")).groupBy("key").agg(F.max("take").alias("take"))
+    order = next_documents(docs.select(key.alias("key"), "doc_id"))
+    needs = stored(wanted.join(order.hint("merge"), "key").select(F.col("key").alias("for_key"), F.col("next_key").alias("key"), "take"))
+    head = F.substring("text", F.lit(1), F.col("take").cast("int"))
+    sent = rows.join(needs.hint("merge"), "key").select("for_key", F.struct(F.xxhash64("text").alias("h"), head.alias("head"), digests(F.col("text")).alias("next")).alias("s"))
+    sent = sent.groupBy(F.col("for_key").alias("key")).agg(F.min("s").alias("s"))
+    met = rows.join(sent.hint("merge"), "key")
     n = F.length("text")
     take = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - take), F.substring("s.head", F.lit(1), take))
-    made = met.select("doc_id", F.xxhash64("text").alias("h"), n.cast("long").alias("n_chars"), edited.alias("edited"), digests(F.col("text")).alias("own"), F.col("s.next").alias("next"))
-    made = made.withColumn("new", digests(F.col("edited"))).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
-    base = stored(made.withColumn("fingerprint", fingerprint(F.col("own"))).withColumn("edited_fingerprint", fingerprint(F.col("new"))))
+    made = met.select("key", F.xxhash64("text").alias("h"), n.cast("long").alias("n_chars"), edited.alias("edited"), digests(F.col("text")).alias("own"), F.col("s.next").alias("next"))
+    made = made.withColumn("new", digests(F.col("edited"))).withColumn("edited_sha256", F.unhex(F.sha2("edited", 256))).drop("edited")
+    base = stored(made)
 
-    once = base.select("doc_id", "h", "own", "new", "next").dropDuplicates(["doc_id", "h"])
+    once = base.select("key", "h", "own", "new", "next").dropDuplicates(["key", "h"])
     versions = F.array(F.struct(F.lit(0).alias("pair"), F.col("new").alias("b")), F.struct(F.lit(1).alias("pair"), F.col("next").alias("b")))
-    pairs = once.select("doc_id", "h", F.col("own").alias("a"), F.explode(versions).alias("v")).select("doc_id", "h", F.col("v.pair").alias("pair"), "a", F.col("v.b").alias("b"))
-    told = differences(pairs, ["doc_id", "h", "pair"], F.when(F.col("pair") == 0, 0.5).otherwise(1.0), keep_items=False)
-    told = told.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("dh")).agg(*[F.max(F.when(F.col("pair") == p, F.struct("only_a", "only_b"))).alias(f"p{p}") for p in (0, 1)])
-    out = base.join(told.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh")))
+    pairs = once.select("key", "h", F.col("own").alias("a"), F.explode(versions).alias("v")).select("key", "h", F.col("v.pair").alias("pair"), "a", F.col("v.b").alias("b"))
+    told = differences(pairs, ["key", "h", "pair"], F.when(F.col("pair") == 0, 0.5).otherwise(1.0), keep_items=False)
+    told = told.groupBy("key", "h").agg(*[F.max(F.when(F.col("pair") == p, F.struct("only_a", "only_b"))).alias(f"p{p}") for p in (0, 1)])
+    out = base.join(stored(told).hint("merge"), ["key", "h"])
     near = [(F.size("own") - F.col(f"p{p}.only_a")) / (F.size("own") + F.col(f"p{p}.only_b")) for p in (0, 1)]
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near[0].alias("near_edited"), near[1].alias("near_next"))
+    return out.select(
+        F.nullif("key", F.lit("")).cast("long").alias("doc_id"), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
+        fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"), near[0].alias("near_edited"), near[1].alias("near_next"),
+    )
