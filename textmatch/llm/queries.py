@@ -107,6 +107,20 @@ ORACLE = {
         SELECT doc_id, size, source_size, target,
             CAST(size * (whole + CASE WHEN part > 0 AND before + size / 2.0::DOUBLE < rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM run""",
+    "op3_jaccard": """
+        WITH RECURSIVE split AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        named AS (SELECT doc_id, w, array_to_string(w, ' ') AS key FROM split),
+        texts AS (SELECT key, min(doc_id) AS rep, count(DISTINCT doc_id) AS copies, any_value(w) AS w FROM named GROUP BY key),
+        shingle AS (SELECT DISTINCT rep, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS s FROM texts WHERE len(w) > 0),
+        total AS (SELECT rep, count(*) AS n FROM shingle GROUP BY rep),
+        common AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.rep < b.rep GROUP BY ALL),
+        link AS (SELECT a, b FROM common JOIN total x ON x.rep = a JOIN total y ON y.rep = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+        both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach(node, root) AS (SELECT rep, rep FROM texts UNION SELECT b, root FROM reach JOIN both_ways ON node = a),
+        class AS (SELECT node, min(root) AS class_id FROM reach GROUP BY node),
+        links AS (SELECT a, count(*) AS links FROM both_ways GROUP BY a)
+        SELECT doc_id, class_id, coalesce(links, 0) AS links, copies
+        FROM named JOIN texts USING (key) JOIN class ON node = rep LEFT JOIN links ON a = rep""",
     "op8_lines": """
         WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM split),
