@@ -164,3 +164,9 @@ def test_unbounded_pairs_are_refused(spark, name):
 
     with pytest.raises(ValueError):
         getattr(P, name)(spark.range(3), spark.range(5).withColumnRenamed("id", "p"), most=4)
+
+
+def test_skills_of_three_shapes(spark):
+    rows = ['[{"category": "Data", "skills": [{"name": "sql", "level": 5}, {"name": "go"}]}, {"category": "None", "skills": []}]', '["a", " ", "b"]', "a, b\n\nc", "", None]
+    got = [[(c["category"], [(s["name"], s["level"]) for s in c["skills"]]) for c in v] for v in values(spark, "t string", rows, X.normalise_skills(F.col("t")))]
+    assert got == [[("Data", [("sql", 5), ("go", 3)])], [("Skills", [("a", 3), ("b", 3)])], [("Skills", [("a", 3), ("b", 3), ("c", 3)])], [], []]
