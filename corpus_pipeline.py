@@ -17,8 +17,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that ten documents or more share; a document left without any visible text goes."""
-    cleaned = lines.dedup_lines(docs).where("__n_dropped = 0 or __kept rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    """Texts without lines that ten documents or more share; every document stays, some with an empty text."""
+    cleaned = lines.dedup_lines(docs)
     values = {"text": F.when(F.col("__n_dropped") == 0, F.col("text")).otherwise(F.col("__kept"))}
     return _renewed(cleaned.withColumns(values), docs)
 
