@@ -1,34 +1,16 @@
-"""Small helpers that the operators share: shared-folder tables, size-checked joins, components."""
+"""Small helpers that the operators share: size-checked joins, global order, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A lookup side up to this many rows is broadcast; above it, it is joined by shuffle.
-BROADCAST_ROWS = 50_000
-
+from textmatch.sources.storage import stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir().rstrip("/")
+__all__ = ["components", "lookup_join", "range_indexed", "stored", "words_count"]
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends and sizes are known."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A lookup side up to this many rows is broadcast; above it, it is joined by shuffle.
+BROADCAST_ROWS = 50_000
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salt: str | None = None) -> DataFrame:
