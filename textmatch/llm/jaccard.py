@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmatch.llm.common import components, stored
+from textmatch.llm.common import components, lookup_join, stored
 
 
 @dataclass(frozen=True)
@@ -291,7 +291,7 @@ def similar(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFra
     of_text = F.col("doc_id") == F.col("node")
     member = stored(near.join(first.select(F.col("rep").alias("node"), "chars").hint("merge"), "node"))
     sizes = member.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("all_chars"))
-    weighed = member.join(sizes.hint("merge"), "root").withColumnRenamed("node", "doc_id")
+    weighed = lookup_join(member, stored(sizes), ["root"], salt="node").withColumnRenamed("node", "doc_id")
     per = F.greatest(F.col("n") / config.verify_block, F.col("all_chars") / config.block_chars)
     placed = _blocks(weighed.drop("chars"), "n", per).drop("all_chars")
     bodies = rows.join(member.select("node").hint("merge"), of_text, "left_semi").dropDuplicates(["doc_id"])
