@@ -38,7 +38,7 @@ def features(docs: DataFrame) -> DataFrame:
     counted = docs.withColumn("__text", text).withColumn(
         "__c",
         F.struct(
-            _count(r"[^\x20\x09-\x0D]+").alias("words"), F.length("__text").cast("double").alias("chars"), _count(r"\p{L}").alias("letters"),
+            _count(r"[^\x20\x09-\x0D]+").alias("words"), F.length("__text").cast("double").alias("chars"), F.length(F.regexp_replace("__text", r"[^\p{L}]+", "")).cast("double").alias("letters"),
             _count(r"\p{Lu}").alias("capitals"), _count(r"\p{Lu}{2,}(?!\p{Ll})").alias("shouted"), _count(r"[^\p{L}\p{N}\s]").alias("symbols"),
             _count(r"([^\p{L}\p{N}\s])\1").alias("doubled"), _count(r"[|<>{}\\]").alias("bars"), _count(r"\p{N}").alias("digits"),
             _count(r"\n").alias("breaks"), F.size(F.array_distinct(F.split("__text", "\n"))).cast("double").alias("lines"),
