@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from textmatch.llm import ann, bpe, html, jaccard, language, lines, quality
 
@@ -168,6 +169,34 @@ def test_neighbours_recall_order_and_odd_rows(spark):
     assert ann.nearest(table.limit(0), table, 20).count() == 0
 
 
+def test_neighbours_among_near_copies(spark):
+    """A third of all rows lie close to one vector: what lists meet must be ranked exactly, not cut by footrule."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(9000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = rng.permutation(9000)[:3000]
+    x[near] = x[near[0]] + rng.normal(size=(3000, 64)) * 10 ** rng.uniform(-4, -2, size=(3000, 1))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    asked, e, hit = set(near[:100].tolist()), x.astype(np.float64), 0
+    got = {q: set() for q in asked}
+    for r in ann.nearest(table, table.where(F.col("vec_id").isin(list(asked))), 20).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    for q in asked:
+        score = e @ e[q]
+        score[q] = -2
+        hit += len(set(np.argsort(-score)[:20].tolist()) & got[q])
+    assert hit / (20 * len(asked)) >= 0.99
+
+
+def test_neighbours_are_complete_where_lists_hold_few(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(400, 16)).astype(np.float32))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    few = ann.nearest(table, table.where("vec_id < 50"), 20, ann.IndexConfig(post=1, probe=1)).collect()
+    assert Counter(r["query_id"] for r in few) == dict.fromkeys(range(50), 20)
+
+
 def test_quality_on_held_out_labels(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     model = quality.fit(docs, labels.where("doc_id % 2 = 0"))

@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by a permutation index: pivot orders, inverted files, footrule, exact rerank."""
+"""Approximate nearest neighbours by a permutation index: pivot orders, inverted files, exact rerank of all that is met."""
 
 from __future__ import annotations
 
@@ -18,18 +18,17 @@ from textmatch.llm.jaccard import _groups, _group_numbers
 class IndexConfig:
     """pivots: vectors that others are ordered by, a fixed-size sample (those with the smallest hashes).
 
-    Every vector is posted under its post nearest pivots, and a query reads the lists of its probe nearest. Of what it
-    meets first in a list, the share with the smallest footrule distance (least at any rate) is reranked exactly.
+    Every vector is posted under its post nearest pivots, and a query reads the lists of its probe nearest. All that it
+    meets is ranked by the exact score, so near copies that the pivots cannot tell apart are never cut.
     Defaults are for data without structure (64 dimensions, recall 0.95); clustered data does with fewer probes.
-    block bounds the rows of either side that one task compares at once.
+    block bounds the rows of either side that one task compares at once, slice the queries of one matrix product.
     """
 
     pivots: int = 128
     post: int = 8
     probe: int = 20
-    share: float = 0.12
-    least: int = 64
     block: int = 4096
+    slice: int = 256
 
 
 def valid(vectors: DataFrame, dims: int | None = None) -> DataFrame:
@@ -43,7 +42,7 @@ def valid(vectors: DataFrame, dims: int | None = None) -> DataFrame:
 
 
 def _orders(config: IndexConfig, pivots: np.ndarray, top: float):
-    """Unit-length view of each vector, and the rank of every pivot for it.
+    """The vector in double precision and its nearest pivots, nearest first: post of a vector's, probe of a query's.
 
     Largest inner product becomes nearest neighbour by one more component that fills each vector up to the largest
     norm (top); a query gets 0 there. Pivots are filled up likewise.
@@ -54,14 +53,11 @@ def _orders(config: IndexConfig, pivots: np.ndarray, top: float):
 
     extra = fill(pivots)
 
-    def ranks(x: np.ndarray, is_query: bool) -> np.ndarray:
+    def order(x: np.ndarray, is_query: bool) -> np.ndarray:
         near = x @ pivots.T
         if not is_query:
             near = near + fill(x)[:, None] * extra
-        order = np.argsort(-near, axis=1, kind="stable")
-        out = np.empty(order.shape, np.uint8)
-        np.put_along_axis(out, order, np.broadcast_to(np.arange(order.shape[1], dtype=np.uint8), order.shape), axis=1)
-        return out
+        return np.argsort(-near, axis=1, kind="stable").astype(np.uint8)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -69,19 +65,30 @@ def _orders(config: IndexConfig, pivots: np.ndarray, top: float):
                 continue
             x = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
             query = frame["is_query"].to_numpy()
-            r = np.where(query[:, None], ranks(x, True), ranks(x, False))
-            lists = np.argsort(r, axis=1, kind="stable")
-            # Queries also read the lists in which vectors were posted; either side only names its first pivots.
+            lists = np.where(query[:, None], order(x, True), order(x, False))
+            lists = [row[: config.probe if q else config.post] for row, q in zip(lists, query, strict=True)]
             yield pd.DataFrame({
-                "gid": frame["gid"], "is_query": query, "vector": [v.tobytes() for v in x], "ranks": [v.tobytes() for v in r],
-                "pivot": [row[: config.probe if q else config.post].astype(np.int32) for row, q in zip(lists, query, strict=True)],
+                "gid": frame["gid"], "is_query": query, "vector": [v.tobytes() for v in x], "lists": [row.tobytes() for row in lists],
+                "pivot": [row.astype(np.int32) for row in lists],
             })
 
     return run
 
 
+def _marked(lists: list[bytes], upto: int | None = None) -> np.ndarray:
+    """A row of zeros and ones over pivots for each list of pivots; with upto, only those named before it."""
+    out = np.zeros((len(lists), 256), np.float32)
+    for row, names in zip(out, lists, strict=True):
+        row[list(names if upto is None else names[: names.index(upto)])] = 1
+    return out
+
+
 def _searched(config: IndexConfig, k: int):
-    """From sorted posting blocks: the k best groups of each query among those it meets first in this list."""
+    """From sorted posting blocks: the k best groups of each query among those it meets first in this list.
+
+    A matrix product scores all of them; those within its rounding of the k-th are scored again, each by itself.
+    In the list -1, which holds every vector, a query meets all.
+    """
     by = ["pivot", "qb", "vb"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,31 +101,48 @@ def _searched(config: IndexConfig, k: int):
                 if is_query.all() or not is_query.any():
                     continue
                 pivot = int(frame["pivot"].iloc[0])
-                ranks = np.frombuffer(b"".join(frame["ranks"]), np.uint8).reshape(len(frame), -1)
                 x = np.frombuffer(b"".join(frame["vector"]), np.float64).reshape(len(frame), -1)
-                ids = frame["gid"].to_numpy()
-                vr, vx, vid = ranks[~is_query], x[~is_query], ids[~is_query]
-                posted, wide = vr < config.post, vr.astype(np.int16)
+                ids, lists = frame["gid"].to_numpy(), frame["lists"].to_numpy()
+                vx, vid, qx, qid = x[~is_query], ids[~is_query], x[is_query], ids[is_query]
+                posted = _marked(lists[~is_query].tolist()) if pivot >= 0 else None
+                longest = np.sqrt((vx * vx).sum(axis=1).max())
                 found = []
-                for q in np.flatnonzero(is_query):
-                    before = np.flatnonzero(ranks[q] < ranks[q, pivot])
-                    new = np.flatnonzero(~posted[:, before].any(axis=1)) if len(before) else np.arange(len(vid))
-                    if not len(new):
-                        continue
-                    keep = max(config.least, int(np.ceil(config.share * len(new))))
-                    if len(new) > keep:
-                        footrule = np.abs(wide[new] - ranks[q].astype(np.int16)).sum(axis=1, dtype=np.int32)
-                        new = new[np.argpartition(footrule, keep - 1)[:keep]]
-                    score = (vx[new] * x[q]).sum(axis=1)
-                    best = np.lexsort((vid[new], -score))[:k]
-                    found.append((np.full(len(best), ids[q]), vid[new][best], score[best]))
-                if found:
-                    q, g, s = (np.concatenate(c) for c in zip(*found, strict=True))
+                for at in range(0, len(qid), config.slice):
+                    part = qx[at : at + config.slice]
+                    scores = part @ vx.T
+                    if posted is not None:
+                        before = _marked(lists[is_query][at : at + config.slice].tolist(), pivot)
+                        scores[before @ posted.T > 0] = -np.inf
+                    cut = np.partition(scores, -k, axis=1)[:, -k] if len(vid) > k else np.full(len(part), -np.inf)
+                    cut = cut - 1e-12 * len(vx[0]) * longest * np.sqrt((part * part).sum(axis=1))
+                    for i in range(len(part)):
+                        new = np.flatnonzero((scores[i] >= cut[i]) & (scores[i] > -np.inf))
+                        score = (vx[new] * part[i]).sum(axis=1)
+                        best = np.lexsort((vid[new], -score))[:k]
+                        found.append((np.full(len(best), qid[at + i]), vid[new][best], score[best]))
+                q, g, s = (np.concatenate(c) for c in zip(*found, strict=True))
+                if len(q):
                     yield pd.DataFrame({"qgid": q, "gid": g, "score": s})
 
     return run
 
 
+def _best(postings: DataFrame, k: int, config: IndexConfig) -> DataFrame:
+    """The k best groups of each query in the lists of postings, block against block."""
+    sizes = postings.groupBy("pivot").agg(F.count_if("is_query").alias("nq"), F.count_if(~F.col("is_query")).alias("nv"))
+    sizes = sizes.select("pivot", *[F.greatest(F.lit(1), F.ceil(F.col(c) / config.block)).cast("int").alias(c) for c in ("nq", "nv")])
+    placed = postings.join(F.broadcast(sizes), "pivot")  # as many rows as pivots
+    own = F.pmod(F.xxhash64("gid", F.lit(3)), F.when(F.col("is_query"), F.col("nq")).otherwise(F.col("nv"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("is_query"), F.col("nv")).otherwise(F.col("nq")) - 1))
+    placed = placed.withColumn("own", own).withColumn("other", other)
+    placed = placed.withColumn("qb", F.when(F.col("is_query"), F.col("own")).otherwise(F.col("other")))
+    placed = placed.withColumn("vb", F.when(F.col("is_query"), F.col("other")).otherwise(F.col("own"))).drop("own", "other", "nq", "nv")
+    together = placed.repartition("pivot", "qb", "vb").sortWithinPartitions("pivot", "qb", "vb")
+    found = together.mapInPandas(_searched(config, k), "qgid long, gid long, score double")
+    by_query = Window.partitionBy("qgid").orderBy(F.desc("score"), "gid")
+    return found.withColumn("n", F.row_number().over(by_query)).where(F.col("n") <= k).drop("n")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, config: IndexConfig = IndexConfig()) -> DataFrame:
     """The k rows of vectors with the largest inner product for each row of queries, its own vec_id left out.
 
@@ -126,7 +150,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, config: IndexCo
     inner product of the original vectors in double precision; equal scores go by smaller vec_id.
 
     Equal vectors are indexed once, with their k + 1 smallest ids, which are all that can be returned; so a vector that
-    a third of all rows share is one posting. The index is approximate: measure recall against brute force.
+    a third of all rows share is one posting. The index is approximate in the lists that a query reads, all of whose
+    vectors are ranked exactly: measure recall against brute force. A query whose lists hold too few meets every vector.
 
     Defined results: vectors that are null, zero, of another length than most, or hold a null or non-finite component
     take no part on either side; rows repeated with one vec_id count once; with fewer candidates than k, all are
@@ -148,21 +173,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, config: IndexCo
     asked_once = asked.groupBy("embedding").agg(F.min("vec_id").alias("gid"))
 
     both = unique.select("gid", "embedding", F.lit(False).alias("is_query")).unionByName(asked_once.select("gid", "embedding", F.lit(True).alias("is_query")))
-    ordered = both.mapInPandas(_orders(config, pivots, top), "gid long, is_query boolean, vector binary, ranks binary, pivot array<int>")
-    postings = stored(ordered.repartition("gid").withColumn("pivot", F.explode("pivot")))
-    sizes = postings.groupBy("pivot").agg(F.count_if("is_query").alias("nq"), F.count_if(~F.col("is_query")).alias("nv"))
-    sizes = sizes.select("pivot", *[F.greatest(F.lit(1), F.ceil(F.col(c) / config.block)).cast("int").alias(c) for c in ("nq", "nv")])
-    placed = postings.join(F.broadcast(sizes), "pivot")  # as many rows as pivots
-    own = F.pmod(F.xxhash64("gid", F.lit(3)), F.when(F.col("is_query"), F.col("nq")).otherwise(F.col("nv"))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.when(F.col("is_query"), F.col("nv")).otherwise(F.col("nq")) - 1))
-    placed = placed.withColumn("own", own).withColumn("other", other)
-    placed = placed.withColumn("qb", F.when(F.col("is_query"), F.col("own")).otherwise(F.col("other")))
-    placed = placed.withColumn("vb", F.when(F.col("is_query"), F.col("other")).otherwise(F.col("own"))).drop("own", "other", "nq", "nv")
-    together = placed.repartition("pivot", "qb", "vb").sortWithinPartitions("pivot", "qb", "vb")
-    found = together.mapInPandas(_searched(config, k + 1), "qgid long, gid long, score double")
-
-    by_query = Window.partitionBy("qgid").orderBy(F.desc("score"), "gid")
-    groups = found.withColumn("n", F.row_number().over(by_query)).where(F.col("n") <= k + 1).drop("n")
+    ordered = both.mapInPandas(_orders(config, pivots, top), "gid long, is_query boolean, vector binary, lists binary, pivot array<int>")
+    postings = stored(ordered.repartition("gid").select("gid", "is_query", "vector", "lists", F.posexplode("pivot").alias("pos", "pivot")))
+    groups = stored(_best(postings.drop("pos"), k + 1, config))
+    full = groups.groupBy("qgid").count().where(F.col("count") >= min(k + 1, unique.count()))
+    short = stored(asked_once.select("gid").join(full.select(F.col("qgid").alias("gid")).hint("merge"), "gid", "left_anti"))
+    if short.limit(1).count():  # their lists hold too few: they meet every vector
+        once = postings.where("pos = 0").withColumn("pivot", F.lit(-1)).drop("pos")
+        rest = once.where("is_query").join(short.hint("merge"), "gid", "left_semi").unionByName(once.where("not is_query"))
+        kept = groups.join(short.select(F.col("gid").alias("qgid")).hint("merge"), "qgid", "left_anti")
+        groups = kept.unionByName(_best(rest, k + 1, config))
     ids = groups.join(unique.select("gid", "ids").hint("merge"), "gid").select("qgid", "score", F.explode("ids").alias("vec_id"))
     best = ids.groupBy("qgid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k + 1).alias("best"))
     named = asked_once.select("embedding", F.col("gid").alias("qgid")).join(best.hint("merge"), "qgid").select("embedding", "best")
