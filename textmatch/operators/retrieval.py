@@ -106,18 +106,32 @@ def embedding_calls(candidates: DataFrame) -> DataFrame:
     return both.agg(F.countDistinct("s").alias("calls"))
 
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, most: int = 10_000) -> DataFrame:
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
     """Exact k best corpus rows (vec_id, vector) for each query row (query_id, vector) by inner product; ties by vec_id.
 
-    The queries are a stated set: they are counted, and broadcast to the corpus up to `most`; beyond, pass them in parts.
+    Both sides are dealt to hashed blocks of about `block` rows, and every block of one meets every block of the other.
+    A corpus block is one array, from which each query takes its k best at once, so that no row is made for a pair.
     """
-    n = queries.count()
-    if n > most:
-        raise ValueError(f"{n} queries; at most {most} at a time")
-    pairs = corpus.join(F.broadcast(queries.select("query_id", F.col("vector").alias("qv"))), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(dot(F.col("qv"), F.col("vector")), 6).alias("score"))
+
+    def blocks(df: DataFrame) -> int:
+        return max(1, -(-df.count() // block))
+
+    asked = queries.where(F.col("query_id").isNotNull()).select("query_id", F.col("vector").alias("qv"))
+    held = corpus.where(F.col("vec_id").isNotNull()).select("vec_id", "vector")
+    nq, nv = blocks(asked), blocks(held)
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    packed = held.groupBy(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(nv)).cast("int").alias("vb")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("vs"))
+    asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id", "qv"), F.lit(nq)).cast("int")).withColumn("vb", every(nv))
+    met = asked.join(packed.withColumn("qb", every(nq)).hint("merge"), ["qb", "vb"])
+    others = F.filter("vs", lambda v: v["vec_id"] != F.col("query_id"))
+    scored = F.transform(others, lambda v: F.struct(F.round(dot(F.col("qv"), v["vector"]), 6).alias("score"), F.bitwise_not(v["vec_id"]).alias("turned")))
+    best = met.select("query_id", F.explode(F.slice(F.sort_array(scored, asc=False), 1, k)).alias("b"))  # turned: smaller vec_ids first
+    pairs = best.select("query_id", F.bitwise_not("b.turned").alias("vec_id"), "b.score")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def embedder(embed: Callable[[list[str]], list[list[float]]]) -> Callable[[Column], Column]:
