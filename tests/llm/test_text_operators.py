@@ -82,6 +82,30 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+LONG = "A real paragraph, with commas, that says what the page is about, at some length."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article class='post has-sidebar'><p>{LONG}</p></article>", LONG),
+        (f"<div id='page' class='with-comments'><div class=entry><p>{LONG}</p></div></div>", LONG),
+        (f"<div class='content-ad-free'><p>{LONG}</p></div>", LONG),
+        (f"<div class='no-search'><main><p>{LONG}</p></main></div>", LONG),
+        (f"<article class='promo'><p>{LONG}</p></article>", LONG),
+        (f"<div class='sidebar layout'><article><p>{LONG}</p></article></div>", LONG),
+        (f"<div class='widget-text'><p>{LONG}</p></div>", LONG),
+        (f"<div class='modal'><p>{LONG}</p></div><div><p>Short.</p></div>", LONG),
+        (f"<body><article><p>{LONG}</p></article><article><p>Part two, the same story.</p></article></body>", f"{LONG}\nPart two, the same story."),
+        (f"<main><article><p>{LONG}</p></article><section id='comments'><article class='comment'><p>{LONG} {LONG}</p></article></section></main>", LONG),
+        (f"<article><p>{LONG}</p></article><div class='cookie-banner'><p>{LONG}</p></div>", LONG),
+        ("<div class=ad>buy</div>", ""),
+    ],
+)
+def test_names_do_not_cost_the_article(page, want):
+    assert html.main_text(page) == want
+
+
 def test_extracted_keeps_rows_and_columns(spark):
     rows = [(1, "u", "<article><p>hi</p></article>", "c"), (1, "u", "<article><p>hi</p></article>", "c"), (2, None, None, None), (3, "v", "<p>" + "long text, and more. " * 20_000, "d")]
     got = html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()

@@ -28,6 +28,10 @@ AROUND = frozenset(
     " discussion disqus sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer header masthead toolbar pagination pager login search"
     " complementary contentinfo".split()
 )
+# Those of them that mark readers' answers, which may be longer than the article and be article elements themselves.
+COMMENTS = frozenset("comment comments commentlist reply replies respond discussion disqus".split())
+# Words that make a name tell of the layout around an element, as in has-sidebar, with-comments, no-search or ad-free.
+LAYOUT = frozenset("has have with without no not non free less hide hides hidden show shows".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A start tag of CLOSES ends an open one of the same kind, but not beyond these.
 SCOPE = frozenset("ul ol dl table select".split())
@@ -38,28 +42,58 @@ WORD = re.compile(r"[a-z0-9]+")
 BONUS = {"article": 25.0, "main": 20.0, "section": 5.0, "div": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0}
 
 
-def _around(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element, with all below it, stands around the article. inside: in an article or main element."""
+#: Readings of names, strictest last: any word of a name, whole names (and any word for comments), none.
+ANY, WHOLE, NONE = 0, 1, 2
+
+
+def _hits(attrs: str, reading: int) -> set[str]:
+    found: set[str] = set()
+    if reading == NONE:
+        return found
+    for m in NAMES.finditer(attrs):
+        for name in m[2].lower().strip("\"'").split():
+            words = set(WORD.findall(name))
+            if not words & LAYOUT:
+                found |= words & (AROUND if reading == ANY or len(words) == 1 else COMMENTS)
+    return found
+
+
+def _around(tag: str, attrs: str, inside: bool, reading: int = ANY) -> tuple[bool, bool]:
+    """Whether an element, with all below it, stands around the article for certain, and whether its names say so.
+
+    inside: in an article or main element. Of articles only those named as comments are said to.
+    """
     if tag in SKIPPED or tag == "header" and not inside:
-        return True
+        return True, False
     if not attrs or tag in ("html", "body", "main"):
-        return False
+        return False, False
     if HIDDEN.search(attrs):
-        return True
-    words = set()
-    for m in NAMES.finditer(attrs):
-        words.update(WORD.findall(m[2].lower()))
-    found = words & AROUND
-    return bool(found) and not (found == {"header"} and inside)
+        return True, False
+    found = _hits(attrs, reading)
+    if tag == "article":
+        return False, bool(found & COMMENTS)
+    return False, bool(found) and not (found == {"header"} and inside)
 
 
 class _Tree:
-    """Elements as parallel lists, and text blocks (element, words, characters inside links)."""
+    """Elements as parallel lists, and text blocks (element, words, characters inside links).
+
+    Blocks under an element whose names say that it stands around are left out, unless an article or main is in it.
+    """
 
-    def __init__(self, page: str):
-        self.tag, self.parent, self.inside = ["#"], [-1], [False]
+    def __init__(self, page: str, reading: int = ANY):
+        self.tag, self.parent, self.inside, self.named = ["#"], [-1], [False], [False]
+        self.reading = reading
         self.blocks: list[tuple[int, str, int]] = []
         self._build(page)
+        holds, gone = [False] * len(self.tag), [False] * len(self.tag)
+        for e in range(len(self.tag) - 1, 0, -1):
+            if holds[e] or self.tag[e] in ("article", "main") and not self.named[e]:
+                holds[self.parent[e]] = True
+        for e in range(1, len(self.tag)):
+            gone[e] = gone[self.parent[e]] or self.named[e] and not holds[e]
+        self.kept, self.left_out = (sum(len(text) - links for at, text, links in self.blocks if gone[at] == g) for g in (False, True))
+        self.blocks = [b for b in self.blocks if not gone[b[0]]]
 
     def _build(self, page: str) -> None:
         stack, skip, links = [0], 0, 0
@@ -110,7 +144,9 @@ class _Tree:
                 self.parent.append(stack[-1])
                 self.inside.append(inside)
                 stack.append(len(self.tag) - 1)
-                if skip or _around(tag, m[3], self.inside[stack[-2]]):
+                certain, named = (True, False) if skip else _around(tag, m[3], self.inside[stack[-2]], self.reading)
+                self.named.append(named and block)
+                if certain or named and not block:
                     skip += 1
                 elif tag == "a":
                     links += 1
@@ -157,12 +193,18 @@ def main_text(page: str | None, least: int = 25) -> str:
     Each block of at least `least` characters (shorter ones count for a tenth) gives its element's container one point,
     one more for each comma and up to three for length; the next ancestor gets half, further ones a third over their
     distance. Points are discounted by the share of a container's text that is in links. The best container is kept, up
-    to the article or main element around it, with those siblings that score a fifth of it, are headings, or are long
-    blocks with few links. Elements that stand around an article (by tag, class, id or role) never count.
+    to the article or main element around it, with those siblings that score a fifth of it, are headings, are long
+    blocks with few links, or are articles like it. Elements that stand around an article (by tag, class, id or role)
+    never count; names don't count against what an article or main is in, and are read more strictly where what they
+    leave is less than a quarter of what they leave out, and not at all where that is hardly a sentence.
     """
     if not page:
         return ""
     tree = _Tree(page)
+    if tree.left_out >= 80 and tree.kept * 4 < tree.left_out:
+        tree = _Tree(page, WHOLE)
+        if tree.left_out >= 80 and tree.kept < 80 and tree.kept * 4 < tree.left_out:
+            tree = _Tree(page, NONE)
     if not tree.blocks:
         return ""
     tag, parent = tree.tag, tree.parent
@@ -192,13 +234,13 @@ def main_text(page: str | None, least: int = 25) -> str:
     if e > 0:
         best = e
     keep = {best}
-    if tag[best] not in ("article", "main"):
+    if tag[best] != "main":
         most = score(best)
         for e in range(1, len(tag)):
             if parent[e] == parent[best] and chars[e] and e != best:
                 density = linked[e] / chars[e]
                 heading = len(tag[e]) == 2 and tag[e][0] == "h" and tag[e][1].isdigit()
-                if score(e) >= max(10.0, 0.2 * most) or density < 0.25 and (heading or tag[e] == "p" and chars[e] >= 80):
+                if score(e) >= max(10.0, 0.2 * most) or density < 0.25 and (heading or tag[e] == "p" and chars[e] >= 80 or tag[e] == tag[best] == "article"):
                     keep.add(e)
     under = [False] * len(tag)
     for e in range(len(tag)):
