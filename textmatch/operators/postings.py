@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmatch.schemas import STATUSES
+from textmatch.sources.storage import stored
 
 
 def filter_status(postings: DataFrame, status: str | None = None) -> DataFrame:
@@ -38,10 +39,21 @@ def action_queue(postings: DataFrame, n: int = 10) -> DataFrame:
 
 
 def work_list(postings: DataFrame) -> DataFrame:
-    """Postings in progress first, then finished ones, each newest first; order is the column place (from 1 per status)."""
-    order = Window.partitionBy("status").orderBy(F.desc("created_at"), F.desc("posting_id"))
+    """Postings in progress first, then finished ones, each newest first; order is the column place (from 1 per status).
+
+    Ranges of the order are stored and numbered each by itself, after the counts of earlier ranges; no task sorts a status.
+    """
     rows = postings.where(F.col("status").isin("Tailoring", "Tailored"))
-    return rows.withColumn("group", F.when(F.col("status") == "Tailoring", 0).otherwise(1)).withColumn("place", F.row_number().over(order))
+    keys = [F.desc("created_at"), F.desc("posting_id")]
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = stored(rows.repartitionByRange(parts, "status", *keys).withColumn("__part", F.spark_partition_id()))
+    earlier = Window.partitionBy("status").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = table.groupBy("status", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("status", "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("status", "__part").orderBy(*keys)
+    place = (F.col("__before") + F.row_number().over(inside)).cast("int")
+    numbered = table.join(F.broadcast(before), ["status", "__part"]).withColumn("place", place)  # at most two rows a range
+    return numbered.select(*rows.columns, F.when(F.col("status") == "Tailoring", 0).otherwise(1).alias("group"), "place")
 
 
 def set_status(postings: DataFrame, updates: DataFrame) -> DataFrame:

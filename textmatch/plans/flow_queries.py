@@ -35,12 +35,20 @@ RAW_SQL = f"""raw AS (
     FROM (SELECT *, o_orderkey AS k FROM orders) JOIN customer ON o_custkey = c_custkey)"""
 
 
+#: Listings of a result page at most; the number of pages grows with the table.
+PAGE_SIZE = 500
+
+
+def _pages(raw: DataFrame) -> DataFrame:
+    page = F.floor(F.col("o_orderkey") / PAGE_SIZE).alias("p")
+    return raw.groupBy(page).agg(F.collect_list(F.struct(*[f.name for f in RAW_POSTING])).alias("data"))
+
+
 @query(f"WITH {RAW_SQL} SELECT CAST(count(*) AS BIGINT) AS listings, count(DISTINCT title) AS titles, count(DISTINCT company) AS companies FROM raw")
 def a1_read_raw_postings(spark: SparkSession, d: str) -> DataFrame:
     """Listings written as result pages with one that is cut off, and read back."""
     path = new_path(spark, "landing")
-    listing = F.struct(*[f.name for f in RAW_POSTING])
-    pages = _raw(spark, d).groupBy((F.col("o_orderkey") % 40).alias("p")).agg(F.to_json(F.struct(F.lit("OK").alias("status"), F.collect_list(listing).alias("data"))).alias("value"))
+    pages = _pages(_raw(spark, d)).select("p", F.to_json(F.struct(F.lit("OK").alias("status"), "data")).alias("value"))
     broken = pages.where("p < 2").select(F.substring("value", 1, 50).alias("value"))
     pages.select("value").unionByName(broken).write.text(path)
     raw = L.read_raw_postings(spark, path, multi_line=False)
@@ -97,7 +105,7 @@ STATUS_SQL = "e AS (SELECT user_id AS posting_id, event_id, ts, CASE event_type
 @query(f"WITH {RAW_SQL} SELECT company, count(*) AS n FROM raw GROUP BY company")
 def w1_stream_postings(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "landing")
-    pages = _raw(spark, d).groupBy((F.col("o_orderkey") % 8).alias("p")).agg(F.collect_list(F.struct(*[f.name for f in RAW_POSTING])).alias("data"))
+    pages = _pages(_raw(spark, d))
     pages.select(F.lit("OK").alias("status"), "data").write.json(path)
     raw = spark.readStream.schema(RESULT_PAGE).json(path)
     stream = L.normalise_postings(raw.select(F.explode("data").alias("r")).select("r.*"))
