@@ -71,7 +71,7 @@ def y2_yoe_claims(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, CAST(3 + doc_id % 9 AS INTEGER) AS span FROM documents WHERE text IS NOT NULL")
 def y3_experience_span(spark: SparkSession, d: str) -> DataFrame:
-    return _profiles(spark, d).select("doc_id", X.experience_span(F.substring("text", 1, 110)).alias("span"))
+    return _profiles(spark, d).select("doc_id", X.experience_span(F.col("text")).alias("span"))
 
 
 @query()
@@ -100,7 +100,7 @@ def y5_degree_level(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
-    experience = _profiles(spark, d).select("doc_id", F.lit("experience").alias("section"), F.substring("text", 1, 110).alias("text"))
+    experience = _profiles(spark, d).select("doc_id", F.lit("experience").alias("section"), "text")
     education = experience.select("doc_id", F.lit("education").alias("section"), _degree_text("doc_id").alias("text"))
     return Y.candidate_facts(experience.unionByName(education))
 
@@ -112,11 +112,18 @@ def y6_candidate_facts(spark: SparkSession, d: str) -> DataFrame:
 
 def _requirements(spark: SparkSession, d: str) -> DataFrame:
     posts = Q.spliced(spark, d)
-    return Y.posting_requirements(posts.select("posting_id", F.concat(F.substring("description", 1, 40), F.lit(" "), _degree_text("posting_id")).alias("required_text")))
+    return Y.posting_requirements(posts.select("posting_id", F.concat("description", F.lit(" "), _degree_text("posting_id")).alias("required_text")))
 
 
 @query("SELECT doc_id AS posting_id, CAST(doc_id % 9 + 1 AS INTEGER) AS min_years, CAST(CASE doc_id % 5 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 0 ELSE 3 END AS INTEGER) AS min_degree, doc_id % 5 <> 3 AS strict_degree, 'not_specified' AS location FROM documents WHERE text IS NOT NULL")
 def y7_posting_requirements(spark: SparkSession, d: str) -> DataFrame:
+    """Of the sentence that the query puts in front only, as its SQL; y7b reads whole texts."""
+    posts = Q.spliced(spark, d)
+    return Y.posting_requirements(posts.select("posting_id", F.concat(F.substring("description", 1, 40), F.lit(" "), _degree_text("posting_id")).alias("required_text")))
+
+
+@query()
+def y7b_posting_requirements_whole(spark: SparkSession, d: str) -> DataFrame:
     return _requirements(spark, d)
 
 
