@@ -1,6 +1,7 @@
 """What stands far into a text counts."""
 
 from textmatch import plans
+from textmatch.operators import terms as T
 
 
 def test_facts_and_requirements_are_read_from_whole_texts(spark, tmp_path):
@@ -11,3 +12,10 @@ def test_facts_and_requirements_are_read_from_whole_texts(spark, tmp_path):
     assert {k: r["span"] for k, r in run["y3_experience_span"].items()} == {8: 2024 - 2001, 9: 2015 + 0 - 2012}
     assert {k: r["years"] for k, r in run["y6_candidate_facts"].items()} == {8: 2024 - 2001, 9: 2015 + 0 - 2012}
     assert {k: r["min_years"] for k, r in run["y7b_posting_requirements_whole"].items()} == {8: 2, 9: 1}
+
+
+def test_variants_of_any_length_are_found(spark):
+    long = "one two three four five six seven eight"
+    variants = spark.createDataFrame([("a", long), ("b", "six seven")], "term string, variant string")
+    blocks = spark.createDataFrame([(1, 0, f"zero {long} nine", "skills", 2020)], "doc_id long, pos int, text string, section string, recency_year int")
+    assert sorted((r["term"], r["matched_variant"]) for r in T.find_terms(variants, blocks).collect()) == [("a", long), ("b", "six seven")]

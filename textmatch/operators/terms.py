@@ -157,16 +157,16 @@ def term_variants(terms: DataFrame, abbreviations: DataFrame) -> DataFrame:
     return made.unionByName(named).distinct()
 
 
-def find_terms(variants: DataFrame, blocks: DataFrame, longest: int = 6) -> DataFrame:
+def find_terms(variants: DataFrame, blocks: DataFrame) -> DataFrame:
     """Where each term occurs: doc_id, term, matched_variant, sections_found, last_year.
 
-    Texts become runs of one to `longest` words, of those lengths that occur among the variants, and are joined to the
+    Texts become runs of words, of those lengths that occur among the variants, and are joined to the
     variants by equality: no term is tried on a text that lacks it. Hyphens and other marks part words on both sides, so
     spellings that differ in them meet. blocks: doc_id, pos, text, section, recency_year. The first match is the
     earliest block's, then the first in alphabetical order.
     """
     keyed = variants.withColumn("__g", F.array_join(tokens(F.col("variant")), " ")).where("__g <> ''").withColumn("__len", F.size(F.split("__g", " ")))
-    lengths = sorted(r[0] for r in keyed.select("__len").where(F.col("__len") <= longest).distinct().collect())  # at most `longest` rows
+    lengths = sorted(r[0] for r in keyed.select("__len").distinct().collect())  # a row a length
     words = blocks.withColumn("__t", tokens(F.col("text")))
     grams = F.array_distinct(F.flatten(F.array(*[ngrams(F.col("__t"), i) for i in lengths or [1]])))
     hits = words.select("doc_id", "pos", "section", "recency_year", F.explode(grams).alias("__g")).join(keyed.select("__g", "term", "variant"), "__g")
