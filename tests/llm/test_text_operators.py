@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -153,7 +154,7 @@ def test_jaccard_finds_all_links(spark):
         rows.append((len(rows), t))
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, links int")
     want = python_classes(rows)
-    for config in (jaccard.JaccardConfig(), jaccard.JaccardConfig(block=16, verify_block=8)):
+    for config in (jaccard.JaccardConfig(), jaccard.JaccardConfig(block=16), jaccard.JaccardConfig(block_chars=3000)):
         got = {r["doc_id"]: (r["class_id"], r["links"], r["copies"]) for r in jaccard.similar(docs, config).collect()}
         assert got == want
     kept = jaccard.one_of_each(docs)
@@ -261,7 +262,33 @@ def test_languages_by_text_and_by_site(spark, sf):
 def test_page_evidence_is_read(spark):
     rows = [("https://u@WWW.Example.co.uk:80/x?y#z", '<!DOCTYPE html><html class="a" LANG="en-GB"><head>'), ("nonsense", "<p>"), (None, None)]
     table = spark.createDataFrame(rows, "url string, html string")
-    from pyspark.sql import functions as F
-
     got = table.select(*[v.alias(c) for c, v in language.site_columns(F.col("url")).items()], language.declared_language(F.col("html")).alias("l")).collect()
     assert tuple(got[0]) == ("www.example.co.uk", "co.uk", "uk", "en") and tuple(got[1])[0] is None and tuple(got[2]) == (None, None, None, None)
+
+
+def test_jaccard_of_rows_without_or_with_one_id(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, words), (None, "other text of seven words in all"), (4, words + " end"), (4, "one id with a second, different text"), (9, words.upper()), (9, words.upper()), (None, None), (7, "")]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, keep string")
+    got = sorted(((r["doc_id"], r["class_id"], r["links"], r["copies"]) for r in jaccard.similar(docs).collect()), key=str)
+    want = [(None, 4, 1, 2), (None, None, 0, 1), (4, 4, 1, 1), (4, 4, 0, 1), (9, 4, 1, 2), (9, 4, 1, 2), (None, 7, 0, 2), (7, 7, 0, 2)]
+    assert got == sorted(want, key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs).collect()), key=str)
+    assert kept == sorted([(4, words + " end"), (4, "one id with a second, different text"), (None, "other text of seven words in all"), (7, "")], key=str)
+
+
+def test_only_pairs_that_pruning_leaves_are_verified():
+    """A long chain of texts of which neighbours have a similarity near 0.6: pairs compared grow with the chain, not its square."""
+    rng = random.Random(6)
+    words = [f"v{rng.randrange(10**6)}" for _ in range(200 + 45 * 120)]
+    texts = [" ".join(words[45 * i : 45 * i + 200]) for i in range(120)]
+    config = jaccard.JaccardConfig()
+    frame = pd.DataFrame({"key": [str(i).encode() for i in range(120)], "text": texts, "band": 0, "bucket": 0, "i": 0, "j": 0, "home": 0})
+    a = np.random.default_rng(1).integers(0, 2**62, config.hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    sigs = [jaccard._signature(jaccard.shingles(jaccard.normalised(t), 5), a, a[::-1]) for t in texts]
+    for s in sigs:
+        s[:3] = 7  # all meet in the first band
+    frame["sig"] = [s.tobytes() for s in sigs]
+    left, right = jaccard._pairs(config, frame)
+    assert (right - left <= 2).all() and len(left) <= 130
+    assert not list(jaccard._verified(config)(iter([frame])))
