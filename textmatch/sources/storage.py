@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir, or one of our own where that is unset and Spark runs on this machine only."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -23,8 +25,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends and sizes are known."""
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends and sizes are known.
+
+    by: a column of few values, each of which gets a folder of its own, so that reading one leaves the others alone.
+    """
     path = new_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Write df as a table in the shared folder that is bucketed and sorted by some columns, and read it back.
+
+    There are as many buckets as shuffle partitions, so joins of such tables on these columns need no shuffle.
+    """
+    spark = df.sparkSession
+    name, buckets = f"bucketed_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, *by).sortBy(*by).option("path", new_path(spark, "bucketed")).saveAsTable(name)
+    return spark.table(name)
