@@ -24,13 +24,14 @@ def test_lines_found_in_ten_documents_go(spark):
     pool = ["Shared LINE", " shared line\t", "Été", "été", "", "  ", "rare", "x"] + [f"own {i}" for i in range(50)]
     texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(80)]
     rows = [(i, t, "k") for i, t in enumerate(texts)] + [(80, None, "k"), (81, "", None), (3, texts[3], "k"), (82, "x\n" * 5000, "k")]
-    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, pos string"), batches=3, fanout=2).collect()
+    rows += [(i % 9, f"in nine\nunder nine ids {i}", "r") for i in range(12)] + [(None, "in nine\nwithout id", None)] * 3 + [(100 + i % 9, f"nine ids only\n{i}", "r") for i in range(12)]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, pos string"), batches=3, fanout=3).collect()
     found = {}
     for d, t, _ in rows:
         for line in (t or "").split("\n"):
-            found.setdefault(ascii_lower(line.strip(SPACE)), set()).add((d, t))
+            found.setdefault(ascii_lower(line.strip(SPACE)), set()).add(d)
     gone = {k for k, docs in found.items() if len(docs) >= 10 and len(k) >= 1}
-    assert gone and len(got) == len(rows)
+    assert gone and len(got) == len(rows) and "in nine" in gone and "nine ids only" not in gone
     for r in got:
         ls = (r["text"] or "").split("\n")
         kept = [x for x in ls if ascii_lower(x.strip(SPACE)) not in gone]
@@ -44,9 +45,14 @@ def test_runs_compact_and_settle(spark):
     for b in range(5):
         batch = {k: (k + b) % 4 for k in range(20)}
         total.update(batch)
-        runs.add(spark.createDataFrame([(k, 0, n) for k, n in batch.items() if n], "h1 long, h2 int, n long"))
-        assert all(len(level) < 2 for level in runs.levels)
-    assert {r["h1"] for r in runs.frequent().collect()} == {k for k, n in total.items() if n >= 5}
+        new = spark.createDataFrame([(k, 0, n) for k, n in batch.items() if n], "h1 long, h2 int, n long")
+        runs.add(new)
+        assert all(len(level) < 2 for level in runs.levels) and len(runs.settled) < 2
+        assert {r["h1"] for r in runs.frequent().collect()} == {k for k, n in total.items() if n >= 5}
+    kept = runs._run(new)
+    for frame in (runs.counted(kept), runs.merged(kept, runs.settled[0])):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan  # runs are merged where they lie
 
 
 def test_bpe_of_chunks_is_that_of_the_whole(spark):

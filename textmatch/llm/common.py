@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmatch.sources.storage import stored
+from textmatch.sources.storage import bucketed, stored
 
-__all__ = ["components", "lookup_join", "range_indexed", "stored", "words_count"]
+__all__ = ["bucketed", "components", "fits_broadcast", "lookup_join", "range_indexed", "stored", "words_count"]
 
 #: A lookup side up to so many rows and bytes of text is broadcast; above either, it is joined by shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 32 << 20

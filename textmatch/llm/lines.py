@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmatch.llm.common import lookup_join, stored
+from textmatch.llm.common import bucketed, lookup_join, stored
 
 #: ASCII white space, as stripped from both ends of a line.
 SPACE = " \t\n\x0b\x0c\r"
@@ -15,55 +15,76 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 class LineRuns:
-    """A log-structured index of (line key, number of documents), kept as sorted Parquet runs in levels.
-
-    add() takes one batch of (h1, h2, n): it is anti-joined against the keys already settled, sorted by key and put on
-    level 0. Once a level holds fanout runs, they are merged into one run of the next level, counts of equal keys
-    adding up; keys that reach min_docs move to the settled run and need no counting in later batches. Every run is a
-    stored table, so batches can come from separate jobs or a stream's foreachBatch, and a lost executor costs only
-    the step in hand.
+    """A log-structured index of (line key, number of documents), kept as sorted runs in levels.
+
+    A run is a table bucketed and sorted by key (h1, h2), so merging runs, or a batch with runs, is a merge join of
+    buckets that needs no shuffle; only a new batch is shuffled, once, when it becomes a run. add() takes the next batch of
+    (h1, h2, n), whose documents are in no other batch. It is merge-anti-joined with the settled runs, as their keys need
+    no counting; what is left is merged with every run of the levels for the documents seen before. Keys that reach
+    min_docs become a settled run, the others the batch's own run on level 0. A level that holds fanout runs is merged
+    into one run of the next, counts of equal keys adding up; so are settled runs. So at any time the settled keys are
+    those found in min_docs documents. Runs are tables in the shared folder: batches can come from separate jobs or a
+    stream's foreachBatch, and a lost executor costs only the step in hand.
     """
 
-    def __init__(self, min_docs: int, fanout: int = 3):
+    KEY = ("h1", "h2")
+
+    def __init__(self, min_docs: int, fanout: int = 2):
         self.min_docs, self.fanout = min_docs, fanout
         self.levels: list[list[DataFrame]] = []
         self.settled: list[DataFrame] = []
 
     def add(self, batch: DataFrame) -> None:
+        batch = self._run(batch.select(*self.KEY, F.col("n").cast("long").alias("n")))
+        told = self._run(self.counted(batch))
+        self.settled.append(told.where(F.col("total") >= self.min_docs).select(*self.KEY, "n"))
+        if len(self.settled) >= self.fanout:
+            self.settled = [self._compacted(self.settled)]
+        self._put(0, told.where(F.col("total") < self.min_docs).select(*self.KEY, "n"))
+
+    def counted(self, batch: DataFrame) -> DataFrame:
+        """Keys of a batch that aren't settled, with n and the total over the batch and all runs."""
         for run in self.settled:
-            batch = batch.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
-        self._put(0, self._run(batch))
+            batch = batch.join(run.hint("merge"), list(self.KEY), "left_anti")
+        total = F.col("n")
+        for i, run in enumerate(run for level in self.levels for run in level):
+            batch = batch.join(run.withColumnRenamed("n", f"n{i}").hint("merge"), list(self.KEY), "left")
+            total = total + F.coalesce(f"n{i}", F.lit(0))
+        return batch.select(*self.KEY, "n", total.alias("total"))
+
+    def merged(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """All keys of two runs, counts of equal keys added up."""
+        both = a.withColumnRenamed("n", "n0").join(b.withColumnRenamed("n", "n1").hint("merge"), list(self.KEY), "full")
+        return both.select(*self.KEY, (F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))).alias("n"))
+
+    def _compacted(self, runs: list[DataFrame]) -> DataFrame:
+        out = runs[0]
+        for run in runs[1:]:
+            out = self._run(self.merged(out, run))
+        return out
 
     def frequent(self) -> DataFrame:
-        """All keys found in min_docs documents or more, after a last merge of all levels."""
-        rest = [run for level in self.levels for run in level]
-        self.levels = []
-        if rest:
-            self._merge(rest, 0, last=True)
-        out = self.settled[0]
+        """All keys found in min_docs documents or more so far."""
+        out = self.settled[0].select(*self.KEY)
         for run in self.settled[1:]:
-            out = out.unionByName(run)
-        return stored(out.select("h1", "h2"))
+            out = out.unionByName(run.select(*self.KEY))
+        return stored(out)
 
     def _run(self, rows: DataFrame) -> DataFrame:
-        return stored(rows.sortWithinPartitions("h1", "h2"))
+        return bucketed(rows, self.KEY)
 
     def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            runs, self.levels[level] = self.levels[level], []
-            self._merge(runs, level)
-
-    def _merge(self, runs: list[DataFrame], level: int, last: bool = False) -> None:
-        rows = runs[0]
-        for run in runs[1:]:
-            rows = rows.unionByName(run)
-        merged = self._run(rows.groupBy("h1", "h2").agg(F.sum("n").alias("n")))
-        self.settled.append(self._run(merged.where(F.col("n") >= self.min_docs)))
-        if not last:
-            self._put(level + 1, self._run(merged.where(F.col("n") < self.min_docs)))
+            open_keys = []
+            for old in self.levels[level]:
+                for done in self.settled:
+                    old = old.join(done.hint("merge"), list(self.KEY), "left_anti")
+                open_keys.append(old)
+            self.levels[level] = []
+            self._put(level + 1, self._compacted(open_keys))
 
 
 def line_key(line: Column) -> Column:
@@ -71,34 +92,35 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2) -> DataFrame:
     """Drop the lines whose key is found in min_docs documents or more, in every document.
 
     docs: doc_id, text and any other columns; all are kept. Added: __kept (the remaining lines joined by newline),
     __n_lines, __n_dropped. Keys shorter than min_chars are never dropped.
 
-    Documents come in batches by a hash of doc_id; each batch's line hashes (96 bits a key) go through LineRuns.
-    The final keys are joined to line hashes, and only positions of dropped lines travel to the texts, so a line that
+    Documents come in batches by ascending doc_id; each batch's line hashes (96 bits a key) go through LineRuns.
+    The settled keys are joined to line hashes, and only positions of dropped lines travel to the texts, so a line that
     a third of all documents share is moved as numbers and counted before the shuffle.
 
-    Defined results: null or empty text is one empty line, which is kept; rows repeated with equal doc_id and text
-    count as one document and are all cleaned; equal lines inside a document count once; an empty table gives an
-    empty table. Working columns start with two underscores, so other columns can have any name.
+    Defined results: null or empty text is one empty line, which is kept; a document is a doc_id, so rows repeated with
+    one doc_id count once, and all rows without doc_id count as one document; equal lines inside a document count once;
+    an empty table gives an empty table. Working columns start with two underscores, so other columns can have any name.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumn("__hash", F.xxhash64(text))
     key = line_key(F.col("line"))
+    cuts = docs.agg(F.percentile_approx("doc_id", [b / batches for b in range(1, batches)])).first()[0] if batches > 1 else None
+    batch = sum(((F.col("doc_id") > c).cast("int") for c in cuts or []), F.lit(0))
     lines = rows.select("doc_id", "__hash", F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("key", key)
     lines = lines.where(F.length("key") >= min_chars).select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"),
-        "doc_id", "__hash", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"),
+        F.coalesce(batch, F.lit(0)).alias("batch"), "doc_id", "__hash", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"),
     )
-    lines = stored(lines)
+    lines = stored(lines, "batch")
 
     runs = LineRuns(min_docs, fanout)
     for b in range(batches):
-        once = lines.where(F.col("batch") == b).select("h1", "h2", "doc_id", "__hash").distinct()
-        runs.add(stored(once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))))  # else the anti-join would move ahead of the sum, and a common line's rows with it
+        once = lines.where(F.col("batch") == b).select("h1", "h2", "doc_id").distinct()
+        runs.add(once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")))
     frequent = runs.frequent()
 
     gone = lookup_join(lines, frequent, ["h1", "h2"], salt="doc_id")
