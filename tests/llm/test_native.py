@@ -1,11 +1,14 @@
 """Mixing, sharding and fingerprints against plain Python versions, and their odd cases."""
 
+import base64
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import pytest
+import xxhash
 
 from textmatch.llm import fingerprints, mixing, sharding
 from textmatch.llm.common import components, lookup_join, stored
@@ -50,7 +53,7 @@ def test_mix_takes_what_a_sort_would(spark):
     assert again == sorted((str(r["doc_id"]), r["__copies"]) for r in got)
     by_source = {}
     for r in got:
-        assert r["__size"] == words(r["text"]) and 0 <= r["__copies"] <= 2 and (r["__size"] or not r["__copies"] or True)
+        assert r["__size"] == words(r["text"]) and 0 <= r["__copies"] <= 2 and (r["__size"] or r["__target"] >= r["__source_size"] or not r["__copies"])
         by_source.setdefault(r["source"], []).append(r)
     for group in by_source.values():
         target, taken = group[0]["__target"], sum(r["__copies"] * r["__size"] for r in group)
@@ -89,42 +92,92 @@ def cut(text):
     return set(re.split(r"\n|(?<=[^.!?\n]{30}[.!?]) ", text or ""))
 
 
-def test_likeness_equals_that_of_the_sets(spark):
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def xx(data, seed=42):
+    return signed(xxhash.xxh64(data, seed=seed).intdigest())
+
+
+def python_sketch(items, level=0):
+    """Cells of a set of paragraph digests, written without Spark: [count, xor of digests, xor of checks]."""
+    cells = [[0, 0, 0] for _ in range(24)]
+    for x in items:
+        data = struct.pack("<q", x)
+        mixed = xx(struct.pack("<q", level), seed=xx(data) % (1 << 64))
+        check = xx(struct.pack("<q", -1), seed=xx(data) % (1 << 64))
+        for j in range(3):
+            cell = cells[(mixed >> 3 * j & 7) + 8 * j]
+            cell[0], cell[1], cell[2] = cell[0] + 1, cell[1] ^ x, cell[2] ^ check
+    return cells
+
+
+def python_print(text):
+    items = {xx(p.encode()) for p in cut(text)}
+    cells = b"".join(struct.pack(">iqq", *c) for c in python_sketch(items))
+    return f"{len(items)}:{base64.b64encode(cells).decode()}"
+
+
+def test_fingerprints_and_likeness_equal_plain_python(spark):
     rng = random.Random(5)
-    sentences = [f"Sentence {i} of the pool." for i in range(400)]
+    sentences = [f"Sentence {i} of the pool, which is long enough." for i in range(400)] + ["Short one."]
     rows = [(3 * i, "\n".join(" ".join(rng.sample(sentences, rng.randint(1, 6))) for _ in range(rng.randint(1, 9)))) for i in range(40)]
-    rows += [(7, None), (8, ""), (1000, " ".join(sentences * 3)), (1001, "one"), (12, rows[4][1])]
+    rows += [(7, None), (8, ""), (1000, " ".join(sentences * 3)), (1001, "one"), (12, rows[4][1]), (13, rows[4][1]), (1002, "a\n" * 3000 + "b")]
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, near_next string")
-    got = {(r["doc_id"], r["n_chars"]): r for r in fingerprints.edited_likeness(docs).collect()}
+    out = fingerprints.edited_likeness(docs).collect()
+    got = {(r["doc_id"], r["n_chars"]): r for r in out}
     ids = sorted({d for d, _ in rows})
     first = {d: t or "" for d, t in rows}
-    assert fingerprints.edited_likeness(docs).count() == len(rows)
+    assert len(out) == len(rows)
     for d, t in rows:
         t = t or ""
         r, after = got[(d, len(t))], first[ids[(ids.index(d) + 1) % len(ids)]]
         k = len(t) // 4
         edited = t[: len(t) - k] + after[:k]
+        assert r["fingerprint"] == python_print(t)
         if d != 9:  # its next document has two texts
             assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+            assert r["edited_fingerprint"] == python_print(edited)
             assert r["near_edited"] == pytest.approx(len(cut(t) & cut(edited)) / len(cut(t) | cut(edited)))
             assert r["near_next"] == pytest.approx(len(cut(t) & cut(after)) / len(cut(t) | cut(after)))
-    assert got[(12, len(rows[4][1]))]["fingerprint"] == got[(12, len(rows[4][1]))]["fingerprint"]
+    assert got[(12, len(rows[4][1]))]["fingerprint"] == got[(13, len(rows[4][1]))]["fingerprint"] != got[(3, len(rows[1][1]))]["fingerprint"]
     assert fingerprints.edited_likeness(docs.limit(0)).count() == 0
-
-
-def test_peeling_recovers_every_digest(spark):
+    unnamed = spark.createDataFrame([(None, f"text {i % 3} without id") for i in range(9)] + [(1, "named")], "doc_id long, text string")
+    assert fingerprints.edited_likeness(unnamed).count() == 10
+
+
+def test_printed_fingerprints_peel(spark):
+    """What two printed fingerprints tell on their own: few differing paragraphs, by subtracting and peeling their cells."""
+    a = "\n".join(f"paragraph {i}" for i in range(300))
+    b = a.replace("paragraph 7\n", "changed\n").replace("paragraph 250\n", "")
+    cells = [[list(c) for c in struct.iter_unpack(">iqq", base64.b64decode(python_print(t).split(":")[1]))] for t in (a, b)]
+    left = [[x[0] - y[0], x[1] ^ y[1], x[2] ^ y[2]] for x, y in zip(*cells, strict=True)]
+    found = {"a": set(), "b": set()}
+    while pure := next((c for c in left if abs(c[0]) == 1 and c[2] == xx(struct.pack("<q", -1), seed=xx(struct.pack("<q", c[1])) % (1 << 64))), None):
+        n, x, _ = pure
+        found["a" if n > 0 else "b"].add(x)
+        for c, d in zip(left, python_sketch([x]), strict=True):
+            c[:] = c[0] - n * d[0], c[1] ^ d[1], c[2] ^ d[2]
+    assert not any(any(c) for c in left)
+    assert found == {"a": {xx(p) for p in (b"paragraph 7", b"paragraph 250")}, "b": {xx(b"changed")}}
+
+
+def test_peeling_recovers_every_digest(spark, monkeypatch):
     rng = random.Random(7)
     rows = []
     for i, (both, a, b) in enumerate([(0, 0, 0), (5, 0, 0), (0, 300, 1), (50, 3, 4), (1, 0, 900), (200, 40, 40)]):
         pool = [rng.randrange(-(2**62), 2**62) for _ in range(both + a + b)]
         rows.append((i, pool[: both + a], pool[:both] + pool[both + a :]))
     pairs = spark.createDataFrame(rows, "id int, a array<long>, b array<long>")
-    got = fingerprints.differences(pairs, ["id"], 0.1).collect()  # far too small at first, so that it is done again
+    got = fingerprints.differences(pairs, ["id"]).collect()
     for i, a, b in rows:
         assert {r["digest"] for r in got if r["id"] == i and r["side"] == "a"} == set(a) - set(b)
         assert {r["digest"] for r in got if r["id"] == i and r["side"] == "b"} == set(b) - set(a)
-    counts = {r["id"]: (r["only_a"], r["only_b"]) for r in fingerprints.differences(pairs, ["id"], 0.1, keep_items=False).collect()}
-    assert counts == {i: (len(set(a) - set(b)), len(set(b) - set(a))) for i, a, b in rows}
+    assert len(got) == sum(len(set(a) ^ set(b)) for _, a, b in rows)
+    monkeypatch.setattr(fingerprints, "LEVELS", 1)  # what is never told by a sketch is told by the sets
+    few = fingerprints.differences(pairs, ["id"]).collect()
+    assert sorted(map(tuple, few)) == sorted(map(tuple, got))
 
 
 def test_components_and_lookup_join(spark):

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from textmatch.llm.common import range_indexed, stored
 
 #: Where a text is cut into paragraphs: at line ends, and inside a line after a sentence of 30 characters or more.
-CUTS = r"\n|(?<=[^.!?\n]{30}[.!?]) "
-#: Cells of the printed fingerprint, and cells a sketch has for each digest it is expected to tell apart.
-PRINTED, ROOM = 12, 1.5
-#: How much larger a retry is, and peeling steps (a third of the cells each) before a sketch counts as failed.
-LARGER, STEPS = 4, 15
+CUTS = r"\n| (?<=[.!?] )(?<=[^.!?\n]{30}[.!?] )"
+#: Cells of a sketch: three thirds, in each of which a digest has one cell.
+CELLS, THIRD = 24, 8
+#: A sketch that can't be peeled is done again as four sketches of a quarter of the digests each, at most so often.
+PARTS, LEVELS = 4, 16
+#: Rows without doc_id are dealt to so many parts.
+SALTS = 64
+
+CELL = "struct<n:int,key:bigint,check:bigint>"
 
 
 def digests(text: Column) -> Column:
@@ -20,119 +24,116 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.split(text, CUTS), lambda p: F.xxhash64(p)))
 
 
-def fingerprint(items: Column) -> Column:
-    """The sketch at its smallest size as text: number of digests, then the cells' exclusive ors in hexadecimal.
+def _check(item: Column) -> Column:
+    return F.xxhash64(item, F.lit(-1).cast("long"))
 
-    Each digest is in one cell of each third. Cells are sums, so order doesn't matter and equal texts agree.
-    """
-    third = PRINTED // 3
 
-    def cell(c: Column) -> Column:
-        j = F.floor(c / third).cast("int")
-        return F.aggregate(items, F.lit(0).cast("long"), lambda s, x: F.when(F.pmod(F.call_function("shiftright", x, 8 * j), F.lit(third)) == c % third, s.bitwiseXOR(x)).otherwise(s))
+def _placed(n: Column, item: Column, level: int) -> Column:
+    """A digest with its check and its three cells; each level hashes anew."""
+    mixed = F.xxhash64(item, F.lit(level).cast("long"))
+    at = [(F.shiftright(mixed, 3 * j).bitwiseAND(F.lit(THIRD - 1)) + j * THIRD).cast("int").alias(f"p{j}") for j in range(3)]
+    return F.struct(n.cast("int").alias("n"), item.alias("key"), _check(item).alias("check"), *at)
 
-    cells = F.transform(F.sequence(F.lit(0), F.lit(PRINTED - 1)), lambda c: F.lpad(F.hex(cell(c)), 16, "0"))
-    return F.concat(F.size(items).cast("string"), F.lit(":"), F.array_join(cells, ""))
 
+def _added(cells: Column, placed: Column, sign: int) -> Column:
+    """Cells with a placed digest put in or, sign being -1, taken out: counts add up, digests and checks are xor-ed."""
 
-def _at(item: Column, j: int, level: int, third: Column) -> Column:
-    """Cell of a digest in the j-th third of a sketch; each retry hashes anew."""
-    return (F.pmod(F.xxhash64(item, F.lit(3 * level + j)), third) + j * third).cast("long")
+    def one(c: Column, i: Column) -> Column:
+        changed = F.struct((c["n"] + sign * placed["n"]).cast("int").alias("n"), c["key"].bitwiseXOR(placed["key"]).alias("key"), c["check"].bitwiseXOR(placed["check"]).alias("check"))
+        return F.when((i == placed["p0"]) | (i == placed["p1"]) | (i == placed["p2"]), changed).otherwise(c)
 
+    return F.transform(cells, one)
 
-def _check(item: Column) -> Column:
-    return F.xxhash64(item, F.lit(-1))
+
+def sketch(items: Column, level: int = 0) -> Column:
+    """Cells of a set of digests: how many are in a cell, and the exclusive ors of them and of their checks."""
+    empty = F.array_repeat(F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check")), F.lit(CELLS))
+    return F.aggregate(F.transform(items, lambda x: _placed(F.lit(1), x, level)), empty, lambda cells, x: _added(cells, x, 1))
 
 
-def _row(cell: Column, item: Column, n: Column, key: Column, check: Column) -> Column:
-    values = {"__cell": cell, "__item": item, "__n": n, "__key": key, "__check": check}
-    return F.struct(*[v.cast("long").alias(k) for k, v in values.items()])
+def subtracted(a: Column, b: Column) -> Column:
+    """The sketch of what is in a and not in b (counted 1) or in b and not in a (counted -1)."""
+    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["check"].bitwiseXOR(y["check"]).alias("check")))
 
 
-def subtracted(pairs: DataFrame, ids: list[str], level: int) -> DataFrame:
-    """Cells of the sketch of a minus the sketch of b, for rows (ids, a, b, __third): counts subtract, keys are xor-ed.
+def peeled(cells: Column, level: int = 0) -> Column:
+    """A subtracted sketch taken apart: struct of only_a and only_b, the digests recovered, and left, whether some stay hidden.
 
-    Rows must be partitioned by (some of) ids, so that cells are summed where they are made.
+    In each step, a cell that holds a single digest gives it up, and it is taken out of its cells. That empties a cell for
+    good, so there are at most as many steps as cells.
     """
-    signed = F.concat(F.transform("a", lambda x: F.struct(x.alias("x"), F.lit(1).alias("n"))), F.transform("b", lambda x: F.struct(x.alias("x"), F.lit(-1).alias("n"))))
-    items = pairs.select(*ids, "__third", F.explode(signed).alias("__s")).select(*ids, "__third", F.col("__s.x").alias("__x"), F.col("__s.n").alias("__sign"))
-    x = F.col("__x")
-    cells = F.explode(F.array(*[_at(x, j, level, F.col("__third")) for j in range(3)]))
-    out = items.select(*ids, "__third", "__sign", "__x", _check(x).alias("__c"), cells.alias("__cell"))
-    out = out.groupBy(*ids, "__third", "__cell").agg(F.sum("__sign").alias("__n"), F.bit_xor("__x").alias("__key"), F.bit_xor("__c").alias("__check"))
-    return out.withColumn("__item", F.lit(0).cast("long"))
+    none = F.array().cast("array<bigint>")
 
+    def step(state: Column, _: Column) -> Column:
+        single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"])))
+        first = F.transform(F.slice(single, 1, 1), lambda c: _placed(c["n"], c["key"], level))
+        return F.aggregate(first, state, lambda s, x: F.struct(
+            _added(s["cells"], x, -1).alias("cells"),
+            F.when(x["n"] > 0, F.concat(s["only_a"], F.array(x["key"]))).otherwise(s["only_a"]).alias("only_a"),
+            F.when(x["n"] < 0, F.concat(s["only_b"], F.array(x["key"]))).otherwise(s["only_b"]).alias("only_b"),
+        ))
 
-def peeled(cells: DataFrame, ids: list[str], level: int, keep_items: bool) -> DataFrame:
-    """Peel subtracted sketches: rows with __cell -1 are digests only in a, -2 only in b, others were left over.
+    start = F.struct(cells.alias("cells"), none.alias("only_a"), none.alias("only_b"))
+    left = lambda s: F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(CELLS)), start, step, lambda s: F.struct(s["only_a"].alias("only_a"), s["only_b"].alias("only_b"), left(s).alias("left")))
 
-    In each step, the cells of one third that hold a single digest give it up, and it is taken out of the other two
-    thirds; a digest has one cell in a third, so none is taken twice. A step is one grouped sum without a shuffle.
-    keep_items: a row for each digest recovered; otherwise only their numbers.
+
+def printed(items: Column) -> Column:
+    """A fingerprint as text: the number of digests, then the cells of the sketch in base64 (count, digest, check; 20 bytes each).
+
+    Cells are sums, so order doesn't matter and equal texts have equal fingerprints. Two fingerprints whose sets differ in
+    few digests can be subtracted and peeled as they are.
     """
-    third, key, n, check, cell = (F.col(c) for c in ("__third", "__key", "__n", "__check", "__cell"))
-    zero = F.lit(0)
-    for step in range(STEPS):
-        j = step % 3
-        pure = (cell >= j * third) & (cell < (j + 1) * third) & (F.abs(n) == 1) & (check == _check(key)) & (_at(key, j, level, third) == cell)
-        out = [_row(F.when(n > 0, -1).otherwise(-2), key if keep_items else zero, F.lit(1), zero, zero)]
-        out += [_row(_at(key, i, level, third), zero, -n, key, check) for i in range(3) if i != j]
-        same = _row(cell, F.col("__item"), n, key, check)
-        rows = cells.select(*ids, "__third", F.explode(F.when(pure, F.array(*out)).otherwise(F.array(same))).alias("__r")).select(*ids, "__third", "__r.*")
-        cells = rows.groupBy(*ids, "__third", "__cell", "__item").agg(F.sum("__n").alias("__n"), F.bit_xor("__key").alias("__key"), F.bit_xor("__check").alias("__check"))
-        cells = cells.where("__cell < 0 or __n <> 0 or __key <> 0 or __check <> 0")
-    return cells
-
-
-def differences(pairs: DataFrame, ids: list[str], expected: Column | float = 0.5, keep_items: bool = True) -> DataFrame:
-    """What tells two versions of a document apart, recovered from their sketches.
-
-    pairs: the ids columns (together unique; the first one deals them to tasks) and arrays a and b of distinct digests. Sketches get ROOM cells for each
-    digest expected to differ (expected: share of all digests of the pair); pairs whose sketch can't be peeled empty are
-    done again with sketches LARGER times as large, until none is left, so every difference is found whatever its size.
-    Returns ids, side ("a" or "b": the version that has it), and digest, or with keep_items off only_a and only_b, the
-    numbers of digests, with a row for every pair. Work is linear in the digests; a pair's cells are in one task.
+    cell = lambda c: F.concat(F.lpad(F.hex(c["n"]), 8, "0"), F.lpad(F.hex(c["key"]), 16, "0"), F.lpad(F.hex(c["check"]), 16, "0"))
+    return F.concat(F.size(items).cast("string"), F.lit(":"), F.translate(F.base64(F.unhex(F.array_join(F.transform(sketch(items), cell), ""))), "\r\n", ""))
+
+
+def told(a: Column, b: Column, level: int = 0) -> Column:
+    """peeled(), for two sets of digests."""
+    return peeled(subtracted(sketch(a, level), sketch(b, level)), level)
+
+
+def _part(items: Column, k: Column, level: int) -> Column:
+    bits = lambda x: F.shiftright(F.xxhash64(x, F.lit(-2).cast("long")), 2 * level).bitwiseAND(F.lit(PARTS - 1))
+    return F.filter(items, lambda x: bits(x) == k)
+
+
+def larger(failed: DataFrame, ids: list[str]) -> DataFrame:
+    """Differences of pairs (ids, a, b) whose sketches at level 0 can't be peeled, from larger and larger sketches.
+
+    At each retry, the digests of what failed are parted in four by two bits of a hash, and each part is sketched in as
+    many cells as the whole was, so a sketch is four times as large where it has to be. All of it happens inside rows:
+    nothing is shuffled, and the work is linear in the digests. What no retry has told after LEVELS (digests that never
+    part, of which there are hardly any) is told by comparing the sets. Returns ids, only_a and only_b; several rows a pair.
     """
-    rows = pairs.withColumn("__size", F.greatest(F.lit(4), F.ceil((F.size("a") + F.size("b")) * expected * ROOM / 3)).cast("long"))
-    done: list[DataFrame] = []
-    level = 0
-    while True:
-        rows = rows.repartition(F.col(ids[0]))
-        sized = rows.withColumn("__third", F.col("__size") * F.lit(LARGER**level)).drop("__size")
-        cells = peeled(subtracted(sized, ids, level), ids, level, keep_items)
-        if keep_items:
-            cells = stored(cells)
-        told = cells.groupBy(*ids).agg(
-            F.sum(F.when(F.col("__cell") == -1, F.col("__n")).otherwise(0)).alias("only_a"),
-            F.sum(F.when(F.col("__cell") == -2, F.col("__n")).otherwise(0)).alias("only_b"),
-            F.count_if(F.col("__cell") >= 0).alias("left"),
-        )
-        told = stored(told)
-        failed = told.where("left > 0").select(*[F.col(c).alias(f"__{c}") for c in ids])
-        match = F.lit(True)
-        for c in ids:
-            match = match & F.col(c).eqNullSafe(F.col(f"__{c}"))
-        if keep_items:
-            found = cells.where("__cell < 0").join(failed.hint("merge"), match, "left_anti")
-            done.append(found.select(*ids, F.when(F.col("__cell") == -1, "a").otherwise("b").alias("side"), F.col("__item").alias("digest")))
-        else:
-            done.append(told.where("left = 0").select(*ids, "only_a", "only_b"))
-        if not failed.limit(1).count():
+    rows, done = failed.select(*ids, "a", "b"), []
+    for level in range(1, LEVELS + 1):
+        parts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.struct(_part(F.col("a"), k, level - 1).alias("a"), _part(F.col("b"), k, level - 1).alias("b"))))  # noqa: B023
+        rows = rows.select(*ids, parts.alias("p")).select(*ids, "p.a", "p.b").withColumn("t", told(F.col("a"), F.col("b"), level))
+        again = [F.when(F.col("t.left"), F.col(c)).alias(c) for c in ("a", "b")]
+        table = stored(rows.select(*ids, "t", *again))
+        done.append(table.where("not t.left").select(*ids, "t.only_a", "t.only_b"))
+        rows = table.where("t.left").select(*ids, "a", "b")
+        if not rows.limit(1).count():
             break
-        rows = rows.join(failed.hint("merge"), match, "left_semi")
-        level += 1
+    else:
+        done.append(rows.select(*ids, F.array_except("a", "b").alias("only_a"), F.array_except("b", "a").alias("only_b")))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    if keep_items:
-        return out
-    # A pair without any difference has no cells left, and so no row so far.
-    told = stored(out.select(*[F.col(c).alias(f"__{c}") for c in ids], "only_a", "only_b"))
-    match = F.lit(True)
-    for c in ids:
-        match = match & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    every = pairs.select(*ids).join(told.hint("merge"), match, "left")
-    return every.select(*ids, F.coalesce("only_a", F.lit(0)).alias("only_a"), F.coalesce("only_b", F.lit(0)).alias("only_b"))
+    return out
+
+
+def differences(pairs: DataFrame, ids: list[str]) -> DataFrame:
+    """What tells two versions of a document apart, recovered from their sketches: ids, side, digest.
+
+    pairs: the ids columns, and arrays a and b of distinct digests. side is "a" or "b", the version that has the digest.
+    Pairs whose sketch can't be peeled empty are done again with larger ones, so every difference is found.
+    """
+    base = stored(pairs.select(*ids, "a", "b", told(F.col("a"), F.col("b")).alias("t")))
+    rows = base.where("not t.left").select(*ids, "t.only_a", "t.only_b").unionByName(larger(base.where("t.left"), ids))
+    sides = [rows.select(*ids, F.lit(side).alias("side"), F.explode(f"only_{side}").alias("digest")) for side in ("a", "b")]
+    return sides[0].unionByName(sides[1])
 
 
 def next_documents(keys: DataFrame) -> DataFrame:
@@ -150,39 +151,49 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     docs: doc_id, text; one row out for each row in: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next. The edited text is the document with its last quarter (rounded down) of code points replaced
     by as many (or all) first ones of the next document in ascending doc_id. Likeness is the share of common digests in
-    all digests of the two, their differences being recovered by differences().
+    all digests of the two: their fingerprints are subtracted and peeled, and where these are too small for what differs,
+    larger sketches are (see larger()).
 
     Texts are shuffled once, by doc_id, and that shuffle is read twice: a next document sends its digests and the code
-    points wanted only, and the document receives them.
+    points wanted only, and the document receives them. Rows without doc_id are dealt to SALTS parts.
 
     Defined results: null text is empty, and an empty text has one empty paragraph; rows repeated with equal doc_id and
     text get equal rows; where a doc_id has several texts, the one with the smallest hash is its neighbour's next; an
     empty table gives an empty table; other columns are not read.
     """
     text, key = F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = docs.select(key.alias("key"), text.alias("text")).repartition("key")
+    rows = docs.select(key.alias("key"), F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64(text), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"), text.alias("text"))
+    rows = rows.withColumn("own", digests(F.col("text"))).repartition("key", "salt")
+    salts = F.explode(F.sequence(F.lit(0), F.when(F.col("key") == "", SALTS - 1).otherwise(0)))
     wanted = docs.select(key.alias("key"), F.floor(F.length(text) / 4).alias("take")).groupBy("key").agg(F.max("take").alias("take"))
     order = next_documents(docs.select(key.alias("key"), "doc_id"))
-    needs = stored(wanted.join(order.hint("merge"), "key").select(F.col("key").alias("for_key"), F.col("next_key").alias("key"), "take"))
+    needs = wanted.join(order.hint("merge"), "key").select(F.col("key").alias("for_key"), F.col("next_key").alias("key"), "take")
+    needs = stored(needs.select("for_key", "key", "take", salts.alias("salt")))
     head = F.substring("text", F.lit(1), F.col("take").cast("int"))
-    sent = rows.join(needs.hint("merge"), "key").select("for_key", F.struct(F.xxhash64("text").alias("h"), head.alias("head"), digests(F.col("text")).alias("next")).alias("s"))
-    sent = sent.groupBy(F.col("for_key").alias("key")).agg(F.min("s").alias("s"))
-    met = rows.join(sent.hint("merge"), "key")
+    sent = rows.join(needs.hint("merge"), ["key", "salt"]).select("for_key", F.struct(F.xxhash64("text").alias("h"), head.alias("head"), F.col("own").alias("next")).alias("s"))
+    sent = sent.groupBy(F.col("for_key").alias("key")).agg(F.min("s").alias("s")).select("key", "s", salts.alias("salt"))
+    met = rows.join(sent.hint("merge"), ["key", "salt"])
     n = F.length("text")
     take = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - take), F.substring("s.head", F.lit(1), take))
-    made = met.select("key", F.xxhash64("text").alias("h"), n.cast("long").alias("n_chars"), edited.alias("edited"), digests(F.col("text")).alias("own"), F.col("s.next").alias("next"))
-    made = made.withColumn("new", digests(F.col("edited"))).withColumn("edited_sha256", F.unhex(F.sha2("edited", 256))).drop("edited")
-    base = stored(made)
-
-    once = base.select("key", "h", "own", "new", "next").dropDuplicates(["key", "h"])
-    versions = F.array(F.struct(F.lit(0).alias("pair"), F.col("new").alias("b")), F.struct(F.lit(1).alias("pair"), F.col("next").alias("b")))
-    pairs = once.select("key", "h", F.col("own").alias("a"), F.explode(versions).alias("v")).select("key", "h", F.col("v.pair").alias("pair"), "a", F.col("v.b").alias("b"))
-    told = differences(pairs, ["key", "h", "pair"], F.when(F.col("pair") == 0, 0.5).otherwise(1.0), keep_items=False)
-    told = told.groupBy("key", "h").agg(*[F.max(F.when(F.col("pair") == p, F.struct("only_a", "only_b"))).alias(f"p{p}") for p in (0, 1)])
-    out = base.join(stored(told).hint("merge"), ["key", "h"])
-    near = [(F.size("own") - F.col(f"p{p}.only_a")) / (F.size("own") + F.col(f"p{p}.only_b")) for p in (0, 1)]
+    made = met.select("key", n.cast("long").alias("n_chars"), F.unhex(F.sha2(edited, 256)).alias("edited_sha256"), "own", digests(edited).alias("new"), F.col("s.next").alias("next"))
+    versions = ("new", "next")
+    first = {f"t_{c}": told(F.col("own"), F.col(c)) for c in versions}
+    counts = [F.struct(F.size(f"t_{c}.only_a").alias("a"), F.size(f"t_{c}.only_b").alias("b"), F.col(f"t_{c}.left").alias("left")).alias(f"t_{c}") for c in versions]
+    made = made.withColumns(first).select("key", "n_chars", "edited_sha256", "own", "new", F.when(F.col("t_next.left"), F.col("next")).alias("next"), *counts)
+    base = stored(made.withColumn("row", F.monotonically_increasing_id()))
+
+    failed = F.explode(F.array(*[F.struct(F.lit(c).alias("version"), F.when(F.col(f"t_{c}.left"), F.col(c)).alias("b")) for c in versions]))
+    failed = base.select("row", F.col("own").alias("a"), failed.alias("f")).where("f.b is not null").select("row", "f.version", "a", "f.b")
+    more = larger(failed, ["row", "version"])
+    sums = [F.sum(F.when(F.col("version") == c, F.size(f"only_{x}")).otherwise(0)).alias(f"{c}_{x}") for c in versions for x in ("a", "b")]
+    out = base.join(stored(more.groupBy("row").agg(*sums)).hint("merge"), "row", "left")
+
+    def near(c: str) -> Column:
+        only = {x: F.when(F.col(f"t_{c}.left"), F.col(f"{c}_{x}")).otherwise(F.col(f"t_{c}.{x}")) for x in ("a", "b")}
+        return (F.size("own") - only["a"]) / (F.size("own") + only["b"])
+
     return out.select(
         F.nullif("key", F.lit("")).cast("long").alias("doc_id"), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
-        fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"), near[0].alias("near_edited"), near[1].alias("near_next"),
+        printed(F.col("own")).alias("fingerprint"), printed(F.col("new")).alias("edited_fingerprint"), near("new").alias("near_edited"), near("next").alias("near_next"),
     )
