@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -113,10 +115,99 @@ def test_names_do_not_cost_the_article(page, want):
     assert html.main_text(page) == want
 
 
+def filler(i, sentences=3):
+    return " ".join(f"Sentence {i}.{k} goes on, with a comma, for about as long as sentences do." for k in range(sentences))
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><form action=x><div><p>{filler(1)}</p><input name=q><p>{filler(2)}</p></div></form></body>", f"{filler(1)}\n{filler(2)}"),
+        (f"<body><div class='search-results-article'><p>{filler(1)}</p></div></body>", filler(1)),
+        (f"<main><article><p>{filler(1)}</p></article><article><p>{filler(2)}</p></article></main>", f"{filler(1)}\n{filler(2)}"),
+        (f"<article><p>intro</p></article><div class=content><p>{filler(1)}</p><p>{filler(2)}</p></div>", f"intro\n{filler(1)}\n{filler(2)}"),
+        (f"<div><h1>Title</h1></div><div><p>{filler(1)}</p><p>Short.</p><p>{filler(2)}</p></div><div><p>Imprint and such.</p></div>", f"Title\n{filler(1)}\nShort.\n{filler(2)}"),
+        (f"<article><section><p>{filler(1)}</p><p>{filler(2)}</p></section><section><h2>End</h2><p>Bye.</p></section></article>", f"{filler(1)}\n{filler(2)}\nEnd\nBye."),
+        (f"<div><ul><li><a href=a>one</a><li><a href=b>two</a><li><a href=c>three</a></ul><p>{filler(1)}</p><p>{filler(2)}</p></div>", f"{filler(1)}\n{filler(2)}"),
+        (f"<div><p>{filler(1)}</p></div><div class=comments><p>{filler(2, 9)}</p><p>{filler(3, 9)}</p></div>", filler(1)),
+        (f"<div><p>{filler(1)}</p></div><h3>More</h3><div><p><a href=x>{filler(2)}</a></p></div>", filler(1)),
+    ],
+)
+def test_scores_choose_the_article(page, want):
+    assert html.main_text(page) == want
+
+
+def test_scoring_decides_where_no_element_is_an_article(monkeypatch):
+    """Pages of plain div elements: text and what stands around it, told apart by points alone; without points they change."""
+    rng = random.Random(8)
+    pages, wants = [], []
+    for i in range(40):
+        text = [filler(10 * i + k, rng.randint(2, 4)) for k in range(rng.randint(2, 6))]
+        around = [f"<div><div>Box {i} {k}</div><div><a href=x>go</a> to it</div></div>" for k in range(rng.randint(1, 4))]
+        parts = [*around, f"<div><div>{''.join(f'<p>{t}' for t in text)}</div></div>"]
+        rng.shuffle(parts)
+        pages.append(f"<html><body>{''.join(parts)}</body></html>")
+        wants.append("\n".join(text))
+    assert [html.main_text(p) for p in pages] == wants
+    monkeypatch.setattr(html, "REACH", 0)  # no element gets points
+    assert [html.main_text(p) for p in pages] != wants
+
+
+class Articles(HTMLParser):
+    """The text of article elements, read by the standard library's parser; enough for pages like the given ones."""
+
+    BREAKS = {"p", "h1", "article"}
+
+    def __init__(self, page):
+        super().__init__()
+        self.depth, self.blocks = 0, [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if tag in self.BREAKS:
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        if tag in self.BREAKS:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        self.blocks[-1] += data if self.depth else ""
+
+    def text(self):
+        return "\n".join(b for b in (" ".join(b.split()) for b in self.blocks) if b)
+
+
+def test_given_pages_agree_with_another_parser(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r["page_id"]: r["__text"] for r in html.extracted(pages).collect()}
+    assert got == {r["page_id"]: Articles(r["html"] or "").text() for r in pages.collect()}
+
+
+@pytest.mark.parametrize(
+    "part",
+    ["<div>word ", "<a ", "<p>word ", "<b>x", "</x>", "<div><tr></tr>", "<li><ul><div>", "<!--", "<div class='", '<a b="', "<li>word", "< ", "&amp;", "<span class=ad>x", "a,<br>", "<p><b><i>", "<![", "<script>", "-->", "<div class=comments>text "],
+)
+def test_hostile_pages_take_time_in_proportion(part):
+    took = []
+    for size in (250_000, 1_000_000):
+        page, began = part * (size // len(part)), time.perf_counter()
+        html.main_text(page)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 3 and took[1] < 10 * took[0] + 0.2
+
+
 def test_extracted_keeps_rows_and_columns(spark):
-    rows = [(1, "u", "<article><p>hi</p></article>", "c"), (1, "u", "<article><p>hi</p></article>", "c"), (2, None, None, None), (3, "v", "<p>" + "long text, and more. " * 20_000, "d")]
+    article = "<article><p>hi</p></article>"
+    rows = [(1, "u", article, "c"), (1, "u", article, "c"), (2, None, None, None), (3, "v", "<p>" + "long text, and more. " * 20_000, "d"), (None, None, "", "e")]
     got = html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
-    assert sorted(len(r["__text"]) for r in got) == [0, 2, 2, 20 * 20_000 + 20_000 - 1 + 0] or sorted(r["__text"][:3] for r in got) == ["", "hi", "hi", "lon"]
+    want = [(1, "c", "hi"), (1, "c", "hi"), (2, None, ""), (3, "d", ("long text, and more. " * 20_000).strip()), (None, "e", "")]
+    assert sorted(((r["page_id"], r["text"], r["__text"]) for r in got), key=str) == sorted(want, key=str)
     assert html.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,98 +19,99 @@ BLOCK = frozenset(
 )
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 SKIPPED = frozenset(
-    "head nav footer aside form script style textarea title noscript template iframe button select option input svg math canvas object embed"
+    "head nav footer aside script style textarea title noscript template iframe button select option input svg math canvas object embed"
     " audio video dialog menu xmp noembed noframes".split()
 )
-# Words in class, id or role that mark what is around an article.
+# Words in class, id or role that speak for standing around an article, and those of them for readers' answers.
 AROUND = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal overlay"
     " newsletter subscribe subscription signup social share sharing related recommended recommendations comment comments commentlist reply replies respond"
     " discussion disqus sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer header masthead toolbar pagination pager login search"
     " complementary contentinfo".split()
 )
-# Those of them that mark readers' answers, which may be longer than the article and be article elements themselves.
 COMMENTS = frozenset("comment comments commentlist reply replies respond discussion disqus".split())
 # Words that make a name tell of the layout around an element, as in has-sidebar, with-comments, no-search or ad-free.
 LAYOUT = frozenset("has have with without no not non free less hide hides hidden show shows".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A start tag of CLOSES ends an open one of the same kind, but not beyond these.
 SCOPE = frozenset("ul ol dl table select".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: Elements that hold paragraphs; a paragraph in anything else gives its points to what is around that.
+HOLDERS = frozenset("# body div article main section td form blockquote pre header fieldset center dd details".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements open at once; deeper ones stand beside the deepest, as in browsers. Ancestors that a paragraph gives points to.
+DEPTH, REACH = 512, 5
+#: A text of so many characters counts as a paragraph; so many speak for an element whose names speak against it.
+PARAGRAPH, SPEAKS = 25, 80
+#: Every alternative takes all it has looked at, so the time is linear in the page: an unended tag or quote ends with it.
+TOKEN = re.compile(
+    r"""<!--(?:[^-]++|-(?!->))*+(?:-->)?|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"?|'[^']*+'?)?|["'])*+)>?|[^<]++|<""",
+)
+NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*+=\s*+["']?true|display\s*+:\s*+none""", re.I)
 WORD = re.compile(r"[a-z0-9]+")
-BONUS = {"article": 25.0, "main": 20.0, "section": 5.0, "div": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0}
-
-
-#: Readings of names, strictest last: any word of a name, whole names (and any word for comments), none.
-ANY, WHOLE, NONE = 0, 1, 2
+#: What names and tags say of an element: nothing, that it stands around the article, that readers wrote it, that it is none of the text.
+NOTHING, ASIDE, READERS, CERTAIN = 0, 1, 2, 3
 
 
-def _hits(attrs: str, reading: int) -> set[str]:
+def _named(attrs: str, whole: bool) -> set[str]:
+    """Words of AROUND in the names of an element; whole: only names that are such a word."""
     found: set[str] = set()
-    if reading == NONE:
-        return found
     for m in NAMES.finditer(attrs):
         for name in m[2].lower().strip("\"'").split():
             words = set(WORD.findall(name))
-            if not words & LAYOUT:
-                found |= words & (AROUND if reading == ANY or len(words) == 1 else COMMENTS)
+            if not words & LAYOUT and not (whole and len(words) > 1):
+                found |= words & AROUND
     return found
 
 
-def _around(tag: str, attrs: str, inside: bool, reading: int = ANY) -> tuple[bool, bool]:
-    """Whether an element, with all below it, stands around the article for certain, and whether its names say so.
-
-    inside: in an article or main element. Of articles only those named as comments are said to.
-    """
-    if tag in SKIPPED or tag == "header" and not inside:
-        return True, False
-    if not attrs or tag in ("html", "body", "main"):
-        return False, False
-    if HIDDEN.search(attrs):
-        return True, False
-    found = _hits(attrs, reading)
-    if tag == "article":
-        return False, bool(found & COMMENTS)
-    return False, bool(found) and not (found == {"header"} and inside)
+def _said(tag: str, attrs: str, inside: bool) -> int:
+    """What tag and names say of an element. inside: in an article or main element, where a header is the article's own."""
+    if tag in SKIPPED or attrs and HIDDEN.search(attrs):
+        return CERTAIN
+    if tag in ("html", "body", "main"):
+        return NOTHING
+    block = tag in BLOCK
+    found = _named(attrs, not block) if attrs else set()
+    if not block:
+        return CERTAIN if found else NOTHING
+    if found & COMMENTS:
+        return READERS
+    if tag == "form" or not inside and tag == "header" or found and not (inside and found == {"header"}):
+        return ASIDE
+    return NOTHING
 
 
 class _Tree:
-    """Elements as parallel lists, and text blocks (element, words, characters inside links).
+    """Elements as parallel lists, parents first, and text blocks (element, words, characters inside links)."""
 
-    Blocks under an element whose names say that it stands around are left out, unless an article or main is in it.
-    """
-
-    def __init__(self, page: str, reading: int = ANY):
-        self.tag, self.parent, self.inside, self.named = ["#"], [-1], [False], [False]
-        self.reading = reading
+    def __init__(self, page: str):
+        self.tag, self.parent, self.inside, self.said, self.block = ["#"], [-1], [False], [NOTHING], [0]
         self.blocks: list[tuple[int, str, int]] = []
         self._build(page)
-        holds, gone = [False] * len(self.tag), [False] * len(self.tag)
-        for e in range(len(self.tag) - 1, 0, -1):
-            if holds[e] or self.tag[e] in ("article", "main") and not self.named[e]:
-                holds[self.parent[e]] = True
-        for e in range(1, len(self.tag)):
-            gone[e] = gone[self.parent[e]] or self.named[e] and not holds[e]
-        self.kept, self.left_out = (sum(len(text) - links for at, text, links in self.blocks if gone[at] == g) for g in (False, True))
-        self.blocks = [b for b in self.blocks if not gone[b[0]]]
 
     def _build(self, page: str) -> None:
-        stack, skip, links = [0], 0, 0
+        stack, self.open = [0], Counter()
+        skip = links = linked = 0
         parts: list[str] = []
-        linked = 0
 
         def end_block() -> None:
             nonlocal linked
             if parts:
                 text = " ".join(html.unescape("".join(parts)).split())
                 if text:
-                    at = next(e for e in reversed(stack) if e == 0 or self.tag[e] in BLOCK)
-                    self.blocks.append((at, text, min(linked, len(text))))
+                    self.blocks.append((self.block[stack[-1]], text, min(linked, len(text))))
                 parts.clear()
             linked = 0
 
+        def pop() -> None:
+            nonlocal skip, links
+            e = stack.pop()
+            self.open[self.tag[e]] -= 1
+            if skip:
+                skip -= 1
+            elif self.tag[e] == "a":
+                links = max(0, links - 1)
+
         pos, n = 0, len(page)
         while pos < n:
             m = TOKEN.match(page, pos)
@@ -124,128 +126,165 @@ class _Tree:
                     linked += len(text.strip())
                 continue
             tag = name.lower()
-            if not m[1]:
-                if tag in RAW:  # its content is not markup
-                    close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, pos)
-                    pos = close.end() if close else n
-                    continue
-                if tag == "br":
-                    parts.append(" ")
-                    continue
-                block = tag in BLOCK
-                if block and not skip:
-                    end_block()
-                if block:
-                    skip, links = self._close_implied(stack, tag, skip, links)
-                if tag in VOID or m[3].endswith("/") and not block:
-                    continue
-                inside = self.inside[stack[-1]] or tag in ("article", "main")
-                self.tag.append(tag)
-                self.parent.append(stack[-1])
-                self.inside.append(inside)
-                stack.append(len(self.tag) - 1)
-                certain, named = (True, False) if skip else _around(tag, m[3], self.inside[stack[-2]], self.reading)
-                self.named.append(named and block)
-                if certain or named and not block:
-                    skip += 1
-                elif tag == "a":
-                    links += 1
-            else:
-                at = next((i for i in range(len(stack) - 1, 0, -1) if self.tag[stack[i]] == tag), 0)
-                if not at:
-                    continue
-                if not skip and any(self.tag[e] in BLOCK for e in stack[at:]):
+            if m[1]:
+                if self.open[tag]:
+                    if not skip and (tag in BLOCK or self._block_above(stack, tag)):
+                        end_block()
+                    while self.tag[stack[-1]] != tag:
+                        pop()
+                    pop()
+                continue
+            if tag in RAW:  # its content is not markup
+                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, pos)
+                pos = close.end() if close else n
+                continue
+            if tag == "br":
+                parts.append(" ")
+                continue
+            block = tag in BLOCK
+            if block:
+                if not skip:
                     end_block()
-                skip, links = self._pop(stack, at, skip, links)
+                for _ in range(self._implied(stack, tag)):
+                    pop()
+            if tag in VOID or m[3].endswith("/") and not block:
+                continue
+            while len(stack) > DEPTH:
+                pop()
+            above = stack[-1]
+            said = CERTAIN if skip else _said(tag, m[3], self.inside[above])
+            e = len(self.tag)
+            self.tag.append(tag)
+            self.parent.append(above)
+            self.inside.append(self.inside[above] or tag in ("article", "main"))
+            self.said.append(said)
+            self.block.append(e if block else self.block[above])
+            self.open[tag] += 1
+            stack.append(e)
+            if said == CERTAIN:
+                skip += 1
+            elif tag == "a":
+                links += 1
         if not skip:
             end_block()
 
-    def _pop(self, stack: list[int], at: int, skip: int, links: int) -> tuple[int, int]:
-        while len(stack) > at:
-            e = stack.pop()
-            if skip:
-                skip -= 1
-            elif self.tag[e] == "a":
-                links = max(0, links - 1)
-        return skip, links
+    def _block_above(self, stack: list[int], tag: str) -> bool:
+        """Whether a block element is open inside the nearest open element of an inline tag."""
+        for e in reversed(stack):
+            if self.tag[e] == tag:
+                return False
+            if self.block[e] == e:
+                return True
+        return False
 
-    def _close_implied(self, stack: list[int], tag: str, skip: int, links: int) -> tuple[int, int]:
-        """A block start tag ends an open paragraph with what is open in it, and li, td and the like end their kind."""
-        for i in range(len(stack) - 1, 0, -1):
-            open_tag = self.tag[stack[i]]
-            if open_tag == "p":
-                return self._pop(stack, i, skip, links)
-            if open_tag in BLOCK:
-                break
-        if tag in CLOSES:
+    def _implied(self, stack: list[int], tag: str) -> int:
+        """How many open elements a block start tag ends: an open paragraph with all in it; li, td and the like, their kind."""
+        if self.open["p"] and self.tag[self.block[stack[-1]]] == "p":
+            return len(stack) - stack.index(self.block[stack[-1]])
+        kinds = CLOSES.get(tag, ())
+        if any(self.open[k] for k in kinds):
             for i in range(len(stack) - 1, 0, -1):
-                open_tag = self.tag[stack[i]]
-                if open_tag in SCOPE:
+                if self.tag[stack[i]] in SCOPE:
                     break
-                if open_tag in CLOSES[tag]:
-                    return self._pop(stack, i, skip, links)
-        return skip, links
+                if self.tag[stack[i]] in kinds:
+                    return len(stack) - i
+        return 0
+
+    def summed(self, values: list[int]) -> list[int]:
+        """Values of elements with those of all below them."""
+        out = list(values)
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
+
+
+def _left(tree: _Tree, use_names: bool = True) -> list[tuple[int, str, int]]:
+    """Blocks that don't stand around the article, names and tags being weighed against how much text is in an element.
+
+    What readers wrote goes if there is a text besides it. What else is said to stand around goes unless most of the page's
+    text is in it, which then is a wrapper. Lists of nothing but links are menus where they aren't in an article.
+    """
+    n = len(tree.tag)
+    text, linked, items = [0] * n, [0] * n, [0] * n
+    for at, words, in_links in tree.blocks:
+        text[at] += len(words)
+        linked[at] += in_links
+        items[at] += 1
+    text, linked, items = tree.summed(text), tree.summed(linked), tree.summed(items)
+    total = text[0] - linked[0]
+    gone = [False] * n
+    for e in range(1, n):
+        own, said = text[e] - linked[e], tree.said[e] if use_names else NOTHING
+        if gone[tree.parent[e]]:
+            gone[e] = True
+        elif said == READERS:
+            gone[e] = total - own >= SPEAKS or own < SPEAKS
+        elif said == ASIDE:
+            gone[e] = own < SPEAKS or own <= 0.7 * total
+        elif tree.tag[e] in ("ul", "ol") and not tree.inside[e]:
+            gone[e] = items[e] >= 3 and linked[e] >= 0.9 * text[e]
+    return [b for b in tree.blocks if not gone[b[0]]]
 
 
-def main_text(page: str | None, least: int = 25) -> str:
+def main_text(page: str | None) -> str:
     """The main text of one page: its blocks, one a line.
 
-    Each block of at least `least` characters (shorter ones count for a tenth) gives its element's container one point,
-    one more for each comma and up to three for length; the next ancestor gets half, further ones a third over their
-    distance. Points are discounted by the share of a container's text that is in links. The best container is kept, up
-    to the article or main element around it, with those siblings that score a fifth of it, are headings, are long
-    blocks with few links, or are articles like it. Elements that stand around an article (by tag, class, id or role)
-    never count; names don't count against what an article or main is in, and are read more strictly where what they
-    leave is less than a quarter of what they leave out, and not at all where that is hardly a sentence.
+    Each block gives its container one point, one more for each comma and up to three for length (a tenth in all, if it is
+    shorter than a paragraph); the next ancestor gets half, further ones a third over their distance. Points are
+    discounted by the share of a container's text that is in links, and the container with the highest score is the
+    best. It grows to a parent that scores three quarters of it, or that adds to a part of an article no more than it has and
+    hardly any links, but not to the body. It is kept with those siblings that score a fifth of it, or are headings, long
+    paragraphs or articles, and have few links.
     """
     if not page:
         return ""
     tree = _Tree(page)
-    if tree.left_out >= 80 and tree.kept * 4 < tree.left_out:
-        tree = _Tree(page, WHOLE)
-        if tree.left_out >= 80 and tree.kept < 80 and tree.kept * 4 < tree.left_out:
-            tree = _Tree(page, NONE)
-    if not tree.blocks:
+    blocks = _left(tree)
+    kept, every = (sum(len(words) - in_links for _, words, in_links in bs) for bs in (blocks, tree.blocks))
+    if kept < SPEAKS <= every - kept and 10 * kept < every:  # names have left hardly anything
+        blocks = _left(tree, use_names=False)
+    if not blocks:
         return ""
-    tag, parent = tree.tag, tree.parent
-    points: dict[int, float] = {}
-    chars, linked = [0] * len(tag), [0] * len(tag)
-    for at, text, in_links in tree.blocks:
-        value = 1 + text.count(",") + min(len(text) // 100, 3) if len(text) >= least else 0.1
+    tag, parent, n = tree.tag, tree.parent, len(tree.tag)
+    points, chars, linked, headed = [0.0] * n, [0] * n, [0] * n, [0] * n
+    for at, text, in_links in blocks:
+        chars[at] += len(text)
+        linked[at] += in_links
+        headed[at] += len(text) * (tag[at] in HEADINGS)
+        value = 1 + text.count(",") + min(len(text) // 100, 3) if len(text) >= PARAGRAPH else 0.1
         value *= 1 - in_links / len(text)
-        e = at if tag[at] in ("div", "article", "main", "section", "body", "#") else parent[at]
-        level = 0
-        while e >= 0:
-            points[e] = points.get(e, BONUS.get(tag[e], 0.0)) + value / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            e, level = parent[e], level + 1
         e = at
-        while e >= 0:
-            chars[e] += len(text)
-            linked[e] += in_links
+        while e > 0 and tag[e] not in HOLDERS:
             e = parent[e]
+        for level in range(REACH):
+            points[e] += value / (1 if level == 0 else 2 if level == 1 else 3 * level)
+            e = parent[e]
+            if e < 0:
+                break
+    chars, linked, headed = tree.summed(chars), tree.summed(linked), tree.summed(headed)
 
     def score(e: int) -> float:
-        return points.get(e, 0.0) * (1 - linked[e] / chars[e]) if chars[e] else 0.0
+        return points[e] * (1 - linked[e] / chars[e]) if chars[e] else 0.0
 
-    best = max(points, key=lambda e: (score(e), -e))
-    e = best
-    while e > 0 and tag[e] not in ("article", "main"):
-        e = parent[e]
-    if e > 0:
-        best = e
-    keep = {best}
-    if tag[best] != "main":
-        most = score(best)
-        for e in range(1, len(tag)):
-            if parent[e] == parent[best] and chars[e] and e != best:
-                density = linked[e] / chars[e]
-                heading = len(tag[e]) == 2 and tag[e][0] == "h" and tag[e][1].isdigit()
-                if score(e) >= max(10.0, 0.2 * most) or density < 0.25 and (heading or tag[e] == "p" and chars[e] >= 80 or tag[e] == tag[best] == "article"):
-                    keep.add(e)
-    under = [False] * len(tag)
-    for e in range(len(tag)):
+    best = max((e for e in range(n) if chars[e]), key=lambda e: (score(e), -e))
+    while parent[best] > 0 and tag[best] not in ("article", "main") and tag[parent[best]] not in ("html", "body"):
+        more = chars[parent[best]] - chars[best]
+        part_of_article = tree.inside[best] and more <= chars[best] and linked[parent[best]] - linked[best] <= 0.25 * more
+        if not part_of_article and score(parent[best]) < 0.75 * score(best):
+            break
+        best = parent[best]
+    keep, most, titles = {best}, score(best), []
+    for e in range(1, n):
+        if parent[e] == parent[best] and chars[e] and e != best and linked[e] < 0.25 * chars[e]:
+            if headed[e] == chars[e] and e > best:
+                titles.append(e)  # a heading after the best container counts if text under it does
+            elif headed[e] == chars[e] or tag[e] == "article" or score(e) >= 0.2 * most or tag[e] == "p" and chars[e] >= SPEAKS:
+                keep |= {e, *titles}
+                titles = []
+    under = [False] * n
+    for e in range(n):
         under[e] = e in keep or e > 0 and under[parent[e]]
-    return "\n".join(text for at, text, _ in tree.blocks if under[at])
+    return "\n".join(text for at, text, _ in blocks if under[at])
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -253,7 +292,8 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     One pass over the rows and no shuffle. Null or empty html, or a page of nothing but menus and the like, gives an
     empty text. Markup that is cut off or wrongly nested is read as browsers do: open paragraphs and items end where
-    the next begins, an unended tag ends with the page.
+    the next begins, an unended tag ends with the page. A page takes time in proportion to its length. Repeated rows get
+    equal texts, and columns may have any names but __text.
     """
     return pages.withColumn("__text", _main_text(F.col("html")))
 
