@@ -2,83 +2,119 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmatch.llm.common import lookup_join, stored
 
 #: Labelled documents used to fit the document classifier, at most: those with the smallest hashes of doc_id.
-FIT_ROWS = 20_000
-
-#: Features that describe how a text is written rather than what it is about; all are ratios or logarithms.
-FEATURES = ("log_words", "word_length", "capitals", "all_caps", "symbols", "doubled", "bars", "digits", "distinct_lines", "line_words")
+FIT_ROWS = 4_000
+#: Hash buckets of byte n-grams (of one to three bytes), and the ratios that stand beside them.
+BUCKETS, RATIOS = 1 << 12, 6
 
 
 @dataclass(frozen=True)
 class Model:
-    """A fitted logistic regression on standardised features; prior is the share of good labels in its sample."""
+    """A fitted logistic regression on hashed n-grams and standardised ratios; prior is the share of good labels in its sample."""
 
-    mean: tuple[float, ...]
-    scale: tuple[float, ...]
-    weights: tuple[float, ...]
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray  # BUCKETS + RATIOS, float32
     bias: float
     prior: float
 
 
-def _count(pattern: str) -> Column:
-    return F.regexp_count(F.col("__text"), F.lit(pattern)).cast("double")
-
-
-def features(docs: DataFrame) -> DataFrame:
-    """docs with an array column __x of FEATURES, of the whole text; null text counts as empty."""
-    text = F.coalesce("text", F.lit(""))
-    counted = docs.withColumn("__text", text).withColumn(
-        "__c",
-        F.struct(
-            _count(r"[^\x20\x09-\x0D]+").alias("words"), F.length("__text").cast("double").alias("chars"), F.length(F.regexp_replace("__text", r"[^\p{L}]+", "")).cast("double").alias("letters"),
-            _count(r"\p{Lu}").alias("capitals"), _count(r"\p{Lu}{2,}(?!\p{Ll})").alias("shouted"), _count(r"[^\p{L}\p{N}\s]").alias("symbols"),
-            _count(r"([^\p{L}\p{N}\s])\1").alias("doubled"), _count(r"[|<>{}\\]").alias("bars"), _count(r"\p{N}").alias("digits"),
-            _count(r"\n").alias("breaks"), F.size(F.array_distinct(F.split("__text", "\n"))).cast("double").alias("lines"),
-        ),
-    )
-    c = {k: F.col(f"__c.{k}") for k in ("words", "chars", "letters", "capitals", "shouted", "symbols", "doubled", "bars", "digits", "breaks", "lines")}
-    words = F.greatest(c["words"], F.lit(1.0))
-    values = (
-        F.log1p(c["words"]), c["letters"] / words, c["capitals"] / F.greatest(c["letters"], F.lit(1.0)), c["shouted"] / words,
-        c["symbols"] / words, c["doubled"] / words, c["bars"] / words, c["digits"] / words, c["lines"] / (c["breaks"] + 1), F.log1p(words / (c["breaks"] + 1)),
-    )
-    return counted.select(*docs.columns, F.array(*values).alias("__x"))
-
-
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, ridge: float = 1.0) -> Model:
+def features(text: str | None) -> np.ndarray:
+    """What a whole text is written like: square roots of its byte n-gram counts, hashed and scaled to length one, and ratios.
+
+    A short text's n-grams count for less, in proportion to the root of its length up to 400 bytes, so that it says little
+    by itself. The ratios: logarithm of words, distinct words, words like the one before, distinct lines, words a line,
+    characters a word. Null counts as empty.
+    """
+    text = text or ""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+    grams = np.zeros(BUCKETS, np.float64)
+    for n in (1, 2, 3):
+        if len(data) >= n:
+            code = data[: len(data) - n + 1]
+            for k in range(1, n):
+                code = code * np.uint32(257) + data[k : len(data) - n + 1 + k]
+            grams += np.bincount(((code + np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(20), minlength=BUCKETS)
+    grams = np.sqrt(grams / max(grams.sum(), 1.0)) * min(1.0, (len(data) / 400) ** 0.5)
+    words, lines = text.split(), text.split("\n")
+    n = max(1, len(words))
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    ratios = [np.log1p(len(words)), len(set(words)) / n, again / n, len(set(lines)) / len(lines), np.log1p(n / len(lines)), len(text) / n]
+    return np.concatenate([grams, ratios]).astype(np.float32)
+
+
+def _standardised(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Rows of features with their ratios as deviations from the sample's, small enough to stand beside n-grams."""
+    out = x.copy()
+    out[:, BUCKETS:] = np.clip((x[:, BUCKETS:] - mean) / scale, -5, 5) * 0.3
+    return out
+
+
+def _fitted(x: np.ndarray, y: np.ndarray, ridge: float, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Mean, scale, weights and bias of a logistic regression, by gradient descent with momentum."""
+    mean, scale = x[:, BUCKETS:].mean(axis=0), x[:, BUCKETS:].std(axis=0) + np.float32(1e-6)
+    z = _standardised(x, mean, scale)
+    w, speed, b = np.zeros(z.shape[1], np.float32), np.zeros(z.shape[1], np.float32), 0.0
+    for _ in range(steps):
+        off = (1 / (1 + np.exp(-np.clip(z @ w + b, -30, 30))) - y).astype(np.float32)
+        speed = 0.9 * speed + z.T @ off / np.float32(len(y)) + np.float32(ridge) * w
+        w -= np.float32(4) * speed
+        b -= 4 * float(off.mean())
+    return mean, scale, w, b
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, ridge: float = 1e-4, steps: int = 300) -> Model:
     """Fit the document classifier on at most fit_rows labelled documents (labels: doc_id, quality 0 or 1).
 
-    The sample's ids are at most fit_rows rows, so they are broadcast; its features (ten numbers a row) are the only
-    rows that reach the driver. With no usable labels, or labels of one kind, the model says its prior everywhere.
+    The sample's ids are at most fit_rows rows, so they are broadcast. Features, as many numbers a row whatever its length,
+    are made where the texts are and meet in one task, which fit_rows bounds too; the driver gets the weights only. With
+    no usable labels, or labels of one kind, the model says its prior everywhere. Of equal hashes the smaller doc_id
+    comes first; a doc_id labelled twice counts as good if either label does, and one with several texts counts with each.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = features(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).select("__x", "y").toPandas()  # fit_rows bounds it
-    k = len(FEATURES)
-    if not len(rows) or rows["y"].nunique() < 2:
-        prior = float((rows["y"].sum() + 1) / (len(rows) + 2)) if len(rows) else 0.5
-        return Model((0.0,) * k, (1.0,) * k, (0.0,) * k, float(np.log(prior / (1 - prior))), prior)
-    x, y = np.stack(rows["__x"].to_numpy()).astype(float), rows["y"].to_numpy(float)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    w = np.zeros(k + 1)
-    for _ in range(25):  # Newton's method; the ridge keeps separable samples finite
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (y - p) - ridge * np.append(w[:-1], 0)
-        hess = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(np.append(np.full(k, ridge), 1e-9))
-        step = np.linalg.solve(hess, grad)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return Model(tuple(mean.tolist()), tuple(scale.tolist()), tuple(w[:-1].tolist()), float(w[-1]), float(y.mean()))
+
+    def featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "x": [features(t).tobytes() for t in frame["text"]]})
+
+    def fitted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"doc_id": [], "y": [], "x": []}), *frames]).sort_values(["doc_id", "x"])
+        y = rows["y"].to_numpy(np.float32)
+        if len(np.unique(y)) < 2:
+            prior = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.5
+            mean, scale, w, b = np.zeros(RATIOS), np.ones(RATIOS), np.zeros(BUCKETS + RATIOS), float(np.log(prior / (1 - prior)))
+        else:
+            prior = float(y.mean())
+            mean, scale, w, b = _fitted(np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), -1), y, ridge, steps)
+        yield pd.DataFrame({"mean": [mean.tolist()], "scale": [scale.tolist()], "weights": [w.tolist()], "bias": [b], "prior": [prior]})
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(featured, "doc_id long, y int, x binary")
+    model = rows.repartition(1).mapInPandas(fitted, "mean array<double>, scale array<double>, weights array<double>, bias double, prior double").first()
+    mean, scale, weights = (np.array(model[c], np.float32) for c in ("mean", "scale", "weights"))
+    return Model(mean, scale, weights, model["bias"], model["prior"])
+
+
+def _own_probability(model: Model):
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        out = np.empty(len(texts))
+        for at in range(0, len(texts), 256):
+            x = np.stack([features(t) for t in texts.iloc[at : at + 256]])
+            out[at : at + 256] = (_standardised(x, model.mean, model.scale) * model.weights).sum(axis=1, dtype=np.float64) + model.bias
+        return pd.Series(np.round(1 / (1 + np.exp(-np.clip(out, -12, 12))), 9))
+
+    return run
 
 
 def _logit(p: Column) -> Column:
@@ -98,11 +134,12 @@ def _strength(sums: DataFrame, rate: str, least: float = 2.0, most: float = 1000
     return F.least(F.lit(most), F.greatest(F.lit(least), F.coalesce(mean * (1 - mean) / between - 1, F.lit(most))))
 
 
-def scored(docs: DataFrame, model: Model, host: str = "source", path: str = "lang") -> DataFrame:
+def scored(docs: DataFrame, model: Model, host: str = "source", path: str = "lang", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Add __doc (the document's own probability of being good) and __quality (with its site's evidence).
 
     docs: doc_id, text, and the columns named by host and path (for web pages, host name and first path segment; here
-    the source and its language section). All documents, not only labelled ones, count towards their site.
+    the source and its language section). All documents, not only labelled ones, count towards their site. keep: columns
+    to return, all by default. Texts are read once: what is kept is stored with __doc, and site counts come from there.
 
     Soft counts of good documents are summed by (host, path), then by host, then over everything. A host's rate is
     shrunk to the global rate, a path's to its host's, each by a strength estimated from how much groups differ beyond
@@ -110,15 +147,13 @@ def scored(docs: DataFrame, model: Model, host: str = "source", path: str = "lan
     The final odds are the document's odds times path odds over the classifier's prior odds.
 
     Defined results: null text is scored as empty; null host or path is a site of its own; repeated rows count as often
-    as they occur; an empty table gives an empty table.
+    as they occur and score alike, as do equal texts of one site; an empty table gives an empty table. Working columns
+    start with two underscores, so other columns can have any name.
     """
-    x = F.col("__x")
-    logit = F.lit(model.bias)
-    for i in range(len(FEATURES)):
-        logit = logit + (x[i] - F.lit(model.mean[i])) / F.lit(model.scale[i]) * F.lit(model.weights[i])
-    clipped = F.greatest(F.lit(-12.0), F.least(F.lit(12.0), logit))
+    kept = list(keep or docs.columns)
     site = {"__host": F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")), "__path": F.coalesce(F.concat(F.lit("p"), F.col(path)), F.lit(""))}
-    evidence = features(docs).withColumns(site).withColumn("__doc", F.round(_expit(clipped), 9)).drop("__x")
+    own = _own_probability(model)(F.col("text")).alias("__doc")
+    evidence = stored(docs.withColumns(site).select(*kept, "__host", "__path", F.xxhash64("doc_id", "text").alias("__salt"), own))
 
     paths = stored(evidence.groupBy("__host", "__path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col("__doc").cast("decimal(20,9)")).cast("double").alias("s")))
     hosts = stored(paths.groupBy("__host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
@@ -130,9 +165,9 @@ def scored(docs: DataFrame, model: Model, host: str = "source", path: str = "lan
     strength = stored(under.agg(_strength(under, "host_rate").alias("path_k")))
     sites = stored(under.crossJoin(F.broadcast(strength)).select("__host", "__path", "n", "s", "host_rate", "path_k"))  # one row
 
-    out = lookup_join(evidence, sites, ["__host", "__path"], salt="doc_id")
+    out = lookup_join(evidence, sites, ["__host", "__path"], salt="__salt")
     path_rate = (F.col("s") - F.col("__doc") + F.col("path_k") * F.col("host_rate")) / (F.col("n") - 1 + F.col("path_k"))
     safe = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), path_rate))
     prior = min(max(model.prior, 1e-4), 1 - 1e-4)
     quality = _expit(_logit(F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("__doc")))) + _logit(safe) - F.lit(float(np.log(prior / (1 - prior)))))
-    return out.select(*docs.columns, "__doc", path_rate.alias("__site"), quality.alias("__quality"))
+    return out.select(*kept, "__doc", path_rate.alias("__site"), quality.alias("__quality"))

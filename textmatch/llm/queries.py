@@ -37,7 +37,7 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
-    out = quality.scored(docs.select("doc_id", "text", "source", "lang"), model)
+    out = quality.scored(docs, model, keep=("doc_id",))
     return out.select("doc_id", F.col("__doc").alias("document_quality"), F.col("__site").alias("site_quality"), F.col("__quality").alias("quality"), (F.col("__quality") >= 0.5).alias("keep"))
 
 
