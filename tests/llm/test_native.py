@@ -71,6 +71,19 @@ def test_mix_of_nothing_and_of_importance(spark):
     assert counts[0] > counts[1]
 
 
+def test_mix_by_a_table_of_weights(spark):
+    docs, rows = odd_docs(spark)
+    weights = spark.createDataFrame([("a", 2.0), (None, 1.0), ("ü", None), ("none such", 5.0)], "source string, weight double")
+    got = mixing.mix(docs, weights, share=0.5).collect()
+    taken = {}
+    for r in got:
+        n, target = taken.get(r["source"], (0, r["__target"]))
+        taken[r["source"]] = (n + r["__copies"] * r["__size"], target)
+    assert len(got) == len(rows) and taken["b"] == taken["ü"] == (0, 0.0)
+    assert all(t > 0 and abs(n - t) <= max(r["__size"] for r in got if r["source"] == s) for s, (n, t) in taken.items() if s in ("a", None))
+    assert all(r["__copies"] == 0 for r in mixing.mix(docs, weights.limit(0)).collect())
+
+
 def test_shards_are_contiguous_and_balanced(spark):
     docs, rows = odd_docs(spark)
     got = sharding.shards(docs, 5).collect()

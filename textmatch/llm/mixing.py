@@ -22,20 +22,22 @@ def targets(by_source: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataF
     """Words wanted from each source.
 
     by_source: source, source_size, weight. share times all words are divided by weight; no source gives more than
-    cap times its own words, and what is above goes to the others by weight until none is above. Sources ordered
+    cap times its own words, and what is above goes to the others by weight until none is above. Without weight, a source
+    gives nothing. Sources ordered
     by cap * size / weight are capped first, so the level is that of the first source that stays below its cap; levels fall from there on.
     One row a source; this table has as many rows as there are sources, not documents.
     """
-    sized = by_source.withColumn("limit", F.col("source_size") * F.lit(cap)).withColumn("ratio", F.col("limit") / F.col("weight"))
+    sized = by_source.withColumn("limit", F.col("source_size") * F.lit(cap)).withColumn("ratio", F.try_divide("limit", "weight"))
     everything = Window.partitionBy()
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
+    order = Window.orderBy(F.col("ratio").asc_nulls_last(), F.col("source").asc_nulls_last())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(everything) * F.lit(share) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    level = F.try_divide(
+        F.sum("source_size").over(everything) * F.lit(share) - F.coalesce(F.sum("limit").over(before), F.lit(0.0)),
+        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
     )
     levelled = sized.withColumn("level", level)
     cut = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
-    target = F.least(F.col("limit"), F.coalesce(cut, F.lit(float("inf"))) * F.col("weight"))
+    target = F.when(F.col("weight") > 0, F.least(F.col("limit"), F.coalesce(cut, F.lit(float("inf"))) * F.col("weight"))).otherwise(0.0)
     return levelled.withColumn("target", target).drop("limit", "ratio", "level", "weight")
 
 
@@ -56,7 +58,8 @@ def mix(
     """Give every document the number of copies the mix takes.
 
     docs: doc_id, text, source and any other columns; all are kept. Added: __size (words), __source_size, __target
-    and __copies. weights: a tuple dealt in turn to the sources in code point order, or a table (source, weight).
+    and __copies. weights: a tuple dealt in turn to the sources in code point order, or a table (source, weight),
+    in which a missing or null weight is 0.
 
     Every document of a source is due target / source_size copies. The whole part of that is taken for certain; the
     rest is a Pareto order sample: documents are ranked by the odds of a fixed random number over the odds of their
