@@ -311,6 +311,35 @@ def test_neighbours_among_near_copies(spark):
     assert hit / (20 * len(asked)) >= 0.99
 
 
+def test_neighbours_recall_on_the_given_table(spark, sf):
+    """The registered query's table at hand, every query against brute force."""
+    from textmatch.llm import queries
+
+    rows = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    ids = sorted(rows)
+    x, got, hit = np.array([rows[i] for i in ids], np.float64), {}, 0
+    for r in queries.op6_neighbours(spark, sf).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = [i for i in ids if i % 20 == 0]
+    assert sorted(got) == asked
+    for q in asked:
+        score = x @ x[ids.index(q)]
+        score[ids.index(q)] = -np.inf
+        hit += len({ids[j] for j in np.argsort(-score, kind="stable")[:20]} & got[q])
+    assert hit / (20 * len(asked)) >= 0.9
+
+
+def test_reranking_goes_on_while_it_finds_better_ones():
+    score = np.arange(1000) % 977 * 1.0
+    names, spread, tied = np.arange(1000), np.arange(1000), np.zeros(1000, int)
+    best, _ = ann._reranked(names, tied, lambda new: score[new], names, 5, 10)
+    assert best.tolist() == [976, 975, 974, 973, 972]  # all tie, so all are reranked
+    best, _ = ann._reranked(names, spread, lambda new: -score[new], names, 5, 10)
+    assert best.tolist() == [0, 1, 2, 3, 4]  # stops after one doubling without a better one
+    best, _ = ann._reranked(names, spread, lambda new: score[new], names, 5, 10)
+    assert best.tolist() == [976, 975, 974, 973, 972]
+
+
 def test_neighbours_are_complete_where_lists_hold_few(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(400, 16)).astype(np.float32))]

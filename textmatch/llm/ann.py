@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by a permutation index: pivot orders, inverted files, exact rerank of all that is met."""
+"""Approximate nearest neighbours by a permutation index: pivot orders, inverted files, footrule ranking, exact rerank."""
 
 from __future__ import annotations
 
@@ -18,17 +18,20 @@ from textmatch.llm.jaccard import _groups, _group_numbers
 class IndexConfig:
     """pivots: vectors that others are ordered by, a fixed-size sample (those with the smallest hashes).
 
-    Every vector is posted under its post nearest pivots, and a query reads the lists of its probe nearest. All that it
-    meets is ranked by the exact score, so near copies that the pivots cannot tell apart are never cut.
-    Defaults are for data without structure (64 dimensions, recall 0.95); clustered data does with fewer probes.
-    block bounds the rows of either side that one task compares at once, slice the queries of one matrix product.
+    Every vector is posted under its post nearest pivots, and a query reads the lists of its probe nearest. What it meets
+    in a list is ranked by footrule distance and reranked by exact score from the nearest on: first `first`, then twice as
+    many, and so on, with all that tie with the last, until a doubling brings nothing new among the best. So where pivots
+    can't tell vectors apart, as among near copies, all of them are reranked.
+    Lists hold post / pivots of all vectors: where vectors are clustered, more pivots make for fewer to meet. The defaults
+    are for data without structure (64 dimensions), where a query has to meet most of them for a recall above 0.9.
+    block bounds the rows of either side that one task compares at once.
     """
 
     pivots: int = 128
     post: int = 8
     probe: int = 20
+    first: int = 128
     block: int = 4096
-    slice: int = 256
 
 
 def valid(vectors: DataFrame, dims: int | None = None) -> DataFrame:
@@ -57,7 +60,7 @@ def _orders(config: IndexConfig, pivots: np.ndarray, top: float):
         near = x @ pivots.T
         if not is_query:
             near = near + fill(x)[:, None] * extra
-        return np.argsort(-near, axis=1, kind="stable").astype(np.uint8)
+        return np.argsort(-near, axis=1, kind="stable").astype(np.uint16)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -75,21 +78,39 @@ def _orders(config: IndexConfig, pivots: np.ndarray, top: float):
     return run
 
 
-def _marked(lists: list[bytes], upto: int | None = None) -> np.ndarray:
-    """A row of zeros and ones over pivots for each list of pivots; with upto, only those named before it."""
-    out = np.zeros((len(lists), 256), np.float32)
-    for row, names in zip(out, lists, strict=True):
-        row[list(names if upto is None else names[: names.index(upto)])] = 1
+def _places(lists: np.ndarray, pivots: int, absent: int) -> np.ndarray:
+    """Pivots by vectors: the place of each pivot in each vector's list."""
+    out = np.full((pivots, len(lists)), absent, np.int16)
+    for place in range(lists.shape[1]):
+        out[lists[:, place], np.arange(len(lists))] = place
     return out
 
 
-def _searched(config: IndexConfig, k: int):
+def _reranked(order: np.ndarray, distance: np.ndarray, score, names: np.ndarray, k: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of candidates that are ordered by footrule distance, and their scores; see IndexConfig for where it stops."""
+    best, scores, done, upto = np.empty(0, np.int64), np.empty(0), 0, first
+    while done < len(order):
+        upto = int(np.searchsorted(distance, distance[min(upto, len(order)) - 1], side="right"))  # with all ties
+        new = order[done:upto]
+        both, all_scores = np.concatenate([best, new]), np.concatenate([scores, score(new)])
+        at = np.lexsort((names[both], -all_scores))[:k]
+        settled = done > 0 and (at < len(best)).all()
+        best, scores, done, upto = both[at], all_scores[at], upto, 2 * upto
+        if settled:
+            break
+    return best, scores
+
+
+def _searched(config: IndexConfig, k: int, pivots: int):
     """From sorted posting blocks: the k best groups of each query among those it meets first in this list.
 
-    A matrix product scores all of them; those within its rounding of the k-th are scored again, each by itself.
-    In the list -1, which holds every vector, a query meets all.
+    Two orders of pivots differ by the sum, over pivots, of how far their places are apart, a pivot that isn't in a list
+    having the place after the longest one's last. Over pivots that are not in the query's list that sum depends on the
+    vector's other terms only, so places of the query's pivots are enough. In the list -1, which holds every vector, a
+    query meets all.
     """
     by = ["pivot", "qb", "vb"]
+    absent = max(config.probe, config.post)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for many in _groups(frames, by):
@@ -104,22 +125,20 @@ def _searched(config: IndexConfig, k: int):
                 x = np.frombuffer(b"".join(frame["vector"]), np.float64).reshape(len(frame), -1)
                 ids, lists = frame["gid"].to_numpy(), frame["lists"].to_numpy()
                 vx, vid, qx, qid = x[~is_query], ids[~is_query], x[is_query], ids[is_query]
-                posted = _marked(lists[~is_query].tolist()) if pivot >= 0 else None
-                longest = np.sqrt((vx * vx).sum(axis=1).max())
+                posted = np.frombuffer(b"".join(lists[~is_query]), np.uint16).reshape(len(vx), -1)
+                places = _places(posted, pivots, absent)
                 found = []
-                for at in range(0, len(qid), config.slice):
-                    part = qx[at : at + config.slice]
-                    scores = part @ vx.T
-                    if posted is not None:
-                        before = _marked(lists[is_query][at : at + config.slice].tolist(), pivot)
-                        scores[before @ posted.T > 0] = -np.inf
-                    cut = np.partition(scores, -k, axis=1)[:, -k] if len(vid) > k else np.full(len(part), -np.inf)
-                    cut = cut - 1e-12 * len(vx[0]) * longest * np.sqrt((part * part).sum(axis=1))
-                    for i in range(len(part)):
-                        new = np.flatnonzero((scores[i] >= cut[i]) & (scores[i] > -np.inf))
-                        score = (vx[new] * part[i]).sum(axis=1)
-                        best = np.lexsort((vid[new], -score))[:k]
-                        found.append((np.full(len(best), qid[at + i]), vid[new][best], score[best]))
+                for q, row, names in zip(qid, qx, lists[is_query], strict=True):
+                    names = np.frombuffer(names, np.uint16)
+                    near = places[names]
+                    met = np.arange(len(vx))
+                    if pivot >= 0:  # what an earlier list of this query holds was met there
+                        met = np.flatnonzero((near[: int(np.argmax(names == pivot))] == absent).all(axis=0))
+                        near = near[:, met]
+                    distance = (np.abs(near - np.arange(len(names), dtype=np.int16)[:, None]) + near).sum(axis=0, dtype=np.int32)
+                    at = np.argsort(distance, kind="stable")
+                    best, scores = _reranked(met[at], distance[at], lambda new, row=row: (vx[new] * row).sum(axis=1), vid, k, config.first)
+                    found.append((np.full(len(best), q), vid[best], scores))
                 q, g, s = (np.concatenate(c) for c in zip(*found, strict=True))
                 if len(q):
                     yield pd.DataFrame({"qgid": q, "gid": g, "score": s})
@@ -127,7 +146,7 @@ def _searched(config: IndexConfig, k: int):
     return run
 
 
-def _best(postings: DataFrame, k: int, config: IndexConfig) -> DataFrame:
+def _best(postings: DataFrame, k: int, config: IndexConfig, pivots: int) -> DataFrame:
     """The k best groups of each query in the lists of postings, block against block."""
     sizes = postings.groupBy("pivot").agg(F.count_if("is_query").alias("nq"), F.count_if(~F.col("is_query")).alias("nv"))
     sizes = sizes.select("pivot", *[F.greatest(F.lit(1), F.ceil(F.col(c) / config.block)).cast("int").alias(c) for c in ("nq", "nv")])
@@ -138,7 +157,7 @@ def _best(postings: DataFrame, k: int, config: IndexConfig) -> DataFrame:
     placed = placed.withColumn("qb", F.when(F.col("is_query"), F.col("own")).otherwise(F.col("other")))
     placed = placed.withColumn("vb", F.when(F.col("is_query"), F.col("other")).otherwise(F.col("own"))).drop("own", "other", "nq", "nv")
     together = placed.repartition("pivot", "qb", "vb").sortWithinPartitions("pivot", "qb", "vb")
-    found = together.mapInPandas(_searched(config, k), "qgid long, gid long, score double")
+    found = together.mapInPandas(_searched(config, k, pivots), "qgid long, gid long, score double")
     by_query = Window.partitionBy("qgid").orderBy(F.desc("score"), "gid")
     return found.withColumn("n", F.row_number().over(by_query)).where(F.col("n") <= k).drop("n")
 
@@ -150,8 +169,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, config: IndexCo
     inner product of the original vectors in double precision; equal scores go by smaller vec_id.
 
     Equal vectors are indexed once, with their k + 1 smallest ids, which are all that can be returned; so a vector that
-    a third of all rows share is one posting. The index is approximate in the lists that a query reads, all of whose
-    vectors are ranked exactly: measure recall against brute force. A query whose lists hold too few meets every vector.
+    a third of all rows share is one posting. The index is approximate in the lists that a query reads and in where its
+    reranking stops: measure recall against brute force. A query whose lists hold too few meets every vector.
 
     Defined results: vectors that are null, zero, of another length than most, or hold a null or non-finite component
     take no part on either side; rows repeated with one vec_id count once; with fewer candidates than k, all are
@@ -163,7 +182,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, config: IndexCo
     by_vector = Window.partitionBy("embedding").orderBy("vec_id")
     few = rows.withColumn("n", F.dense_rank().over(by_vector)).where(F.col("n") <= k + 1)
     unique = stored(few.groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).withColumn("gid", F.element_at("ids", 1)))
-    fitted = unique.orderBy(F.xxhash64("embedding"), "gid").select("embedding").limit(min(config.pivots, 255)).collect()  # pivots bounds it
+    fitted = unique.orderBy(F.xxhash64("embedding"), "gid").select("embedding").limit(config.pivots).collect()  # pivots bounds it
     if not fitted:
         return spark.createDataFrame([], schema)
     pivots = np.array([r[0] for r in fitted], np.float64)
@@ -175,14 +194,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, config: IndexCo
     both = unique.select("gid", "embedding", F.lit(False).alias("is_query")).unionByName(asked_once.select("gid", "embedding", F.lit(True).alias("is_query")))
     ordered = both.mapInPandas(_orders(config, pivots, top), "gid long, is_query boolean, vector binary, lists binary, pivot array<int>")
     postings = stored(ordered.repartition("gid").select("gid", "is_query", "vector", "lists", F.posexplode("pivot").alias("pos", "pivot")))
-    groups = stored(_best(postings.drop("pos"), k + 1, config))
+    groups = stored(_best(postings.drop("pos"), k + 1, config, len(pivots)))
     full = groups.groupBy("qgid").count().where(F.col("count") >= min(k + 1, unique.count()))
     short = stored(asked_once.select("gid").join(full.select(F.col("qgid").alias("gid")).hint("merge"), "gid", "left_anti"))
     if short.limit(1).count():  # their lists hold too few: they meet every vector
         once = postings.where("pos = 0").withColumn("pivot", F.lit(-1)).drop("pos")
         rest = once.where("is_query").join(short.hint("merge"), "gid", "left_semi").unionByName(once.where("not is_query"))
         kept = groups.join(short.select(F.col("gid").alias("qgid")).hint("merge"), "qgid", "left_anti")
-        groups = kept.unionByName(_best(rest, k + 1, config))
+        groups = kept.unionByName(_best(rest, k + 1, config, len(pivots)))
     ids = groups.join(unique.select("gid", "ids").hint("merge"), "gid").select("qgid", "score", F.explode("ids").alias("vec_id"))
     best = ids.groupBy("qgid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k + 1).alias("best"))
     named = asked_once.select("embedding", F.col("gid").alias("qgid")).join(best.hint("merge"), "qgid").select("embedding", "best")
