@@ -40,38 +40,47 @@ def rescore(postings: DataFrame, profiles: DataFrame, on: list[str]) -> DataFram
     return fresh.withColumn("match_score", F.coalesce("match_score", "__old")).drop("__old")
 
 
-def lexical_candidates(terms: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(term, phrase) pairs that share a token or a crude stem: an equi-join on both, no pair is tried in vain."""
+def lexical_candidates(terms: DataFrame, phrases: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(term, phrase) pairs that share a token or a crude stem: an equi-join on both, no pair is tried in vain.
+
+    by: columns of both sides that a pair must share, such as a document's id.
+    """
 
     def keys(df: DataFrame, c: str) -> DataFrame:
         found = tokens(F.col(c))
-        return df.select(c, F.explode(F.array_distinct(F.concat(found, F.transform(found, crude_stem)))).alias("key"))
+        return df.select(*by, c, F.explode(F.array_distinct(F.concat(found, F.transform(found, crude_stem)))).alias("key"))
 
-    return keys(terms, "term").join(keys(phrases, "phrase"), "key").select("term", "phrase").distinct()
+    return keys(terms, "term").join(keys(phrases, "phrase").hint("shuffle_hash"), [*by, "key"]).select(*by, "term", "phrase").distinct()
 
 
-def bm25(queries: DataFrame, phrases: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+def bm25(queries: DataFrame, phrases: DataFrame, config: RetrievalConfig = RetrievalConfig(), by: tuple[str, ...] = ()) -> DataFrame:
     """Okapi scores of phrases (phrase) for queries (query) with a shared token. Both sides hold distinct rows.
 
-    The token join is the inverted index. Phrase lengths and document frequencies are grouped sums; totals are one row.
+    by: columns of both sides; the phrases of each of their values are a collection of its own, asked by the queries of
+    that value. The token join is the inverted index. Phrase lengths and document frequencies are grouped sums.
     """
-    rows = phrases.select("phrase", tokens(F.col("phrase")).alias("t")).withColumn("dl", F.size("t"))
-    tf = rows.select("phrase", "dl", F.explode("t").alias("token")).groupBy("phrase", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    corpus = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus))  # one row
+    by = list(by)
+    rows = phrases.select(*by, "phrase", tokens(F.col("phrase")).alias("t")).withColumn("dl", F.size("t"))
+    tf = rows.select(*by, "phrase", "dl", F.explode("t").alias("token")).groupBy(*by, "phrase", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+
+    def beside(df: DataFrame, totals: DataFrame) -> DataFrame:
+        return df.join(totals.hint("shuffle_hash"), by) if by else df.crossJoin(F.broadcast(totals))  # one row
+
+    corpus = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    df = beside(tf.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df")), corpus)
     idf = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.agg(F.avg("raw").alias("mean"))
-    idf = idf.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, config.idf_floor * F.col("mean")).otherwise(F.col("raw")))  # one row
-    asked = queries.select("query", F.explode(tokens(F.col("query"))).alias("token"))
-    hits = asked.join(tf, "token").join(idf.select("token", "idf", "avgdl"), "token")
+    mean = idf.groupBy(*by).agg(F.avg("raw").alias("mean"))
+    idf = beside(idf, mean).withColumn("idf", F.when(F.col("raw") < 0, config.idf_floor * F.col("mean")).otherwise(F.col("raw")))
+    asked = queries.select(*by, "query", F.explode(tokens(F.col("query"))).alias("token"))
+    hits = tf.join(asked.hint("shuffle_hash"), [*by, "token"]).join(idf.select(*by, "token", "idf", "avgdl").hint("shuffle_hash"), [*by, "token"])
     part = F.col("idf") * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query", "phrase").agg(F.sum(part).alias("score"))
+    return hits.groupBy(*by, "query", "phrase").agg(F.sum(part).alias("score"))
 
 
-def bm25_topk(queries: DataFrame, phrases: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+def bm25_topk(queries: DataFrame, phrases: DataFrame, config: RetrievalConfig = RetrievalConfig(), by: tuple[str, ...] = ()) -> DataFrame:
     """Best top_k phrases with a positive score for each query; ties by phrase. Scores are rounded to nine places first."""
-    scored = bm25(queries, phrases, config).withColumn("score", F.round("score", 9)).where("score > 0")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "phrase")
+    scored = bm25(queries, phrases, config, by).withColumn("score", F.round("score", 9)).where("score > 0")
+    order = Window.partitionBy(*by, "query").orderBy(F.desc("score"), "phrase")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.top_k)
 
 
@@ -86,18 +95,18 @@ def cap_pairs(candidates: DataFrame, on: str, cap: int = 500) -> DataFrame:
     return counted.where((F.col("__total") <= cap) | (F.col("rank") <= most)).drop("__total", "__n")
 
 
-def semantic_match(candidates: DataFrame, vectors: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+def semantic_match(candidates: DataFrame, vectors: DataFrame, config: RetrievalConfig = RetrievalConfig(), by: tuple[str, ...] = ()) -> DataFrame:
     """Best phrase of each query's shortlist by cosine, matched from the threshold on.
 
-    candidates: query, phrase, rank, is_required. vectors: text, vector. Required terms get no credit, others
+    candidates: by.., query, phrase, rank, is_required. vectors: text, vector. Required terms get no credit, others
     credit times similarity, credit at most. Ties go to the better shortlist rank.
     """
     a, b = vectors.select(F.col("text").alias("query"), F.col("vector").alias("qv")), vectors.select(F.col("text").alias("phrase"), F.col("vector").alias("pv"))
-    scored = candidates.join(a, "query").join(b, "phrase").withColumn("sim", F.round(cosine(F.col("qv"), F.col("pv")), 6))
-    best = scored.groupBy("query", "is_required").agg(F.max(F.struct("sim", (-F.col("rank")).alias("r"), "phrase")).alias("m"))
+    scored = candidates.join(a.hint("merge"), "query").join(b.hint("merge"), "phrase").withColumn("sim", F.round(cosine(F.col("qv"), F.col("pv")), 6))
+    best = scored.groupBy(*by, "query", "is_required").agg(F.max(F.struct("sim", (-F.col("rank")).alias("r"), "phrase")).alias("m"))
     hit = F.col("m.sim") >= config.threshold
     credit = F.when(F.col("is_required") | ~hit, F.lit(0.0)).otherwise(F.least(F.lit(config.credit), F.round(config.credit * F.col("m.sim"), 6)))
-    return best.select("query", "is_required", F.col("m.phrase").alias("phrase"), F.col("m.sim").alias("similarity"), hit.alias("matched"), credit.alias("credit"))
+    return best.select(*by, "query", "is_required", F.col("m.phrase").alias("phrase"), F.col("m.sim").alias("similarity"), hit.alias("matched"), credit.alias("credit"))
 
 
 def embedding_calls(candidates: DataFrame) -> DataFrame:

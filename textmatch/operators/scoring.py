@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmatch.functions.joins import lookup_join
+from textmatch.sources.storage import stored
+
 # Phrases that ask for a look by a person and never fail a document.
 REVIEW_PHRASES = ("must be authorized", "no sponsorship", "us citizen", "security clearance required", "must be local")
 
@@ -73,8 +76,8 @@ def match_terms(terms: DataFrame, found: DataFrame, docs: DataFrame, as_of_year:
 
     terms: posting_id, term, is_required. docs: posting_id, doc_id, the pairs to score. found: from find_terms.
     """
-    asked = docs.select("posting_id", "doc_id").join(terms, "posting_id")
-    rows = asked.join(found, ["doc_id", "term"], "left")
+    asked = lookup_join(docs.select("posting_id", "doc_id"), stored(terms), ["posting_id"], salt="doc_id")
+    rows = asked.join(found.hint("merge"), ["doc_id", "term"], "left")
     matched = F.col("sections_found").isNotNull()
     section = best_section(F.col("sections_found"), config)
     return rows.select(

@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmatch.functions.text import bounded_count, escaped, matches, normalise_term, protected_tokens, tokens
+from textmatch.functions.joins import lookup_join
+from textmatch.functions.text import bounded_count, matches, normalise_term, protected_tokens, tokens
+from textmatch.sources.storage import stored
 
 # Names of technologies and practices, grouped by kind; ends are lookarounds so that C++ and C# match.
 TECH_GROUPS = (
@@ -24,6 +26,10 @@ TECH_GROUPS = (
 )
 
 
+# Shapes of a technical word: capitals inside, a run of capitals before small letters, capitals only.
+TECHNICAL_WORD = "^(?:[A-Z][a-z]+[A-Z][A-Za-z0-9]*|[A-Z]{2,4}[a-z][A-Za-z0-9]*|[A-Z]{2,})$"
+
+
 @dataclass(frozen=True)
 class WeightConfig:
     required: float = 2.0
@@ -67,34 +73,84 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def ngram_phrases(lines: DataFrame, n: int = 4, least: int = 2, key: str = "posting_id") -> DataFrame:
-    """Phrases of one to n words that occur `least` times in a posting's lines: key, phrase, n."""
-    grams = F.flatten(F.array(*[ngrams(F.col("__t"), i) for i in range(1, n + 1)]))
-    rows = lines.select(key, tokens(F.col("line")).alias("__t")).select(key, F.explode(grams).alias("phrase"))
-    return rows.groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    """Phrases of one to n words that occur `least` times in a posting's lines, or hold a technical word: key, phrase, n.
+
+    Lines are dealt to tasks by key, once; their phrases are counted there as 64-bit hashes, each with the line and place of
+    one occurrence, and written out as words only where they are kept.
+    """
+    said = F.transform(F.filter(matches(F.col("line"), "[A-Za-z0-9_]+"), lambda w: (F.length(w) >= 4) & w.rlike(TECHNICAL_WORD)), lambda w: F.lower(w))
+    rows = lines.select(key, F.xxhash64("line").alias("__line"), tokens(F.col("line")).alias("__t"), said.alias("__p")).repartition(key)
+
+    def hashed(i: int) -> Column:
+        last = F.size("__t") - (i - 1)
+
+        def gram(j: Column) -> Column:
+            words = F.slice("__t", j, i)
+            return F.struct(F.xxhash64(words, F.lit(i)).alias("h"), (j * 16 + i).alias("at"), F.when(F.size("__p") > 0, F.arrays_overlap(words, F.col("__p"))).otherwise(False).alias("technical"))
+
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), gram))
+
+    grams = F.flatten(F.filter(F.array(*[hashed(i) for i in range(1, n + 1)]), lambda x: x.isNotNull()))
+    counted = rows.select(key, "__line", F.explode(grams).alias("__g")).groupBy(key, F.col("__g.h").alias("__h")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("__line", "__g.at")).alias("__w"), F.max("__g.technical").alias("__technical")
+    )
+    kept = counted.where((F.col("n") >= least) | F.col("__technical")).select(key, "n", "__w.__line", "__w.at")
+    once = rows.select(key, "__line", "__t").dropDuplicates([key, "__line"])
+    named = kept.join(once.hint("shuffle_hash"), [key, "__line"])
+    return named.select(key, F.array_join(F.slice("__t", F.shiftright("at", 4), F.col("at").bitwiseAND(F.lit(15))), " ").alias("phrase"), "n")
+
 
+def dedup_subphrases(phrases: DataFrame, key: str = "posting_id") -> DataFrame:
+    """Phrases that aren't a contiguous part of a longer one of the same key.
 
-def dedup_subphrases(phrases: DataFrame, key: str = "posting_id", longest: int = 6) -> DataFrame:
-    """Phrases that aren't a contiguous part of a longer one of the same key, of up to `longest` words."""
+    Only parts of lengths that occur among the phrases are made.
+    """
     rows = phrases.select(key, "phrase", F.split("phrase", " ").alias("__w"))
-    parts = F.flatten(F.array(*[F.when(F.size("__w") > i, ngrams(F.col("__w"), i)).otherwise(F.array().cast("array<string>")) for i in range(1, longest)]))
-    covered = rows.select(key, F.explode(parts).alias("phrase")).distinct()
-    return phrases.join(covered, [key, "phrase"], "left_anti")
+    lengths = sorted(r[0] for r in rows.select(F.size("__w").alias("n")).distinct().collect())[:-1]  # a row a length
+    parts = F.flatten(F.array(*[F.when(F.size("__w") > i, ngrams(F.col("__w"), i)).otherwise(F.array().cast("array<string>")) for i in lengths])) if lengths else F.array().cast("array<string>")
+    covered = rows.select(key, F.explode(F.array_distinct(parts)).alias("phrase")).distinct()
+    return phrases.join(covered.hint("shuffle_hash"), [key, "phrase"], "left_anti")
 
 
-def extract_phrases(lines: DataFrame, stop_words: tuple[str, ...], allowed: DataFrame, n: int = 3, key: str = "posting_id") -> DataFrame:
+def extract_phrases(lines: DataFrame, stop_words: tuple[str, ...], allowed: DataFrame, n: int = 6, key: str = "posting_id", chunks: str | None = None) -> DataFrame:
     """Protected tokens, and phrases of two to n words that neither start nor end with a stop word; single words only if allowed.
 
-    Stands in for noun chunks, for which a language model would be needed: any column of chunks can be unioned to it.
-    allowed: a table of single words (term), joined, not collected.
+    Phrases stand in for noun chunks, for which a language model would be needed; chunks names a column of them (array of
+    strings) to take instead. allowed: a table of single words (term), joined, not collected.
     """
     stops = F.array(*[F.lit(w) for w in stop_words])
-    shielded = lines.select(key, F.explode(protected_tokens(F.col("line"))).alias("phrase"))
-    words = lines.select(key, tokens(F.col("line")).alias("__t"))
-    grams = F.flatten(F.array(*[ngrams(F.col("__t"), i) for i in range(2, n + 1)]))
-    chunks = words.select(key, F.explode(grams).alias("phrase")).withColumn("__w", F.split("phrase", " "))
-    chunks = chunks.where(~F.array_contains(stops, F.col("__w")[0]) & ~F.array_contains(stops, F.element_at("__w", -1))).select(key, "phrase")
-    single = words.select(key, F.explode("__t").alias("phrase")).join(allowed.select(F.col("term").alias("phrase")).distinct(), "phrase", "left_semi").select(key, "phrase")
-    return shielded.unionByName(chunks).unionByName(single).where(F.length("phrase") >= 4).distinct()
+    lines = lines.withColumn("__t", tokens(F.col("line")))
+    words = F.col("__t")
+
+    def runs(i: int) -> Column:
+        last = F.size(words) - (i - 1)
+        fits = lambda j: ~F.array_contains(stops, words[j - 1]) & ~F.array_contains(stops, words[j + i - 2])
+        return F.when(last >= 1, F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), fits), lambda j: F.array_join(F.slice(words, j, i), " ")))
+
+    made = F.col(chunks) if chunks else F.flatten(F.filter(F.array(*[runs(i) for i in range(2, n + 1)]), lambda x: x.isNotNull()))
+    several = F.concat(protected_tokens(F.col("line")), F.filter(F.coalesce(made, F.array().cast("array<string>")), lambda c: F.size(F.split(c, " ")) <= n))
+    phrases = lines.select(key, F.explode(F.array_distinct(several)).alias("phrase"))
+    single = lines.select(key, F.explode(F.array_distinct(words)).alias("phrase"))
+    single = lookup_join(single, stored(allowed.select(F.col("term").alias("phrase")).distinct()), ["phrase"], "left_semi", salt=key)
+    return phrases.unionByName(single).where(F.length("phrase") >= 4).distinct()
+
+
+def _occurrences(text: Column, term: Column) -> Column:
+    """How often a term occurs in a text, both in lower case, without overlap."""
+    rest = F.replace(text, term, F.lit(""))
+    return F.when(F.length(term) > 0, (F.length(text) - F.length(rest)) / F.length(term)).otherwise(0).cast("long")
+
+
+def in_texts(terms: DataFrame, texts: DataFrame, on: list[str], columns: list[str], measures: dict) -> DataFrame:
+    """Measures of each term in its posting's texts, with the terms' columns.
+
+    Terms are gathered by posting, as many as a posting has, so a text is read once and not copied for each of them.
+    measures: functions from a gathered element to a column over it and the columns of texts.
+    """
+    gathered = terms.groupBy(*on).agg(F.collect_list(F.struct(*columns)).alias("__terms"))
+    rows = gathered.join(texts.hint("merge"), on)
+    made = F.transform("__terms", lambda t: F.struct(*[t[c].alias(c) for c in columns], *[f(t).alias(name) for name, f in measures.items()]))
+    return rows.select(*on, F.explode(made).alias("__t")).select(*on, "__t.*")
 
 
 def weighted_terms(found: DataFrame, texts: DataFrame, config: WeightConfig = WeightConfig(), stack: bool = False) -> DataFrame:
@@ -106,22 +162,19 @@ def weighted_terms(found: DataFrame, texts: DataFrame, config: WeightConfig = We
     """
     order = F.when(F.col("section") == "required", 0).when(F.col("section") == "preferred", 1).otherwise(2)
     rows = found.groupBy("posting_id", "term").agg(F.min(order).alias("__o"), F.max(order == 1).alias("__p"))
-    rows = rows.join(texts.select("posting_id", F.lower("description").alias("__d"), F.lower("title").alias("__t")), "posting_id")
-    n = F.regexp_count(F.col("__d"), escaped(F.lower("term")))
+    low = texts.select("posting_id", F.lower("description").alias("__d"), F.lower("title").alias("__title"))
+    measures = {"n": lambda t: _occurrences(F.col("__d"), F.lower(t["term"])), "__in_title": lambda t: F.contains(F.col("__title"), F.lower(t["term"]))}
+    rows = in_texts(rows, low, ["posting_id"], ["term", "__o", "__p"], measures)
+    n = F.col("n")
     boost = F.when(n >= config.boost_from, F.least(F.lit(config.boost_cap), 1 + config.boost_step * F.least(F.lit(5), n - 2))).otherwise(F.lit(1.0))
     first = F.when(F.col("__o") == 0, config.required).when(F.col("__o") == 1, config.preferred).otherwise(1.0)
     both = F.when(F.col("__o") == 0, config.required).otherwise(1.0) * F.when(F.col("__p"), config.preferred).otherwise(1.0)
-    title = F.when(F.contains("__t", F.lower("term")), config.title).otherwise(1.0)
+    title = F.when(F.col("__in_title"), config.title).otherwise(1.0)
     weight = F.round((boost * (both if stack else first) * title).cast("decimal(18,6)"), 3).cast("double")
-    return rows.select("posting_id", "term", (F.col("__o") == 0).alias("is_required"), n.cast("long").alias("freq"), weight.alias("weight"))
+    return rows.select("posting_id", "term", (F.col("__o") == 0).alias("is_required"), n.alias("freq"), weight.alias("weight"))
 
 
-# Inflections of the last word by its ending: (ending, letters it needs, endings to take off and put on).
-INFLECTIONS = (
-    ("ing", 5, (("ing", "e"), ("ing", "ed"), ("ing", "es"), ("ing", "ed"))),
-    ("ed", 4, (("d", ""), ("d", "s"), ("ed", "ing"))),
-    ("e", 3, (("", "d"), ("", "s"), ("e", "ing"))),
-)
+# Endings of plurals and what singulars have instead.
 PLURALS = (("ies", "y"), ("ves", "f"), ("ses", "s"), ("s", ""))
 
 
@@ -129,6 +182,13 @@ def _swap(word: Column, off: str, on: str) -> Column:
     return F.concat(F.substring(word, F.lit(1), F.length(word) - len(off)), F.lit(on))
 
 
+def _inflected(word: Column) -> Column:
+    """Forms of a verb: its base in e, and that with d, with s, and with ing for e; empty for words that end otherwise."""
+    stem = F.when(F.endswith(word, F.lit("ing")) & (F.length(word) >= 5), _swap(word, "ing", ""))
+    stem = stem.when(F.endswith(word, F.lit("ed")) & (F.length(word) >= 4), _swap(word, "ed", "")).when(F.endswith(word, F.lit("e")) & (F.length(word) >= 3), _swap(word, "e", ""))
+    return F.when(stem.isNotNull(), F.array(*[F.concat(stem, F.lit(x)) for x in ("e", "ed", "es", "ing")])).otherwise(F.array().cast("array<string>"))
+
+
 def term_variants(terms: DataFrame, abbreviations: DataFrame) -> DataFrame:
     """All spellings (term, variant) a term is accepted in.
 
@@ -143,17 +203,12 @@ def term_variants(terms: DataFrame, abbreviations: DataFrame) -> DataFrame:
         out.append(F.when(single & F.endswith(n, F.lit(off)) & (F.length(n) > len(off) + 2), _swap(n, off, on)))
     out.append(F.when(single & ~F.endswith(n, F.lit("s")), F.concat(n, F.lit("s"))))
     last, head = F.element_at(F.split(n, " "), -1), F.regexp_replace(n, r" [^ ]+$", "")
-    taken = F.lit(False)
-    for ending, least, swaps in INFLECTIONS:
-        fits = ~single & F.endswith(last, F.lit(ending)) & (F.length(last) >= least) & ~taken
-        for off, on in swaps:
-            for glue in (" ", "-"):
-                out.append(F.when(fits, F.concat(head, F.lit(glue), _swap(last, off, on))))
-        taken = taken | (F.endswith(last, F.lit(ending)) & (F.length(last) >= least))
-    made = base.select("term", F.explode(F.filter(F.array(*out), lambda v: v.isNotNull())).alias("variant"))
+    forms = F.when(single, F.array().cast("array<string>")).otherwise(_inflected(last))
+    spelled = F.flatten(F.transform(forms, lambda x: F.array(F.concat(head, F.lit(" "), x), F.concat(head, F.lit("-"), x))))
+    made = base.select("term", F.explode(F.concat(F.filter(F.array(*out), lambda v: v.isNotNull()), spelled)).alias("variant"))
     short = abbreviations.select(normalise_term(F.col("term")).alias("__n"), F.lower("expansion").alias("variant"))
     long = abbreviations.select(normalise_term(F.col("expansion")).alias("__n"), F.lower("term").alias("variant"))
-    named = base.join(short.unionByName(long), "__n").select("term", "variant")
+    named = base.join(short.unionByName(long).hint("shuffle_hash"), "__n").select("term", "variant")
     return made.unionByName(named).distinct()
 
 
@@ -165,11 +220,12 @@ def find_terms(variants: DataFrame, blocks: DataFrame) -> DataFrame:
     spellings that differ in them meet. blocks: doc_id, pos, text, section, recency_year. The first match is the
     earliest block's, then the first in alphabetical order.
     """
-    keyed = variants.withColumn("__g", F.array_join(tokens(F.col("variant")), " ")).where("__g <> ''").withColumn("__len", F.size(F.split("__g", " ")))
-    lengths = sorted(r[0] for r in keyed.select("__len").distinct().collect())  # a row a length
+    keyed = variants.withColumn("__g", F.array_join(tokens(F.col("variant")), " ")).where("__g <> ''").select("__g", "term", "variant")
+    keyed = stored(keyed)
+    lengths = sorted(r[0] for r in keyed.select(F.size(F.split("__g", " "))).distinct().collect())  # a row a length
     words = blocks.withColumn("__t", tokens(F.col("text")))
     grams = F.array_distinct(F.flatten(F.array(*[ngrams(F.col("__t"), i) for i in lengths or [1]])))
-    hits = words.select("doc_id", "pos", "section", "recency_year", F.explode(grams).alias("__g")).join(keyed.select("__g", "term", "variant"), "__g")
+    hits = lookup_join(words.select("doc_id", "pos", "section", "recency_year", F.explode(grams).alias("__g")), keyed, ["__g"], salt="doc_id")
     return hits.groupBy("doc_id", "term").agg(
         F.min(F.struct("pos", "variant"))["variant"].alias("matched_variant"),
         F.sort_array(F.collect_set("section")).alias("sections_found"),
@@ -177,6 +233,37 @@ def find_terms(variants: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
+def found_besides(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Results of find_terms on a document and on blocks put at its end, as if found together."""
+    both = found.withColumn("__late", F.lit(0)).unionByName(more.withColumn("__late", F.lit(1)))
+    return both.groupBy("doc_id", "term").agg(
+        F.min(F.struct("__late", "matched_variant"))["matched_variant"].alias("matched_variant"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("sections_found")))).alias("sections_found"),
+        F.max("last_year").alias("last_year"),
+    )
+
+
+def contained_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Which of many terms each text contains, anywhere in its words: key, term. texts: key, text. terms: term.
+
+    For terms without white space: each distinct word of all texts is tried once, against the terms that share four
+    characters with it (or all of a shorter term), instead of each term against each text.
+    """
+    low = terms.select("term", F.lower("term").alias("__low")).where("__low <> ''").withColumn("__len", F.least(F.lit(4), F.length("__low")))
+    lengths = sorted(r[0] for r in low.select("__len").distinct().collect())  # four rows at most
+    words = stored(texts.select(key, F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("__word")))
+
+    def runs(n: int) -> Column:
+        last = F.length("__word") - (n - 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), lambda i: F.substring("__word", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    vocabulary = words.select("__word").distinct()
+    parts = vocabulary.select("__word", F.explode(F.array_distinct(F.flatten(F.array(*[runs(n) for n in lengths or [1]])))).alias("__run"))
+    keyed = low.select("term", "__low", F.substring("__low", F.lit(1), F.col("__len")).alias("__run"))
+    held = stored(parts.join(keyed.hint("shuffle_hash"), "__run").where(F.contains("__word", F.col("__low"))).select("__word", "term").distinct())
+    return words.join(held.hint("shuffle_hash"), "__word").select(key, "term").distinct()
+
+
 def term_present(text: Column, variant: Column) -> Column:
     """A variant without a letter or digit beside it; for a few terms, where a join isn't worth it."""
     return F.coalesce(bounded_count(text, variant) > 0, F.lit(False))
@@ -188,23 +275,28 @@ def term_substring(text: Column, variant: Column) -> Column:
 
 def term_frequency(terms: DataFrame, texts: DataFrame, on: list[str]) -> DataFrame:
     """Bounded occurrences of each term in its posting."""
-    return terms.join(texts, on).select(*on, "term", F.coalesce(bounded_count(F.col("description"), F.col("term")), F.lit(0)).cast("long").alias("freq"))
+    measures = {"freq": lambda t: F.coalesce(bounded_count(F.col("description"), t["term"]), F.lit(0)).cast("long")}
+    return in_texts(terms, texts.select(*on, "description"), on, ["term"], measures)
 
 
 def critical_missing(missing: DataFrame, texts: DataFrame, on: list[str], least: int = 3) -> DataFrame:
     """Missing terms that are required, frequent or in the title, ranked: required first, then by count, then by term."""
-    rows = missing.join(texts, on)
-    n = F.coalesce(F.regexp_count(F.lower("description"), escaped(F.lower("term"))), F.lit(0)).cast("long")
-    rows = rows.withColumn("freq", n).where(F.col("is_required") | (F.col("freq") >= least) | F.contains(F.lower("title"), F.lower("term")))
+    low = texts.select(*on, F.lower("description").alias("__d"), F.lower("title").alias("__title"))
+    measures = {"freq": lambda t: F.coalesce(_occurrences(F.col("__d"), F.lower(t["term"])), F.lit(0)), "__in_title": lambda t: F.contains(F.col("__title"), F.lower(t["term"]))}
+    rows = in_texts(missing, low, on, ["term", "is_required"], measures)
+    rows = rows.where(F.col("is_required") | (F.col("freq") >= least) | F.col("__in_title"))
     order = Window.partitionBy(*on).orderBy(F.desc("is_required"), F.desc("freq"), "term")
     return rows.select(*on, "term", "is_required", "freq", F.row_number().over(order).alias("rank"))
 
 
 def missing_by_section(missing: DataFrame, section_texts: DataFrame, on: list[str]) -> DataFrame:
     """Missing terms contained in the required text, or else in the preferred text."""
-    rows = missing.join(section_texts, on)
-    required, preferred = F.contains(F.lower("required_text"), F.lower("term")), F.contains(F.lower("preferred_text"), F.lower("term"))
-    return rows.withColumn("kind", F.when(required, "required").when(preferred, "preferred")).where("kind is not null").select(*on, "term", "kind")
+    low = section_texts.select(*on, F.lower("required_text").alias("__r"), F.lower("preferred_text").alias("__p"))
+
+    def kind(t: Column) -> Column:
+        return F.when(F.contains(F.col("__r"), F.lower(t["term"])), "required").when(F.contains(F.col("__p"), F.lower(t["term"])), "preferred")
+
+    return in_texts(missing, low, on, ["term"], {"kind": kind}).where("kind is not null")
 
 
 def coverage(terms: DataFrame, by: list[str]) -> DataFrame:

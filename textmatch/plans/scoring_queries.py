@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmatch.functions import text as X
+from textmatch.functions.joins import lookup_join, spread
 from textmatch.operators import compare as C
 from textmatch.operators import edits as V10
 from textmatch.operators import experience as Y
@@ -14,6 +15,7 @@ from textmatch.operators import terms as T
 from textmatch.plans import text_queries as Q
 from textmatch.plans.registry import query
 from textmatch.sources import views as V
+from textmatch.sources.storage import stored
 
 TERM_DOCS = f"""{V.TERMS_SQL},
     hit AS (SELECT DISTINCT doc_id, unnest({Q.TOKENS}) AS term FROM documents WHERE text IS NOT NULL),
@@ -23,9 +25,9 @@ TERM_DOCS = f"""{V.TERMS_SQL},
 @query(f"WITH {TERM_DOCS} SELECT doc_id, m_required, m_preferred, CAST(floor((m_required * 55.0 / (SELECT count(*) FROM terms WHERE is_required) + m_preferred * 25.0 / (SELECT count(*) FROM terms WHERE NOT is_required)) * 1000 + 0.5) AS BIGINT) AS milli FROM score ORDER BY milli DESC, doc_id LIMIT 20")
 def flagship_term_score(spark: SparkSession, d: str) -> DataFrame:
     """Documents by weighted share of the benchmark's terms: tokens joined to terms by equality, one grouped sum, top k."""
-    terms = V.terms(spark, d).select("term", "is_required")
-    docs = V.table(spark, d, "documents").where("text is not null")
-    hits = docs.select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")).join(F.broadcast(terms), "term")  # 40 rows
+    terms = stored(V.terms(spark, d).select("term", "is_required"))
+    docs = spread(V.table(spark, d, "documents").where("text is not null").select("doc_id", "text"))
+    hits = lookup_join(docs.select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")), terms, ["term"], salt="doc_id")
     score = hits.groupBy("doc_id").agg(F.count_if("is_required").alias("m_required"), F.count_if(~F.col("is_required")).alias("m_preferred"))
     totals = terms.agg(F.count_if("is_required").alias("n_r"), F.count_if(~F.col("is_required")).alias("n_p"))
     milli = F.floor((F.col("m_required") * 55.0 / F.col("n_r") + F.col("m_preferred") * 25.0 / F.col("n_p")) * 1000 + 0.5).cast("long")
@@ -69,17 +71,38 @@ def y2_yoe_claims(spark: SparkSession, d: str) -> DataFrame:
     return Y.yoe_claims(_profiles(spark, d))
 
 
-@query("SELECT doc_id, CAST(3 + doc_id % 9 AS INTEGER) AS span FROM documents WHERE text IS NOT NULL")
+#: Marks are doubled first, as SQL's pattern engine has no lookaround and a mark between two years would bound only one.
+YEARS = "list_transform(regexp_extract_all(regexp_replace(text, '([^A-Za-z0-9_])', '\\1\\1', 'g'), '(?:^|[^A-Za-z0-9_])(20[0-2][0-9]|19[89][0-9])(?:$|[^A-Za-z0-9_])', 1), lambda y: CAST(y AS INTEGER))"
+SPAN = "CAST(coalesce(CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9])(present|current|ongoing)([^a-z0-9]|$)') THEN 2025 ELSE list_max(ys) END - list_min(ys), 0) AS INTEGER)"
+SPANS_SQL = f"{PROFILE_SQL}, spans AS (SELECT doc_id, text, {SPAN} AS span FROM (SELECT doc_id, text, {YEARS} AS ys FROM profiles))"
+
+
+@query(f"WITH {SPANS_SQL} SELECT doc_id, span FROM spans")
 def y3_experience_span(spark: SparkSession, d: str) -> DataFrame:
     return _profiles(spark, d).select("doc_id", X.experience_span(F.col("text")).alias("span"))
 
 
-@query()
-def y4_yoe_status(spark: SparkSession, d: str) -> DataFrame:
+GENERIC = ", ".join(f"'{g}'" for g in Y.GENERIC)
+STATUS_SQL = (
+    f"{Q.SPLICE_SQL}, {ASKS}, {SPANS_SQL}, c AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{CLAIMED_SQL}', 1)) AS n, trim(unnest(regexp_extract_all(lower(text), '{CLAIMED_SQL}', 2))) AS said FROM profiles),"
+    " claims AS (SELECT doc_id, said, max(TRY_CAST(n AS INTEGER)) AS y FROM c WHERE said <> '' GROUP BY ALL),"
+    " reqs AS (SELECT DISTINCT posting_id, TRY_CAST(n AS INTEGER) AS years, context FROM a WHERE TRY_CAST(n AS INTEGER) > 0),"
+    f" judged AS (SELECT r.*, s.span, context = '' OR context IN ({GENERIC}) OR len(regexp_split_to_array(context, '\\s+')) <= 2 AS vague, contains(lower(s.text), regexp_split_to_array(context, '\\s+')[1]) AS word,"
+    "   coalesce((SELECT max(y) FROM claims WHERE doc_id = r.posting_id AND (contains(context, said) OR contains(said, context))), 0) AS best FROM reqs r JOIN spans s ON s.doc_id = r.posting_id),"
+    " status AS (SELECT posting_id, years, context, CASE WHEN CASE WHEN vague THEN span ELSE best END >= years THEN 'satisfied'"
+    "   WHEN CASE WHEN vague THEN span ELSE best END >= years * 0.7 OR (NOT vague AND word AND span >= years) THEN 'partial' ELSE 'unsatisfied' END AS status FROM judged)"
+)
+
+
+def _status(spark: SparkSession, d: str) -> DataFrame:
     profiles = _profiles(spark, d)
     docs = profiles.withColumn("span", X.experience_span(F.col("text")))
-    reqs = _asked(spark, d).withColumn("doc_id", F.col("posting_id"))
-    return Y.yoe_status(reqs, Y.yoe_claims(profiles), docs).select("posting_id", "years", "context", "status")
+    return Y.yoe_status(_asked(spark, d).withColumn("doc_id", F.col("posting_id")), Y.yoe_claims(profiles), docs)
+
+
+@query(f"WITH {STATUS_SQL} SELECT posting_id, years, context, status FROM status")
+def y4_yoe_status(spark: SparkSession, d: str) -> DataFrame:
+    return _status(spark, d).select("posting_id", "years", "context", "status")
 
 
 DEGREE_TEXT = {0: "Ph.D. or M.Sc.", 1: "B.Tech required", 2: "any graduate", 3: "must be keen", 4: "Bachelor's or Master's"}
@@ -105,7 +128,10 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
     return Y.candidate_facts(experience.unionByName(education))
 
 
-@query("SELECT doc_id, CAST(3 + doc_id % 9 AS INTEGER) AS years, CAST(CASE doc_id % 5 WHEN 0 THEN 5 WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 3 ELSE 4 END AS INTEGER) AS degree FROM documents WHERE text IS NOT NULL")
+DEGREE_OF = "CASE doc_id % 5 WHEN 0 THEN 5 WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 3 ELSE 4 END"
+
+
+@query(f"WITH {SPANS_SQL} SELECT doc_id, span AS years, CAST({DEGREE_OF} AS INTEGER) AS degree FROM spans")
 def y6_candidate_facts(spark: SparkSession, d: str) -> DataFrame:
     return _facts(spark, d)
 
@@ -115,16 +141,34 @@ def _requirements(spark: SparkSession, d: str) -> DataFrame:
     return Y.posting_requirements(posts.select("posting_id", F.concat("description", F.lit(" "), _degree_text("posting_id")).alias("required_text")))
 
 
-@query("SELECT doc_id AS posting_id, CAST(doc_id % 9 + 1 AS INTEGER) AS min_years, CAST(CASE doc_id % 5 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 0 ELSE 3 END AS INTEGER) AS min_degree, doc_id % 5 <> 3 AS strict_degree, 'not_specified' AS location FROM documents WHERE text IS NOT NULL")
+LEVEL = "CASE replace(x, chr(39), '') " + " ".join(f"WHEN '{w}' THEN {n}" for w, n in Y.DEGREES) + " END"
+LEVELS = (
+    f"list_concat(list_filter(list_transform(regexp_extract_all(lower(replace(text, '.', '')), '[a-z'']+'), lambda x: {LEVEL}), lambda x: x IS NOT NULL),"
+    " CASE WHEN regexp_matches(replace(text, '.', ''), '(^|[^A-Za-z])BE([^A-Za-z]|$)') THEN [3] ELSE [] END)"
+)
+ASKED_YEARS = f"list_filter(list_transform(regexp_extract_all(text, '(?i){ASKED_SQL}', 1), lambda x: TRY_CAST(x AS INTEGER)), lambda x: x > 0)"
+
+
+def _required_sql(texts: str) -> str:
+    return (
+        f"required AS (SELECT posting_id, CAST(list_min({ASKED_YEARS}) AS INTEGER) AS min_years, CAST(coalesce(list_min({LEVELS}), 0) AS INTEGER) AS min_degree FROM ({texts})),"
+        " reqs_of AS (SELECT posting_id, min_years, min_degree, min_degree > 0 AS strict_degree, 'not_specified' AS location FROM required)"
+    )
+
+
+DEGREE_TEXT_SQL = "CASE posting_id % 5 " + " ".join(f"WHEN {i} THEN '{DEGREE_TEXT[i].replace(chr(39), chr(39) * 2)}'" for i in range(4)) + f" ELSE '{DEGREE_TEXT[4].replace(chr(39), chr(39) * 2)}' END"
+REQUIRED_SQL = f"{Q.SPLICE_SQL}, " + _required_sql(f"SELECT posting_id, description || ' ' || {DEGREE_TEXT_SQL} AS text FROM spliced")
+
+
+@query(f"WITH {REQUIRED_SQL} SELECT * FROM reqs_of")
 def y7_posting_requirements(spark: SparkSession, d: str) -> DataFrame:
-    """Of the sentence that the query puts in front only, as its SQL; y7b reads whole texts."""
-    posts = Q.spliced(spark, d)
-    return Y.posting_requirements(posts.select("posting_id", F.concat(F.substring("description", 1, 40), F.lit(" "), _degree_text("posting_id")).alias("required_text")))
+    return _requirements(spark, d)
 
 
-@query()
+@query("WITH " + _required_sql("SELECT doc_id AS posting_id, text FROM documents WHERE text IS NOT NULL") + " SELECT * FROM reqs_of")
 def y7b_posting_requirements_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _requirements(spark, d)
+    """Of the documents as they are, without a sentence put before them."""
+    return Y.posting_requirements(Q._docs(spark, d).where("text is not null").select(F.col("doc_id").alias("posting_id"), F.col("text").alias("required_text")))
 
 
 def _answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -166,14 +210,14 @@ def y9_check_candidate_fields(spark: SparkSession, d: str) -> DataFrame:
     return _checked(spark, d)
 
 
-@query("SELECT o_orderkey AS posting_id, field, critical FROM orders, (VALUES ('min_degree', true, 0), ('min_years', true, 1), ('min_years', true, 2), ('min_years', false, 3), ('min_degree', true, 4), ('strict_degree', false, 5)) c(field, critical, k) WHERE (k = 0 AND o_orderkey % 9 = 0) OR (k = 1 AND o_orderkey % 10 = 1) OR (k = 2 AND o_orderkey % 10 <> 1 AND o_orderkey % 40 > 25) OR (k = 3 AND o_orderkey % 10 <> 1 AND o_orderkey % 40 = 0) OR (k = 4 AND o_orderkey % 9 <> 0 AND o_orderkey % 2 = 0) OR (k = 5 AND o_orderkey % 3 = 0)")
+@query("SELECT o_orderkey AS posting_id, field, reason, critical FROM orders, (VALUES ('min_degree', 'missing', true, 0), ('min_years', 'not a number', true, 1), ('min_years', 'above 25', true, 2), ('min_years', 'zero', false, 3), ('min_degree', 'the lower of two degrees is enough', true, 4), ('strict_degree', 'strict although worded as a preference', false, 5)) c(field, reason, critical, k) WHERE (k = 0 AND o_orderkey % 9 = 0) OR (k = 1 AND o_orderkey % 10 = 1) OR (k = 2 AND o_orderkey % 10 <> 1 AND o_orderkey % 40 > 25) OR (k = 3 AND o_orderkey % 10 <> 1 AND o_orderkey % 40 = 0) OR (k = 4 AND o_orderkey % 9 <> 0 AND o_orderkey % 2 = 0) OR (k = 5 AND o_orderkey % 3 = 0)")
 def y10_check_posting_fields(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     text = F.concat_ws(" ", F.when(k % 2 == 0, "a Bachelor or Master degree for work in order").otherwise("a degree for work"), F.when(k % 3 == 0, "is preferred"))
     rows = V.table(spark, d, "orders").select(
         k.alias("posting_id"), F.when(k % 10 == 1, "some").otherwise((k % 40).cast("string")).alias("min_years"), F.when(k % 9 != 0, 4).alias("min_degree"), F.lit(True).alias("strict_degree"), text.alias("text")
     )
-    return Y.check_posting_fields(rows).select("posting_id", "field", "critical")
+    return Y.check_posting_fields(rows)
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'fixed' ELSE p_name END AS p_name, CAST(CASE WHEN p_size % 3 = 0 THEN p_size + 1 ELSE p_size END AS INTEGER) AS p_size FROM part")
@@ -183,7 +227,11 @@ def y11_merge_corrections(spark: SparkSession, d: str) -> DataFrame:
     return Y.merge_corrections(p, fixes, "p_partkey")
 
 
-@query()
+@query(
+    f"WITH {FAILED}, f AS (SELECT doc_id, list_sort(list(DISTINCT field)) AS fields FROM failed GROUP BY doc_id) SELECT o_orderkey AS doc_id, '{{\"method\":\"' || CASE o_orderkey % 4 WHEN 1 THEN 'model+fallback' WHEN 2 THEN 'fallback' ELSE 'model' END"
+    " || '\",\"confidence_by_field\":{\"years\":\"' || CASE WHEN o_orderkey % 4 = 0 THEN 'explicit' ELSE 'inferred' END || '\"},\"failed\":[' || coalesce('\"' || array_to_string(fields, '\",\"') || '\"', '')"
+    " || '],\"escalated\":' || CASE WHEN fields IS NULL THEN 'false' ELSE 'true' END || '}' AS provenance FROM orders LEFT JOIN f ON doc_id = o_orderkey"
+)
 def y12_provenance(spark: SparkSession, d: str) -> DataFrame:
     rows = Y.provenance(Y.facts_from_fields(*_answers(spark, d)), _checked(spark, d), "doc_id")
     return rows.select("doc_id", F.to_json("provenance").alias("provenance"))
@@ -203,53 +251,71 @@ def y14_needs_correction(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- scoring ---------------------------------------------------------------------------------------------------------
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return V.table(spark, d, "documents").where("text is not null").select(F.lit(0).cast("long").alias("posting_id"), "doc_id")
-
+def _posting_terms(spark: SparkSession, d: str) -> DataFrame:
+    return stored(V.posting_terms(spark, d))
 
-def _terms(spark: SparkSession, d: str) -> DataFrame:
-    return V.terms(spark, d).select(F.lit(0).cast("long").alias("posting_id"), "term", "is_required", "freq")
 
-
-def _matches(spark: SparkSession, d: str, after: bool = False) -> DataFrame:
-    """Matches of the 40 terms; after: each document with a line of its own number's terms added."""
-    blocks = Q._sectioned(spark, d)
+def _matches(spark: SparkSession, d: str, after: bool = False, found: DataFrame | None = None) -> DataFrame:
+    """Each document against the terms of its posting; after: with a line of some of these terms added to it."""
+    variants, terms, pairs = Q._variants(spark, d), _posting_terms(spark, d), V.pairs(spark, d)
+    found = T.find_terms(variants, Q._sectioned(spark, d)) if found is None else found
     if after:
-        terms = V.terms(spark, d)
-        docs = V.table(spark, d, "documents").where("text is not null").select("doc_id")
-        extra = docs.crossJoin(F.broadcast(terms.select("term", "rank"))).where("(doc_id + rank) % 8 = 0")  # 40 rows
+        extra = lookup_join(pairs, terms, ["posting_id"], salt="doc_id").where("(doc_id + code) % 8 = 0")
         line = extra.groupBy("doc_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("term"))).alias("text"))
-        added = line.select("doc_id", F.lit(100000).alias("pos"), F.lit("added").alias("block_id"), F.lit("paragraph").alias("block_type"), "text", F.lit("skills").alias("section"), F.lit(2024).alias("recency_year"))
-        blocks = blocks.unionByName(added)
-    plain = V.terms(spark, d).select("term", F.col("term").alias("variant"))
-    return R.match_terms(_terms(spark, d).drop("freq"), T.find_terms(plain, blocks), _pairs(spark, d))
+        added = line.select("doc_id", F.lit(0).alias("pos"), "text", F.lit("skills").alias("section"), F.lit(2024).alias("recency_year"))
+        found = T.found_besides(found, T.find_terms(variants, added))
+    return R.match_terms(terms.select("posting_id", "term", "is_required"), found, pairs)
+
+
+def _before_and_after(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Matches of both versions; the terms of the first are found once."""
+    found = stored(T.find_terms(Q._variants(spark, d), Q._sectioned(spark, d)))
+    return stored(_matches(spark, d, found=found)), stored(_matches(spark, d, True, found))
 
 
 def _knocked(spark: SparkSession, d: str) -> DataFrame:
-    facts = _facts(spark, d).withColumn("posting_id", F.lit(0).cast("long"))
     k = F.col("doc_id")
-    reqs = _requirements(spark, d).select(F.lit(0).cast("long").alias("posting_id"), F.col("posting_id").alias("doc_id"), "min_years", "min_degree", "strict_degree")
+    reqs = V.pairs(spark, d).join(_requirements(spark, d).select(F.col("posting_id").alias("doc_id"), "min_years", "min_degree", "strict_degree").hint("shuffle_hash"), "doc_id")
+    facts = _facts(spark, d).join(V.pairs(spark, d).hint("shuffle_hash"), "doc_id")
     return R.knockouts(facts, reqs.withColumn("description", F.when(k % 2 == 0, "A US citizen").otherwise("")), ["posting_id", "doc_id"])
 
 
-DEGREE_OF = "CASE doc_id % 5 WHEN 0 THEN 5 WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 3 ELSE 4 END"
-PASSES = "3 + doc_id % 9 >= greatest(0, doc_id % 9) AND (doc_id % 5 = 3 OR " + DEGREE_OF + " >= CASE doc_id % 5 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 3 END)"
+KNOCKED_SQL = (
+    f"{SPANS_SQL}, {REQUIRED_SQL}, knocked AS (SELECT doc_id, span AS years, min_years, (min_years IS NULL OR span >= greatest(0, min_years - 1)) AND (NOT strict_degree OR {DEGREE_OF} >= min_degree) AS passes,"
+    " CASE WHEN doc_id % 2 = 0 THEN 'us citizen' ELSE '' END AS flags FROM spans JOIN reqs_of ON posting_id = doc_id)"
+)
 
 
-@query(f"SELECT doc_id, {PASSES} AS passes, CASE WHEN doc_id % 2 = 0 THEN 'us citizen' ELSE '' END AS flags FROM documents WHERE text IS NOT NULL")
+@query(f"WITH {KNOCKED_SQL} SELECT doc_id, years, min_years, passes, flags FROM knocked")
 def r1_knockouts(spark: SparkSession, d: str) -> DataFrame:
-    return _knocked(spark, d).select("doc_id", "passes", F.array_join("review_flags", "|").alias("flags"))
+    return _knocked(spark, d).select("doc_id", "years", "min_years", "passes", F.array_join("review_flags", "|").alias("flags"))
 
 
 RECENCY = "CASE WHEN last_year IS NULL OR 2025 - last_year >= 8 THEN 0.5::DOUBLE WHEN 2025 - last_year <= 0 THEN 1.0::DOUBLE ELSE CAST(round(CAST(1 - (2025 - last_year) * 0.0625 AS DECIMAL(18, 6)), 3) AS DOUBLE) END"
 SECTION_OF = "CASE WHEN list_contains(sections, 'skills') THEN 'skills' WHEN list_contains(sections, 'experience') THEN 'experience' ELSE 'other' END"
 WEIGHT_OF = "CASE WHEN list_contains(sections, 'skills') THEN 1.5::DOUBLE WHEN list_contains(sections, 'experience') THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END"
-MATCHED = f"{Q.SECTIONED_SQL}, matched AS (SELECT d.doc_id, t.term, t.is_required, f.term IS NOT NULL AS matched, CASE WHEN f.term IS NOT NULL THEN {SECTION_OF} END AS best_section, CASE WHEN f.term IS NOT NULL THEN {WEIGHT_OF} END AS placement, last_year, CASE WHEN f.term IS NOT NULL THEN {RECENCY} END AS recency FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) d CROSS JOIN terms t LEFT JOIN found f ON f.doc_id = d.doc_id AND f.term = t.term)"
 
 
-@query(f"WITH {MATCHED} SELECT * FROM matched")
+def _matched_sql(name: str, found: str) -> str:
+    return (
+        f"{name} AS (SELECT p.posting_id, p.doc_id, t.term, t.is_required, t.freq, t.code, f.term IS NOT NULL AS matched, f.matched_variant, f.sections, CASE WHEN f.term IS NOT NULL THEN {SECTION_OF} END AS best_section,"
+        f" CASE WHEN f.term IS NOT NULL THEN {WEIGHT_OF} END AS placement, last_year, CASE WHEN f.term IS NOT NULL THEN {RECENCY} END AS recency"
+        f" FROM pairs p JOIN posting_terms t USING (posting_id) LEFT JOIN {found} f ON f.doc_id = p.doc_id AND f.term = t.term)"
+    )
+
+
+MATCHED = f"{Q.SECTIONED_SQL}, {_matched_sql('matched', 'found')}"
+BOTH = (
+    f"{MATCHED}, added AS (SELECT doc_id, term AS g FROM pairs JOIN posting_terms USING (posting_id) WHERE (doc_id + code) % 8 = 0),"
+    " found_after AS (SELECT doc_id, term, NULL AS matched_variant, list_sort(list_distinct(flatten(list(sections)))) AS sections, max(last_year) AS last_year FROM"
+    " (SELECT doc_id, term, sections, last_year FROM found UNION ALL SELECT DISTINCT doc_id, term, ['skills'], 2024 FROM added JOIN keyed USING (g)) GROUP BY doc_id, term),"
+    f" {_matched_sql('matched_after', 'found_after')}"
+)
+
+
+@query(f"WITH {MATCHED} SELECT doc_id, term, is_required, matched, matched_variant, best_section, placement, last_year, recency FROM matched")
 def r2_match_terms(spark: SparkSession, d: str) -> DataFrame:
-    return _matches(spark, d).select("doc_id", "term", "is_required", "matched", "best_section", "placement", "last_year", "recency")
+    return _matches(spark, d).select("doc_id", "term", "is_required", "matched", "matched_variant", "best_section", "placement", "last_year", "recency")
 
 
 @query("SELECT s AS section, w AS weight FROM (VALUES ('skills', 1.5::DOUBLE), ('experience', 1.0::DOUBLE), ('other', 0.6::DOUBLE)) v(s, w) WHERE EXISTS (SELECT 1 FROM documents)")
@@ -263,9 +329,30 @@ def r4_recency_score(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", R.recency_score(F.when(F.col("o_orderkey") % 5 != 0, F.year("o_orderdate") + 22)).alias("recency"))
 
 
-@query(f"WITH {MATCHED} SELECT doc_id, count(*) FILTER (is_required) AS n_required, count(*) FILTER (is_required AND matched) AS m_required, CAST(round(CAST(count(*) FILTER (is_required AND matched) * 100.0 / count(*) FILTER (is_required) AS DECIMAL(18, 6)), 1) AS DOUBLE) AS required_score, CAST(round(CAST(count(*) FILTER (NOT is_required AND matched) * 100.0 / count(*) FILTER (NOT is_required) AS DECIMAL(18, 6)), 1) AS DOUBLE) AS preferred_score FROM matched GROUP BY doc_id")
+PLACE = "CAST(round(CAST({x} AS DECIMAL(18, 6)), 1) AS DOUBLE)"
+
+
+def _scored_sql(name: str, matched: str, knocked: bool) -> str:
+    """The score of each document from its matches; those knocked out score nothing."""
+    parts = {
+        "required_score": "req", "preferred_score": "pref", "placement_score": "place", "recency_score": "fresh",
+        "ats_score": "greatest(0.0::DOUBLE, least(100.0::DOUBLE, req * 55.0::DOUBLE / 100 + pref * 25.0::DOUBLE / 100 + place + fresh))",
+    }
+    passes = "coalesce(k.passes, true)" if knocked else "true"
+    mean = "CAST(CAST(avg({x}) AS DECIMAL(18, 8)) AS DOUBLE)"
+    return (
+        f"{name}_sums AS (SELECT doc_id, count(*) FILTER (is_required) AS n_required, count(*) FILTER (is_required AND matched) AS m_required, count(*) FILTER (NOT is_required) AS n_preferred, count(*) FILTER (NOT is_required AND matched) AS m_preferred,"
+        f" {mean.format(x='CASE WHEN matched THEN placement END')} AS p, {mean.format(x='CASE WHEN matched AND is_required THEN recency END')} AS r FROM {matched} GROUP BY doc_id),"
+        f" {name}_parts AS (SELECT *, CASE WHEN n_required = 0 THEN 100.0::DOUBLE ELSE m_required::DOUBLE / n_required * 100 END AS req, CASE WHEN n_preferred = 0 THEN 100.0::DOUBLE ELSE m_preferred::DOUBLE / n_preferred * 100 END AS pref,"
+        f" coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (p - 0.6::DOUBLE) / (1.5::DOUBLE - 0.6::DOUBLE))) * 12.0::DOUBLE, 0) AS place, coalesce(r * 8.0::DOUBLE, 0) AS fresh FROM {name}_sums),"
+        f" {name} AS (SELECT s.doc_id, {', '.join(f'CASE WHEN {passes} THEN {PLACE.format(x=x)} ELSE 0.0::DOUBLE END AS {c}' for c, x in parts.items())}, {passes} AS passes, n_required, m_required"
+        f" FROM {name}_parts s{' LEFT JOIN knocked k USING (doc_id)' if knocked else ''})"
+    )
+
+
+@query(f"WITH {MATCHED}, {_scored_sql('scored', 'matched', False)} SELECT * FROM scored")
 def r5_aggregate_score(spark: SparkSession, d: str) -> DataFrame:
-    return R.aggregate_score(_matches(spark, d)).select("doc_id", "n_required", "m_required", "required_score", "preferred_score")
+    return R.aggregate_score(_matches(spark, d)).drop("posting_id")
 
 
 KIND = "CASE WHEN is_required AND NOT matched THEN 0 WHEN is_required AND matched AND best_section NOT IN ('skills', 'experience') THEN 1 WHEN NOT is_required AND NOT matched THEN 2 WHEN is_required AND matched AND last_year < 2021 THEN 3 END"
@@ -276,23 +363,30 @@ def r6_recommendations(spark: SparkSession, d: str) -> DataFrame:
     return R.recommendations(_matches(spark, d)).select("doc_id", "rank", "term", "kind")
 
 
-@query()
+@query(f"WITH {MATCHED}, {KNOCKED_SQL}, {_scored_sql('scored', 'matched', True)} SELECT * FROM scored")
 def r7_score_documents(spark: SparkSession, d: str) -> DataFrame:
     return R.aggregate_score(_matches(spark, d), _knocked(spark, d)).drop("posting_id")
 
 
 # --- comparison ------------------------------------------------------------------------------------------------------
-def _scores(spark: SparkSession, d: str, after: bool) -> DataFrame:
-    return R.aggregate_score(_matches(spark, d, after), _knocked(spark, d))
+def _scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Scores of both versions, stored, as several parts of a report read them."""
+    knocked = stored(_knocked(spark, d))
+    before, after = (stored(R.aggregate_score(m, knocked)) for m in _before_and_after(spark, d))
+    return before, after
 
 
-def _movement(spark: SparkSession, d: str) -> DataFrame:
-    return C.keyword_movement(_matches(spark, d), _matches(spark, d, True), _terms(spark, d))
+def _movement(spark: SparkSession, d: str, both: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    return C.keyword_movement(*(both or _before_and_after(spark, d)), _posting_terms(spark, d))
 
 
-@query()
+SCORED_SQL = f"{BOTH}, {KNOCKED_SQL}, {_scored_sql('b', 'matched', True)}, {_scored_sql('a', 'matched_after', True)}"
+DELTAS = ", ".join(f"b.{c} AS before_{c}, a.{c} AS after_{c}, {PLACE.format(x=f'a.{c} - b.{c}')} AS delta_{c}" for c in C.PARTS)
+
+
+@query(f"WITH {SCORED_SQL} SELECT doc_id, {DELTAS}, greatest(0, (b.n_required - b.m_required) - (a.n_required - a.m_required)) AS gaps_closed, b.passes <> a.passes AS knockout_changed FROM b JOIN a USING (doc_id)")
 def p1_score_delta(spark: SparkSession, d: str) -> DataFrame:
-    return C.score_delta(_scores(spark, d, False), _scores(spark, d, True)).drop("posting_id")
+    return C.score_delta(*_scores(spark, d)).drop("posting_id")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'not_required' WHEN o_custkey % 12 >= o_orderkey % 12 - 1 THEN 'satisfied' WHEN o_custkey % 12 >= (o_orderkey % 12) * 0.7 THEN 'partial' ELSE 'not_satisfied' END AS label FROM orders")
@@ -309,7 +403,7 @@ def p3_impact_level(spark: SparkSession, d: str) -> DataFrame:
     return V.terms(spark, d).select("term", C.impact_level(F.col("is_required"), F.col("freq")).alias("impact"))
 
 
-MOVED = f"{V.TERMS_SQL}, hit AS (SELECT DISTINCT doc_id, unnest({Q.TOKENS}) AS term FROM documents WHERE text IS NOT NULL), moved AS (SELECT d.doc_id, t.term, t.freq, t.is_required, {IMPACT} AS impact, CASE WHEN h.term IS NOT NULL THEN 'already_present' WHEN (d.doc_id + t.rank) % 8 = 0 THEN 'newly_added' ELSE 'still_missing' END AS movement FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) d CROSS JOIN terms t LEFT JOIN hit h ON h.doc_id = d.doc_id AND h.term = t.term)"
+MOVED = f"{BOTH}, moved AS (SELECT b.doc_id, b.term, b.freq, b.is_required, b.code, {IMPACT.replace('is_required', 'b.is_required').replace('freq', 'b.freq')} AS impact, CASE WHEN b.matched THEN 'already_present' WHEN a.matched THEN 'newly_added' ELSE 'still_missing' END AS movement FROM matched b JOIN matched_after a USING (doc_id, term))"
 PRIORITY = "CASE impact WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
 
 
@@ -323,16 +417,24 @@ def p5_movement_summary(spark: SparkSession, d: str) -> DataFrame:
     return C.movement_summary(_movement(spark, d)).drop("posting_id")
 
 
-def _cards(spark: SparkSession, d: str) -> DataFrame:
-    docs = V.table(spark, d, "documents").where("text is not null").select("doc_id")
-    said = docs.crossJoin(F.broadcast(V.terms(spark, d).select("term", "rank"))).where("(doc_id + rank) % 4 = 0")  # 40 rows
-    edits = said.groupBy("doc_id", F.concat(F.lit("b"), (F.col("rank") % 3).cast("string")).alias("block_id")).agg(F.collect_list(F.upper("term")).alias("keywords_added"))
-    return C.change_cards(edits, _movement(spark, d))
+def _cards(spark: SparkSession, d: str, movement: DataFrame | None = None) -> DataFrame:
+    said = lookup_join(V.pairs(spark, d), _posting_terms(spark, d), ["posting_id"], salt="doc_id").where("(doc_id + code) % 4 = 0")
+    edits = said.groupBy("doc_id", F.concat(F.lit("b"), (F.col("code") % 3).cast("string")).alias("block_id")).agg(F.collect_list(F.upper("term")).alias("keywords_added"))
+    return C.change_cards(edits, movement if movement is not None else _movement(spark, d))
+
+
+CARDS_SQL = (
+    f"{MOVED}, totals AS (SELECT doc_id, count(*) FILTER (is_required) AS total FROM moved GROUP BY doc_id),"
+    " closed AS (SELECT doc_id, 'b' || CAST(code % 3 AS VARCHAR) AS block_id, coalesce(list_sort(list(term) FILTER (movement = 'newly_added' AND is_required)), []) AS r, coalesce(list_sort(list(term) FILTER (movement = 'newly_added' AND NOT is_required)), []) AS p"
+    "   FROM moved WHERE (doc_id + code) % 4 = 0 GROUP BY ALL),"
+    f" cards AS (SELECT doc_id, block_id, r, p, CASE WHEN total = 0 THEN 0.0::DOUBLE ELSE {PLACE.format(x='len(r)::DOUBLE / total * 55.0::DOUBLE')} END AS points, len(r) + len(p) AS n FROM closed JOIN totals USING (doc_id))"
+)
 
 
-@query(f"WITH {MOVED} SELECT m.doc_id, 'b' || CAST(rank % 3 AS VARCHAR) AS block_id, count(*) FILTER (movement = 'newly_added' AND m.is_required) AS n_required, count(*) FILTER (movement = 'newly_added' AND NOT m.is_required) AS n_preferred FROM moved m JOIN terms t USING (term) WHERE (m.doc_id + rank) % 4 = 0 GROUP BY ALL")
+@query(f"WITH {CARDS_SQL} SELECT doc_id, block_id, array_to_string(r, '|') AS required_closed, array_to_string(p, '|') AS preferred_closed, points, CASE WHEN n >= 3 THEN 'high' WHEN n >= 1 THEN 'medium' ELSE 'low' END AS label, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, n DESC, block_id) AS INTEGER) AS rank FROM cards")
 def p6_change_cards(spark: SparkSession, d: str) -> DataFrame:
-    return _cards(spark, d).select("doc_id", "block_id", F.size("required_closed").cast("long").alias("n_required"), F.size("preferred_closed").cast("long").alias("n_preferred"))
+    cards = _cards(spark, d)
+    return cards.select("doc_id", "block_id", *[F.array_join(c, "|").alias(c) for c in ("required_closed", "preferred_closed")], "points", "label", "rank")
 
 
 BAND = "CASE WHEN o_orderkey % 9 = 0 THEN 'likely_filtered' WHEN o_orderkey % 101 >= 85 THEN 'strong_pass' WHEN o_orderkey % 101 >= 70 THEN 'likely_surfaced' WHEN o_orderkey % 101 >= 50 THEN 'borderline' ELSE 'likely_filtered' END"
@@ -344,11 +446,17 @@ def p7_pass_band(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "orders").select("o_orderkey", C.pass_band(k % 101, k % 9 != 0).alias("band"))
 
 
-@query()
+@query(
+    f"WITH {MATCHED}, {KNOCKED_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, term) AS n FROM matched WHERE matched AND is_required), l AS (SELECT doc_id, 2025 - max(last_year) AS age FROM matched WHERE matched GROUP BY doc_id)"
+    " SELECT doc_id, 'title_match' AS signal, '2' AS detail FROM pairs WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'top_term', term FROM t WHERE n <= 3"
+    " UNION ALL SELECT doc_id, CASE WHEN years >= min_years THEN 'years_ok' ELSE 'years_gap' END, CAST(years - min_years AS VARCHAR) FROM knocked WHERE min_years IS NOT NULL"
+    " UNION ALL SELECT DISTINCT doc_id, 'skills_section', '' FROM matched WHERE list_contains(sections, 'skills')"
+    " UNION ALL SELECT doc_id, CASE WHEN age <= 1 THEN 'recent' ELSE 'dated' END, CAST(age AS VARCHAR) FROM l WHERE age <= 1 OR age >= 3"
+)
 def p8_strength_signals(spark: SparkSession, d: str) -> DataFrame:
-    titles = _pairs(spark, d).withColumns({"posting_title": F.lit("senior data engineer"), "doc_title": F.when(F.col("doc_id") % 3 == 0, "Data engineer").otherwise("clerk")})
+    titles = V.pairs(spark, d).withColumns({"posting_title": F.lit("senior data engineer"), "doc_title": F.when(F.col("doc_id") % 3 == 0, "Data engineer").otherwise("clerk")})
     facts = _knocked(spark, d).select("posting_id", "doc_id", "years", "min_years")
-    return C.strength_signals(_matches(spark, d), _terms(spark, d), titles, facts).drop("posting_id")
+    return C.strength_signals(stored(_matches(spark, d)), _posting_terms(spark, d), titles, facts).drop("posting_id")
 
 
 @query(f"WITH {MOVED}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {PRIORITY}, freq DESC, term) AS rank FROM moved WHERE movement = 'still_missing') SELECT doc_id, CAST(rank AS INTEGER) AS rank, term, impact AS priority, freq FROM r WHERE rank <= 10")
@@ -356,11 +464,26 @@ def p9_action_list(spark: SparkSession, d: str) -> DataFrame:
     return C.action_list(_movement(spark, d)).drop("posting_id")
 
 
-@query()
+REPORT_SQL = (
+    f"{CARDS_SQL}, {KNOCKED_SQL}, {_scored_sql('b', 'matched', True)}, {_scored_sql('a', 'matched_after', True)},"
+    " missing AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE impact WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, freq DESC, term) AS rank FROM moved WHERE movement = 'still_missing'),"
+    " acts AS (SELECT doc_id, string_agg(term, '|' ORDER BY rank) AS actions FROM missing WHERE rank <= 10 GROUP BY doc_id),"
+    " first_card AS (SELECT doc_id, block_id, points FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, n DESC, block_id) AS rank FROM cards) WHERE rank = 1),"
+    " news AS (SELECT doc_id, count(*) FILTER (movement = 'newly_added') AS newly_added, count(*) AS total FROM moved GROUP BY doc_id)"
+)
+
+
+@query(f"WITH {REPORT_SQL} SELECT doc_id, {PLACE.format(x='a.ats_score - b.ats_score')} AS delta, newly_added, total, CASE WHEN NOT a.passes THEN 'likely_filtered' WHEN a.required_score >= 85 THEN 'strong_pass' WHEN a.required_score >= 70 THEN 'likely_surfaced' WHEN a.required_score >= 50 THEN 'borderline' ELSE 'likely_filtered' END AS band_after, actions, block_id AS first_card, points FROM b JOIN a USING (doc_id) LEFT JOIN news USING (doc_id) LEFT JOIN acts USING (doc_id) LEFT JOIN first_card USING (doc_id)")
 def p10_full_report(spark: SparkSession, d: str) -> DataFrame:
-    before, after, movement = _scores(spark, d, False), _scores(spark, d, True), _movement(spark, d)
-    report = C.full_report(C.score_delta(before, after), C.movement_summary(movement), C.pass_bands(before, after), C.action_list(movement), _cards(spark, d))
-    return report.select("doc_id", F.to_json(F.struct(*[c for c in report.columns if c not in C.PAIR])).alias("report"))
+    """The nested report of each document, and from it something of every part."""
+    both, knocked = _before_and_after(spark, d), stored(_knocked(spark, d))
+    before, after = (stored(R.aggregate_score(m, knocked)) for m in both)
+    movement = stored(_movement(spark, d, both))
+    report = C.full_report(C.score_delta(before, after), C.movement_summary(movement), C.pass_bands(before, after), C.action_list(movement), _cards(spark, d, movement))
+    return report.select(
+        "doc_id", F.col("scoreDelta.delta_ats_score").alias("delta"), "keywordMovement.newly_added", "keywordMovement.total", "passBand.band_after",
+        F.array_join(F.transform("actionItems", lambda a: a["term"]), "|").alias("actions"), F.col("changeCards")[0]["block_id"].alias("first_card"), F.col("changeCards")[0]["points"].alias("points"),
+    )
 
 
 @query("WITH p AS (SELECT o_orderkey, o_orderkey % 101 AS s, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 97 END AS a FROM orders) SELECT o_orderkey, CAST(s AS BIGINT) AS before, CAST(coalesce(a, s) AS BIGINT) AS after, CAST(coalesce(a, s) - s AS BIGINT) AS diff, 2 AS n_added FROM p")

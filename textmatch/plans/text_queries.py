@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmatch.functions import text as X
+from textmatch.functions.joins import lookup_join, spread
 from textmatch.functions.vectors import dot, fit_score
 from textmatch.operators import blocks as B
 from textmatch.operators import retrieval as S
@@ -13,6 +14,7 @@ from textmatch.operators import sections as E
 from textmatch.operators import terms as T
 from textmatch.plans.registry import query
 from textmatch.sources import views as V
+from textmatch.sources.storage import stored
 
 TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 #: A posting text put before each document, so that sections, years and titles occur; the same in both engines.
@@ -24,7 +26,7 @@ SPLICE_SQL = """spliced AS (
 
 
 def spliced(spark: SparkSession, d: str) -> DataFrame:
-    docs = V.table(spark, d, "documents").where("text is not null")
+    docs = spread(V.table(spark, d, "documents").where("text is not null"))
     k = F.col("doc_id") % 5
     skill = F.when(k == 0, "python services").when(k == 1, "a similar role").when(k == 2, "data").when(k == 3, "go and rust").otherwise("sql modelling work")
     text = F.concat(F.lit("Required: "), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("+ years experience in "), skill, F.lit("\n\nPreferred: familiarity with Docker and C++\n\n"), F.col("text"))
@@ -32,7 +34,7 @@ def spliced(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return V.table(spark, d, "documents")
+    return spread(V.table(spark, d, "documents"))
 
 
 @query("SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(translate(text, '‘’“”–—', '''''\"\"--'), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS normal FROM documents")
@@ -233,56 +235,79 @@ def t4_protected_tokens(spark: SparkSession, d: str) -> DataFrame:
 GRAMS = "unnest(list_transform(range(1, CAST(len(w) AS BIGINT) - {n} + 2), lambda i: array_to_string(list_slice(w, i, i + {n} - 1), ' ')))"
 
 
-@query(f"WITH {V.BLOCKS_SQL}, w AS (SELECT doc_id, {TOKENS} AS w FROM blocks), g AS (" + " UNION ALL ".join(f"SELECT doc_id, {GRAMS.format(n=n)} AS phrase FROM w" for n in (1, 2, 3, 4)) + ") SELECT doc_id AS posting_id, phrase, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 2")
-def t6_ngram_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return T.ngram_phrases(V.blocks(spark, d).select(F.col("doc_id").alias("posting_id"), F.col("text").alias("line")))
+TECHNICAL = f"list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: length(x) >= 4 AND regexp_matches(x, '{T.TECHNICAL_WORD}')), lambda x: lower(x))"
+RUN = "list_slice(w, i, i + {n} - 1)"
+PHRASES_SQL = (
+    f"{V.BLOCKS_SQL}, w AS (SELECT doc_id, {TOKENS} AS w, {TECHNICAL} AS t FROM blocks), g AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, array_to_string({RUN.format(n=n)}, ' ') AS phrase, list_has_any({RUN.format(n=n)}, t) AS technical FROM (SELECT doc_id, w, t, unnest(range(1, CAST(len(w) AS BIGINT) - {n} + 2)) AS i FROM w)" for n in (1, 2, 3, 4))
+    + "), phrases AS (SELECT doc_id AS posting_id, phrase, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 2 OR bool_or(technical))"
+)
 
 
-@query()
-def t5_extract_phrases(spark: SparkSession, d: str) -> DataFrame:
-    lines = V.table(spark, d, "benchmark").select(F.col("item_id").alias("posting_id"), F.col("text").alias("line"))
-    return T.extract_phrases(lines, tuple(E.COVERAGE_STOP_WORDS), V.terms(spark, d))
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return V.blocks(spark, d).select(F.col("doc_id").alias("posting_id"), F.col("text").alias("line"))
 
 
-def _bench_phrases(spark: SparkSession, d: str) -> DataFrame:
-    words = X.tokens(F.col("text"))
-    cut = [F.array_join(F.slice(words, 1, n), " ") for n in (2, 4)] + [F.array_join(F.slice(words, 3, 2), " ")]
-    return V.table(spark, d, "benchmark").select(F.col("item_id").alias("posting_id"), F.explode(F.array(*cut)).alias("phrase")).where("phrase <> ''").distinct()
+@query(f"WITH {PHRASES_SQL} SELECT * FROM phrases")
+def t6_ngram_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return T.ngram_phrases(_lines(spark, d))
 
 
-CUTS = "SELECT item_id AS posting_id, unnest([array_to_string(list_slice(w, 1, 2), ' '), array_to_string(list_slice(w, 1, 4), ' '), array_to_string(list_slice(w, 3, 4), ' ')]) AS phrase FROM (SELECT item_id, " + TOKENS + " AS w FROM benchmark)"
+@query()
+def t5_extract_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return T.extract_phrases(_lines(spark, d), tuple(E.COVERAGE_STOP_WORDS), V.terms(spark, d))
 
 
-@query(f"WITH p AS (SELECT DISTINCT * FROM ({CUTS}) WHERE phrase <> '') SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.posting_id = p.posting_id AND q.phrase <> p.phrase AND contains(' ' || q.phrase || ' ', ' ' || p.phrase || ' '))")
+@query(
+    f"WITH {PHRASES_SQL}, s AS (SELECT posting_id, string_split(phrase, ' ') AS w FROM phrases WHERE contains(phrase, ' ')), parts AS ("
+    + " UNION ".join(f"SELECT posting_id, array_to_string({RUN.format(n=n)}, ' ') AS phrase FROM (SELECT posting_id, w, unnest(range(1, CAST(len(w) AS BIGINT) - {n} + 2)) AS i FROM s WHERE len(w) > {n})" for n in (1, 2, 3))
+    + ") SELECT posting_id, phrase, n FROM phrases ANTI JOIN parts USING (posting_id, phrase)"
+)
 def t7_dedup_subphrases(spark: SparkSession, d: str) -> DataFrame:
-    return T.dedup_subphrases(_bench_phrases(spark, d))
+    return T.dedup_subphrases(stored(T.ngram_phrases(_lines(spark, d))))
 
 
 @query()
 def t8_key_terms(spark: SparkSession, d: str) -> DataFrame:
-    lines = V.table(spark, d, "benchmark").select(F.col("item_id").alias("posting_id"), F.col("text").alias("line"))
-    return T.dedup_subphrases(T.extract_phrases(lines, tuple(E.COVERAGE_STOP_WORDS), V.terms(spark, d)))
+    return T.dedup_subphrases(stored(T.extract_phrases(_lines(spark, d), tuple(E.COVERAGE_STOP_WORDS), V.terms(spark, d))))
 
 
-def _found(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+FIRST_LINE = "split_part(text, chr(10), 1)"
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as postings: their text, and its first line as title."""
     docs = _docs(spark, d).where("text is not null")
-    section = F.when(F.col("is_required"), "required").when(F.col("rank") % 3 == 0, "preferred").otherwise("other")
-    hits = docs.select(F.col("doc_id").alias("posting_id"), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    found = hits.join(F.broadcast(V.terms(spark, d)), "term").select("posting_id", "term", section.alias("section"))  # 40 rows
-    return found, docs.select(F.col("doc_id").alias("posting_id"), F.col("text").alias("description"), F.substring("text", 1, 60).alias("title"))
+    return docs.select(F.col("doc_id").alias("posting_id"), F.col("text").alias("description"), F.substring_index("text", "\n", 1).alias("title"))
 
 
-@query(
-    f"WITH {V.TERMS_SQL}, f AS (SELECT d.doc_id AS posting_id, t.term, t.is_required, t.rank, d.text FROM (SELECT doc_id, text, unnest(list_distinct({TOKENS})) AS tok FROM documents WHERE text IS NOT NULL) d JOIN terms t ON t.term = d.tok),"
-    " w AS (SELECT *, (length(lower(text)) - length(replace(lower(text), term, ''))) / length(term) AS n FROM f)"
-    " SELECT posting_id, term, is_required, CAST(n AS BIGINT) AS freq, CAST(round(CAST(CASE WHEN n >= 2 THEN least(3.0, 1 + 0.4 * least(5, n - 2)) ELSE 1.0 END"
-    " * CASE WHEN is_required THEN 2.0 WHEN rank % 3 = 0 THEN 1.3 ELSE 1.0 END * CASE WHEN contains(lower(substr(text, 1, 60)), term) THEN 2.5 ELSE 1.0 END AS DECIMAL(18, 6)), 3) AS DOUBLE) AS weight FROM w"
+def _found(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    texts = _texts(spark, d)
+    section = F.when(F.col("is_required"), "required").when(F.col("code") % 3 == 0, "preferred").otherwise("other")
+    hits = texts.select("posting_id", F.explode(F.array_distinct(X.tokens(F.col("description")))).alias("term"))
+    found = lookup_join(hits, stored(V.terms(spark, d)), ["term"], salt="posting_id").select("posting_id", "term", section.alias("section"))
+    also = found.where("section = 'required' and length(term) % 3 = 0").withColumn("section", F.lit("preferred"))
+    return found.unionByName(also), texts
+
+
+WEIGHED_SQL = (
+    f"{V.TERMS_SQL}, f AS (SELECT d.doc_id AS posting_id, t.term, t.is_required, t.code, d.text FROM (SELECT doc_id, text, unnest(list_distinct({TOKENS})) AS tok FROM documents WHERE text IS NOT NULL) d JOIN terms t ON t.term = d.tok),"
+    " w AS (SELECT *, (length(lower(text)) - length(replace(lower(text), term, ''))) // length(term) AS n FROM f)"
+)
+WEIGHT = (
+    "CAST(round(CAST(CASE WHEN n >= 2 THEN least(3.0, 1 + 0.4 * least(5, n - 2)) ELSE 1.0 END * {sections}"
+    f" * CASE WHEN contains(lower({FIRST_LINE}), term) THEN 2.5 ELSE 1.0 END AS DECIMAL(18, 6)), 3) AS DOUBLE) AS weight"
 )
+ONE_SECTION = "CASE WHEN is_required THEN 2.0 WHEN code % 3 = 0 THEN 1.3 ELSE 1.0 END"
+BOTH_SECTIONS = "CASE WHEN is_required THEN CASE WHEN length(term) % 3 = 0 THEN 2.6 ELSE 2.0 END WHEN code % 3 = 0 THEN 1.3 ELSE 1.0 END"
+
+
+@query(f"WITH {WEIGHED_SQL} SELECT posting_id, term, is_required, CAST(n AS BIGINT) AS freq, {WEIGHT.format(sections=ONE_SECTION)} FROM w")
 def t9_weighted_terms(spark: SparkSession, d: str) -> DataFrame:
     return T.weighted_terms(*_found(spark, d))
 
 
-@query()
+@query(f"WITH {WEIGHED_SQL} SELECT posting_id, term, is_required, CAST(n AS BIGINT) AS freq, {WEIGHT.format(sections=BOTH_SECTIONS)} FROM w")
 def t9b_weighted_terms_stacked(spark: SparkSession, d: str) -> DataFrame:
     return T.weighted_terms(*_found(spark, d), stack=True)
 
@@ -293,12 +318,26 @@ def t10_normalise_term(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _variants(spark: SparkSession, d: str) -> DataFrame:
-    terms = V.terms(spark, d)
-    short = terms.where("length(term) > 6").select(F.substring("term", 1, 4).alias("term"), F.col("term").alias("expansion"))
-    return T.term_variants(terms, short)
-
-
-@query()
+    """Spellings of the benchmark's tokens and phrases; the first four letters of a long token are its abbreviation."""
+    short = V.terms(spark, d).where("length(term) > 6").select(F.substring("term", 1, 4).alias("term"), F.col("term").alias("expansion"))
+    return T.term_variants(V.dictionary(spark, d), short)
+
+
+VARIANTS_SQL = f"""{V.TERMS_SQL}, base AS (SELECT term, regexp_replace(lower(trim(term)), '[\\s\\-_/]+', ' ', 'g') AS n FROM dictionary),
+    lasts AS (SELECT term, n, list_last(string_split(n, ' ')) AS l FROM base WHERE contains(n, ' ')),
+    verbs AS (SELECT term, regexp_replace(n, ' [^ ]+$', '') AS head, CASE WHEN suffix(l, 'ing') AND length(l) >= 5 THEN left(l, length(l) - 3)
+        WHEN suffix(l, 'ed') AND length(l) >= 4 THEN left(l, length(l) - 2) WHEN suffix(l, 'e') AND length(l) >= 3 THEN left(l, length(l) - 1) END AS stem FROM lasts),
+    short AS (SELECT left(term, 4) AS abbreviation, term AS expansion FROM terms WHERE length(term) > 6),
+    variants AS (
+        SELECT term, lower(trim(term)) AS variant FROM base UNION SELECT term, n FROM base UNION SELECT term, replace(n, ' ', '-') FROM base
+        UNION SELECT term, left(n, length(n) - length(off)) || put FROM base, (VALUES ('ies', 'y'), ('ves', 'f'), ('ses', 's'), ('s', '')) p(off, put)
+            WHERE NOT contains(n, ' ') AND suffix(n, off) AND length(n) > length(off) + 2
+        UNION SELECT term, n || 's' FROM base WHERE NOT contains(n, ' ') AND NOT suffix(n, 's')
+        UNION SELECT term, head || glue || stem || form FROM verbs, (VALUES (' '), ('-')) g(glue), (VALUES ('e'), ('ed'), ('es'), ('ing')) f(form) WHERE stem IS NOT NULL
+        UNION SELECT term, expansion FROM base JOIN short ON n = abbreviation UNION SELECT term, abbreviation FROM base JOIN short ON n = expansion)"""
+
+
+@query(f"WITH {VARIANTS_SQL} SELECT term, variant FROM variants")
 def t11_term_variants(spark: SparkSession, d: str) -> DataFrame:
     return _variants(spark, d)
 
@@ -308,54 +347,69 @@ def _sectioned(spark: SparkSession, d: str) -> DataFrame:
     return V.blocks(spark, d).withColumn("section", section).withColumn("recency_year", F.when(F.col("pos") % 4 != 0, (2010 + F.col("doc_id") % 12 + F.col("pos") % 3).cast("int")))
 
 
-SECTIONED_SQL = f"{V.TERMS_SQL}, {V.BLOCKS_SQL}, sectioned AS (SELECT *, CASE pos % 3 WHEN 0 THEN 'skills' WHEN 1 THEN 'experience' ELSE 'other' END AS section, CASE WHEN pos % 4 <> 0 THEN CAST(2010 + doc_id % 12 + pos % 3 AS INTEGER) END AS recency_year FROM blocks), hits AS (SELECT DISTINCT doc_id, pos, section, recency_year, unnest({TOKENS}) AS term FROM sectioned), found AS (SELECT h.doc_id, h.term, array_to_string(list_sort(list_distinct(list(section))), '|') AS sections_found, list(DISTINCT section) AS sections, max(recency_year) AS last_year FROM hits h JOIN terms USING (term) GROUP BY h.doc_id, h.term)"
+SECTIONED_SQL = f"""{VARIANTS_SQL}, {V.BLOCKS_SQL},
+    sectioned AS (SELECT *, CASE pos % 3 WHEN 0 THEN 'skills' WHEN 1 THEN 'experience' ELSE 'other' END AS section, CASE WHEN pos % 4 <> 0 THEN CAST(2010 + doc_id % 12 + pos % 3 AS INTEGER) END AS recency_year FROM blocks),
+    toks AS (SELECT doc_id, pos, section, recency_year, {TOKENS} AS w FROM sectioned),
+    grams AS (SELECT doc_id, pos, section, recency_year, unnest(w) AS g FROM toks
+        UNION SELECT doc_id, pos, section, recency_year, unnest(list_transform(range(1, CAST(len(w) AS BIGINT)), lambda i: w[i] || ' ' || w[i + 1])) FROM toks),
+    keyed AS (SELECT term, variant, array_to_string(regexp_extract_all(variant, '[a-z0-9]+'), ' ') AS g FROM variants),
+    found AS (SELECT doc_id, term, first(variant ORDER BY pos, variant) AS matched_variant, list_sort(list(DISTINCT section)) AS sections, max(recency_year) AS last_year FROM grams JOIN keyed USING (g) GROUP BY doc_id, term)"""
 
 
-@query(f"WITH {SECTIONED_SQL} SELECT doc_id, term, sections_found, last_year FROM found")
+@query(f"WITH {SECTIONED_SQL} SELECT doc_id, term, matched_variant, array_to_string(sections, '|') AS sections_found, last_year FROM found")
 def t14_find_terms(spark: SparkSession, d: str) -> DataFrame:
-    plain = V.terms(spark, d).select("term", F.col("term").alias("variant"))
-    return T.find_terms(plain, _sectioned(spark, d)).select("doc_id", "term", F.array_join("sections_found", "|").alias("sections_found"), "last_year")
+    found = T.find_terms(_variants(spark, d), _sectioned(spark, d))
+    return found.select("doc_id", "term", "matched_variant", F.array_join("sections_found", "|").alias("sections_found"), "last_year")
 
 
-@query(f"WITH {SECTIONED_SQL} SELECT doc_id, count(*) AS pairs FROM found GROUP BY doc_id")
+@query(f"WITH {SECTIONED_SQL} SELECT term, count(*) AS docs, count(*) FILTER (list_contains(sections, 'skills')) AS in_skills, max(last_year) AS last_year FROM found GROUP BY term")
 def d7_dictionary_join(spark: SparkSession, d: str) -> DataFrame:
-    plain = V.terms(spark, d).select("term", F.col("term").alias("variant"))
-    return T.find_terms(plain, _sectioned(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"))
+    found = T.find_terms(_variants(spark, d), _sectioned(spark, d))
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.array_contains("sections_found", "skills")).alias("in_skills"), F.max("last_year").alias("last_year"))
 
 
 @query(f"WITH {V.TERMS_SQL} SELECT term, count(*) AS n FROM (SELECT doc_id, unnest(list_distinct({TOKENS})) AS term FROM documents) JOIN terms USING (term) GROUP BY term")
 def t12_term_present(spark: SparkSession, d: str) -> DataFrame:
-    terms = F.broadcast(V.terms(spark, d).select("term"))  # 40 rows
-    return _docs(spark, d).crossJoin(terms).where(T.term_present(F.col("text"), F.col("term"))).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    """Texts are tried for the terms whose words they share only."""
+    texts = _texts(spark, d).select("posting_id", "description")
+    words = texts.select("posting_id", F.explode(F.array_distinct(X.tokens(F.col("description")))).alias("term"))
+    tried = lookup_join(words, stored(V.terms(spark, d).select("term")), ["term"], salt="posting_id")
+    rows = T.in_texts(tried, texts, ["posting_id"], ["term"], {"present": lambda t: T.term_present(F.col("description"), t["term"])})
+    return rows.where("present").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {V.TERMS_SQL} SELECT term, count(*) AS n FROM documents JOIN terms ON contains(lower(text), term) GROUP BY term")
 def t13_term_substring(spark: SparkSession, d: str) -> DataFrame:
-    terms = F.broadcast(V.terms(spark, d).select("term"))  # 40 rows
-    return _docs(spark, d).crossJoin(terms).where(T.term_substring(F.col("text"), F.col("term"))).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    held = T.contained_terms(_docs(spark, d).where("text is not null"), V.terms(spark, d).select("term"))
+    return held.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _missing(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    texts = V.table(spark, d, "benchmark").select(F.col("item_id").alias("posting_id"), F.col("text").alias("description"), F.substring("text", 1, 40).alias("title"))
-    return texts.select("posting_id").crossJoin(F.broadcast(V.terms(spark, d).select("term", "is_required"))), texts  # 40 rows
+    """The terms of each document's posting, and the document's text."""
+    asked = stored(V.posting_terms(spark, d).select("posting_id", "term", "is_required"))
+    rows = lookup_join(V.pairs(spark, d), asked, ["posting_id"], salt="doc_id")
+    return rows.select(F.col("doc_id").alias("posting_id"), "term", "is_required"), _texts(spark, d)
+
 
+MISSING_SQL = f"{V.TERMS_SQL}, missing AS (SELECT p.doc_id AS posting_id, t.term, t.is_required, lower(p.text) AS text FROM pairs p JOIN posting_terms t USING (posting_id))"
 
-@query(f"WITH {V.TERMS_SQL}, t AS (SELECT item_id AS posting_id, unnest({TOKENS}) AS tok FROM benchmark), c AS (SELECT posting_id, tok AS term, count(*) AS freq FROM t GROUP BY ALL) SELECT b.item_id AS posting_id, t.term, coalesce(c.freq, 0) AS freq FROM benchmark b CROSS JOIN terms t LEFT JOIN c ON c.posting_id = b.item_id AND c.term = t.term")
+
+@query(f"WITH {MISSING_SQL}, t AS (SELECT doc_id AS posting_id, unnest({TOKENS}) AS term FROM documents), c AS (SELECT posting_id, term, count(*) AS freq FROM t GROUP BY ALL) SELECT m.posting_id, m.term, coalesce(c.freq, 0) AS freq FROM missing m LEFT JOIN c USING (posting_id, term)")
 def t15_term_frequency(spark: SparkSession, d: str) -> DataFrame:
     missing, texts = _missing(spark, d)
     return T.term_frequency(missing, texts, ["posting_id"])
 
 
-@query(f"WITH {V.TERMS_SQL}, r AS (SELECT item_id AS posting_id, term, is_required, CAST((length(text) - length(replace(lower(text), term, ''))) / length(term) AS BIGINT) AS freq, contains(lower(substr(text, 1, 40)), term) AS in_title FROM benchmark CROSS JOIN terms) SELECT posting_id, term, is_required, freq, CAST(row_number() OVER (PARTITION BY posting_id ORDER BY is_required DESC, freq DESC, term) AS INTEGER) AS rank FROM r WHERE is_required OR freq >= 3 OR in_title")
+@query(f"WITH {MISSING_SQL}, r AS (SELECT posting_id, term, is_required, CAST((length(text) - length(replace(text, term, ''))) // length(term) AS BIGINT) AS freq, contains({FIRST_LINE}, term) AS in_title FROM missing) SELECT posting_id, term, is_required, freq, CAST(row_number() OVER (PARTITION BY posting_id ORDER BY is_required DESC, freq DESC, term) AS INTEGER) AS rank FROM r WHERE is_required OR freq >= 3 OR in_title")
 def t16_critical_missing(spark: SparkSession, d: str) -> DataFrame:
     return T.critical_missing(*_missing(spark, d), ["posting_id"])
 
 
-@query(f"WITH {V.TERMS_SQL}, r AS (SELECT item_id AS posting_id, term, contains(lower(substr(text, 1, 80)), term) AS q, contains(lower(substr(text, 81)), term) AS p FROM benchmark CROSS JOIN terms) SELECT posting_id, term, CASE WHEN q THEN 'required' ELSE 'preferred' END AS kind FROM r WHERE q OR p")
+@query(f"WITH {MISSING_SQL}, r AS (SELECT posting_id, term, contains({FIRST_LINE}, term) AS q, contains(substr(text, length({FIRST_LINE}) + 1), term) AS p FROM missing) SELECT posting_id, term, CASE WHEN q THEN 'required' ELSE 'preferred' END AS kind FROM r WHERE q OR p")
 def t17_missing_by_section(spark: SparkSession, d: str) -> DataFrame:
     missing, texts = _missing(spark, d)
-    parts = texts.select("posting_id", F.substring("description", 1, 80).alias("required_text"), F.substring("description", F.lit(81), F.length("description")).alias("preferred_text"))
-    return T.missing_by_section(missing, parts, ["posting_id"])
+    rest = F.substring("description", F.length("title") + 1, F.length("description"))
+    return T.missing_by_section(missing, texts.select("posting_id", F.col("title").alias("required_text"), rest.alias("preferred_text")), ["posting_id"])
 
 
 @query("SELECT l_orderkey AS posting_id, CAST(round(CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity WHEN l_returnflag = 'A' THEN l_quantity * 0.5 ELSE 0 END) / sum(l_quantity) * 100 AS DECIMAL(18, 6)), 2) AS DOUBLE) AS coverage FROM lineitem GROUP BY l_orderkey")
@@ -417,9 +471,9 @@ def s1_fit_score(spark: SparkSession, d: str) -> DataFrame:
     return S.score_pairs(*_vectors(spark, d), ["profile_id"]).select("vec_id", "match_score")
 
 
-@query(f"SELECT p.vec_id, q.vec_id IS NULL AS failed FROM embeddings p LEFT JOIN embeddings q ON q.vec_id = p.vec_id % 6 AND q.vec_id < 5 WHERE p.vec_id >= 5")
+@query(f"SELECT p.vec_id, p.vec_id % 6 AS profile_id, {FIT} AS match_score, q.vec_id IS NULL AS failed FROM embeddings p LEFT JOIN embeddings q ON q.vec_id = p.vec_id % 6 AND q.vec_id < 5 WHERE p.vec_id >= 5")
 def s2_score_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return S.score_pairs(*_vectors(spark, d), ["profile_id"]).select("vec_id", F.col("match_score").isNull().alias("failed"))
+    return S.score_pairs(*_vectors(spark, d), ["profile_id"]).select("vec_id", "profile_id", "match_score", F.col("match_score").isNull().alias("failed"))
 
 
 @query(f"SELECT p.vec_id, coalesce({FIT}, 7) AS match_score FROM embeddings p LEFT JOIN embeddings q ON q.vec_id = p.vec_id % 6 AND q.vec_id < 5 WHERE p.vec_id >= 5")
@@ -429,74 +483,88 @@ def s3_rescore(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    phrases = V.table(spark, d, "benchmark").select(F.col("text").alias("phrase")).distinct()
-    first = F.array_join(F.slice(X.tokens(F.col("text")), 1, 3), " ")
-    return _docs(spark, d).select(first.alias("query")).where("query <> ''").distinct(), phrases
+    """Sentences of each document's posting as queries, and all its lines as phrases."""
+    sentences = V.table(spark, d, "benchmark").select(F.col("item_id").alias("posting_id"), F.explode(F.split("text", "[.\n]")).alias("query"))
+    sentences = stored(sentences.select("posting_id", F.trim("query").alias("query")).where(F.size(X.tokens(F.col("query"))) > 0).distinct())
+    queries = lookup_join(V.pairs(spark, d), sentences, ["posting_id"], salt="doc_id").select("doc_id", "query")
+    return queries, V.blocks(spark, d).select("doc_id", F.col("text").alias("phrase")).distinct()
+
 
+DOC = ("doc_id",)
+SIDES_SQL = f"""{V.TERMS_SQL}, {V.BLOCKS_SQL},
+    sentences AS (SELECT DISTINCT item_id AS posting_id, trim(s) AS query FROM (SELECT item_id, unnest(string_split_regex(text, '[.\n]')) AS s FROM benchmark) WHERE len(regexp_extract_all(lower(s), '[a-z0-9]+')) > 0),
+    q AS (SELECT doc_id, query FROM pairs JOIN sentences USING (posting_id)),
+    p AS (SELECT doc_id, phrase, regexp_extract_all(lower(phrase), '[a-z0-9]+') AS w FROM (SELECT DISTINCT doc_id, text AS phrase FROM blocks))"""
 
-@query(f"WITH q AS (SELECT DISTINCT array_to_string(list_slice({TOKENS}, 1, 3), ' ') AS term FROM documents WHERE len({TOKENS}) > 0), k AS (SELECT term, unnest(string_split(term, ' ')) AS t FROM q), p AS (SELECT DISTINCT text AS phrase FROM benchmark), j AS (SELECT phrase, unnest(regexp_extract_all(lower(phrase), '[a-z0-9]+')) AS t FROM p), "
-       f"ks AS (SELECT term, t AS key FROM k UNION SELECT term, {STEM.format(t='t')} FROM k), js AS (SELECT phrase, t AS key FROM j UNION SELECT phrase, {STEM.format(t='t')} FROM j) SELECT term, count(DISTINCT phrase) AS n FROM ks JOIN js USING (key) GROUP BY term")
+
+@query(f"WITH {SIDES_SQL}, k AS (SELECT doc_id, query AS term, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS t FROM q), j AS (SELECT doc_id, phrase, unnest(w) AS t FROM p), "
+       f"ks AS (SELECT doc_id, term, t AS key FROM k UNION SELECT doc_id, term, {STEM.format(t='t')} FROM k), js AS (SELECT doc_id, phrase, t AS key FROM j UNION SELECT doc_id, phrase, {STEM.format(t='t')} FROM j) SELECT doc_id, term, count(DISTINCT phrase) AS n FROM ks JOIN js USING (doc_id, key) GROUP BY ALL")
 def s4_lexical_candidates(spark: SparkSession, d: str) -> DataFrame:
     queries, phrases = _bm25_sides(spark, d)
-    return S.lexical_candidates(queries.withColumnRenamed("query", "term"), phrases).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return S.lexical_candidates(queries.withColumnRenamed("query", "term"), phrases, DOC).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-BM25_SQL = f"""q AS (SELECT DISTINCT array_to_string(list_slice({TOKENS}, 1, 3), ' ') AS query FROM documents WHERE len({TOKENS}) > 0),
-    p AS (SELECT phrase, regexp_extract_all(lower(phrase), '[a-z0-9]+') AS w FROM (SELECT DISTINCT text AS phrase FROM benchmark)),
-    tf AS (SELECT phrase, len(w) AS dl, token, count(*) AS tf FROM (SELECT phrase, w, unnest(w) AS token FROM p) GROUP BY ALL),
-    c AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM p),
-    raw AS (SELECT token, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, c GROUP BY token, n),
-    idf AS (SELECT token, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-    s AS (SELECT query, phrase, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
-        FROM (SELECT query, unnest(string_split(query, ' ')) AS token FROM q) JOIN tf USING (token) JOIN idf USING (token), c GROUP BY query, phrase),
-    top AS (SELECT query, phrase, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, phrase) AS rank FROM s WHERE score > 0)"""
+BM25_SQL = f"""{SIDES_SQL},
+    tf AS (SELECT doc_id, phrase, len(w) AS dl, token, count(*) AS tf FROM (SELECT doc_id, phrase, w, unnest(w) AS token FROM p) GROUP BY ALL),
+    c AS (SELECT doc_id, count(*) AS n, avg(len(w)) AS avgdl FROM p GROUP BY doc_id),
+    raw AS (SELECT doc_id, token, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf JOIN c USING (doc_id) GROUP BY doc_id, token, n),
+    m AS (SELECT doc_id, avg(raw) AS mean FROM raw GROUP BY doc_id),
+    idf AS (SELECT doc_id, token, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw JOIN m USING (doc_id)),
+    s AS (SELECT doc_id, query, phrase, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
+        FROM (SELECT doc_id, query, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS token FROM q) JOIN tf USING (doc_id, token) JOIN idf USING (doc_id, token) JOIN c USING (doc_id) GROUP BY ALL),
+    top AS (SELECT * FROM (SELECT doc_id, query, phrase, score, row_number() OVER (PARTITION BY doc_id, query ORDER BY score DESC, phrase) AS rank FROM s WHERE score > 0) WHERE rank <= 10)"""
 
 
-@query(f"WITH {BM25_SQL} SELECT query, CAST(rank AS INTEGER) AS rank, CAST(floor(score * 1000 + 0.5) AS BIGINT) AS score_milli FROM top WHERE rank <= 10")
+@query(f"WITH {BM25_SQL} SELECT doc_id, query, CAST(rank AS INTEGER) AS rank, CAST(floor(score * 1000 + 0.5) AS BIGINT) AS score_milli FROM top")
 def s6_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return S.bm25_topk(*_bm25_sides(spark, d)).select("query", "rank", F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("score_milli"))
+    return S.bm25_topk(*_bm25_sides(spark, d), by=DOC).select("doc_id", "query", "rank", F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("score_milli"))
 
 
 def _hashed(spark: SparkSession, d: str, strings: DataFrame) -> DataFrame:
-    """A seeded stand-in for a model: each string takes the vector whose number its checksum names."""
+    """A seeded stand-in for a model: each string takes the vector that its length and first character name."""
     e = V.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     n = max(1, e.count())
-    return strings.withColumn("vec_id", F.pmod(F.crc32("text"), F.lit(n))).join(e, "vec_id").select("text", "vector")
+    number = F.length("text") * 31 + F.ascii("text")
+    return lookup_join(strings.withColumn("vec_id", (number % n).cast("long")), stored(e), ["vec_id"], salt="text").select("text", "vector")
 
 
 def _shortlist(spark: SparkSession, d: str) -> DataFrame:
-    return S.bm25_topk(*_bm25_sides(spark, d)).withColumn("is_required", F.length("query") % 2 == 0)
+    return S.bm25_topk(*_bm25_sides(spark, d), by=DOC).withColumn("is_required", F.length("query") % 2 == 0)
 
 
-@query()
+@query(f"WITH {BM25_SQL}, v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM embeddings), nv AS (SELECT count(*) AS nv FROM embeddings), "
+       "x AS (SELECT t.*, round(list_inner_product(a.e, b.e) / (a.norm * b.norm), 6) AS sim FROM top t, nv JOIN v a ON a.vec_id = (length(t.query) * 31 + ascii(t.query)) % nv JOIN v b ON b.vec_id = (length(t.phrase) * 31 + ascii(t.phrase)) % nv), "
+       "r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, query ORDER BY sim DESC, rank, phrase DESC) AS k FROM x) "
+       "SELECT doc_id, query, length(query) % 2 = 0 AS is_required, md5(phrase) AS phrase, sim AS similarity, sim >= 0.2 AS matched, CASE WHEN length(query) % 2 = 0 OR sim < 0.2 THEN 0.0::DOUBLE ELSE least(0.65::DOUBLE, round(0.65::DOUBLE * sim, 6)) END AS credit FROM r WHERE k = 1")
 def s7_semantic_match(spark: SparkSession, d: str) -> DataFrame:
-    short = _shortlist(spark, d)
+    short = stored(_shortlist(spark, d))
     strings = short.select(F.col("query").alias("text")).unionByName(short.select(F.col("phrase").alias("text"))).distinct()
-    return S.semantic_match(short, _hashed(spark, d, strings), S.RetrievalConfig(threshold=0.2))
+    return S.semantic_match(short, _hashed(spark, d, strings), S.RetrievalConfig(threshold=0.2), DOC).withColumn("phrase", F.md5("phrase"))
 
 
-@query(f"WITH {BM25_SQL}, t AS (SELECT *, left(query, 2) AS k FROM top WHERE rank <= 10), cc AS (SELECT *, count(*) OVER (PARTITION BY k) AS total, count(*) OVER (PARTITION BY k, query) AS n FROM t) SELECT k, query, count(*) AS kept FROM cc WHERE total <= 50 OR rank <= greatest(1, floor(n * 50 / total)) GROUP BY ALL")
+@query(f"WITH {BM25_SQL}, cc AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total, count(*) OVER (PARTITION BY doc_id, query) AS n FROM top) SELECT doc_id, query, CAST(rank AS INTEGER) AS rank, md5(phrase) AS phrase FROM cc WHERE total <= 12 OR rank <= greatest(1, floor(n * 12 / total))")
 def s8_cap_pairs(spark: SparkSession, d: str) -> DataFrame:
-    capped = S.cap_pairs(_shortlist(spark, d).withColumn("k", F.substring("query", 1, 2)), "k", 50)
-    return capped.groupBy("k", "query").agg(F.count(F.lit(1)).alias("kept"))
+    return S.cap_pairs(_shortlist(spark, d), "doc_id", 12).select("doc_id", "query", "rank", F.md5("phrase").alias("phrase"))
 
 
-@query(f"WITH {BM25_SQL} SELECT count(*) AS calls FROM (SELECT query AS s FROM top WHERE rank <= 10 UNION SELECT phrase FROM top WHERE rank <= 10)")
+@query(f"WITH {BM25_SQL} SELECT count(*) AS calls FROM (SELECT query AS s FROM top UNION SELECT phrase FROM top)")
 def s9_embedding_calls(spark: SparkSession, d: str) -> DataFrame:
-    return S.embedding_calls(_shortlist(spark, d))
+    return S.embedding_calls(stored(_shortlist(spark, d)))
 
 
-@query(f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round({DOT.format(a='q.embedding', b='c.embedding')}, 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id FROM r WHERE rank <= 10")
+@query(f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round({DOT.format(a='q.embedding', b='c.embedding')}, 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10")
 def s10_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     e = V.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector")
-    return S.cosine_topk(asked, e).select("query_id", "rank", "vec_id")
+    return S.cosine_topk(asked, e).select("query_id", "rank", "vec_id", "score")
 
 
-@query()
+@query(f"WITH {V.BLOCKS_SQL} SELECT doc_id, pos, CAST(length(text) AS DOUBLE) AS chars, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS blanks, CASE WHEN text = '' THEN 0.0::DOUBLE ELSE CAST(unicode(text) % 97 AS DOUBLE) END AS first FROM blocks")
 def u1_embedder(spark: SparkSession, d: str) -> DataFrame:
+    """A callable in place of a model: it turns the lines of all documents into vectors, a batch a call."""
     def embed(texts: list[str]) -> list[list[float]]:
-        return [[float(len(t)), float(t.count(" ")), 1.0] for t in texts]
+        return [[float(len(t)), float(t.count(" ")), float(ord(t[0]) % 97) if t else 0.0] for t in texts]
 
     run = S.embedder(embed)
-    return V.table(spark, d, "benchmark").select("item_id", F.transform(run("text"), lambda x: x.cast("double")).alias("v")).select("item_id", F.col("v")[0].alias("chars"), F.col("v")[1].alias("blanks"))
+    made = V.blocks(spark, d).select("doc_id", "pos", F.transform(run("text"), lambda x: x.cast("double")).alias("v"))
+    return made.select("doc_id", "pos", *[F.col("v")[i].alias(c) for i, c in enumerate(("chars", "blanks", "first"))])

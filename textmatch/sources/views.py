@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmatch.functions.joins import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -62,24 +64,58 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
 
 
-def terms(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
-    """The n most frequent benchmark tokens of four characters or more; even ranks are required."""
-    tokens = table(spark, sf_dir, "benchmark").select(F.explode(words(F.col("text"))).alias("term")).where(F.length("term") >= 4)
-    top = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("freq")).orderBy(F.desc("freq"), "term").limit(n)
-    rows = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("freq")).alias("f"), "term"))).alias("a")).select(F.posexplode("a").alias("pos", "t"))
-    return rows.select(F.col("t.term").alias("term"), (-F.col("t.f")).alias("freq"), (F.col("pos") % 2 == 0).alias("is_required"), F.col("pos").cast("long").alias("rank"))
+def _code(term: Column) -> Column:
+    """A small number that goes with a term's spelling, where a query needs one."""
+    return F.ascii(term) + F.length(term)
+
+
+def _benchmark_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(words(F.col("text"))).alias("term")).where(F.length("term") >= 4)
+
+
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark tokens of four characters or more, with their number; those of an even code are required."""
+    counted = _benchmark_tokens(spark, sf_dir).groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
+    return counted.select("term", "freq", _code(F.col("term")).alias("code"), (_code(F.col("term")) % 2 == 0).alias("is_required"))
+
+
+def posting_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item as a posting that asks for its tokens: posting_id, term, freq, code, is_required."""
+    asked = _benchmark_tokens(spark, sf_dir).select(F.col("item_id").alias("posting_id"), "term").distinct()
+    return asked.join(terms(spark, sf_dir).hint("shuffle_hash"), "term").select("posting_id", "term", "freq", "code", "is_required")
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of neighbouring benchmark tokens of four characters or more (term)."""
+    w = table(spark, sf_dir, "benchmark").select(words(F.col("text")).alias("w"))
+    pairs = F.transform(F.arrays_zip(w["w"].alias("a"), F.slice("w", F.lit(2), F.greatest(F.lit(0), F.size("w") - 1)).alias("b")), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
+    rows = w.select(F.explode(pairs).alias("p")).where("length(p.a) >= 4 and length(p.b) >= 4")
+    return rows.select(F.concat_ws(" ", "p.a", "p.b").alias("term")).distinct()
+
+
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and phrases of the benchmark (term)."""
+    return terms(spark, sf_dir).select("term").unionByName(phrases(spark, sf_dir))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the posting its number deals it to."""
+    n = max(1, table(spark, sf_dir, "benchmark").count())
+    return table(spark, sf_dir, "documents").where("text is not null").select((F.col("doc_id") % n).alias("posting_id"), "doc_id")
 
 
-TERMS_SQL = """bench_tokens AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
-    terms AS (
-        SELECT term, freq, rank % 2 = 0 AS is_required, rank FROM (
-            SELECT term, count(*) AS freq, row_number() OVER (ORDER BY count(*) DESC, term) - 1 AS rank FROM bench_tokens WHERE length(term) >= 4 GROUP BY term)
-        WHERE rank < 40)"""
+TERMS_SQL = """bench_words AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
+    bench_tokens AS (SELECT item_id, unnest(w) AS term FROM bench_words),
+    terms AS (SELECT term, count(*) AS freq, ascii(term) + length(term) AS code, (ascii(term) + length(term)) % 2 = 0 AS is_required FROM bench_tokens WHERE length(term) >= 4 GROUP BY term),
+    posting_terms AS (SELECT DISTINCT b.item_id AS posting_id, t.* FROM bench_tokens b JOIN terms t USING (term)),
+    pair_words AS (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM bench_words)),
+    dictionary AS (SELECT term FROM terms UNION SELECT a || ' ' || b FROM pair_words WHERE length(a) >= 4 AND length(b) >= 4),
+    pairs AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS posting_id, doc_id, text FROM documents WHERE text IS NOT NULL)"""
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as ordered blocks; the first of a document is a heading."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"))
     rows = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     kind = F.when(F.col("pos") == 0, "h1").when(F.col("pos") % 3 == 1, "bullet").otherwise("paragraph")
     return rows.select("doc_id", "pos", F.concat(F.lit("b"), F.col("pos").cast("string")).alias("block_id"), kind.alias("block_type"), "text")
