@@ -11,8 +11,9 @@ from textmatch.llm.common import range_indexed, stored
 CUTS = r"\n| (?<=[.!?] )(?<=[^.!?\n]{30}[.!?] )"
 #: Cells of a sketch: three thirds, in each of which a digest has one cell.
 CELLS, THIRD = 24, 8
-#: A sketch that can't be peeled is done again as four sketches of a quarter of the digests each, at most so often.
-PARTS, LEVELS = 4, 16
+#: A sketch that can't be peeled is done again as several, each of a part of the digests: about so many digests a part, at
+#: most so many parts at once, and at most so often.
+EACH, PARTS, LEVELS = 8, 16, 12
 #: Rows without doc_id are dealt to so many parts.
 SALTS = 64
 
@@ -60,32 +61,35 @@ def peeled(cells: Column, level: int = 0) -> Column:
     """A subtracted sketch taken apart: struct of only_a and only_b, the digests recovered, and left, whether some stay hidden.
 
     In each step, a cell that holds a single digest gives it up, and it is taken out of its cells. That empties a cell for
-    good, so there are at most as many steps as cells.
+    good, so there are at most as many steps as cells; without such a cell, nothing happens any more.
     """
     none = F.array().cast("array<bigint>")
 
     def step(state: Column, _: Column) -> Column:
         single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"])))
         first = F.transform(F.slice(single, 1, 1), lambda c: _placed(c["n"], c["key"], level))
-        return F.aggregate(first, state, lambda s, x: F.struct(
+        stuck = F.struct(state["cells"].alias("cells"), state["only_a"].alias("only_a"), state["only_b"].alias("only_b"), F.lit(True).alias("stuck"))
+        taken = F.aggregate(first, stuck, lambda s, x: F.struct(
             _added(s["cells"], x, -1).alias("cells"),
             F.when(x["n"] > 0, F.concat(s["only_a"], F.array(x["key"]))).otherwise(s["only_a"]).alias("only_a"),
             F.when(x["n"] < 0, F.concat(s["only_b"], F.array(x["key"]))).otherwise(s["only_b"]).alias("only_b"),
+            F.lit(False).alias("stuck"),
         ))
+        return F.when(state["stuck"], state).otherwise(taken)
 
-    start = F.struct(cells.alias("cells"), none.alias("only_a"), none.alias("only_b"))
+    start = F.struct(cells.alias("cells"), none.alias("only_a"), none.alias("only_b"), F.lit(False).alias("stuck"))
     left = lambda s: F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
     return F.aggregate(F.sequence(F.lit(1), F.lit(CELLS)), start, step, lambda s: F.struct(s["only_a"].alias("only_a"), s["only_b"].alias("only_b"), left(s).alias("left")))
 
 
-def printed(items: Column) -> Column:
+def printed(n: Column, cells: Column) -> Column:
     """A fingerprint as text: the number of digests, then the cells of the sketch in base64 (count, digest, check; 20 bytes each).
 
     Cells are sums, so order doesn't matter and equal texts have equal fingerprints. Two fingerprints whose sets differ in
     few digests can be subtracted and peeled as they are.
     """
     cell = lambda c: F.concat(F.lpad(F.hex(c["n"]), 8, "0"), F.lpad(F.hex(c["key"]), 16, "0"), F.lpad(F.hex(c["check"]), 16, "0"))
-    return F.concat(F.size(items).cast("string"), F.lit(":"), F.translate(F.base64(F.unhex(F.array_join(F.transform(sketch(items), cell), ""))), "\r\n", ""))
+    return F.concat(n.cast("string"), F.lit(":"), F.translate(F.base64(F.unhex(F.array_join(F.transform(cells, cell), ""))), "\r\n", ""))
 
 
 def told(a: Column, b: Column, level: int = 0) -> Column:
@@ -93,34 +97,40 @@ def told(a: Column, b: Column, level: int = 0) -> Column:
     return peeled(subtracted(sketch(a, level), sketch(b, level)), level)
 
 
-def _part(items: Column, k: Column, level: int) -> Column:
-    bits = lambda x: F.shiftright(F.xxhash64(x, F.lit(-2).cast("long")), 2 * level).bitwiseAND(F.lit(PARTS - 1))
-    return F.filter(items, lambda x: bits(x) == k)
-
-
-def larger(failed: DataFrame, ids: list[str]) -> DataFrame:
+def larger(failed: DataFrame, ids: list[str], items: bool = True) -> DataFrame:
     """Differences of pairs (ids, a, b) whose sketches at level 0 can't be peeled, from larger and larger sketches.
 
-    At each retry, the digests of what failed are parted in four by two bits of a hash, and each part is sketched in as
-    many cells as the whole was, so a sketch is four times as large where it has to be. All of it happens inside rows:
-    nothing is shuffled, and the work is linear in the digests. What no retry has told after LEVELS (digests that never
-    part, of which there are hardly any) is told by comparing the sets. Returns ids, only_a and only_b; several rows a pair.
+    At each retry, the digests of what failed are parted by their next bits, in as many parts as leave about EACH for one
+    if all of them differ, and each part is sketched in as many cells as the whole was. So a sketch is larger where it has
+    to be, and grows with the sets. All of it happens inside rows: nothing is shuffled, and the work is linear in the
+    digests. What no retry has told after LEVELS (digests that don't part, of which there are hardly any) is told by
+    comparing the sets. Returns ids, only_a and only_b, several rows a pair: arrays, or with items off their sizes.
     """
-    rows, done = failed.select(*ids, "a", "b"), []
+    rows, done = failed.select(*ids, "a", "b", F.lit(0).alias("bits")), []
+    out = [F.col(f"t.{c}") if items else F.size(f"t.{c}").alias(c) for c in ("only_a", "only_b")]
     for level in range(1, LEVELS + 1):
-        parts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.struct(_part(F.col("a"), k, level - 1).alias("a"), _part(F.col("b"), k, level - 1).alias("b"))))  # noqa: B023
-        rows = rows.select(*ids, parts.alias("p")).select(*ids, "p.a", "p.b").withColumn("t", told(F.col("a"), F.col("b"), level))
+        wanted = F.ceil(F.log2((F.size("a") + F.size("b")) / EACH))
+        width = F.greatest(F.lit(1), F.least(F.lit(PARTS.bit_length() - 1), wanted)).cast("int")
+        rows = rows.withColumn("width", width).withColumn("mask", F.call_function("shiftleft", F.lit(1), F.col("width")) - 1)
+
+        def part(items: str, k: Column) -> Column:
+            return F.filter(items, lambda x: F.call_function("shiftrightunsigned", x, F.col("bits")).bitwiseAND(F.col("mask").cast("long")) == k).alias(items)
+
+        parts = F.explode(F.transform(F.sequence(F.lit(0), F.col("mask")), lambda k: F.struct(part("a", k), part("b", k))))
+        rows = rows.withColumn("p", parts).withColumn("bits", F.col("bits") + F.col("width")).select(*ids, "bits", "p.a", "p.b").where("size(a) + size(b) > 0")
+        rows = rows.withColumn("t", told(F.col("a"), F.col("b"), level))
         again = [F.when(F.col("t.left"), F.col(c)).alias(c) for c in ("a", "b")]
-        table = stored(rows.select(*ids, "t", *again))
-        done.append(table.where("not t.left").select(*ids, "t.only_a", "t.only_b"))
-        rows = table.where("t.left").select(*ids, "a", "b")
+        table = stored(rows.select(*ids, *out, F.col("t.left").alias("left"), "bits", *again))
+        done.append(table.where("not left").select(*ids, "only_a", "only_b"))
+        rows = table.where("left").select(*ids, "a", "b", "bits")
         if not rows.limit(1).count():
             break
     else:
-        done.append(rows.select(*ids, F.array_except("a", "b").alias("only_a"), F.array_except("b", "a").alias("only_b")))
+        exact = [F.array_except("a", "b"), F.array_except("b", "a")]
+        done.append(rows.select(*ids, *[(x if items else F.size(x)).alias(c) for x, c in zip(exact, ("only_a", "only_b"), strict=True)]))
     out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
+    for more in done[1:]:
+        out = out.unionByName(more)
     return out
 
 
@@ -178,15 +188,16 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), n - take), F.substring("s.head", F.lit(1), take))
     made = met.select("key", n.cast("long").alias("n_chars"), F.unhex(F.sha2(edited, 256)).alias("edited_sha256"), "own", digests(edited).alias("new"), F.col("s.next").alias("next"))
     versions = ("new", "next")
-    first = {f"t_{c}": told(F.col("own"), F.col(c)) for c in versions}
+    made = made.withColumns({f"c_{c}": sketch(F.col(c)) for c in ("own", *versions)})
+    made = made.withColumns({f"t_{c}": peeled(subtracted(F.col("c_own"), F.col(f"c_{c}"))) for c in versions})
     counts = [F.struct(F.size(f"t_{c}.only_a").alias("a"), F.size(f"t_{c}.only_b").alias("b"), F.col(f"t_{c}.left").alias("left")).alias(f"t_{c}") for c in versions]
-    made = made.withColumns(first).select("key", "n_chars", "edited_sha256", "own", "new", F.when(F.col("t_next.left"), F.col("next")).alias("next"), *counts)
+    made = made.select("key", "n_chars", "edited_sha256", "own", "new", F.when(F.col("t_next.left"), F.col("next")).alias("next"), *counts)
     base = stored(made.withColumn("row", F.monotonically_increasing_id()))
 
     failed = F.explode(F.array(*[F.struct(F.lit(c).alias("version"), F.when(F.col(f"t_{c}.left"), F.col(c)).alias("b")) for c in versions]))
     failed = base.select("row", F.col("own").alias("a"), failed.alias("f")).where("f.b is not null").select("row", "f.version", "a", "f.b")
-    more = larger(failed, ["row", "version"])
-    sums = [F.sum(F.when(F.col("version") == c, F.size(f"only_{x}")).otherwise(0)).alias(f"{c}_{x}") for c in versions for x in ("a", "b")]
+    more = larger(failed, ["row", "version"], items=False)
+    sums = [F.sum(F.when(F.col("version") == c, F.col(f"only_{x}")).otherwise(0)).alias(f"{c}_{x}") for c in versions for x in ("a", "b")]
     out = base.join(stored(more.groupBy("row").agg(*sums)).hint("merge"), "row", "left")
 
     def near(c: str) -> Column:
@@ -195,5 +206,6 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
     return out.select(
         F.nullif("key", F.lit("")).cast("long").alias("doc_id"), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
-        printed(F.col("own")).alias("fingerprint"), printed(F.col("new")).alias("edited_fingerprint"), near("new").alias("near_edited"), near("next").alias("near_next"),
+        *[printed(F.size(c), sketch(F.col(c))).alias(f"{name}fingerprint") for c, name in (("own", ""), ("new", "edited_"))],
+        near("new").alias("near_edited"), near("next").alias("near_next"),
     )
