@@ -96,13 +96,15 @@ def protected_tokens(text: Column) -> Column:
 
 
 # Words that carry no claim of their own in an edit.
-EDIT_STOP_WORDS = tuple(
-    "the a an and or in of to for with is are was were be been by on at as that this it its not but from have has had we you they their our your i my"
-    " can will would could should may might also which who what when how if than then so up out into over after while using across within between through"
-    " during including ensure ability experience knowledge understanding strong excellent good high new key well large small leveraging demonstrating"
-    " fulfilling incorporating integrating thereby often flows helping updated staying incorporate ensuring enabling driving improving environments"
-    " requirements scale orchestration agents various multiple complex".split()
-)
+EDIT_STOP_WORDS = (
+    "the", "a", "an", "and", "or", "in", "of", "to", "for", "with", "is", "are", "was", "were", "be", "been", "by", "on", "at", "as", "that", "this",
+    "it", "its", "not", "but", "from", "have", "has", "had", "we", "you", "they", "their", "our", "your", "i", "my", "can", "will", "would", "could",
+    "should", "may", "might", "also", "which", "who", "what", "when", "how", "if", "than", "then", "so", "up", "out", "into", "over", "after",
+    "while", "using", "across", "within", "between", "through", "during", "including", "ensure", "ability", "experience", "knowledge",
+    "understanding", "strong", "excellent", "good", "high", "new", "key", "well", "large", "small", "leveraging", "demonstrating", "fulfilling",
+    "incorporating", "integrating", "thereby", "often", "flows", "helping", "updated", "staying", "incorporate", "ensuring", "enabling", "driving",
+    "improving", "environments", "requirements", "scale", "orchestration", "agents", "various", "multiple", "complex",
+)
 
 
 def content_tokens(text: Column) -> Column:

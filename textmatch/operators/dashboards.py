@@ -81,7 +81,7 @@ def conversion_rates(postings: DataFrame) -> DataFrame:
     )
     c = F.col
     return counts.select(
-        percent(c("t") + c("a"), c("total")).alias("tailor_rate"), percent(c("a"), c("t") + c("a")).alias("apply_rate"),
+        percent(c("t") + c("a"), c("total")).alias("prepared_rate"), percent(c("a"), c("t") + c("a")).alias("apply_rate"),
         percent(c("a"), c("total")).alias("overall_rate"), percent(c("s"), c("total")).alias("skip_rate"),
     )
 

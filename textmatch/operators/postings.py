@@ -149,17 +149,21 @@ def set_algebra(left: DataFrame, right: DataFrame) -> DataFrame:
     return tagged.groupBy(*left.columns).agg(F.sum("__s").alias("__sum")).select(*left.columns, side.alias("side"))
 
 
-def pair_postings_profiles(postings: DataFrame, profiles: DataFrame, on: Sequence[str] | None = None, most: int = 1000) -> DataFrame:
+def pair_postings_profiles(postings: DataFrame, profiles: DataFrame, on: Sequence[str] | None = None, block: int = 1000) -> DataFrame:
     """Every posting with every profile, or with those that share the tenant key.
 
-    Without a key all pairs are asked for, so the profiles are counted and may be `most` at the most.
+    Without a key all pairs are asked for. Profiles are packed in blocks of about `block`, and each posting meets every
+    block once, in one of 32 tasks a block: nothing is broadcast, whatever the number of profiles.
     """
     if on:
         return postings.join(profiles, list(on))
-    n = profiles.count()
-    if n > most:
-        raise ValueError(f"{n} profiles without a tenant key; at most {most} can be paired with all postings")
-    return postings.crossJoin(F.broadcast(profiles))
+    salts, n = 32, max(1, -(-profiles.count() // block))
+    row = F.struct(*profiles.columns)
+    packed = profiles.groupBy(F.pmod(F.xxhash64(*profiles.columns), F.lit(n)).cast("int").alias("__block")).agg(F.collect_list(row).alias("__rows"))
+    packed = packed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = postings.withColumn("__salt", F.pmod(F.xxhash64(*postings.columns), F.lit(salts)).cast("int")).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    met = dealt.join(packed.hint("merge"), ["__block", "__salt"])
+    return met.select(*postings.columns, F.explode("__rows").alias("__row")).select(*postings.columns, *[F.col(f"__row.{c}").alias(c) for c in profiles.columns])
 
 
 def set_current(versions: DataFrame, choice: DataFrame) -> DataFrame:

@@ -44,10 +44,16 @@ FOOTER_STARTS = (
     "skills highlighted", "about company", "company profile", "perks and benefits", "salary:", "ctc:", "notice period:",
 )
 # Words of job titles, and phrases that are not titles.
-TITLE_WORDS = "engineer developer scientist analyst manager lead architect designer specialist director researcher consultant intern associate".split()
+TITLE_WORDS = (
+    "engineer", "developer", "scientist", "analyst", "manager", "lead", "architect", "designer", "specialist", "director", "researcher", "consultant", "intern",
+    "associate",
+)
 NOT_TITLES = ("software development", "software product", "engineering - ", "full time", "permanent", "any graduate", "software & qa")
 # Words that coverage doesn't ask for.
-COVERAGE_STOP_WORDS = "the a an and or in of to for with is are be as at by on not that this we you will your our etc e g eg".split()
+COVERAGE_STOP_WORDS = (
+    "the", "a", "an", "and", "or", "in", "of", "to", "for", "with", "is", "are", "be", "as", "at", "by", "on", "not", "that", "this", "we", "you", "will", "your",
+    "our", "etc", "e", "g", "eg",
+)
 
 
 def _any_contained(text: Column, words: tuple[str, ...] | list[str]) -> Column:
@@ -140,13 +146,20 @@ MODEL_SCHEMA = "title string, " + ", ".join(f"{c} array<string>" for c in SECTIO
 
 
 def validate_sections(answers: DataFrame) -> DataFrame:
-    """Parsed model answers with all six keys: items trimmed, blank ones dropped. parsed is a struct of MODEL_SCHEMA."""
+    """Parsed model answers with all six keys: lists inside lists unfolded, items trimmed, blank ones dropped.
+
+    parsed is a struct of MODEL_SCHEMA; a list inside a list is read as its text, which is parsed here.
+    """
     whole = F.col("parsed").isNotNull() & F.col("parsed.title").isNotNull()
     for c in SECTION_FIELDS:
         whole = whole & F.col(f"parsed.{c}").isNotNull()
 
+    def unfolded(x: Column) -> Column:
+        return F.when(F.startswith(F.trim(x), F.lit("[")), F.coalesce(F.from_json(x, "array<string>"), F.array(x))).otherwise(F.array(x))
+
     def cleaned(c: str) -> Column:
-        return F.filter(F.transform(f"parsed.{c}", lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")).alias(c)
+        items = F.flatten(F.transform(f"parsed.{c}", unfolded))
+        return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")).alias(c)
 
     return answers.where(whole).select("posting_id", F.trim("parsed.title").alias("title"), *[cleaned(c) for c in SECTION_FIELDS])
 

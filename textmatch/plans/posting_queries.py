@@ -204,7 +204,7 @@ def g6_status_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return G.status_breakdown(_p(spark, d))
 
 
-@query(f"{W}, n AS (SELECT count(*) AS total, count(*) FILTER (status = 'Tailored') AS t, count(*) FILTER (status = 'Applied') AS a, count(*) FILTER (status = 'Skipped') AS s FROM postings) SELECT CAST(floor((t + a) * 100.0 / total + 0.5) AS BIGINT) AS tailor_rate, CAST(floor(a * 100.0 / (t + a) + 0.5) AS BIGINT) AS apply_rate, CAST(floor(a * 100.0 / total + 0.5) AS BIGINT) AS overall_rate, CAST(floor(s * 100.0 / total + 0.5) AS BIGINT) AS skip_rate FROM n")
+@query(f"{W}, n AS (SELECT count(*) AS total, count(*) FILTER (status = 'Tailored') AS t, count(*) FILTER (status = 'Applied') AS a, count(*) FILTER (status = 'Skipped') AS s FROM postings) SELECT CAST(floor((t + a) * 100.0 / total + 0.5) AS BIGINT) AS prepared_rate, CAST(floor(a * 100.0 / (t + a) + 0.5) AS BIGINT) AS apply_rate, CAST(floor(a * 100.0 / total + 0.5) AS BIGINT) AS overall_rate, CAST(floor(s * 100.0 / total + 0.5) AS BIGINT) AS skip_rate FROM n")
 def g7_conversion_rates(spark: SparkSession, d: str) -> DataFrame:
     return G.conversion_rates(_p(spark, d))
 

@@ -37,19 +37,28 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return spread(V.table(spark, d, "documents"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(translate(text, '‘’“”–—', '''''\"\"--'), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS normal FROM documents")
+NORMAL = "regexp_replace(regexp_replace(regexp_replace(translate(text, '‘’“”–—', '''''\"\"--'), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, md5({NORMAL}) AS normal FROM documents")
 def e1_normalise_text(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.md5(X.normalise_text(F.col("text"))).alias("normal"))
 
 
-@query()
-def e2_strip_footer(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    text = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\nIndustry Type: IT\nUG: any"))).otherwise(F.col("text"))
-    return docs.select("doc_id", F.length(E.strip_footer(text)).alias("chars"), (F.length(text) - F.length(E.strip_footer(text))).alias("cut"))
-
+def _footless_sql(source: str) -> str:
+    """id and text of a query, the text without its footer as kept."""
+    starts = "|".join(E.FOOTER_STARTS)
+    return (
+        f"footed AS (SELECT *, string_split(text, chr(10)) AS ls FROM ({source})), opened AS (SELECT *, coalesce(list_position(list_transform(ls, lambda x: length(trim(x)) < 60 AND regexp_matches(lower(trim(x)), '^({starts})')), true), 0) AS opens FROM footed),"
+        " footless AS (SELECT id, text, CASE WHEN opens = 0 THEN trim(text) WHEN length(trim(array_to_string(list_slice(ls, 1, opens - 1), chr(10)))) >= length(text) * 0.2 THEN trim(array_to_string(list_slice(ls, 1, opens - 1), chr(10))) ELSE text END AS kept FROM opened)"
+    )
 
 
+@query("WITH " + _footless_sql("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN text || chr(10) || 'Industry Type: IT' || chr(10) || 'UG: any' ELSE text END AS text FROM documents") + " SELECT id AS doc_id, md5(kept) AS kept, length(text) - length(kept) AS cut FROM footless")
+def e2_strip_footer(spark: SparkSession, d: str) -> DataFrame:
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\nIndustry Type: IT\nUG: any"))).otherwise(F.col("text"))
+    kept = E.strip_footer(text)
+    return _docs(spark, d).select("doc_id", F.md5(kept).alias("kept"), (F.length(text) - F.length(kept)).cast("long").alias("cut"))
 
 
 def _section_sql(paragraph: str, sections: dict[str, tuple[str, ...]] = E.SECTION_KEYS) -> str:
@@ -59,25 +68,37 @@ def _section_sql(paragraph: str, sections: dict[str, tuple[str, ...]] = E.SECTIO
     return f"CASE WHEN {best} = 0 THEN 'general' {cases} END"
 
 
-@query(f"WITH {SPLICE_SQL}, p AS (SELECT posting_id, lower(unnest(regexp_split_to_array(description, '\\n{{2,}}'))) AS para FROM spliced) SELECT section, count(*) AS n, CAST(sum(length(para)) AS BIGINT) AS chars FROM (SELECT para, {_section_sql('para')} AS section FROM p) GROUP BY section")
+PARAGRAPHS = "SELECT posting_id, CAST(unnest(range(len(ps))) AS INTEGER) AS pos, unnest(ps) AS para FROM (SELECT posting_id, regexp_split_to_array(description, '\\n{2,}') AS ps FROM spliced)"
+
+
+@query(f"WITH {SPLICE_SQL}, p AS ({PARAGRAPHS}) SELECT posting_id, pos, {_section_sql('lower(para)')} AS section, md5(para) AS paragraph FROM p")
 def e3_detect_sections(spark: SparkSession, d: str) -> DataFrame:
-    rows = E.detect_sections(spliced(spark, d))
-    return rows.groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.lower("paragraph"))).alias("chars"))
+    return E.detect_sections(spliced(spark, d)).select("posting_id", "pos", "section", F.md5("paragraph").alias("paragraph"))
 
 
-@query(f"WITH {SPLICE_SQL}, p AS (SELECT posting_id, lower(unnest(regexp_split_to_array(description, '\\n{{2,}}'))) AS para FROM spliced) SELECT section, count(*) AS n FROM (SELECT {_section_sql('para', E.OLDER_SECTION_KEYS)} AS section FROM p) GROUP BY section")
+@query(f"WITH {SPLICE_SQL}, p AS ({PARAGRAPHS}) SELECT posting_id, pos, {_section_sql('lower(para)', E.OLDER_SECTION_KEYS)} AS section FROM p")
 def e3b_detect_sections_older(spark: SparkSession, d: str) -> DataFrame:
-    return E.detect_sections(spliced(spark, d), E.OLDER_SECTION_KEYS).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+    return E.detect_sections(spliced(spark, d), E.OLDER_SECTION_KEYS).select("posting_id", "pos", "section")
+
+
+def _title_sql(text: str, older: bool = False) -> str:
+    words, wrong = "|".join(E.TITLE_WORDS[:9] if older else E.TITLE_WORDS), "|".join(E.NOT_TITLES)
+    allowed = "true" if older else "NOT regexp_matches(lower({x}), '" + wrong + "')"
+    labels = ("(?i)(?:role|position|job title)\\s*[:\\-]\\s*(.+)", "(?i)we(?:''re| are) (?:looking|hiring) for an?\\s+(.+?)(?:\\s+to|\\s+who|\\.|$)")
+    said = [f"trim(regexp_extract({text}, '{label}', 1))" for label in labels]
+    accepted = [f"CASE WHEN length({x}) > 3 AND length({x}) < 80 AND {allowed.format(x=x)} THEN {x} END" for x in said]
+    lines = f"list_transform(string_split({text}, chr(10)), lambda x: trim(x))"
+    titled = f"list_filter({lines}, lambda x: length(x) > 0 AND length(x) < 100 AND regexp_matches(lower(x), '{words}') AND {allowed.format(x='x')})[1]"
+    first = f"left(list_filter({lines}, lambda x: x <> '')[1], 80)" if older else "''"
+    return f"coalesce({', '.join(accepted)}, {titled}, {first}, '')"
 
 
-@query("SELECT doc_id, left(trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]), 80) AS found FROM documents WHERE NOT regexp_matches(lower(text), 'engineer|developer|scientist|analyst|manager|lead|architect|designer|specialist|role|position|job title|looking|hiring') AND trim(text) <> ''")
+@query(f"SELECT doc_id, {_title_sql('text', True)} AS found FROM documents WHERE text IS NOT NULL")
 def e4b_extract_title_older(spark: SparkSession, d: str) -> DataFrame:
-    words = "engineer|developer|scientist|analyst|manager|lead|architect|designer|specialist|role|position|job title|looking|hiring"
-    docs = _docs(spark, d).where(~F.lower("text").rlike(words) & (F.trim("text") != ""))
-    return docs.select("doc_id", E.extract_title(F.col("text"), older=True).alias("found"))
+    return _docs(spark, d).where("text is not null").select("doc_id", E.extract_title(F.col("text"), older=True).alias("found"))
 
 
-@query()
+@query(f"WITH {SPLICE_SQL}, x AS (SELECT posting_id, CASE WHEN posting_id % 3 = 0 THEN 'Position: Data Engineer ' || title || chr(10) || description ELSE description END AS text FROM spliced) SELECT posting_id, {_title_sql('text')} AS found FROM x")
 def e4_extract_title(spark: SparkSession, d: str) -> DataFrame:
     rows = spliced(spark, d)
     text = F.when(F.col("posting_id") % 3 == 0, F.concat(F.lit("Position: Data Engineer "), F.col("title"), F.lit("\n"), F.col("description"))).otherwise(F.col("description"))
@@ -90,10 +111,22 @@ def e5_section_lines(spark: SparkSession, d: str) -> DataFrame:
     return E.section_lines(rows).select("posting_id", "pos", F.md5("line").alias("line"))
 
 
-@query()
+STRUCTURED_SQL = (
+    f"{SPLICE_SQL}, " + _footless_sql(f"SELECT posting_id AS id, {NORMAL} AS text FROM (SELECT posting_id, description AS text FROM spliced)")
+    + ", paras AS (SELECT id, unnest(range(len(ps))) AS pos, unnest(ps) AS para FROM (SELECT id, regexp_split_to_array(kept, '\\n{2,}') AS ps FROM footless)),"
+    + f" said AS (SELECT id, pos, {_section_sql('lower(para)')} AS section, string_split(para, chr(10)) AS ls FROM paras),"
+    + " every AS (SELECT id, section, pos, unnest(range(len(ls))) AS place, trim(regexp_replace(trim(unnest(ls)), '^[-•*·▪▸►‣⁃]\\s*', '')) AS line FROM said),"
+    + " per AS (SELECT id, section, string_agg(line, '|' ORDER BY pos, place) AS lines, count(*) AS n FROM every WHERE line <> '' GROUP BY ALL),"
+    + f" structured AS (SELECT f.id AS posting_id, {_title_sql('kept')} AS title, "
+    + ", ".join(f"md5(coalesce((SELECT lines FROM per WHERE per.id = f.id AND section = '{'general' if c == 'other' else c}'), '')) AS {c}" for c in (*E.SECTION_KEYS, "other"))
+    + ", coalesce((SELECT n FROM per WHERE per.id = f.id AND section = 'required'), 0) AS n_required FROM footless f)"
+)
+
+
+@query(f"WITH {STRUCTURED_SQL} SELECT posting_id, title, {', '.join((*E.SECTION_KEYS, 'other'))}, 'fallback' AS method FROM structured")
 def e6_structure_postings(spark: SparkSession, d: str) -> DataFrame:
     rows = E.structure_postings(spliced(spark, d))
-    return rows.select("posting_id", "title", *[F.size(c).alias(f"n_{c}") for c in (*E.SECTION_KEYS, "other")], "method")
+    return rows.select("posting_id", "title", *[F.md5(F.array_join(c, "|")).alias(c) for c in (*E.SECTION_KEYS, "other")], "method")
 
 
 STOPS = ", ".join(f"'{w}'" for w in E.COVERAGE_STOP_WORDS)
@@ -107,11 +140,21 @@ def e7_token_coverage(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", wanted.alias("n_wanted"), F.when(wanted == 0, 0).otherwise(F.round(share * wanted)).cast("int").alias("n_covered"))
 
 
-@query()
+SECTION_WORDS = ", ".join(f"('{s}', '{w}', {i})" for i, (s, w) in enumerate((s, w) for s, ws in B.SECTION_WORDS.items() for w in ws))
+#: Marks are doubled first, as SQL's pattern engine has no lookaround and a mark between two years would bound only one.
+YEARS = "list_transform(regexp_extract_all(regexp_replace(text, '([^A-Za-z0-9_])', '\\1\\1', 'g'), '(?:^|[^A-Za-z0-9_])(20[0-2][0-9]|19[89][0-9])(?:$|[^A-Za-z0-9_])', 1), lambda y: CAST(y AS INTEGER))"
+
+
+@query(
+    f"WITH {V.BLOCKS_SQL}, words(s, w, i) AS (VALUES {SECTION_WORDS}), headed AS (SELECT doc_id, pos, CASE WHEN pos = 0 AND doc_id % 3 < 2 THEN CASE doc_id % 3 WHEN 0 THEN 'Work Experience 20' ELSE 'Skills since 20' END || lpad(CAST(doc_id % 25 AS VARCHAR), 2, '0') ELSE text END AS text, CASE WHEN pos % 5 = 3 THEN 'h2' ELSE block_type END AS block_type FROM blocks),"
+    " told AS (SELECT doc_id, pos, CASE WHEN block_type IN ('h1', 'h2') THEN (SELECT first(s ORDER BY length(w) DESC, i) FROM words WHERE contains(lower(text), w))" + f" END AS s, CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9])(present|current|now|today|ongoing)([^a-z0-9]|$)') THEN 2025 ELSE list_max({YEARS}) END AS y FROM headed)"
+    " SELECT doc_id, pos, coalesce(last_value(s IGNORE NULLS) OVER w, 'other') AS section, last_value(y IGNORE NULLS) OVER w AS recency_year FROM told WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+)
 def e8_section_blocks(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.blocks(spark, d)
-    heading = F.when(F.col("pos") == 0, F.concat(F.lit("Work Experience 20"), F.lpad((F.col("doc_id") % 25).cast("string"), 2, "0"))).otherwise(F.col("text"))
-    return B.section_blocks(rows.withColumn("text", heading)).select("doc_id", "pos", "section", "recency_year")
+    k, rows = F.col("doc_id") % 3, V.blocks(spark, d)
+    named = F.concat(F.when(k == 0, "Work Experience 20").otherwise("Skills since 20"), F.lpad((F.col("doc_id") % 25).cast("string"), 2, "0"))
+    rows = rows.withColumn("text", F.when((F.col("pos") == 0) & (k < 2), named).otherwise(F.col("text"))).withColumn("block_type", F.when(F.col("pos") % 5 == 3, "h2").otherwise(F.col("block_type")))
+    return B.section_blocks(rows).select("doc_id", "pos", "section", "recency_year")
 
 
 @query(f"WITH {V.BLOCKS_SQL} SELECT doc_id, block_type AS section, md5(string_agg(text, ' ' ORDER BY pos)) AS joined FROM blocks GROUP BY ALL")
@@ -142,14 +185,15 @@ def e11_salvage_json(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", X.salvage_json(raw, RAW_JSON).alias("p")).select("o_orderkey", "p.title", "p.n")
 
 
-@query("SELECT o_orderkey AS posting_id, o_orderpriority AS title, 1 AS n_required FROM orders WHERE o_orderkey % 3 <> 0")
+@query("SELECT o_orderkey AS posting_id, o_orderpriority AS title, o_orderstatus || '|a ' || o_custkey || '|b' AS required, o_orderstatus || '|a ' || o_custkey || '|b' AS about FROM orders WHERE o_orderkey % 3 <> 0")
 def e12_validate_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Items with blanks around them, blank ones, and a list inside the list."""
     o = V.table(spark, d, "orders")
-    items = F.array(F.col("o_orderstatus"), F.lit("  "))
+    items = F.array(F.concat(F.lit(" "), "o_orderstatus"), F.lit("  "), F.concat(F.lit('["a '), F.col("o_custkey").cast("string"), F.lit('", " b", ""]')))
     required = F.when(F.col("o_orderkey") % 3 != 0, items)
     parsed = F.struct(F.concat(F.lit(" "), "o_orderpriority").alias("title"), items.alias("responsibilities"), required.alias("required"), items.alias("preferred"), items.alias("about"), items.alias("other"))
     rows = E.validate_sections(o.select(F.col("o_orderkey").alias("posting_id"), parsed.alias("parsed")))
-    return rows.select("posting_id", "title", F.size("required").alias("n_required"))
+    return rows.select("posting_id", "title", F.array_join("required", "|").alias("required"), F.array_join("about", "|").alias("about"))
 
 
 @query("SELECT p_partkey, array_to_string(list_filter(list_transform(regexp_split_to_array(p_type || ', ' || p_name || ',,' || chr(10) || p_brand, '[,\\n]'), lambda x: trim(x)), lambda x: x <> ''), '|') AS items FROM part")
@@ -179,7 +223,10 @@ def e16_contact_line(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", X.contact_line("p_brand", "b").alias("line"))
 
 
-@query()
+@query(
+    f"WITH {STRUCTURED_SQL} SELECT s.posting_id, CASE WHEN p.title IS NULL OR s.posting_id % 3 = 2 THEN 'fallback' WHEN s.posting_id % 3 = 0 THEN 'llm' ELSE 'llm-secondary' END AS method,"
+    " CASE WHEN p.title IS NULL OR s.posting_id % 3 = 2 THEN s.n_required ELSE len(list_filter(string_split(p.description, chr(10)), lambda x: trim(x) <> '')) END AS n_required FROM structured s JOIN spliced p USING (posting_id)"
+)
 def e17_choose_structure(spark: SparkSession, d: str) -> DataFrame:
     posts = spliced(spark, d)
     rules = E.structure_postings(posts)
@@ -187,7 +234,7 @@ def e17_choose_structure(spark: SparkSession, d: str) -> DataFrame:
     said = F.struct(F.col("title").alias("title"), lines.alias("responsibilities"), lines.alias("required"), lines.alias("preferred"), lines.alias("about"), lines.alias("other"))
     first = E.validate_sections(posts.where("posting_id % 3 = 0").select("posting_id", said.alias("parsed")))
     second = E.validate_sections(posts.where("posting_id % 3 < 2").select("posting_id", said.alias("parsed")))
-    return E.choose_structure(posts, first, second, rules).select("posting_id", "method", F.size("required").alias("n_required"))
+    return E.choose_structure(posts, first, second, rules).select("posting_id", "method", F.size("required").cast("long").alias("n_required"))
 
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS BIGINT) AS words FROM documents")
@@ -444,12 +491,12 @@ def t21_keyword_cards(spark: SparkSession, d: str) -> DataFrame:
     return T.keyword_cards(T.gap_from_labels(_labelled(spark, d))).select("posting_id", "kw", "present", "card")
 
 
-@query()
-def t23_lemma_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.md5(F.array_join(T.lemma_tokens(F.col("text"), tuple(E.COVERAGE_STOP_WORDS)), " ")).alias("lemmas"))
+STEM = "CASE " + " ".join(f"WHEN suffix({{t}}, '{s}') AND length({{t}}) >= {len(s) + 3} THEN left({{t}}, length({{t}}) - {len(s)})" for s in ("ing", "tion", "ed", "er", "es", "s")) + " ELSE {t} END"
 
 
-STEM = "CASE " + " ".join(f"WHEN suffix({{t}}, '{s}') AND length({{t}}) >= {len(s) + 3} THEN left({{t}}, length({{t}}) - {len(s)})" for s in ("ing", "tion", "ed", "er", "es", "s")) + " ELSE {t} END"
+@query(f"SELECT doc_id, md5(array_to_string(list_transform(list_filter({TOKENS}, lambda x: NOT list_contains([{STOPS}], x)), lambda x: {STEM.format(t='x')}), ' ')) AS lemmas FROM documents")
+def t23_lemma_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.md5(F.array_join(T.lemma_tokens(F.col("text"), tuple(E.COVERAGE_STOP_WORDS)), " ")).alias("lemmas"))
 
 
 @query(f"WITH {V.TERMS_SQL} SELECT term, {STEM.format(t='term')} AS stem FROM terms")

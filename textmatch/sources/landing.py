@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textmatch.operators.postings import anti_existing, dedup_batch, set_current
 from textmatch.schemas import RESULT_PAGE
@@ -63,13 +64,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def write_report(df: DataFrame, path: str) -> DataFrame:
-    """Nested rows as JSON lines with camelCase names at the top; returns what was written, read back as text."""
-    def camel(name: str) -> str:
-        first, *rest = name.split("_")
-        return first + "".join(x.capitalize() for x in rest)
+def camel(name: str) -> str:
+    first, *rest = name.split("_")
+    return first + "".join(x.capitalize() for x in rest)
+
+
+def _renamed(kind: T.DataType) -> T.DataType:
+    """The same type with camelCase names at every depth."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(camel(f.name), _renamed(f.dataType), f.nullable) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_renamed(kind.elementType), kind.containsNull)
+    return kind
 
-    df.select(*[F.col(c).alias(camel(c)) for c in df.columns]).write.json(path)
+
+def write_report(df: DataFrame, path: str) -> DataFrame:
+    """Nested rows as JSON lines with camelCase names at every depth; returns what was written, read back as text."""
+    df.select(*[F.col(f.name).cast(_renamed(f.dataType)).alias(camel(f.name)) for f in df.schema]).write.json(path)
     return df.sparkSession.read.text(path)
 
 
