@@ -158,14 +158,6 @@ def test_tech_terms_end_at_marks(spark):
     assert values(spark, "t string", ["C++ and C#, not Gopher; go"], T.tech_terms(F.col("t"))) == [["C#", "C++", "go"]]
 
 
-@pytest.mark.parametrize("name", ["pair_postings_profiles"])
-def test_unbounded_pairs_are_refused(spark, name):
-    from textmatch.operators import postings as P
-
-    with pytest.raises(ValueError):
-        getattr(P, name)(spark.range(3), spark.range(5).withColumnRenamed("id", "p"), most=4)
-
-
 def test_skills_of_three_shapes(spark):
     rows = ['[{"category": "Data", "skills": [{"name": "sql", "level": 5}, {"name": "go"}]}, {"category": "None", "skills": []}]', '["a", " ", "b"]', "a, b\n\nc", "", None]
     got = [[(c["category"], [(s["name"], s["level"]) for s in c["skills"]]) for c in v] for v in values(spark, "t string", rows, X.normalise_skills(F.col("t")))]

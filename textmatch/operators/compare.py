@@ -41,7 +41,7 @@ def keyword_movement(before: DataFrame, after: DataFrame, freqs: DataFrame) -> D
     """
     b = before.select(*PAIR, "term", F.col("matched").alias("__b"), F.col("is_required").alias("__rb"))
     a = after.select(*PAIR, "term", F.col("matched").alias("__a"), F.col("is_required").alias("__ra"), "best_section")
-    rows = b.join(a, [*PAIR, "term"], "full_outer").join(freqs.select("posting_id", "term", "freq"), ["posting_id", "term"], "left")
+    rows = b.join(a.hint("merge"), [*PAIR, "term"], "full_outer").join(freqs.select("posting_id", "term", "freq").hint("shuffle_hash"), ["posting_id", "term"], "left")
     was, now = F.coalesce("__b", F.lit(False)), F.coalesce("__a", F.lit(False))
     kind = F.when(now & ~was, "newly_added").when(now, "already_present").otherwise("still_missing")
     rows = rows.withColumns({"movement": kind, "is_required": F.coalesce("__ra", "__rb"), "freq": F.coalesce("freq", F.lit(0)).cast("long")})
@@ -72,7 +72,7 @@ def change_cards(edits: DataFrame, movement: DataFrame, required_share: float =
     new = movement.where("movement = 'newly_added'").select(*PAIR, F.lower("term").alias("__k"), "is_required")
     said = edits.select("doc_id", "block_id", F.explode_outer("keywords_added").alias("kw")).withColumn("__k", F.lower("kw"))
     pairs = movement.select(*PAIR).distinct()
-    rows = pairs.join(said, "doc_id").join(new, [*PAIR, "__k"], "left")
+    rows = pairs.join(said.hint("merge"), "doc_id").join(new.hint("merge"), [*PAIR, "__k"], "left")
     cards = rows.groupBy(*PAIR, "block_id").agg(
         F.sort_array(F.collect_set(F.when(F.col("is_required"), F.col("__k")))).alias("required_closed"),
         F.sort_array(F.collect_set(F.when(~F.col("is_required"), F.col("__k")))).alias("preferred_closed"),

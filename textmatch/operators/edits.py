@@ -18,7 +18,7 @@ def rank_blocks(blocks: DataFrame, missing: DataFrame, n: int = 15) -> DataFrame
     missing: doc_id, terms (array).
     """
     words = missing.select("doc_id", F.array_distinct(tokens(F.array_join("terms", " "))).alias("__w"))
-    rows = blocks.where("is_editable").join(words, "doc_id")
+    rows = blocks.where("is_editable").join(words.hint("merge"), "doc_id")
     score = F.size(F.array_intersect(F.array_distinct(tokens(F.col("text"))), F.col("__w")))
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos")
     ranked = rows.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
@@ -48,7 +48,7 @@ def _violations(declared_only: bool) -> list[Column]:
 
 def _with_blocks(edits: DataFrame, blocks: DataFrame) -> DataFrame:
     texts = blocks.select("doc_id", "block_id", "block_type", F.col("text").alias("old_text"), F.lit(True).alias("known"))
-    return edits.join(texts, ["doc_id", "block_id"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return edits.join(texts.hint("merge"), ["doc_id", "block_id"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def validate_edits(edits: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def validate_edits_all(edits: DataFrame, blocks: DataFrame) -> DataFrame:
 def apply_edits(blocks: DataFrame, accepted: DataFrame) -> DataFrame:
     """Blocks with accepted new texts; edits of unknown blocks are ignored. accepted has one row a block."""
     new = accepted.select("doc_id", "block_id", F.col("new_text").alias("__new"))
-    return blocks.join(new, ["doc_id", "block_id"], "left").withColumn("text", F.coalesce("__new", "text")).drop("__new")
+    return blocks.join(new.hint("merge"), ["doc_id", "block_id"], "left").withColumn("text", F.coalesce("__new", "text")).drop("__new")
 
 
 def highlight_segments(text: Column, terms: list[str]) -> Column:
@@ -86,7 +86,7 @@ def _quoted(term: str) -> str:
 def replace_exact(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     """Blocks whose trimmed text equals old get new. pairs: doc_id, old, new, one row for each old text."""
     wanted = pairs.select("doc_id", F.trim("old").alias("__k"), F.col("new").alias("__new"))
-    rows = blocks.withColumn("__k", F.trim("text")).join(wanted, ["doc_id", "__k"], "left")
+    rows = blocks.withColumn("__k", F.trim("text")).join(wanted.hint("merge"), ["doc_id", "__k"], "left")
     return rows.withColumn("text", F.coalesce("__new", "text")).drop("__k", "__new")
 
 

@@ -54,13 +54,13 @@ def yoe_status(reqs: DataFrame, claims: DataFrame, docs: DataFrame, partial: flo
     docs: doc_id, text, span. A generic requirement is held against the span; another against the best claim whose
     context contains it or is contained, or in part against the span where the text has its first word.
     """
-    asked = reqs.join(docs.select("doc_id", F.lower("text").alias("__t"), "span"), "doc_id")
+    asked = reqs.join(docs.select("doc_id", F.lower("text").alias("__t"), "span").hint("merge"), "doc_id")
     said = claims.select("doc_id", F.col("context").alias("__c"), F.col("years").alias("__y"))
     keys = ["posting_id", "doc_id", "pos"]
-    joined = asked.join(said, "doc_id", "left")
+    joined = asked.drop("__t").join(said.hint("merge"), "doc_id", "left")
     meets = F.contains("context", "__c") | F.contains("__c", "context")
     best = joined.groupBy(*keys).agg(F.coalesce(F.max(F.when(meets, F.col("__y"))), F.lit(0)).alias("__best"))
-    rows = asked.join(best, keys)
+    rows = asked.join(best.hint("merge"), keys)
     n, vague = F.col("years"), F.col("is_generic") | (F.col("context") == "")
     reached = F.when(vague, F.col("span")).otherwise(F.col("__best"))
     word = ~vague & F.contains("__t", F.element_at(F.split("context", r"\s+"), 1)) & (F.col("span") >= n)

@@ -125,7 +125,7 @@ def snapshot_full_outer(before: DataFrame, after: DataFrame, key: str, flag: str
 def lookup_text(edits: DataFrame, blocks: DataFrame) -> DataFrame:
     """Edits with their block's text; known tells whether there is such a block."""
     texts = blocks.select("doc_id", "block_id", F.col("text").alias("old_text"), F.lit(True).alias("known"))
-    out = edits.join(texts, ["doc_id", "block_id"], "left")
+    out = edits.join(texts.hint("merge"), ["doc_id", "block_id"], "left")
     return out.withColumn("known", F.coalesce("known", F.lit(False))).withColumn("old_text", F.coalesce("old_text", F.lit("Original text not found")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmatch.operators import dashboards as G
@@ -209,10 +209,29 @@ def g7_conversion_rates(spark: SparkSession, d: str) -> DataFrame:
     return G.conversion_rates(_p(spark, d))
 
 
-@query()
+SUMMARY_SQL = (
+    f"{W}, {DAYS}, {HIST}, {TOP_KW}, c AS (SELECT company, count(*) AS count FROM postings WHERE trim(company) <> '' GROUP BY company ORDER BY count DESC, company LIMIT 8),"
+    " n AS (SELECT count(*) AS total, count(*) FILTER (status IN ('Tailored', 'Applied')) AS prepared, count(*) FILTER (status = 'Pending') AS pending, count(*) FILTER (status = 'Skipped') AS skipped FROM postings)"
+)
+
+
+@query(
+    f"{SUMMARY_SQL} SELECT total, pending, CAST(floor(prepared * 100.0 / total + 0.5) AS BIGINT) AS prepared_rate, CAST(floor(skipped * 100.0 / total + 0.5) AS BIGINT) AS skip_rate,"
+    " (SELECT string_agg(CAST(day AS VARCHAR) || ':' || count, '|' ORDER BY day) FROM t) AS timeline, (SELECT string_agg(bin || ':' || count, '|' ORDER BY bin) FROM h) AS histogram,"
+    " (SELECT string_agg(company || ':' || count, '|' ORDER BY company) FROM c) AS companies, (SELECT string_agg(name || ':' || present || '/' || total, '|' ORDER BY name) FROM top) AS keywords FROM n"
+)
 def g8_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The nested row, its lists written out as text."""
     out = G.summary(_p(spark, d), V.keywords(spark, d), AS_OF)
-    return out.select(*[F.to_json(c).alias(c) for c in out.columns])
+
+    def text(c: str, item) -> Column:
+        return F.array_join(F.transform(c, item), "|").alias(c)
+
+    return out.select(
+        "stats.total", "statuses.pending", "rates.prepared_rate", "rates.skip_rate", text("timeline", lambda x: F.concat_ws(":", x["day"].cast("string"), x["count"].cast("string"))),
+        text("histogram", lambda x: F.concat_ws(":", x["bin"], x["count"].cast("string"))), text("companies", lambda x: F.concat_ws(":", x["company"], x["count"].cast("string"))),
+        text("keywords", lambda x: F.concat(x["name"], F.lit(":"), x["present"].cast("string"), F.lit("/"), x["total"].cast("string"))),
+    )
 
 
 @query(f"{W} SELECT count(*) AS ingested, count(*) FILTER (match_score >= 75) AS passed, count(*) FILTER (status = 'Pending') AS pending, count(*) FILTER (status = 'Tailored') AS tailored, count(*) FILTER (status = 'Applied') AS applied FROM postings")

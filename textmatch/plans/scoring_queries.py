@@ -510,41 +510,65 @@ def _edits(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"allowed": F.array(F.lit("python")), "keywords_added": F.array(F.lit("Python"), F.lit("Zig"))})
 
 
-@query()
+@query(
+    f"WITH {V.TERMS_SQL}, {V.BLOCKS_SQL}, wanted AS (SELECT posting_id, list(term) AS terms FROM posting_terms GROUP BY posting_id),"
+    f" s AS (SELECT b.doc_id, b.pos, b.block_id, len(list_filter(list_distinct({Q.TOKENS.replace('text', 'b.text')}), lambda x: list_contains(terms, x))) AS score FROM blocks b JOIN pairs p ON p.doc_id = b.doc_id JOIN wanted USING (posting_id) WHERE block_type IN ('bullet', 'paragraph') AND length(b.text) > 15),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM s) SELECT doc_id, pos, block_id, CAST(score AS INTEGER) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 15"
+)
 def v1_rank_blocks(spark: SparkSession, d: str) -> DataFrame:
     blocks = V.blocks(spark, d).withColumn("is_editable", F.col("block_type").isin("bullet", "paragraph") & (F.length("text") > 15))
-    top = V.terms(spark, d).agg(F.sort_array(F.collect_list("term")).alias("terms"))  # 40 terms
-    missing = V.table(spark, d, "documents").select("doc_id").crossJoin(F.broadcast(top))  # one row
-    return V10.rank_blocks(blocks, missing)
+    wanted = stored(_posting_terms(spark, d).groupBy("posting_id").agg(F.sort_array(F.collect_list("term")).alias("terms")))
+    return V10.rank_blocks(blocks, lookup_join(V.pairs(spark, d), wanted, ["posting_id"], salt="doc_id"))
+
+
+STOP_WORDS = ", ".join(f"'{w}'" for w in X.EDIT_STOP_WORDS)
 
 
-@query()
+def _content_sql(text: str) -> str:
+    words = f"list_transform(regexp_extract_all(lower({text}), '[a-z][a-z0-9\\-.]*'), lambda x: regexp_replace(x, '\\.+$', ''))"
+    return f"list_distinct(list_filter({words}, lambda x: length(x) > 2 AND NOT list_contains([{STOP_WORDS}], x)))"
+
+
+EDITS_SQL = (
+    f"{V.BLOCKS_SQL}, split AS (SELECT doc_id, doc_id % 7 AS k, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),"
+    " lined AS (SELECT doc_id, k, CASE WHEN k = 4 THEN ls[1] ELSE ls[least(2, len(ls))] END AS line FROM split),"
+    " edits AS (SELECT doc_id, CASE WHEN k = 0 AND doc_id % 2 = 0 THEN 'b999' WHEN k = 4 THEN 'b0' ELSE 'b1' END AS block_id,"
+    "   CASE k WHEN 1 THEN '  ' WHEN 2 THEN line || ' <b>bold</b>' WHEN 3 THEN line || ' *star*' WHEN 5 THEN line || ' zzyzx' WHEN 6 THEN 'python' ELSE line || ' Python' END AS new_text FROM lined),"
+    f" had AS (SELECT e.*, b.text AS old_text, b.block_type, b.doc_id IS NOT NULL AS known, {_content_sql(chr(34) + 'b' + chr(34) + '.text')} AS old_words, {_content_sql('new_text')} AS new_words FROM edits e LEFT JOIN blocks b ON b.doc_id = e.doc_id AND b.block_id = e.block_id),"
+    " judged AS (SELECT *, list_filter(new_words, lambda x: old_words IS NULL OR NOT list_contains(old_words, x)) AS injected, len(list_filter(old_words, lambda x: list_contains(new_words, x))) AS kept FROM had)"
+)
+BROKEN = {
+    "unknown block": "NOT known", "empty text": "trim(new_text) = ''", "markup": "regexp_matches(new_text, '(?is)<[a-z].*>')", "markdown characters": "regexp_matches(new_text, '[*_`#\\[\\]]')",
+    "heading block": "coalesce(block_type IN ('h1', 'h2', 'h3'), false)", "fabricated token": "len(list_filter(injected, lambda x: NOT contains('python', x))) > 0",
+    "too little kept": "coalesce(len(old_words) > 0 AND kept < len(old_words) * 0.4, false)",
+}
+FIRST_BROKEN = "CASE " + " ".join(f"WHEN {sql} THEN '{rule}'" for rule, sql in BROKEN.items()) + " END"
+ALL_BROKEN = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {'true' if rule == 'fabricated token' else sql} THEN '{rule}' END" for rule, sql in BROKEN.items()) + "], lambda x: x IS NOT NULL), '|')"
+
+
+@query(f"WITH {EDITS_SQL} SELECT doc_id, array_to_string(list_sort(injected), '|') AS injected FROM judged")
 def v2_injected_tokens(spark: SparkSession, d: str) -> DataFrame:
     rows = V10._with_blocks(_edits(spark, d), V.blocks(spark, d))
-    return rows.select("doc_id", F.array_join(X.injected_tokens(F.coalesce("old_text", F.lit("")), F.col("new_text")), "|").alias("injected"))
+    return rows.select("doc_id", F.array_join(F.sort_array(X.injected_tokens(F.coalesce("old_text", F.lit("")), F.col("new_text"))), "|").alias("injected"))
 
 
-@query()
+@query(f"SELECT doc_id, md5(array_to_string(list_sort(list_distinct(list_concat({_content_sql('text')}, ['python', 'sql']))), '|')) AS allowed FROM documents WHERE text IS NOT NULL")
 def v3_allowed_tokens(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.table(spark, d, "benchmark")
+    rows = Q._docs(spark, d).where("text is not null")
     allowed = V10.allowed_tokens(F.array(F.lit("Python")), F.array(F.lit("SQL")), F.col("text"))
-    return rows.select("item_id", F.size(allowed).alias("n"), F.array_contains(allowed, "python").alias("has_skill"))
+    return rows.select("doc_id", F.md5(F.array_join(F.sort_array(allowed), "|")).alias("allowed"))
 
 
 def _validated(spark: SparkSession, d: str) -> DataFrame:
     return V10.validate_edits(_edits(spark, d), V.blocks(spark, d))
 
 
-@query("WITH x AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, doc_id % 7 AS k FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN k = 0 AND doc_id % 2 = 0 THEN 'unknown block' WHEN k <> 4 AND n = 1 THEN 'unknown block' WHEN k = 1 THEN 'empty text' WHEN k = 2 THEN 'markup' WHEN k = 3 THEN 'markdown characters' WHEN k = 4 THEN 'heading block' WHEN k = 5 THEN 'other' WHEN k = 6 THEN 'other' ELSE 'other' END AS rule FROM x")
+@query(f"WITH {EDITS_SQL} SELECT doc_id, {FIRST_BROKEN} AS rule FROM judged")
 def v4_validate_edits(spark: SparkSession, d: str) -> DataFrame:
-    rows = _validated(spark, d)
-    early = F.col("rule").isin("unknown block", "empty text", "markup", "markdown characters", "heading block")
-    marks = F.col("old_text").rlike(r"[*_`#\[\]]") & ~F.col("rule").isin("markup", "empty text", "unknown block") & (F.col("doc_id") % 7 != 3)
-    kind = F.when(marks & (F.col("doc_id") % 7 == 4), "heading block").when(marks, "other").when(early, F.col("rule")).otherwise("other")
-    return rows.select("doc_id", kind.alias("rule"))
+    return _validated(spark, d).select("doc_id", "rule")
 
 
-@query()
+@query(f"WITH {EDITS_SQL} SELECT doc_id, {ALL_BROKEN} AS rules FROM judged")
 def v5_validate_edits_all(spark: SparkSession, d: str) -> DataFrame:
     return V10.validate_edits_all(_edits(spark, d), V.blocks(spark, d)).select("doc_id", F.array_join("rules", "|").alias("rules"))
 
@@ -569,21 +593,33 @@ def v8_replace_exact(spark: SparkSession, d: str) -> DataFrame:
     return V10.replace_exact(blocks, pairs).select("doc_id", "pos", "text")
 
 
-@query()
+@query(f"WITH {EDITS_SQL} SELECT {FIRST_BROKEN} AS rule, count(*) AS n FROM judged WHERE {FIRST_BROKEN} IS NOT NULL GROUP BY ALL")
 def v9_reject_log(spark: SparkSession, d: str) -> DataFrame:
     return V10.reject_log(_validated(spark, d))
 
 
-@query()
+GAP_SQL = (
+    f"{V.TERMS_SQL}, {STATUS_SQL}, o AS (SELECT t.*, b.text AS posting, CAST((length(lower(b.text)) - length(replace(lower(b.text), t.term, ''))) // length(t.term) AS BIGINT) AS n FROM posting_terms t JOIN benchmark b ON b.item_id = t.posting_id),"
+    f" weighed AS (SELECT posting_id, term, is_required, n AS freq, {Q.WEIGHT.format(sections=Q.ONE_SECTION).replace('(text,', '(posting,')} FROM o),"
+    " held AS (SELECT p.doc_id, w.*, contains(lower(p.text), w.term) AS exact, CASE WHEN length(w.term) > 6 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS credit FROM pairs p JOIN weighed w USING (posting_id)),"
+    " asked AS (SELECT posting_id, count(*) FILTER (status = 'satisfied') AS n_satisfied, count(*) AS n_asked FROM status GROUP BY posting_id)"
+)
+
+
+@query(
+    f"WITH {GAP_SQL} SELECT doc_id, CAST(round(CAST(sum(CASE WHEN exact THEN weight ELSE weight * credit END) / sum(weight) * 100 AS DECIMAL(18, 6)), 2) AS DOUBLE) AS coverage,"
+    " count(*) FILTER (NOT exact AND (is_required OR freq >= 3)) AS n_critical, any_value(n_satisfied) AS n_satisfied, any_value(n_asked) AS n_asked FROM held h LEFT JOIN asked a ON a.posting_id = h.doc_id GROUP BY doc_id"
+)
 def t22_gap_report(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage, missing required terms and years of each document against its own posting."""
-    found, texts = Q._found(spark, d)
-    weights = T.weighted_terms(found, texts)
-    shown = V.table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("posting_id"), F.lower(F.substring("text", F.lit(1), F.ceil(F.length("text") / 2).cast("int"))).alias("half"))
-    rows = weights.join(shown, "posting_id").withColumn("exact", T.term_substring(F.col("half"), F.col("term"))).withColumn("credit", F.when(F.length("term") > 6, 0.5).otherwise(0.0))
-    cover = T.coverage(rows, ["posting_id"])
-    critical = T.critical_missing(rows.where("not exact").select("posting_id", "term", "is_required"), texts, ["posting_id"]).groupBy("posting_id").agg(F.count(F.lit(1)).alias("n_critical"))
-    profiles = _profiles(spark, d)
-    status = Y.yoe_status(_asked(spark, d).withColumn("doc_id", F.col("posting_id")), Y.yoe_claims(profiles), profiles.withColumn("span", X.experience_span(F.col("text"))))
-    years = status.groupBy("posting_id").agg(F.count_if(F.col("status") == "satisfied").alias("n_satisfied"), F.count(F.lit(1)).alias("n_asked"))
-    return cover.join(critical, "posting_id", "left").join(years, "posting_id", "left")
+    """Coverage of each document's own posting, critical terms it lacks, and years asked for and satisfied."""
+    terms = _posting_terms(spark, d)
+    section = F.when(F.col("is_required"), "required").when(F.col("code") % 3 == 0, "preferred").otherwise("other")
+    postings = V.table(spark, d, "benchmark").select(F.col("item_id").alias("posting_id"), F.col("text").alias("description"), F.substring_index("text", "\n", 1).alias("title"))
+    weights = stored(T.weighted_terms(terms.select("posting_id", "term", section.alias("section")), postings))
+    rows = lookup_join(V.pairs(spark, d), weights, ["posting_id"], salt="doc_id")
+    texts = Q._docs(spark, d).where("text is not null").select("doc_id", F.lower("text").alias("__d"))
+    rows = T.in_texts(rows, texts, ["doc_id"], ["term", "is_required", "freq", "weight"], {"exact": lambda t: F.contains(F.col("__d"), t["term"])})
+    rows = stored(rows.withColumn("credit", F.when(F.length("term") > 6, 0.5).otherwise(0.0)))
+    critical = rows.groupBy("doc_id").agg(F.count_if(~F.col("exact") & (F.col("is_required") | (F.col("freq") >= 3))).alias("n_critical"))
+    years = _status(spark, d).groupBy("doc_id").agg(F.count_if(F.col("status") == "satisfied").alias("n_satisfied"), F.count(F.lit(1)).alias("n_asked"))
+    return T.coverage(rows, ["doc_id"]).join(critical, "doc_id", "left").join(years.hint("merge"), "doc_id", "left")
