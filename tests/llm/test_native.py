@@ -200,7 +200,7 @@ def test_components_and_lookup_join(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     big = spark.range(1000).selectExpr("id", "id % 7 as k")
     small = stored(spark.range(5).selectExpr("id as k", "id * 10 as v"))
-    import textmatch.llm.common as common
+    import textmatch.functions.joins as common
 
     plain = sorted(lookup_join(big, small, ["k"]).collect())
     limit, common.BROADCAST_ROWS = common.BROADCAST_ROWS, 1

@@ -1,40 +1,15 @@
-"""Small helpers that the operators share: size-checked joins, global order, components."""
+"""Small helpers that the operators share: global order, components."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmatch.functions.joins import fits_broadcast, lookup_join
 from textmatch.sources.storage import bucketed, stored
 
 __all__ = ["bucketed", "components", "fits_broadcast", "lookup_join", "range_indexed", "stored", "words_count"]
 
-#: A lookup side up to so many rows and bytes of text is broadcast; above either, it is joined by shuffle.
-BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 32 << 20
-
-
-def fits_broadcast(small: DataFrame) -> bool:
-    """Whether a stored table is small enough to be sent to every task; its rows and their strings are counted."""
-    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in small.schema if f.dataType.simpleString() in ("string", "binary")]
-    n, size = small.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(wide, F.lit(0).cast("long"))), F.lit(0))).first()
-    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
-
-
-def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salt: str | None = None) -> DataFrame:
-    """Join a per-key table to the rows it describes.
-
-    small must be stored already. Its rows and bytes are counted: up to the bounds above it is broadcast; beyond them both
-    sides are shuffled, each key of small being repeated over 32 salts so that a hot key of big is spread.
-    """
-    if fits_broadcast(small):
-        return big.join(F.broadcast(small), on, how)
-    salts = 32
-    spread = F.pmod(F.xxhash64(F.col(salt)) if salt else F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts))
-    left = big.withColumn("__salt", spread.cast("int"))
-    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right.hint("shuffle_hash"), [*on, "__salt"], how).drop("__salt")
-
-
 def range_indexed(rows: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
     """Number rows globally in the given order and add exclusive prefix sums, without a one-task sort.
 
