@@ -437,6 +437,57 @@ def test_languages_by_text_and_by_site(spark, sf):
     assert language.fit(docs.limit(0)).languages == ()
 
 
+def python_fusion(rows, model, fusion=language.Fusion()):
+    """rows: (text, declared, suffix, domain, host). Language and probability of each, by the formulas in plain Python."""
+    k = len(model.languages)
+    ll = []
+    for text, *_ in rows:
+        at = language.trigrams(text)
+        total = model.table[at].sum(axis=0, dtype=np.float64) * min(1.0, fusion.effective / len(at)) if len(at) else np.zeros(k)
+        ll.append(np.round(total - total.max(), 6))
+    soft = [np.exp(x) / np.exp(x).sum() for x in ll]
+    world = sum(soft) + 1.0
+
+    def sums(*at):
+        out = {}
+        for r, p in zip(rows, soft, strict=True):
+            key = tuple(r[i] for i in at)
+            out[key] = out.get(key, 0) + p
+        return out
+
+    def emission(at):
+        def of(seen):
+            share = (seen.sum() + fusion.smooth) / (world.sum() + fusion.smooth)
+            return fusion.discount * np.log((seen + fusion.smooth * share) / (world + fusion.smooth) / share)
+
+        return {key: np.zeros(k) if key[0] is None else of(seen) for key, seen in sums(at).items()}
+
+    prior = world / world.sum()
+    of_domain = {key: (p + fusion.domain * prior) / (p.sum() + fusion.domain) for key, p in sums(3).items()}
+    of_host = {key: np.log((p + fusion.host * of_domain[key[:1]]) / (p.sum() + fusion.host)) for key, p in sums(3, 4).items()}
+    declared, suffix, out = emission(1), emission(2), []
+    for r, x in zip(rows, ll, strict=True):
+        score = x + declared[(r[1],)] + suffix[(r[2],)] + of_host[(r[3], r[4])]
+        chance = np.exp(score - score.max())
+        out.append((model.languages[int(np.argmax(score))], chance.max() / chance.sum()))
+    return out
+
+
+def test_fused_evidence_equals_plain_python(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.fit(docs)
+    rows = []
+    for i, r in enumerate(docs.orderBy("doc_id").limit(120).collect()):
+        n = 9 if i % 2 else None
+        rows.append(((r["text"] or "")[: 3 if i % 7 == 0 else n], [None, r["lang"], "de", "xx"][i % 4], [None, "de", "com"][i % 3], [None, "a.de", "b.com"][i % 3], [None, f"w{i % 5}.a.de", "b.com"][i % 3]))
+    rows += [rows[5]] * 3 + [(None, None, None, None, None), ("", "fr", "fr", "x.fr", "x.fr"), ("mot de la fin " * 60_000, None, None, None, None)]
+    table = spark.createDataFrame([(i, "", *r, "c", "c") for i, r in enumerate(rows)], "page_id long, html string, text string, declared string, suffix string, domain string, host string, best string, score string")
+    got = language.fused(table, model, keep=("page_id", "score")).orderBy("page_id").collect()
+    assert len(got) == len(rows)
+    for r, (lang, chance) in zip(got, python_fusion(rows, model), strict=True):
+        assert r["probability"] == pytest.approx(chance, rel=1e-5) and (r["lang"] == lang or chance < 0.5001)
+
+
 def test_page_evidence_is_read(spark):
     rows = [("https://u@WWW.Example.co.uk:80/x?y#z", '<!DOCTYPE html><html class="a" LANG="en-GB"><head>'), ("nonsense", "<p>"), (None, None)]
     table = spark.createDataFrame(rows, "url string, html string")

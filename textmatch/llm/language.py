@@ -103,7 +103,9 @@ def fused(rows: DataFrame, model: TextModel, fusion: Fusion = Fusion(), keep: tu
     evidence tables have a row a key, and are broadcast only when counted and small.
 
     Defined results: null, empty or wordless text leaves the decision to the other evidence, and to the global prior
-    without any; equal scores go to the first language in code point order; a model without languages gives null.
+    without any; equal scores go to the first language in code point order; a model without languages gives null. Whole
+    texts are read, whatever their length; repeated rows each count as evidence of their site and get equal results;
+    columns to keep may have any name but those of the result.
     """
     k = len(model.languages)
     if not k:

@@ -163,10 +163,10 @@ def scored(docs: DataFrame, model: Model, host: str = "source", path: str = "lan
     over = stored(over.select("__host", F.col("n").alias("host_n"), F.col("s").alias("host_s"), ((F.col("s") + F.col("k") * F.col("rate")) / (F.col("n") + F.col("k"))).alias("host_rate"), "rate"))
     under = stored(lookup_join(paths, over, ["__host"]))
     strength = stored(under.agg(_strength(under, "host_rate").alias("path_k")))
-    sites = stored(under.crossJoin(F.broadcast(strength)).select("__host", "__path", "n", "s", "host_rate", "path_k"))  # one row
+    sites = stored(under.crossJoin(F.broadcast(strength)).select("__host", "__path", *[F.col(c).alias(f"__{c}") for c in ("n", "s", "host_rate", "path_k")]))  # one row
 
     out = lookup_join(evidence, sites, ["__host", "__path"], salt="__salt")
-    path_rate = (F.col("s") - F.col("__doc") + F.col("path_k") * F.col("host_rate")) / (F.col("n") - 1 + F.col("path_k"))
+    path_rate = (F.col("__s") - F.col("__doc") + F.col("__path_k") * F.col("__host_rate")) / (F.col("__n") - 1 + F.col("__path_k"))
     safe = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), path_rate))
     prior = min(max(model.prior, 1e-4), 1 - 1e-4)
     quality = _expit(_logit(F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("__doc")))) + _logit(safe) - F.lit(float(np.log(prior / (1 - prior)))))
