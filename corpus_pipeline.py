@@ -1,4 +1,10 @@
-"""Cleaning a corpus into token ids: quality, repeated lines, near duplicates, source mix, BPE."""
+"""Cleaning a corpus into token ids: quality, repeated lines, near duplicates, source mix, BPE.
+
+What every stage does with odd rows: a null text is an empty one, and whole texts are read whatever their length; rows
+without doc_id are documents like others and are kept or dropped by the same rules; rows repeated with one doc_id and
+text go through as often as they occur, but for the near-duplicate stage, which keeps one of them; a null source is a
+source of its own; an empty table stays empty; other columns, whatever their names, are carried along.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +19,7 @@ from textmatch.llm.common import stored
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of being good, with their site's evidence, is at least one half."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, model).where("__quality >= 0.5").select(*docs.columns)
+    return quality.scored(docs, model).where("__quality >= 0.5").select(*docs.columns)  # ties at one half stay
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +30,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near duplicates."""
+    """One document, the smallest doc_id, of each group of near duplicates; without doc_id only where the group has none."""
     return jaccard.one_of_each(docs)
 
 
