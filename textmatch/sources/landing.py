@@ -45,7 +45,9 @@ def normalise_postings(raw: DataFrame) -> DataFrame:
 def append_new(df: DataFrame, path: str, key: str = "composite_key", order: tuple[str, ...] = ("company", "title"), by: str | None = None) -> DataFrame:
     """Append the rows whose key isn't stored at path, the first of each key, and return the stored table.
 
-    The rows are stored apart before they are appended, so that a retried append reads what the first one read.
+    The rows are stored apart before they are appended, so that a retried append reads what the first one read. Plain Parquet
+    folders have no unique keys: of two jobs that append at the same time, neither sees the other's rows, so a key can be
+    stored twice. Let one job append to a folder, as a stream's foreachBatch does, or read it through dedup_batch().
     """
     from textmatch.sources.storage import stored
 
