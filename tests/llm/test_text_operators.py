@@ -199,7 +199,7 @@ def test_hostile_pages_take_time_in_proportion(part):
         page, began = part * (size // len(part)), time.perf_counter()
         html.main_text(page)
         took.append(time.perf_counter() - began)
-    assert took[1] < 3 and took[1] < 10 * took[0] + 0.2
+    assert took[1] < 12 * took[0] + 1  # four times the page; quadratic time would take sixteen times as long, and minutes
 
 
 def test_extracted_keeps_rows_and_columns(spark):
