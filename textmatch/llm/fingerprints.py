@@ -173,20 +173,20 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     """
     text, key = F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = docs.select(key.alias("key"), F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64(text), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"), text.alias("text"))
-    rows = rows.withColumn("own", digests(F.col("text"))).repartition("key", "salt")
+    rows = rows.repartition("key", "salt")
     salts = F.explode(F.sequence(F.lit(0), F.when(F.col("key") == "", SALTS - 1).otherwise(0)))
     wanted = docs.select(key.alias("key"), F.floor(F.length(text) / 4).alias("take")).groupBy("key").agg(F.max("take").alias("take"))
     order = next_documents(docs.select(key.alias("key"), "doc_id"))
     needs = wanted.join(order.hint("merge"), "key").select(F.col("key").alias("for_key"), F.col("next_key").alias("key"), "take")
     needs = stored(needs.select("for_key", "key", "take", salts.alias("salt")))
     head = F.substring("text", F.lit(1), F.col("take").cast("int"))
-    sent = rows.join(needs.hint("merge"), ["key", "salt"]).select("for_key", F.struct(F.xxhash64("text").alias("h"), head.alias("head"), F.col("own").alias("next")).alias("s"))
+    sent = rows.join(needs.hint("merge"), ["key", "salt"]).select("for_key", F.struct(F.xxhash64("text").alias("h"), head.alias("head"), digests(F.col("text")).alias("next")).alias("s"))
     sent = sent.groupBy(F.col("for_key").alias("key")).agg(F.min("s").alias("s")).select("key", "s", salts.alias("salt"))
     met = rows.join(sent.hint("merge"), ["key", "salt"])
     n = F.length("text")
     take = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - take), F.substring("s.head", F.lit(1), take))
-    made = met.select("key", n.cast("long").alias("n_chars"), F.unhex(F.sha2(edited, 256)).alias("edited_sha256"), "own", digests(edited).alias("new"), F.col("s.next").alias("next"))
+    made = met.select("key", n.cast("long").alias("n_chars"), F.unhex(F.sha2(edited, 256)).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(edited).alias("new"), F.col("s.next").alias("next"))
     versions = ("new", "next")
     made = made.withColumns({f"c_{c}": sketch(F.col(c)) for c in ("own", *versions)})
     made = made.withColumns({f"t_{c}": peeled(subtracted(F.col("c_own"), F.col(f"c_{c}"))) for c in versions})
