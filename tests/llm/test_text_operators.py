@@ -332,12 +332,13 @@ def test_neighbours_recall_on_the_given_table(spark, sf):
 def test_reranking_goes_on_while_it_finds_better_ones():
     score = np.arange(1000) % 977 * 1.0
     names, spread, tied = np.arange(1000), np.arange(1000), np.zeros(1000, int)
-    best, _ = ann._reranked(names, tied, lambda new: score[new], names, 5, 10)
-    assert best.tolist() == [976, 975, 974, 973, 972]  # all tie, so all are reranked
-    best, _ = ann._reranked(names, spread, lambda new: -score[new], names, 5, 10)
-    assert best.tolist() == [0, 1, 2, 3, 4]  # stops after one doubling without a better one
-    best, _ = ann._reranked(names, spread, lambda new: score[new], names, 5, 10)
-    assert best.tolist() == [976, 975, 974, 973, 972]
+
+    def found(distance, scores):
+        return ann._reranked(names, distance, lambda new: scores[new], lambda new: scores[new], names, 5, 10)[0].tolist()
+
+    assert found(tied, score) == [976, 975, 974, 973, 972]  # all tie, so all are reranked
+    assert found(spread, -score) == [0, 1, 2, 3, 4]  # stops after a doubling without a better one
+    assert found(spread, score) == [976, 975, 974, 973, 972]
 
 
 def test_neighbours_are_complete_where_lists_hold_few(spark):

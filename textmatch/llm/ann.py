@@ -86,19 +86,27 @@ def _places(lists: np.ndarray, pivots: int, absent: int) -> np.ndarray:
     return out
 
 
-def _reranked(order: np.ndarray, distance: np.ndarray, score, names: np.ndarray, k: int, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of candidates that are ordered by footrule distance, and their scores; see IndexConfig for where it stops."""
+def _reranked(order: np.ndarray, distance: np.ndarray, score, exact, names: np.ndarray, k: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of candidates that are ordered by footrule distance, and their scores; see IndexConfig for where it stops.
+
+    score: of many at once, as a matrix product, right but for rounding (to 1e-12 of its largest); exact: as it is returned.
+    """
     best, scores, done, upto = np.empty(0, np.int64), np.empty(0), 0, first
     while done < len(order):
         upto = int(np.searchsorted(distance, distance[min(upto, len(order)) - 1], side="right"))  # with all ties
         new = order[done:upto]
         both, all_scores = np.concatenate([best, new]), np.concatenate([scores, score(new)])
-        at = np.lexsort((names[both], -all_scores))[:k]
+        at = np.arange(len(both))
+        if len(both) > k:  # those that rounding may have put below the k-th stay as well
+            cut = np.partition(all_scores, -k)[-k]
+            at = np.flatnonzero(all_scores >= cut - 1e-12 * (1 + np.abs(all_scores).max()))
         settled = done > 0 and (at < len(best)).all()
         best, scores, done, upto = both[at], all_scores[at], upto, 2 * upto
         if settled:
             break
-    return best, scores
+    scores = exact(best)
+    at = np.lexsort((names[best], -scores))[:k]
+    return best[at], scores[at]
 
 
 def _searched(config: IndexConfig, k: int, pivots: int):
@@ -111,6 +119,7 @@ def _searched(config: IndexConfig, k: int, pivots: int):
     """
     by = ["pivot", "qb", "vb"]
     absent = max(config.probe, config.post)
+    width = np.int16 if 2 * absent * config.probe < 1 << 15 else np.int32
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for many in _groups(frames, by):
@@ -131,13 +140,12 @@ def _searched(config: IndexConfig, k: int, pivots: int):
                 for q, row, names in zip(qid, qx, lists[is_query], strict=True):
                     names = np.frombuffer(names, np.uint16)
                     near = places[names]
+                    distance = (np.abs(near - np.arange(len(names), dtype=np.int16)[:, None]) + near).sum(axis=0, dtype=width)
                     met = np.arange(len(vx))
                     if pivot >= 0:  # what an earlier list of this query holds was met there
                         met = np.flatnonzero((near[: int(np.argmax(names == pivot))] == absent).all(axis=0))
-                        near = near[:, met]
-                    distance = (np.abs(near - np.arange(len(names), dtype=np.int16)[:, None]) + near).sum(axis=0, dtype=np.int32)
-                    at = np.argsort(distance, kind="stable")
-                    best, scores = _reranked(met[at], distance[at], lambda new, row=row: (vx[new] * row).sum(axis=1), vid, k, config.first)
+                    at = met[np.argsort(distance[met], kind="stable")]
+                    best, scores = _reranked(at, distance[at], lambda new, row=row: vx[new] @ row, lambda new, row=row: (vx[new] * row).sum(axis=1), vid, k, config.first)
                     found.append((np.full(len(best), q), vid[best], scores))
                 q, g, s = (np.concatenate(c) for c in zip(*found, strict=True))
                 if len(q):
