@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmatch.llm import ann, bpe, fingerprints, html, jaccard, language, lines, mixing, quality, sharding
+from textmatch.llm import ann, bpe, conversations, fim, fingerprints, html, jaccard, language, lines, mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,7 +78,34 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_shard, op3_jaccard, op4_html, op5_quality, op6_neighbours, op7_bpe, op8_lines, op9_language, op10_fingerprint)}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    bad = conversations.damaged(every)
+    return conversations.digests(bad, conversations.plans(bad, every))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transformed(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", F.col("__n").alias("n"), F.col("__form").alias("form"), F.col("__prefix_chars").alias("prefix_chars"), F.col("__middle_chars").alias("middle_chars"),
+        F.sha2("__output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("__output"), F.col("__form")), 256).alias("restored_sha256"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mix, op2_shard, op3_jaccard, op4_html, op5_quality, op6_neighbours, op7_bpe, op8_lines, op9_language, op10_fingerprint, op11_repair, op13_fim)
+}
+
+
+def _edit(state: str, letter: str, cost: int | str, line: str = "''") -> str:
+    """SQL of the cheapest way to a state, one edit longer."""
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}} END"
+
+
+_USER, _ASSISTANT, _LINE = "chr(10) || 'user:'", "chr(10) || 'assistant:'", "chr(10) || role || ':' || text"
+_KEEP = {k: f"CASE WHEN NOT bad AND kind = '{k[-1]}' THEN {_edit('v' + k[0], 'K', 'unfinished', _LINE)} END" for k in ("0s", "0u", "su", "au", "ua")}
+_GIVE = {k: f"CASE WHEN NOT bad THEN {_edit('v' + k[0], 'R', '2 + unfinished', (_ASSISTANT if k[-1] == 'a' else _USER) + ' || text')} END" for k in ("0u", "su", "au", "ua")}
 
 ORACLE = {
     "op1_mix": """
@@ -130,4 +157,61 @@ ORACLE = {
         SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
+    "op11_repair": f"""
+        WITH RECURSIVE src AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+            FROM conversations),
+        dealt AS (
+            SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT))),
+                lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)),
+                4294967295::BIGINT) % 20 AS damage
+            FROM src),
+        bad AS (
+            SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+                CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(range(CASE damage WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM dealt),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM bad),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM numbered),
+        faults AS (
+            SELECT conv_id, i, turn, role, text, left(role, 1) AS kind,
+                CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN again THEN 'duplicate'
+                    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+                lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal
+            FROM placed),
+        ready AS (SELECT *, fault IN ('blank', 'duplicate') AS bad, CAST(fault = 'truncated' AS INTEGER) AS unfinished FROM faults),
+        step(conv_id, i, v0, vs, vu, va) AS (
+            SELECT DISTINCT conv_id, 0::BIGINT, {{'c': 0, 'a': '', 't': ''}}, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, t VARCHAR)),
+                {{'c': 2, 'a': 'I', 't': {_USER}}}, {{'c': 4, 'a': 'II', 't': {_USER} || {_ASSISTANT}}}
+            FROM conversations
+            UNION ALL
+            SELECT conv_id, i, v0, vs, vu, list_min([va, {_edit('vu', 'I', 2, _ASSISTANT)}]) FROM (
+                SELECT conv_id, i, v0, vs, list_min([vu, {', '.join(_edit(v, 'I', 2, _USER) for v in ('v0', 'vs', 'va'))}]) AS vu, va FROM (
+                    SELECT r.conv_id, r.i, {_edit('v0', 'D', 3)} AS v0, list_min([{_edit('vs', 'D', 3)}, {_KEEP['0s']}]) AS vs,
+                        list_min([{_edit('vu', 'D', 3)}, {', '.join(d[k] for d in (_KEEP, _GIVE) for k in ('0u', 'su', 'au'))}]) AS vu,
+                        list_min([{_edit('va', 'D', 3)}, {_KEEP['ua']}, {_GIVE['ua']}]) AS va
+                    FROM step s JOIN ready r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = s.i + 1))),
+        counted AS (
+            SELECT conv_id, count(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal
+            FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN (SELECT * RENAME (conv_id AS c) FROM ready) ON conv_id IS NOT DISTINCT FROM c GROUP BY conv_id),
+        done AS (SELECT n.* EXCLUDE (n), list_min([v0, va]) AS best FROM counted n JOIN step s ON n.conv_id IS NOT DISTINCT FROM s.conv_id AND n.n = s.i)
+        SELECT * EXCLUDE (best), CAST(best.c AS BIGINT) AS cost, best.a AS audit, sha256(substr(best.t, 2)) AS repaired_sha256 FROM done""",
+    "op13_fim": """
+        WITH drawn AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        units AS (
+            SELECT doc_id, text, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') AS u, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+                CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+            FROM drawn),
+        cut AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM units),
+        parts AS (
+            SELECT doc_id, text, n, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                    WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM cut)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+            sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM parts""",
 }
