@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmatch.llm import ann, bpe, conversations, fim, fingerprints, html, jaccard, language, lines, mixing, quality, sharding
+from textmatch.llm import ann, bpe, conversations, fim, fingerprints, html, jaccard, language, lines, mixing, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,13 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(bad, conversations.plans(bad, every))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    out = toxicity.scored(docs, model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.transformed(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
@@ -94,7 +101,7 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix, op2_shard, op3_jaccard, op4_html, op5_quality, op6_neighbours, op7_bpe, op8_lines, op9_language, op10_fingerprint, op11_repair, op13_fim)
+    for f in (op1_mix, op2_shard, op3_jaccard, op4_html, op5_quality, op6_neighbours, op7_bpe, op8_lines, op9_language, op10_fingerprint, op11_repair, op12_toxicity, op13_fim)
 }
 
 
