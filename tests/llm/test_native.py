@@ -63,6 +63,28 @@ def test_mix_takes_what_a_sort_would(spark):
     assert mixing.mixed(docs).count() == sum(r["__copies"] for r in got)
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_mix_takes_some_of_equal_rows(spark, doc_id):
+    """Rows that nothing tells apart, or only their texts do, are counted one by one, in the operator and in its SQL."""
+    import duckdb
+
+    from textmatch.llm import queries
+
+    rows = [(doc_id, "ten words " * 5, "x")] * 400 + [(i + 1000, "other words " * 4, "y") for i in range(300)] + [(doc_id, f"t{i} is said", "z") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(docs, (3.0, 1.0, 2.0), share=1.1).collect()
+    for source in "xyz":
+        mine = [r for r in got if r["source"] == source]
+        assert len(mine) == {"x": 400, "y": 300, "z": 200}[source]
+        target, size = mine[0]["__target"], mine[0]["__size"]
+        assert abs(sum(r["__copies"] * r["__size"] for r in mine) - target) <= size / 2 + 1e-6
+        assert max(r["__copies"] for r in mine) <= 2
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string").toPandas()  # noqa: F841 - read by the SQL
+    sql = sorted(map(tuple, duckdb.sql(f"SELECT source_size, size, taken FROM ({queries.ORACLE['op1_mix']})").fetchall()))
+    ours = mixing.mix(docs).selectExpr("__source_size", "__size", "cast(__copies * __size as long)").collect()
+    assert sorted(map(tuple, ours)) == sql
+
+
 def test_mix_of_nothing_and_of_importance(spark):
     docs, _ = odd_docs(spark)
     assert mixing.mix(docs.limit(0)).count() == 0

@@ -77,6 +77,57 @@ def test_bpe_of_chunks_is_that_of_the_whole(spark):
     assert bpe.digests(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_keeps_ids_beside_nulls(spark):
+    ids = [2**60 + 1, None, 2**60 + 3, 5, -(2**62) + 1, None]
+    rows = [(i, t) for i in ids for t in ("short", "long text " * 40)]
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for out in (bpe.digests(docs, path, public_tokenizers.PATTERN, chunk=64, overlap=24), bpe.encoded(docs, path, public_tokenizers.PATTERN, chunk=64, overlap=24)):
+        assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted([i for i in ids for _ in range(2)], key=str)
+        assert out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+
+
+@pytest.mark.parametrize("ids", ["null", "own"])
+def test_rows_without_id_are_documents(spark, ids):
+    """Twelve rows that share a line lose it, with ids or without, alike texts or not; SQL agrees."""
+    import duckdb
+
+    from textmatch.llm import queries
+
+    rows = [(None if ids == "null" else i, f"shared\nown {i % 11}") for i in range(12)] + [(100 + i, "nine\nnine") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r["doc_id"]), r["__n_lines"], r["__n_dropped"], r["__kept"]) for r in lines.dedup_lines(docs, min_docs=10).collect())
+    assert got == sorted([(str(d), 2, 1, t.split("\n")[1]) for d, t in rows[:12]] + [(str(d), 2, 0, t) for d, t in rows[12:]])
+    documents = docs.toPandas().astype({"doc_id": "Int64"})  # noqa: F841 - read by the SQL
+    sql = duckdb.sql(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({queries.ORACLE['op8_lines']})").fetchall()
+    assert sorted((str(d), n, m, h) for d, n, m, h in sql) == sorted((d, n, m, hashlib.sha256(k.encode()).hexdigest()) for d, n, m, k in got)
+
+
+@pytest.mark.parametrize("rows_of_one", [1, 400])
+def test_samples_hold_their_bound(spark, rows_of_one):
+    from textmatch.llm.common import sampled
+
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(300)] + [(7, f"more {i}") for i in range(rows_of_one)] + [(None, "x")], "doc_id long, text string")
+    ids = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, y int")
+    out = sampled(docs, ids, 210).collect()
+    assert len(out) == (201 if rows_of_one == 1 else 199) and len({r["doc_id"] for r in out}) >= 199
+    assert len(sampled(docs, ids, 50).collect()) <= 50
+
+
+def test_fits_see_no_more_rows_than_they_say(spark, monkeypatch):
+    from textmatch.llm import common
+
+    sizes = []
+    keep = common.sampled
+    for module in (quality, language):
+        monkeypatch.setattr(module, "sampled", lambda *a: (lambda out: (sizes.append(out.count()), out)[1])(keep(*a)))
+    docs = spark.createDataFrame([(i, f"a text {i}", "en") for i in range(100)] + [(3, f"one id {i}", "de") for i in range(900)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    quality.fit(docs, labels, fit_rows=60, steps=2)
+    language.fit(docs, fit_rows=60)
+    assert len(sizes) == 2 and max(sizes) <= 60 and min(sizes) > 0
+
+
 @pytest.mark.parametrize(
     "page, want",
     [

@@ -62,7 +62,8 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = CHUNK,
     together in order. Where an overlap has no such place (an endless word), the two chunks stay one piece, so the
     result is always that of the whole text.
 
-    Defined results: null and empty texts have no tokens; repeated rows each get their row; an empty table gives an
+    Defined results: null and empty texts have no tokens; doc_id comes back as it is, null or of any size; repeated rows
+    each get their row; an empty table gives an
     empty table; columns other than doc_id and text are not read. A lone surrogate can't be in a Spark string.
     """
     return _assembled(docs, vocabulary, pattern, chunk, overlap, digest=True)
@@ -71,7 +72,8 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = CHUNK,
 def _assembled(docs: DataFrame, vocabulary: str, pattern: str, chunk: int, overlap: int, digest: bool) -> DataFrame:
     from textmatch.llm.common import stored
 
-    out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids binary, decoded binary"
+    # doc_id is text in Python: pandas would round numbers that stand beside nulls.
+    out = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id string, ids binary, decoded binary"
 
     def row(ids: list[bytes], decoded: list[bytes]) -> tuple:
         if not digest:
@@ -128,16 +130,16 @@ def _assembled(docs: DataFrame, vocabulary: str, pattern: str, chunk: int, overl
         decoded = [b"".join(map(table.__getitem__, x.tolist())) for x in ids]
         return _frame([(frame["doc_id"].iloc[0], frame["copies"].iloc[0], *row([x.tobytes() for x in ids], decoded))], ["doc_id", "copies", *names[1:]])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     short = rows.where(F.length("text") <= chunk).mapInPandas(whole, out)
 
     from pyspark.sql import Window
 
     keyed = rows.where(F.length("text") > chunk).withColumn("key", F.xxhash64("text"))
-    cut_up = keyed.mapInPandas(chunks, "doc_id long, key long, k int, last boolean, text string")
+    cut_up = keyed.mapInPandas(chunks, "doc_id string, key long, k int, last boolean, text string")
     same = ["doc_id", "key", "k"]
     dealt = cut_up.groupBy(*same, "last", "text").agg(F.count(F.lit(1)).alias("copies"))  # repeated rows become one, and a chunk has its own task
-    found = stored(dealt.mapInPandas(boundaries, "doc_id long, key long, k int, last boolean, text string, copies long, head array<int>, tail array<int>"))
+    found = stored(dealt.mapInPandas(boundaries, "doc_id string, key long, k int, last boolean, text string, copies long, head array<int>, tail array<int>"))
     # Neighbours compare their lists, without the texts. A window holds the chunks of one document.
     order = Window.partitionBy("doc_id", "key").orderBy("k")
     cuts = found.select(*same, "tail", F.lead("head").over(order).alias("next"))
@@ -147,10 +149,11 @@ def _assembled(docs: DataFrame, vocabulary: str, pattern: str, chunk: int, overl
     id_of = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("y")) & (F.col("k") == F.col("kk"))
     placed = found.select(F.col("doc_id").alias("d"), F.col("key").alias("y"), F.col("k").alias("kk"), "text", "copies").join(cuts.hint("merge"), id_of)
     by_piece = placed.select("doc_id", "key", "copies", "k", "text", "cut", "begin", "piece").groupBy("doc_id", "key", "piece")
-    coded = by_piece.applyInPandas(pieces, "doc_id long, key long, copies long, piece long, ids binary")
-    long = coded.groupBy("doc_id", "key").applyInPandas(documents, f"doc_id long, copies long, {out.split(', ', 1)[1]}")
+    coded = by_piece.applyInPandas(pieces, "doc_id string, key long, copies long, piece long, ids binary")
+    long = coded.groupBy("doc_id", "key").applyInPandas(documents, f"doc_id string, copies long, {out.split(', ', 1)[1]}")
     long = long.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return short.unionByName(long.select(*names))
+    every = short.unionByName(long.select(*names))
+    return every.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:

@@ -8,7 +8,21 @@ from pyspark.sql import functions as F
 from textmatch.functions.joins import fits_broadcast, lookup_join
 from textmatch.sources.storage import bucketed, stored
 
-__all__ = ["bucketed", "components", "fits_broadcast", "lookup_join", "range_indexed", "stored", "words_count"]
+__all__ = ["bucketed", "components", "fits_broadcast", "lookup_join", "range_indexed", "sampled", "stored", "words_count"]
+
+
+def sampled(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """Rows of docs whose doc_id is in ids (doc_id and other columns, a row an id, at most `most` of them): most rows at most.
+
+    An id can stand on any number of rows, so these are counted before a text is read: ids go by their number of rows,
+    then by the hash of doc_id, and those that would go beyond the bound are left out.
+    """
+    from pyspark.sql import Window
+
+    held = docs.select("doc_id").join(F.broadcast(ids), "doc_id").groupBy(*ids.columns).agg(F.count(F.lit(1)).alias("__rows"))
+    order = Window.orderBy("__rows", F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = stored(held.withColumn("__upto", F.sum("__rows").over(order)).where(F.col("__upto") <= most).drop("__rows", "__upto"))
+    return docs.join(F.broadcast(chosen), "doc_id")  # as many rows as ids
 
 def range_indexed(rows: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
     """Number rows globally in the given order and add exclusive prefix sums, without a one-task sort.

@@ -11,11 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmatch.llm.common import lookup_join, stored
+from textmatch.llm.common import lookup_join, sampled, stored
 from textmatch.llm.html import main_text
 
 #: Hash buckets of byte trigrams, and labelled rows used to fit the text model, at most.
 BUCKETS, FIT_ROWS = 1 << 14, 4_000
+#: Languages of the text model at most.
+LANGUAGES = 256
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -55,10 +57,11 @@ def trigrams(text: str | None) -> np.ndarray:
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> TextModel:
     """Fit trigram likelihoods on at most fit_rows rows of docs (text, lang, doc_id): those with the smallest hashes.
 
-    Counts are summed in the cluster; the driver gets BUCKETS numbers a language, however many rows there are.
+    Counts are summed in the cluster; the driver gets BUCKETS numbers a language, for the LANGUAGES commonest of the sample.
+    An id on several rows counts with each while these are within the bound; ids on few rows go first.
     """
     sample = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    ids = stored(sample.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).distinct())
+    ids = sample.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).distinct()
 
     def counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -69,7 +72,9 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> TextModel:
                 at = np.flatnonzero(total)
                 yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
 
-    rows = sample.join(F.broadcast(ids), "doc_id").select("lang", "text")  # fit_rows bounds it
+    rows = sampled(sample, ids, fit_rows).select("lang", "text")
+    most = stored(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang"))
+    rows = rows.join(F.broadcast(most), "lang")  # LANGUAGES rows
     summed = rows.mapInPandas(counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(summed["lang"].unique()))
     table = np.full((BUCKETS, max(1, len(languages))), 0.5)

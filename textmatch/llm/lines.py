@@ -103,23 +103,24 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     a third of all documents share is moved as numbers and counted before the shuffle.
 
     Defined results: null or empty text is one empty line, which is kept; a document is a doc_id, so rows repeated with
-    one doc_id count once, and all rows without doc_id count as one document; equal lines inside a document count once;
+    one doc_id count once, and each row without doc_id is a document of its own; equal lines inside a document count once;
     an empty table gives an empty table. Working columns start with two underscores, so other columns can have any name.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumn("__hash", F.xxhash64(text))
+    nameless = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
     key = line_key(F.col("line"))
     cuts = docs.agg(F.percentile_approx("doc_id", [b / batches for b in range(1, batches)])).first()[0] if batches > 1 else None
     batch = sum(((F.col("doc_id") > c).cast("int") for c in cuts or []), F.lit(0))
-    lines = rows.select("doc_id", "__hash", F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("key", key)
+    lines = rows.select("doc_id", nameless.alias("row"), "__hash", F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("key", key)
     lines = lines.where(F.length("key") >= min_chars).select(
-        F.coalesce(batch, F.lit(0)).alias("batch"), "doc_id", "__hash", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"),
+        F.coalesce(batch, F.lit(0)).alias("batch"), "doc_id", "row", "__hash", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"),
     )
     lines = stored(lines, "batch")
 
     runs = LineRuns(min_docs, fanout)
     for b in range(batches):
-        once = lines.where(F.col("batch") == b).select("h1", "h2", "doc_id").distinct()
+        once = lines.where(F.col("batch") == b).select("h1", "h2", "doc_id", "row").distinct()
         runs.add(once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")))
     frequent = runs.frequent()
 

@@ -41,9 +41,10 @@ def targets(by_source: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataF
     return levelled.withColumn("target", target).drop("limit", "ratio", "level", "weight")
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A fixed number in (0, 1) for each doc_id, from 52 bits of an MD5."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """A fixed number in (0, 1) for each doc_id and text, from 52 bits of an MD5."""
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    digest = F.md5(name)
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
@@ -68,16 +69,19 @@ def mix(
     inclusion differs between sources only.
 
     The cut is found without sorting a source in one task: words are summed by rank interval, and only the interval
-    in which a source's cut falls is ordered. What comes out is one threshold rank a source.
+    in which a source's cut falls is ordered. What comes out is one threshold rank a source, and how many of the rows at
+    that rank are taken.
 
-    Defined results: null or empty text has size 0 and takes 0 words; null source is a source of its own; repeated
-    rows are ranked alike; equal ranks are ordered by doc_id, then size; an empty table gives an empty table. Clashing
+    Defined results: null or empty text has size 0 and takes 0 words; null source is a source of its own; the fixed
+    number comes from doc_id and text, so rows without doc_id, or with one id and several texts, are ranked one by one;
+    rows repeated with one doc_id and text have one rank, and as many of them are taken as the target wants; equal ranks
+    of different rows are ordered by doc_id, then size; an empty table gives an empty table. Clashing
     column names are safe, as working columns start with two underscores.
     """
     size = words_count(F.col("text"))
     factor = F.col(importance).cast("double") if importance else F.lit(1.0)
     key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))
-    rows = docs.withColumns({"__size": size, "__u": uniform(F.col("doc_id"), seed), "__factor": factor, "__key": key})
+    rows = docs.withColumns({"__size": size, "__u": uniform(F.col("doc_id"), F.col("text"), seed), "__factor": factor, "__key": key})
     compact = stored(rows.select("__key", "source", "doc_id", "__size", "__u", "__factor"))
 
     by_source = compact.groupBy("__key", "source").agg(F.sum("__size").alias("source_size"))
@@ -99,7 +103,7 @@ def mix(
     def ranked(frame: DataFrame) -> DataFrame:
         odds = F.col("__part") / (1 - F.col("__part")) * F.col("__factor")
         rank = F.when(F.col("__part") > 0, F.col("__u") / (1 - F.col("__u")) / odds)
-        out = lookup_join(frame, plan, ["__key"], salt="doc_id").withColumn("__rank", rank)
+        out = lookup_join(frame, plan, ["__key"], salt="__u").withColumn("__rank", rank)
         return out.withColumn("__interval", F.floor(F.col("__rank") / (1 + F.col("__rank")) * INTERVALS))
 
     due = ranked(compact).where("__rank is not null and __size > 0 and __rest > 0")
@@ -108,21 +112,43 @@ def mix(
     sums = sums.withColumn("__before", F.coalesce(F.sum("__words").over(upto), F.lit(0)))
     edge = stored(sums.where("__before < __rest and __before + __words >= __rest").select("__key", "__interval", "__before"))
 
-    within = Window.partitionBy("__key").orderBy("__rank", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    at_edge = lookup_join(due, edge, ["__key", "__interval"], salt="doc_id")
-    so_far = F.col("__before") + F.coalesce(F.sum("__size").over(within), F.lit(0))
-    in_sample = at_edge.withColumn("__so_far", so_far).where("__so_far + __size / 2.0D < __rest")
-    last = in_sample.groupBy("__key").agg(F.max(F.struct("__rank", "doc_id", "__size")).alias("__last"))
+    # Equal rows are one row here, so the window holds different documents of one interval only.
+    at_edge = lookup_join(due, edge, ["__key", "__interval"], salt="__u")
+    tied = ["__rank", "doc_id", "__size"]
+    at_edge = at_edge.groupBy("__key", "__interval", "__rest", "__before", *tied).agg(F.count(F.lit(1)).alias("__rows"))
+    within = Window.partitionBy("__key").orderBy(*tied).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = F.col("__before") + F.coalesce(F.sum(F.col("__size") * F.col("__rows")).over(within), F.lit(0))
+    # A row is taken while less than half of it goes beyond what is wanted.
+    wanted_rows = F.ceil((F.col("__rest") - so_far) / F.col("__size") - 0.5)
+    taken = at_edge.withColumn("__take", F.least("__rows", wanted_rows)).where("__take > 0")
+    last = taken.groupBy("__key").agg(F.max(F.struct(*tied, "__take", "__rows")).alias("__last"))
     cuts = stored(edge.join(last, "__key", "left").select("__key", F.col("__interval").alias("__edge"), "__last"))
 
-    out = lookup_join(ranked(rows), cuts, ["__key"], "left", salt="doc_id")
+    out = lookup_join(ranked(rows), cuts, ["__key"], "left", salt="__u")
     below = F.col("__interval") < F.col("__edge")
-    on_edge = (F.col("__interval") == F.col("__edge")) & (F.struct("__rank", "doc_id", "__size") <= F.col("__last"))
+    own, cut = F.struct(*tied), F.struct(*[F.col(f"__last.{c}").alias(c) for c in tied])
+    on_edge = (F.col("__interval") == F.col("__edge")) & (own <= cut)
     picked = F.coalesce(below | on_edge, below, F.lit(False)) & (F.col("__size") > 0)
-    copies = (F.col("__whole") + picked.cast("int")).cast("int")
+    out = out.withColumn("__picked", picked)
+    if cuts.where("__last.__take < __last.__rows").limit(1).count():  # of some equal rows, not all are taken
+        part = F.coalesce((F.col("__last.__take") < F.col("__last.__rows")) & (own == cut), F.lit(False)) & F.col("__picked")
+        among = _numbered(out.where(part)).withColumn("__picked", F.col("__number") <= F.col("__last.__take")).drop("__number")
+        out = out.where(~part).unionByName(among)
+    copies = (F.col("__whole") + F.col("__picked").cast("int")).cast("int")
     return out.select(*docs.columns, "__size", "__source_size", "__target", copies.alias("__copies"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows of each __key numbered from 1 in any order, without bringing them together: partitions are counted first."""
+    table = stored(rows.withColumn("__seq", F.monotonically_increasing_id())).withColumn("__slice", F.shiftright("__seq", 33))
+    sums = table.groupBy("__key", "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = stored(sums.select("__key", "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0")))  # a row a key and partition
+    inside = Window.partitionBy("__key", "__slice").orderBy("__seq")
+    numbered = lookup_join(table.withColumn("__n1", F.row_number().over(inside)), sums, ["__key", "__slice"], salt="__seq")
+    return numbered.withColumn("__number", F.col("__n0") + F.col("__n1")).drop("__seq", "__slice", "__n0", "__n1")
+
+
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with the columns of docs."""
     taken = mix(docs, **options).where("__copies > 0")

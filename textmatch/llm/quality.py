@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmatch.llm.common import lookup_join, stored
+from textmatch.llm.common import lookup_join, sampled, stored
 
 #: Labelled documents used to fit the document classifier, at most: those with the smallest hashes of doc_id.
 FIT_ROWS = 4_000
@@ -79,7 +79,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, ridge: flo
     The sample's ids are at most fit_rows rows, so they are broadcast. Features, as many numbers a row whatever its length,
     are made where the texts are and meet in one task, which fit_rows bounds too; the driver gets the weights only. With
     no usable labels, or labels of one kind, the model says its prior everywhere. Of equal hashes the smaller doc_id
-    comes first; a doc_id labelled twice counts as good if either label does, and one with several texts counts with each.
+    comes first; a doc_id labelled twice counts as good if either label does, and one with several texts counts with each,
+    if these are within the bound; ids on few rows go first.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
@@ -99,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, ridge: flo
             mean, scale, w, b = _fitted(np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), -1), y, ridge, steps)
         yield pd.DataFrame({"mean": [mean.tolist()], "scale": [scale.tolist()], "weights": [w.tolist()], "bias": [b], "prior": [prior]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(featured, "doc_id long, y int, x binary")
+    rows = sampled(docs.select("doc_id", "text"), sample, fit_rows).mapInPandas(featured, "doc_id long, y int, x binary")
     model = rows.repartition(1).mapInPandas(fitted, "mean array<double>, scale array<double>, weights array<double>, bias double, prior double").first()
     mean, scale, weights = (np.array(model[c], np.float32) for c in ("mean", "scale", "weights"))
     return Model(mean, scale, weights, model["bias"], model["prior"])

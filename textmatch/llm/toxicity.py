@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmatch.llm.common import stored
+from textmatch.llm.common import sampled, stored
 
 #: Labelled rows that the lexicon and the weights are fitted on, at most: those with the smallest hashes of doc_id.
 FIT_ROWS = 8_000
@@ -304,16 +304,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, ridge: flo
     well are words of their own; what is left of its misspellings is counted with the automaton. The weights of the features come from
     terms counted on the other half of the sample. Features are as many numbers a row whatever its length.
 
-    Of equal hashes the smaller doc_id comes first, then the smaller text; a doc_id labelled twice counts as toxic if
-    either label does. Without labels, or with labels of one kind, the model says its prior everywhere.
+    Of equal hashes the smaller doc_id comes first; a doc_id labelled twice counts as toxic if either label does, and one
+    on several rows counts with each while these are within the bound, ids on few rows going first. Without labels, or with labels of one kind, the model says its prior everywhere.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    ids = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # fit_rows rows
-    keyed = rows.select("h", "doc_id", "y", "text", F.xxhash64("text").alias("t"))
-    fold = F.pmod(F.shiftright("h", 7), F.lit(2)).cast("int")
-    sample = stored(keyed.orderBy("h", "doc_id", "t").limit(fit_rows).select("text", (2 * fold + F.col("y")).cast("int").alias("kind")).repartition(8))
+    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    fold = F.pmod(F.shiftright(F.xxhash64("doc_id"), 7), F.lit(2)).cast("int")
+    rows = sampled(docs.select("doc_id", "text"), ids, fit_rows)
+    sample = stored(rows.select("text", (2 * fold + F.col("y")).cast("int").alias("kind")).repartition(8))
     kinds = {r["kind"]: r["count"] for r in sample.groupBy("kind").count().collect()}  # four rows at most
     of = [[kinds.get(2 * f + y, 0) for y in (1, 0)] for f in (0, 1)]
     both = [a + b for a, b in zip(*of, strict=True)]
