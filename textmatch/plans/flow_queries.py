@@ -60,13 +60,13 @@ def a2_normalise_postings(spark: SparkSession, d: str) -> DataFrame:
     return L.normalise_postings(_raw(spark, d))
 
 
-@query(f"WITH {RAW_SQL} SELECT composite_key, 1 AS n FROM raw GROUP BY composite_key")
+@query(f"WITH {RAW_SQL}, p AS (SELECT composite_key, k, k % 3 AS r FROM raw), stored AS (SELECT composite_key, CASE WHEN bool_or(r < 2) THEN 'first' ELSE 'second' END AS batch FROM p GROUP BY composite_key) SELECT composite_key, batch, 1 AS n FROM stored")
 def a4_append_new(spark: SparkSession, d: str) -> DataFrame:
-    """Two overlapping batches appended; each key is stored once."""
+    """Two overlapping batches appended, files parted by batch; each key is stored once, by the first that has it."""
     path, rows = new_path(spark, "postings"), _raw(spark, d)
-    L.append_new(L.normalise_postings(rows.where("o_orderkey % 3 < 2")), path)
-    table = L.append_new(L.normalise_postings(rows.where("o_orderkey % 3 > 0")), path)
-    return table.groupBy("composite_key").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    for name, part in (("first", "o_orderkey % 3 < 2"), ("second", "o_orderkey % 3 > 0")):
+        table = L.append_new(L.normalise_postings(rows.where(part)).withColumn("batch", F.lit(name)), path, by="batch")
+    return table.groupBy("composite_key", "batch").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
 @query(f"WITH {V.POSTINGS_SQL} SELECT '{{\"totalPostings\":' || CAST(count(*) AS VARCHAR) || ',\"openPostings\":' || CAST(count(*) FILTER (status = 'Pending') AS VARCHAR) || '}}' AS value FROM postings")

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmatch.operators.postings import anti_existing, dedup_batch, set_current
+from textmatch.operators.postings import dedup_batch, set_current
 from textmatch.schemas import RESULT_PAGE
+from textmatch.sources.commits import append_committed, read_committed
 
 
 def read_raw_postings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -45,25 +46,11 @@ def normalise_postings(raw: DataFrame) -> DataFrame:
 def append_new(df: DataFrame, path: str, key: str = "composite_key", order: tuple[str, ...] = ("company", "title"), by: str | None = None) -> DataFrame:
     """Append the rows whose key isn't stored at path, the first of each key, and return the stored table.
 
-    The rows are stored apart before they are appended, so that a retried append reads what the first one read. Plain Parquet
-    folders have no unique keys: of two jobs that append at the same time, neither sees the other's rows, so a key can be
-    stored twice. Let one job append to a folder, as a stream's foreachBatch does, or read it through dedup_batch().
+    Appends at the same time, from one job or several, store each key once: see append_committed(). by: a column of df
+    to part the files by, such as the date of ingestion.
     """
-    from textmatch.sources.storage import stored
-
-    spark = df.sparkSession
-    fresh = dedup_batch(df, key, order)
-    if _exists(spark, path):
-        fresh = anti_existing(fresh, spark.read.schema(df.schema).parquet(path), key)
-    writer = stored(fresh).write.mode("append")
-    (writer.partitionBy(by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    append_committed(dedup_batch(df, key, order), path, key, by)
+    return read_committed(df.sparkSession, path, df.schema)
 
 
 def camel(name: str) -> str:
