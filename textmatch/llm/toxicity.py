@@ -34,7 +34,7 @@ WORDS = 200_000
 WORD = re.compile(r"\w+(?:[*@$!]\w+)*")
 MARKED = re.compile(WORD.pattern + r"|[\"“”„«»‹›]")
 OPENS, CLOSES, EITHER = frozenset("“„«‹"), frozenset("”»›"), '"'
-QUOTES = re.compile(r"[\"“”„«»‹›]|(?m:^[ \t]*>)")
+QUOTES = '"“”„«»‹›'
 FEATURES = 3
 
 
@@ -42,7 +42,7 @@ def words(text: str) -> tuple[list[str], set[int]]:
     """Words of a text in lower case, and the places of those in a quotation: between marks in one line, or in a line that
     a mail quotes with >."""
     text = text.lower()
-    if not QUOTES.search(text):
+    if not any(mark in text for mark in QUOTES + ">"):
         return WORD.findall(text), set()
     out: list[str] = []
     quoted: set[int] = set()
@@ -51,7 +51,7 @@ def words(text: str) -> tuple[list[str], set[int]]:
             more = WORD.findall(line)
             quoted.update(range(len(out), len(out) + len(more)))
             out += more
-        elif QUOTES.search(line):
+        elif any(mark in line for mark in QUOTES):
             inside = False
             for m in MARKED.finditer(line):
                 word = m[0]
@@ -84,7 +84,8 @@ class Automaton:
     ends: dict[int, list[int]] = field(default_factory=dict)
     reach: list[int] = field(default_factory=lambda: [0])
     steps: list[dict[str, int]] = field(default_factory=list)
-    known: dict[str, tuple[int, int] | None] = field(default_factory=dict)
+    known: dict[str, tuple[int, int]] = field(default_factory=dict)
+    clean: set[str] = field(default_factory=set)  # words met that are no term's
 
     def __post_init__(self) -> None:
         self.allowed = [allowed_errors(t) for t in self.terms]
@@ -103,7 +104,6 @@ class Automaton:
 
     def _reset(self) -> None:
         self.steps.clear()
-        self.known.clear()
         self.numbers: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.accepts: list[dict[int, int]] = []
@@ -147,14 +147,11 @@ class Automaton:
 
     def found(self, word: str) -> tuple[int, int] | None:
         """The term that a word is, or is a misspelling of, and its errors: fewest errors first, then the longest term."""
-        if word in self.known:
-            return self.known[word]
-        if len(self.known) >= WORDS or len(self.states) > STATES:
-            self._reset()
-        state, best, last = self.start, None, len(word) - 1
         if word in self.other:
-            self.known[word] = None
             return None
+        if len(self.states) > STATES:
+            self._reset()
+        state, best, last = self.start, None, len(word) - 1
         for place, letter in enumerate(word):
             onward = self.steps[state].get(letter)
             if onward is None:
@@ -167,8 +164,21 @@ class Automaton:
                 if (term[-1] == "*") == (place < last):
                     rank = (errors, -len(term), i)
                     best = rank if best is None or rank < best else best
-        self.known[word] = match = (best[2], best[0]) if best else None
-        return match
+        return (best[2], best[0]) if best else None
+
+    def among(self, many: set[str]) -> dict[str, tuple[int, int]]:
+        """Those of some words that are a term or a misspelling of one. Words met lately aren't walked again."""
+        out = {}
+        for word in many - self.clean:
+            match = self.known.get(word) or self.found(word)
+            if match is None:
+                self.clean.add(word)
+            else:
+                out[word] = self.known[word] = match
+        if len(self.clean) + len(self.known) > WORDS:
+            self.clean.clear()
+            self.known.clear()
+        return out
 
 
 def allowed_errors(term: str) -> int:
@@ -191,15 +201,11 @@ class Model:
 def hits(text: str, automaton: Automaton, evidence) -> tuple[list[tuple[int, float, bool]], int]:
     """(place, evidence, quoted) of every word that is a term or a misspelling of one, and the number of words."""
     every, quoted = words(text)
-    known, found = automaton.known, automaton.found
-    out = []
-    for place, word in enumerate(every):
-        match = known[word] if word in known else found(word)
-        if match is not None:
-            weight = evidence[match[0]][match[1]]
-            if weight > 0:
-                out.append((place, weight, place in quoted))
-    return out, len(every)
+    weights = {word: evidence[i][errors] for word, (i, errors) in automaton.among(set(every)).items()}
+    weights = {word: weight for word, weight in weights.items() if weight > 0}
+    if not weights:
+        return [], len(every)
+    return [(place, weights[word], place in quoted) for place, word in enumerate(every) if word in weights], len(every)
 
 
 def features(found: list[tuple[int, float, bool]], n_words: int) -> tuple[float, ...]:
@@ -237,11 +243,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def _beginnings(word: str) -> Iterator[str]:
-    for n in range(SHORTEST, min(len(word), STEM + 1)):
-        yield word[:n] + "*"
-    if len(word) >= SHORTEST:
-        yield word
+def _names(text: str) -> set[str]:
+    """Words of a text of SHORTEST letters or more, and their beginnings."""
+    many = {word for word in words(text)[0] if len(word) >= SHORTEST}
+    return many.union(word[:n] + "*" for word in many for n in range(SHORTEST, min(len(word), STEM + 1)))
 
 
 def _counts(frames: Iterator[pd.DataFrame], names) -> Iterator[pd.DataFrame]:
@@ -321,14 +326,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, ridge: flo
     if not both[0] or not both[1]:
         return nothing
 
-    def named(text: str) -> set[str]:
-        return {name for word in set(words(text)[0]) for name in _beginnings(word)}
-
-    often = _tabled(sample.where("kind in (1, 3)"), named).groupBy("name").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= SUPPORT)
+    often = _tabled(sample.where("kind in (1, 3)"), _names).groupBy("name").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= SUPPORT)
     names = [r["name"] for r in often.orderBy(F.desc("docs"), "name").limit(40 * TERMS).collect()]  # that bounds it
     wanted = frozenset(names)
     counts: dict[str, dict[int, int]] = {n: {} for n in names}
-    for r in _tabled(sample, lambda text: named(text) & wanted).collect():  # four rows a name
+    for r in _tabled(sample, lambda text: _names(text) & wanted).collect():  # four rows a name
         counts[r["name"]][r["kind"]] = r["docs"]
 
     def of_fold(fold: tuple[int, ...]) -> tuple[list[str], list[int]]:
@@ -343,10 +345,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, ridge: flo
         out = set()
         for fold, terms in automata.items():
             automaton = _automaton(terms, other)
-            for word in set(words(text)[0]):
-                match = automaton.found(word)
-                if match and (match[1] or not spelling):
-                    out.add(word if spelling else f"{fold}\t{terms[match[0]]}\t{match[1]}")
+            for word, (i, errors) in automaton.among(set(words(text)[0])).items():
+                if errors or not spelling:
+                    out.add(word if spelling else f"{fold}\t{terms[i]}\t{errors}")
         return out
 
     other: frozenset[str] = frozenset()
@@ -375,7 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, ridge: flo
                 out.append((kind % 2, *features(*hits(text or "", _automaton(terms, other), evidence))))
             yield pd.DataFrame(out, columns=["y", *"abc"])
 
-    table = sample.mapInPandas(featured, "y int, a double, b double, c double").orderBy("y", *"abc").toPandas()  # fit_rows rows of four numbers
+    table = sample.mapInPandas(featured, "y int, a double, b double, c double").toPandas().sort_values(["y", *"abc"])  # fit_rows rows of four numbers
     terms, evidence = with_evidence((0, 1))
     weights, bias = _logistic(table[list("abc")].to_numpy(), table["y"].to_numpy(np.float64), ridge)
     return Model(terms, other, evidence, weights, bias)
