@@ -34,7 +34,7 @@ def test_newest_per_key_is_limited_before_the_shuffle(spark, sf):
 
 
 def test_no_python_in_plans_but_at_the_seam(spark, sf):
-    streams = {"w1_stream_postings", "w2_stream_dedup", "w3_stream_daily_counts", "w4_latest_status", "w6_status_counts"}
+    streams = {"w1_stream_postings", "w2_stream_dedup", "w3_stream_daily_counts", "w4_latest_status", "w5_stuck_runs", "w6_status_counts"}
     writers = {"a1_read_raw_postings", "a4_append_new", "a5_write_report", "a7_write_versions"}
     for name, f in plans.queries().items():
         if name not in streams | writers | {"u1_embedder"}:
@@ -96,4 +96,62 @@ def test_stuck_runs_by_timer_and_in_batch(spark):
     assert want == [1, 5]
     stream = land(spark, new_path(spark, "in"), rows, later, [(9, 101, "Pending")])
     got = S.run_available(S.stream_stuck_runs(stream, 24 * 3_600_000)).collect()
-    assert sorted(r["posting_id"] for r in got) == want
+    assert sorted(map(tuple, got)) == sorted(map(tuple, batch.collect()))
+    assert {r["entry"] for r in got} == {S.INTERRUPTED_ENTRY} and {r["status"] for r in got} == {"Pending"}
+
+
+def run_events(spark, rows):
+    """(posting, hour, status, message, kind) with the place as event_id."""
+    start = datetime.datetime(2024, 1, 1)
+    return spark.createDataFrame([(k, i, start + datetime.timedelta(hours=h), s, m, e) for i, k, h, s, m, e in rows], S.RUN_EVENTS)
+
+
+def test_history_is_that_of_a_batch_and_survives_a_restart(spark):
+    first = [(0, 1, 0, None, "queued", "info"), (1, 1, 1, "Tailoring", None, None), (2, 1, 2, None, "step one", "info"), (3, 2, 0, "Tailoring", "start", "info"), (4, 3, 0, None, None, None)]
+    second = [(5, 1, 3, "Pending", "Error: x", "error"), (6, 1, 5, "Tailoring", None, None), (7, 2, 4, "Tailored", "Pipeline complete", "success")]
+    late = [(8, 1, 4, None, "of the run before", "info"), (9, 1, 6, None, "step one", None), (10, 2, 1, None, "late but of this run", "info"), (11, None, 0, "Pending", "no id", "info")]
+    source, sink, checkpoint = (new_path(spark, n) for n in ("in", "out", "check"))
+    done = []
+    for rows in (first, second, late):
+        done += rows
+        run_events(spark, rows).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(S.RUN_EVENTS).parquet(source)
+        updates = S.run_available(S.stream_status_history(stream), "update", checkpoint, sink)  # a restart each time
+        got = {r["posting_id"]: r for r in S.newest_update(updates, "posting_id").collect()}
+        want = {r["posting_id"]: r for r in S.status_history(run_events(spark, done)).collect()}
+        assert {k: tuple(r) for k, r in got.items()} == {k: tuple(r) for k, r in want.items()}
+    assert got[1]["log"] == ["step one"] and got[1]["status"] == "Tailoring" and got[1]["n_events"] == 7
+    assert got[2]["log"] == ["info: start", "info: late but of this run", "success: Pipeline complete"] and got[2]["sub_status"] == "Pipeline complete"
+    assert got[3]["log"] == [] and got[3]["status"] is None
+
+
+def test_counts_follow_current_status_after_every_batch(spark):
+    from textmatch.operators.dashboards import status_breakdown
+
+    batches = [
+        [(1, 0, "Pending"), (2, 0, "Pending"), (3, 0, "Tailoring")], [(1, 1, "Tailoring"), (1, 2, "Tailored"), (4, 0, "Pending")], [(2, 5, "Applied"), (1, 1, "Skipped"), (3, 1, "Tailoring")], [(2, 6, "Pending"), (4, 1, "Skipped")],
+    ]
+    source, path, checkpoint = (new_path(spark, n) for n in ("in", "out", "check"))
+    numbered, n = [], 0
+    for rows in batches:
+        numbered.append([(i, *r) for i, r in enumerate(rows, n)])
+        n += len(rows)
+    start = datetime.datetime(2024, 1, 1)
+
+    def frame(rows):
+        return spark.createDataFrame([(k, i, start + datetime.timedelta(hours=h), s) for i, k, h, s in rows], S.STATUS_EVENTS)
+
+    for upto in range(1, len(numbered) + 1):
+        frame(numbered[upto - 1]).coalesce(1).write.mode("append").parquet(source)
+        counts = S.run_status_counts(spark.readStream.schema(S.STATUS_EVENTS).parquet(source), path, checkpoint)
+        got = {r["status"].lower(): r["n"] for r in counts.where(F.col("batch") == upto - 1).collect()}
+        want = status_breakdown(S.latest_status(frame([r for rows in numbered[:upto] for r in rows]))).first().asDict()
+        assert {k: got.get(k, 0) for k in want} == want
+    assert counts.where("n < 0").count() == 0
+
+
+def test_pages_stream_as_they_land(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"status": "OK", "data": [{"job_id": "1", "employer_name": "E"}, {"job_id": null, "job_title": "T"}]}')
+    (tmp_path / "b.json").write_text('{"status": "OK", "data": [{"job_id"')
+    got = S.run_available(S.stream_postings(spark, str(tmp_path))).orderBy("company").collect()
+    assert [(r["company"], r["composite_key"]) for r in got] == [("E", "1"), ("Unknown", "unknown_t")]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textmatch.plans.posting_queries import G, AS_OF
 from textmatch.plans.registry import query
-from textmatch.schemas import RAW_POSTING, RESULT_PAGE
+from textmatch.schemas import RAW_POSTING
 from textmatch.sources import landing as L
 from textmatch.sources import views as V
 from textmatch.sources.storage import new_path
@@ -87,11 +87,16 @@ def a7_write_versions(spark: SparkSession, d: str) -> DataFrame:
     return L.write_versions(v.where("version_id % 10 <> 0"), v.where("version_id % 10 = 0"), new_path(spark, "versions")).select("version_id", "is_current")
 
 
-def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Events landed in files by time, in a folder of their own, and read as a stream."""
+def _landed(spark: SparkSession, d: str, files: int | None = None) -> DataFrame:
+    """Events landed in files by time, in a folder of their own, and read as a stream; files: how many a batch reads."""
     events, path = V.table(spark, d, "events"), new_path(spark, "events")
     events.repartitionByRange(4, "ts").write.parquet(path)
-    return _status_events(spark.readStream.schema(events.schema).parquet(path))
+    reader = spark.readStream.schema(events.schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+
+
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    return _status_events(_landed(spark, d))
 
 
 def _status_events(events: DataFrame) -> DataFrame:
@@ -107,8 +112,7 @@ def w1_stream_postings(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "landing")
     pages = _pages(_raw(spark, d))
     pages.select(F.lit("OK").alias("status"), "data").write.json(path)
-    raw = spark.readStream.schema(RESULT_PAGE).json(path)
-    stream = L.normalise_postings(raw.select(F.explode("data").alias("r")).select("r.*"))
+    stream = S.stream_postings(spark, path, multi_line=False)
     return S.run_available(stream).groupBy("company").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -124,22 +128,49 @@ def w3_stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     return S.run_available(S.daily_counts(_event_stream(spark, d)))
 
 
-@query(f"WITH {STATUS_SQL} SELECT posting_id, arg_max(status, (ts, event_id)) AS status, count(*) AS n_events FROM e GROUP BY posting_id")
+def _run_events(events: DataFrame) -> DataFrame:
+    """Events as the steps of runs: a click starts one, views and signups tell of progress, a purchase or an error ends it."""
+    kind = F.col("event_type")
+    status = F.when(kind == "click", "Tailoring").when(kind == "purchase", "Tailored").when(kind == "error", "Pending")
+    message = F.when(kind == "purchase", "Pipeline complete").when(kind == "error", F.concat(F.lit("Error: "), "props")).when(kind != "click", F.concat_ws(" ", "event_type", "props"))
+    entry = F.when(kind == "purchase", "success").when(kind == "error", "error").otherwise("info")
+    return events.select(F.col("user_id").alias("posting_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), message.alias("message"), entry.alias("kind"))
+
+
+RUN_SQL = """r AS (
+    SELECT user_id AS posting_id, event_id, ts, CASE event_type WHEN 'click' THEN 'Tailoring' WHEN 'purchase' THEN 'Tailored' WHEN 'error' THEN 'Pending' END AS status,
+        CASE event_type WHEN 'purchase' THEN 'Pipeline complete' WHEN 'error' THEN 'Error: ' || props WHEN 'click' THEN NULL ELSE event_type || ' ' || props END AS message,
+        CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'error' ELSE 'info' END AS kind
+    FROM events)"""
+
+
+@query(f"""WITH {RUN_SQL},
+    started AS (SELECT posting_id, max((ts, event_id)) AS run FROM r WHERE status = 'Tailoring' GROUP BY posting_id),
+    logs AS (
+        SELECT posting_id, string_agg(kind || ': ' || message, chr(10) ORDER BY ts, event_id) AS log, count(*) AS n_entries
+        FROM r LEFT JOIN started USING (posting_id) WHERE message IS NOT NULL AND (run IS NULL OR (ts, event_id) >= run) GROUP BY posting_id)
+    SELECT posting_id, arg_max(status, (ts, event_id)) FILTER (status IS NOT NULL) AS status, arg_max(message, (ts, event_id)) FILTER (message IS NOT NULL) AS sub_status,
+        count(*) AS n_events, coalesce(any_value(n_entries), 0) AS n_entries, coalesce(any_value(log), '') AS log
+    FROM r LEFT JOIN logs USING (posting_id) GROUP BY posting_id""")
 def w4_latest_status(spark: SparkSession, d: str) -> DataFrame:
-    return S.run_available(S.latest_status(_event_stream(spark, d)), "complete")
+    """Status, sub-status and the log of the current run of every posting, kept by a stream that reads files one at a time."""
+    events = _run_events(_landed(spark, d, 1))
+    now = S.newest_update(S.run_available(S.stream_status_history(events), "update"), "posting_id")
+    return now.select("posting_id", "status", "sub_status", "n_events", F.size("log").cast("long").alias("n_entries"), F.array_join("log", "\n").alias("log"))
 
 
-@query(f"WITH {STATUS_SQL}, l AS (SELECT posting_id, arg_max(status, (ts, event_id)) AS s, max(ts) AS since FROM e GROUP BY posting_id) SELECT posting_id, 'Pending' AS status, since FROM l WHERE s = 'Tailoring' AND since < (SELECT max(ts) FROM e) - INTERVAL 6 HOUR")
+@query(f"WITH {STATUS_SQL}, l AS (SELECT posting_id, arg_max(status, (ts, event_id)) AS s, max(ts) AS since FROM e GROUP BY posting_id) SELECT posting_id, 'Pending' AS status, '{S.INTERRUPTED}' AS sub_status, '{S.INTERRUPTED_ENTRY}' AS entry, since FROM l WHERE s = 'Tailoring' AND since < (SELECT max(ts) FROM e) - INTERVAL 6 HOUR")
 def w5_stuck_runs(spark: SparkSession, d: str) -> DataFrame:
-    events = _status_events(V.table(spark, d, "events"))
-    last = events.agg(F.max("ts").alias("as_of"))
-    rows = S.stuck_runs(events, F.lit(last.first()[0]), "INTERVAL 6 HOUR")
+    """Runs that no event has ended for six hours, by timers of a stream."""
+    rows = S.run_available(S.stream_stuck_runs(_event_stream(spark, d), 6 * 3_600_000))
     return rows.withColumn("since", F.col("since").cast("timestamp_ntz"))
 
 
-@query(f"WITH {STATUS_SQL} SELECT status, count(*) AS n FROM e GROUP BY status")
+@query(f"WITH {STATUS_SQL}, l AS (SELECT posting_id, arg_max(status, (ts, event_id)) AS status FROM e GROUP BY posting_id) SELECT status, count(*) AS n FROM l GROUP BY status")
 def w6_status_counts(spark: SparkSession, d: str) -> DataFrame:
-    return S.run_available(S.status_counts(_event_stream(spark, d)), "complete")
+    """Postings by current status, kept up by a stream of changes that reads files one at a time; the last batch's counts."""
+    counts = S.run_status_counts(_status_events(_landed(spark, d, 1)), new_path(spark, "counts"), new_path(spark, "counts-checkpoint"))
+    return counts.groupBy("status").agg(F.max_by("n", "batch").alias("n")).where("n > 0")
 
 
 @query(f"WITH {V.POSTINGS_SQL} SELECT count(*) AS n FROM postings WHERE created_at >= DATE '2001-07-02' AND created_at < DATE '2001-08-01'")
