@@ -9,6 +9,7 @@ from textmatch.functions import text as X
 from textmatch.functions.joins import lookup_join, spread
 from textmatch.functions.vectors import dot, fit_score
 from textmatch.operators import blocks as B
+from textmatch.operators import projection as R
 from textmatch.operators import retrieval as S
 from textmatch.operators import sections as E
 from textmatch.operators import terms as T
@@ -606,6 +607,13 @@ def s10_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return S.cosine_topk(asked, e).select("query_id", "rank", "vec_id", "score")
 
 
+@query()
+def s10b_projected_topk(spark: SparkSession, d: str) -> DataFrame:
+    """s10 by random projections: approximate, so tests hold its recall against the exact form."""
+    e = V.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return R.projected_topk(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector"), e).select("query_id", "rank", "vec_id", "score")
+
+
 @query(f"WITH {V.BLOCKS_SQL} SELECT doc_id, pos, CAST(length(text) AS DOUBLE) AS chars, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS blanks, CASE WHEN text = '' THEN 0.0::DOUBLE ELSE CAST(unicode(text) % 97 AS DOUBLE) END AS first FROM blocks")
 def u1_embedder(spark: SparkSession, d: str) -> DataFrame:
     """A callable in place of a model: it turns the lines of all documents into vectors, a batch a call."""
