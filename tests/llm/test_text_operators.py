@@ -380,15 +380,53 @@ def test_neighbours_recall_on_the_given_table(spark, sf):
     assert hit / (20 * len(asked)) >= 0.9
 
 
+def test_footrule_decides_what_is_scored(spark, sf):
+    """Far fewer vectors are scored than are met, on the given table and on a clustered one."""
+    given = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
+    met, scored = ann.shares(given, given.where("vec_id % 40 = 0"))
+    assert met > 0.8 and scored < 0.5 * met
+    rng = np.random.default_rng(8)
+    x = (np.repeat(rng.normal(size=(40, 32)), 150, axis=0) + 0.3 * rng.normal(size=(6000, 32))).astype(np.float32)
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    met, scored = ann.shares(table, table.where("vec_id % 100 = 0"))
+    assert met > 0.8 and scored < 0.4 * met
+
+
+def test_footrule_of_files_is_that_of_lists():
+    rng = np.random.default_rng(9)
+    lists = np.array([rng.permutation(30)[:8] for _ in range(200)], np.uint16)
+    query = rng.permutation(30)[:12].astype(np.uint16)
+    near = ann._Files(lists, 30).nearness(query, 12)
+
+    def footrule(row):
+        place_a, place_b = ({p: i for i, p in enumerate(r.tolist())} for r in (query, row))
+        return sum(abs(place_a.get(p, 12) - place_b.get(p, 12)) for p in range(30))
+
+    distances = [footrule(row) for row in lists]
+    assert len({d + 2 * int(n) for d, n in zip(distances, near, strict=True)}) == 1
+
+
+def test_neighbours_of_each_length(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, [float(v) for v in rng.normal(size=4 if i % 3 else 7)]) for i in range(90)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(table, table.where("vec_id < 30"), 5).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in range(30):
+        same = [(-sum(a * b for a, b in zip(np.float32(rows[q][1]).tolist(), np.float32(v).tolist(), strict=True)), i) for i, v in rows if len(v) == len(rows[q][1]) and i != q]
+        assert got[q] == [i for _, i in sorted(same)[:5]]
+
+
 def test_reranking_goes_on_while_it_finds_better_ones():
     score = np.arange(1000) % 977 * 1.0
     names, spread, tied = np.arange(1000), np.arange(1000), np.zeros(1000, int)
 
     def found(distance, scores):
-        return ann._reranked(names, distance, lambda new: scores[new], lambda new: scores[new], names, 5, 10)[0].tolist()
+        return ann._reranked(names, distance, lambda new: scores[new], lambda new: scores[new], names, 5, 10, 10)[0].tolist()
 
     assert found(tied, score) == [976, 975, 974, 973, 972]  # all tie, so all are reranked
-    assert found(spread, -score) == [0, 1, 2, 3, 4]  # stops after a doubling without a better one
+    assert found(spread, -score) == [0, 1, 2, 3, 4]  # stops after a step without a better one
     assert found(spread, score) == [976, 975, 974, 973, 972]
 
 
