@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import time
 from collections import Counter
 from html.parser import HTMLParser
@@ -188,6 +189,30 @@ def test_scores_choose_the_article(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article><section id='introduction'><p>{filler(1)}</p></section><section id='related-work'><h2>Related work</h2><p>{filler(2)}</p></section></article>", f"{filler(1)}\nRelated work\n{filler(2)}"),
+        (f"<article><p>Take <span class='alert'>great care</span> of it.</p><p>{filler(1)}</p></article>", f"Take great care of it.\n{filler(1)}"),
+        (f"<article><p>See <a class=related href=x>this one</a> too.</p><p>{filler(1)}</p></article>", f"See this one too.\n{filler(1)}"),
+        (f"<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><p>{filler(1)}</p></article>", f"So x=1 holds.\n{filler(1)}"),
+        (f"<body><section><h2>One</h2><p>{filler(1, 9)}</p></section>" + "".join(f"<section><h2>S{i}</h2><p>Short part {i}.</p></section>" for i in range(4)) + "</body>", f"One\n{filler(1, 9)}\n" + "\n".join(f"S{i}\nShort part {i}." for i in range(4))),
+        ("<article><p>a &am<b>p;b</b> c &amp; d</p></article>", "a &amp;b c & d"),
+        (f"<article><p>{filler(1)}</p><div class='related'><a href=a>One more story</a> <a href=b>And one more</a></div><div class='newsletter-box'><p>Join us today, all of you.</p></div></article>", filler(1)),
+        (f"<article><p>{filler(1)}</p><div class='comments'><p>{filler(2)}</p></div></article>", filler(1)),
+    ],
+)
+def test_text_of_an_article_stays(page, want):
+    assert html.main_text(page) == want
+
+
+def test_given_pages_without_their_article_elements(spark, sf):
+    """What elements are called is taken away, so that points have to choose."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    same = [html.main_text(re.sub(r"<(/?)(article|main|section)\b", r"<\1div", p)) == html.main_text(p) for p in pages]
+    assert sum(same) >= 0.95 * len(pages)
+
+
 def test_scoring_decides_where_no_element_is_an_article(monkeypatch):
     """Pages of plain div elements: text and what stands around it, told apart by points alone; without points they change."""
     rng = random.Random(8)

@@ -19,7 +19,7 @@ BLOCK = frozenset(
 )
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 SKIPPED = frozenset(
-    "head nav footer aside script style textarea title noscript template iframe button select option input svg math canvas object embed"
+    "head nav footer aside script style textarea title noscript template iframe button select option input svg canvas object embed"
     " audio video dialog menu xmp noembed noframes".split()
 )
 # Words in class, id or role that speak for standing around an article, and those of them for readers' answers.
@@ -29,6 +29,11 @@ AROUND = frozenset(
     " discussion disqus sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer header masthead toolbar pagination pager login search"
     " complementary contentinfo".split()
 )
+# Words of AROUND that also name parts of a text: inside an article they count only where the element looks the part.
+EITHER_WAY = frozenset(
+    "notice notices alert social share sharing related recommended recommendations reply replies respond discussion widget widgets menu navigation header"
+    " footer search overlay consent complementary banner comment comments".split()
+)
 COMMENTS = frozenset("comment comments commentlist reply replies respond discussion disqus".split())
 # Words that make a name tell of the layout around an element, as in has-sidebar, with-comments, no-search or ad-free.
 LAYOUT = frozenset("has have with without no not non free less hide hides hidden show shows".split())
@@ -49,19 +54,22 @@ TOKEN = re.compile(
 NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*+=\s*+["']?true|display\s*+:\s*+none""", re.I)
 WORD = re.compile(r"[a-z0-9]+")
-#: What names and tags say of an element: nothing, that it stands around the article, that readers wrote it, that it is none of the text.
-NOTHING, ASIDE, READERS, CERTAIN = 0, 1, 2, 3
+#: What names and tags say of an element: nothing, that it may or does stand around the article, that readers wrote it,
+#: that it is none of the text.
+NOTHING, MAYBE, ASIDE, READERS, CERTAIN = range(5)
 
 
-def _named(attrs: str, whole: bool) -> set[str]:
-    """Words of AROUND in the names of an element; whole: only names that are such a word."""
+def _named(attrs: str) -> tuple[set[str], bool]:
+    """Words of AROUND in the names of an element, and whether a name has no other words."""
     found: set[str] = set()
+    pure = False
     for m in NAMES.finditer(attrs):
         for name in m[2].lower().strip("\"'").split():
             words = set(WORD.findall(name))
-            if not words & LAYOUT and not (whole and len(words) > 1):
+            if words and not words & LAYOUT:
                 found |= words & AROUND
-    return found
+                pure = pure or words <= AROUND
+    return found, pure
 
 
 def _said(tag: str, attrs: str, inside: bool) -> int:
@@ -70,15 +78,16 @@ def _said(tag: str, attrs: str, inside: bool) -> int:
         return CERTAIN
     if tag in ("html", "body", "main"):
         return NOTHING
-    block = tag in BLOCK
-    found = _named(attrs, not block) if attrs else set()
-    if not block:
-        return CERTAIN if found else NOTHING
-    if found & COMMENTS:
+    if tag not in BLOCK:
+        return NOTHING
+    found, pure = _named(attrs) if attrs else (set(), False)
+    if found & COMMENTS and (pure or not inside):
         return READERS
-    if tag == "form" or not inside and tag == "header" or found and not (inside and found == {"header"}):
+    if tag == "form" or not inside and (tag == "header" or found):
+        return ASIDE
+    if found - EITHER_WAY and found - {"header"}:
         return ASIDE
-    return NOTHING
+    return MAYBE if found and found != {"header"} else NOTHING
 
 
 class _Tree:
@@ -97,7 +106,7 @@ class _Tree:
         def end_block() -> None:
             nonlocal linked
             if parts:
-                text = " ".join(html.unescape("".join(parts)).split())
+                text = " ".join("".join(parts).split())
                 if text:
                     self.blocks.append((self.block[stack[-1]], text, min(linked, len(text))))
                 parts.clear()
@@ -121,6 +130,7 @@ class _Tree:
                 text = m[0]
                 if text[0] == "<" and len(text) > 1 or skip:
                     continue
+                text = html.unescape(text)  # a reference ends where its run of text does
                 parts.append(text)
                 if links:
                     linked += len(text.strip())
@@ -201,7 +211,8 @@ class _Tree:
 def _left(tree: _Tree, use_names: bool = True) -> list[tuple[int, str, int]]:
     """Blocks that don't stand around the article, names and tags being weighed against how much text is in an element.
 
-    What readers wrote goes if there is a text besides it. What else is said to stand around goes unless most of the page's
+    What readers wrote goes if there is a text besides it. A name inside an article that can name a part of it as well
+    counts only for elements that are short or mostly links. What else is said to stand around goes unless most of the page's
     text is in it, which then is a wrapper. Lists of nothing but links are menus where they aren't in an article.
     """
     n = len(tree.tag)
@@ -219,6 +230,8 @@ def _left(tree: _Tree, use_names: bool = True) -> list[tuple[int, str, int]]:
             gone[e] = True
         elif said == READERS:
             gone[e] = total - own >= SPEAKS or own < SPEAKS
+        elif said == MAYBE:  # of a name in an article: links, or a line or two
+            gone[e] = own < SPEAKS or linked[e] >= 0.5 * text[e]
         elif said == ASIDE:
             gone[e] = own < SPEAKS or own <= 0.7 * total
         elif tree.tag[e] in ("ul", "ol") and not tree.inside[e]:
@@ -234,7 +247,7 @@ def main_text(page: str | None) -> str:
     discounted by the share of a container's text that is in links, and the container with the highest score is the
     best. It grows to a parent that scores three quarters of it, or that adds to a part of an article no more than it has and
     hardly any links, but not to the body. It is kept with those siblings that score a fifth of it, or are headings, long
-    paragraphs or articles, and have few links.
+    paragraphs, articles or elements of its own kind with a heading, and have few links.
     """
     if not page:
         return ""
@@ -278,7 +291,7 @@ def main_text(page: str | None) -> str:
         if parent[e] == parent[best] and chars[e] and e != best and linked[e] < 0.25 * chars[e]:
             if headed[e] == chars[e] and e > best:
                 titles.append(e)  # a heading after the best container counts if text under it does
-            elif headed[e] == chars[e] or tag[e] == "article" or score(e) >= 0.2 * most or tag[e] == "p" and chars[e] >= SPEAKS:
+            elif headed[e] == chars[e] or tag[e] == "article" or tag[e] == tag[best] and headed[e] or score(e) >= 0.2 * most or tag[e] == "p" and chars[e] >= SPEAKS:
                 keep |= {e, *titles}
                 titles = []
     under = [False] * n
