@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A lookup side up to so many rows and bytes of text is broadcast; above either, it is joined by shuffle.
+#: A lookup side up to so many rows and bytes is broadcast; above either, it is joined by shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 32 << 20
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row, about: of strings and binaries their own, of arrays, maps and structs those of their JSON, else eight."""
+
+    def size(f: T.StructField) -> Column:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.octet_length(F.col(f"`{f.name}`"))
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`"))))
+        return F.lit(8)
+
+    return sum((F.coalesce(size(f), F.lit(0)).cast("long") for f in df.schema), F.lit(0).cast("long"))
+
+
 def fits_broadcast(small: DataFrame) -> bool:
-    """Whether a stored table is small enough to be sent to every task; its rows and their strings are counted."""
-    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in small.schema if f.dataType.simpleString() in ("string", "binary")]
-    n, size = small.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(wide, F.lit(0).cast("long"))), F.lit(0))).first()
+    """Whether a stored table is small enough to be sent to every task; its rows and bytes are counted."""
+    n, size = small.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(small)), F.lit(0))).first()
     return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 

@@ -38,9 +38,25 @@ def stored(df: DataFrame, by: str | None = None) -> DataFrame:
 def bucketed(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Write df as a table in the shared folder that is bucketed and sorted by some columns, and read it back.
 
-    There are as many buckets as shuffle partitions, so joins of such tables on these columns need no shuffle.
+    There are as many buckets as shuffle partitions, so joins of such tables on these columns need no shuffle. The name
+    that Spark asks for is taken out of the catalog again; the files stay, as does what the returned table knows of them.
     """
     spark = df.sparkSession
     name, buckets = f"bucketed_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").bucketBy(buckets, *by).sortBy(*by).option("path", new_path(spark, "bucketed")).saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    table.schema  # the table is looked up before its name goes
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def remove_stored(spark: SparkSession) -> int:
+    """Delete the tables that stored(), bucketed() and streams of finished queries left in the shared folder, and count them.
+
+    For the end of a job: frames that were made from them can't be read any more.
+    """
+    jvm, folder = spark.sparkContext._jvm, shared_dir(spark)
+    path_of = jvm.org.apache.hadoop.fs.Path
+    fs = path_of(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = [s.getPath() for s in fs.listStatus(path_of(folder)) if s.getPath().getName().split("-")[0] in ("table", "bucketed", "stream")]
+    return sum(fs.delete(p, True) for p in gone)
