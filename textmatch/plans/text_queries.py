@@ -9,6 +9,7 @@ from textmatch.functions import text as X
 from textmatch.functions.joins import lookup_join, spread
 from textmatch.functions.vectors import dot, fit_score
 from textmatch.operators import blocks as B
+from textmatch.operators import inverted as I
 from textmatch.operators import projection as R
 from textmatch.operators import retrieval as S
 from textmatch.operators import sections as E
@@ -568,6 +569,25 @@ def s6_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return S.bm25_topk(*_bm25_sides(spark, d), by=DOC).select("doc_id", "query", "rank", F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("score_milli"))
 
 
+CORPUS_SQL = f"""{V.TERMS_SQL}, {V.BLOCKS_SQL},
+    q AS (SELECT DISTINCT trim(s) AS query FROM (SELECT unnest(string_split_regex(text, '[.\n]')) AS s FROM benchmark) WHERE len(regexp_extract_all(lower(s), '[a-z0-9]+')) > 0),
+    p AS (SELECT phrase, regexp_extract_all(lower(phrase), '[a-z0-9]+') AS w FROM (SELECT DISTINCT text AS phrase FROM blocks)),
+    tf AS (SELECT phrase, len(w) AS dl, token, count(*) AS tf FROM (SELECT phrase, w, unnest(w) AS token FROM p) GROUP BY ALL),
+    c AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM p),
+    raw AS (SELECT token, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, c GROUP BY token, n),
+    idf AS (SELECT token, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+    s AS (SELECT query, phrase, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
+        FROM (SELECT query, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS token FROM q) JOIN tf USING (token) JOIN idf USING (token), c GROUP BY ALL)"""
+
+
+@query(f"WITH {CORPUS_SQL} SELECT query, CAST(rank AS INTEGER) AS rank, md5(phrase) AS phrase, CAST(floor(score * 1000 + 0.5) AS BIGINT) AS score_milli FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, phrase) AS rank FROM s WHERE score > 0) WHERE rank <= 10")
+def s6b_corpus_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Best lines of all documents, as one collection behind a stored index, for every sentence of the benchmark."""
+    asked = V.table(spark, d, "benchmark").select(F.explode(F.split("text", "[.\n]")).alias("query")).select(F.trim("query").alias("query")).where(F.size(X.tokens(F.col("query"))) > 0)
+    top = I.index_topk(asked, I.build_index(V.blocks(spark, d).select(F.col("text").alias("phrase"))))
+    return top.select("query", "rank", F.md5("phrase").alias("phrase"), F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("score_milli"))
+
+
 def _hashed(spark: SparkSession, d: str, strings: DataFrame) -> DataFrame:
     """A seeded stand-in for a model: each string takes the vector that its length and first character name."""
     e = V.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
