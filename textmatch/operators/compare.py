@@ -77,7 +77,7 @@ def change_cards(edits: DataFrame, movement: DataFrame, required_share: float =
         F.sort_array(F.collect_set(F.when(F.col("is_required"), F.col("__k")))).alias("required_closed"),
         F.sort_array(F.collect_set(F.when(~F.col("is_required"), F.col("__k")))).alias("preferred_closed"),
     )
-    cards = cards.join(total, PAIR, "left")
+    cards = cards.join(total.hint("merge"), PAIR, "left")
     points = one_place(F.coalesce(F.size("required_closed") / F.col("__total") * required_share, F.lit(0.0)))
     n = F.size("required_closed") + F.size("preferred_closed")
     label = F.when(n >= 3, "high").when(n >= 1, "medium").otherwise("low")
@@ -135,7 +135,7 @@ def full_report(delta: DataFrame, summary: DataFrame, bands: DataFrame, actions:
 
     out = one(delta, "scoreDelta")
     for part in (one(summary, "keywordMovement"), one(bands, "passBand"), many(actions, "actionItems"), many(cards, "changeCards")):
-        out = out.join(part, PAIR, "left")
+        out = out.join(part.hint("merge"), PAIR, "left")
     return out
 
 

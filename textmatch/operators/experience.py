@@ -168,7 +168,7 @@ def provenance(facts: DataFrame, failures: DataFrame, key: str) -> DataFrame:
     """One struct a row: method, confidence by field, failed fields."""
     failed = failures.groupBy(key).agg(F.sort_array(F.collect_set("field")).alias("failed"))
     fields = F.map_from_arrays(F.array(F.lit("years")), F.array(F.coalesce("confidence", F.lit("inferred"))))
-    out = facts.join(failed, key, "left")
+    out = facts.join(failed.hint("merge"), key, "left")
     value = F.struct(F.col("method"), fields.alias("confidence_by_field"), F.coalesce("failed", F.array().cast("array<string>")).alias("failed"), F.col("failed").isNotNull().alias("escalated"))
     return out.select(key, value.alias("provenance"))
 

@@ -103,8 +103,10 @@ def keep_newest(postings: DataFrame) -> DataFrame:
 
 
 def duplicates_to_delete(postings: DataFrame) -> DataFrame:
-    """All but the newest posting of each company and title."""
-    return postings.withColumn("__n", F.row_number().over(_by_age())).where("__n > 1").select("posting_id")
+    """All but the newest posting of each company and title. The newest are grouped maxima, so a company and title that many
+    postings share is combined before it moves."""
+    newest = postings.groupBy(posting_key()).agg(F.max(F.struct("created_at", "posting_id"))["posting_id"].alias("posting_id"))
+    return postings.select("posting_id").join(newest.select("posting_id").hint("shuffle_hash"), "posting_id", "left_anti")
 
 
 def display_dedup(postings: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from textmatch.functions.text import crude_stem, tokens
 from textmatch.functions.vectors import cosine, dot, fit_score
+from textmatch.sources.storage import stored
 
 
 @dataclass(frozen=True)
@@ -57,24 +59,29 @@ def bm25(queries: DataFrame, phrases: DataFrame, config: RetrievalConfig = Retri
     """Okapi scores of phrases (phrase) for queries (query) with a shared token. Both sides hold distinct rows.
 
     by: columns of both sides; the phrases of each of their values are a collection of its own, asked by the queries of
-    that value. The token join is the inverted index. Phrase lengths and document frequencies are grouped sums.
+    that value. The token join is the inverted index. Phrases get numbers, and these travel instead of texts. Tokens are
+    dealt out once: their counts, document frequencies and the join with the queries stay where they are then.
     """
     by = list(by)
-    rows = phrases.select(*by, "phrase", tokens(F.col("phrase")).alias("t")).withColumn("dl", F.size("t"))
-    tf = rows.select(*by, "phrase", "dl", F.explode("t").alias("token")).groupBy(*by, "phrase", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    numbered = stored(phrases.select(*by, "phrase").withColumn("__p", F.monotonically_increasing_id()))
+    rows = numbered.select(*by, "__p", tokens(F.col("phrase")).alias("t")).withColumn("dl", F.size("t"))
+    words = rows.select(*by, "__p", "dl", F.explode("t").alias("token")).repartition(*by, "token")
+    tf = words.groupBy(*by, "token", "__p", "dl").agg(F.count(F.lit(1)).alias("tf")).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy(*by, "token")))
+    tf = stored(tf)  # read for the mean and for the hits
 
     def beside(df: DataFrame, totals: DataFrame) -> DataFrame:
         return df.join(totals.hint("shuffle_hash"), by) if by else df.crossJoin(F.broadcast(totals))  # one row
 
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     corpus = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = beside(tf.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df")), corpus)
-    idf = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.groupBy(*by).agg(F.avg("raw").alias("mean"))
-    idf = beside(idf, mean).withColumn("idf", F.when(F.col("raw") < 0, config.idf_floor * F.col("mean")).otherwise(F.col("raw")))
+    once = beside(tf.select(*by, "token", "df").distinct(), corpus)
+    stats = stored(once.groupBy(*by, "n", "avgdl").agg(F.avg(raw).alias("mean")))
     asked = queries.select(*by, "query", F.explode(tokens(F.col("query"))).alias("token"))
-    hits = tf.join(asked.hint("shuffle_hash"), [*by, "token"]).join(idf.select(*by, "token", "idf", "avgdl").hint("shuffle_hash"), [*by, "token"])
-    part = F.col("idf") * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy(*by, "query", "phrase").agg(F.sum(part).alias("score"))
+    hits = beside(tf.join(asked.hint("shuffle_hash"), [*by, "token"]), stats)
+    idf = F.when(raw < 0, config.idf_floor * F.col("mean")).otherwise(raw)
+    part = idf * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")))
+    scored = hits.groupBy(*by, "query", "__p").agg(F.sum(part).alias("score"))
+    return scored.join(numbered.select("__p", "phrase").hint("merge"), "__p").drop("__p")
 
 
 def bm25_topk(queries: DataFrame, phrases: DataFrame, config: RetrievalConfig = RetrievalConfig(), by: tuple[str, ...] = ()) -> DataFrame:
@@ -143,11 +150,32 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int =
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def embedder(embed: Callable[[list[str]], list[list[float]]]) -> Callable[[Column], Column]:
-    """A column function from a callable that turns a list of texts into vectors; called once a batch."""
+_MODELS: dict[str, Callable[[list[str]], list[list[float]]]] = {}
+
+
+def _loaded(name: str, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Callable[[list[str]], list[list[float]]]:
+    """A worker process's own copy of a model."""
+    if name not in _MODELS:
+        _MODELS[name] = load()
+    return _MODELS[name]
+
+
+def embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 64) -> Callable[[Column], Column]:
+    """A column function from a loader of a model: what it returns turns a list of texts into vectors.
+
+    A model is loaded once a worker process, when its first batch comes, and called with `batch` texts at most, each
+    distinct text of an Arrow batch once. A null text is an empty one.
+    """
+    name = uuid.uuid4().hex
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(embed([t or "" for t in texts]))
+        texts = texts.fillna("")
+        distinct = texts.unique().tolist()
+        vectors: dict[str, list[float]] = {}
+        for at in range(0, len(distinct), batch):
+            part = distinct[at : at + batch]
+            vectors.update(zip(part, _loaded(name, load)(part), strict=True))
+        return texts.map(vectors.__getitem__)
 
     return run

@@ -116,7 +116,7 @@ def aggregate_score(matches: DataFrame, knocked: DataFrame | None = None, config
     if knocked is None:
         rows = rows.withColumn("passes", F.lit(True))
     else:
-        rows = rows.join(knocked.select(*by, "passes"), list(by), "left").withColumn("passes", F.coalesce("passes", F.lit(True)))
+        rows = rows.join(knocked.select(*by, "passes").hint("merge"), list(by), "left").withColumn("passes", F.coalesce("passes", F.lit(True)))
     parts = {"required_score": req, "preferred_score": pref, "placement_score": place, "recency_score": fresh, "ats_score": total}
     return rows.select(*by, *[F.when(F.col("passes"), one_place(v)).otherwise(F.lit(0.0)).alias(k) for k, v in parts.items()], "passes", "n_required", "m_required")
 

@@ -130,7 +130,7 @@ def structure_postings(postings: DataFrame) -> DataFrame:
     wide = by_section.groupBy("posting_id").pivot("section", [*SECTION_KEYS, "general"]).agg(F.first("lines"))
     empty = F.array().cast("array<string>")
     titled = clean.select("posting_id", extract_title(F.col("description")).alias("title"))
-    out = titled.join(wide, "posting_id", "left").withColumnRenamed("general", "other")
+    out = titled.join(wide.hint("merge"), "posting_id", "left").withColumnRenamed("general", "other")
     return out.select("posting_id", "title", *[F.coalesce(c, empty).alias(c) for c in (*SECTION_KEYS, "other")], F.lit("fallback").alias("method"))
 
 
@@ -177,7 +177,7 @@ def choose_structure(postings: DataFrame, primary: DataFrame, secondary: DataFra
         good = answers.join(texts, "posting_id").where(token_coverage(F.col("description"), said) >= threshold)
         return good.select("posting_id", F.struct(*fields).alias(name))
 
-    out = rules.join(covering(primary, "p"), "posting_id", "left").join(covering(secondary, "s"), "posting_id", "left")
+    out = rules.join(covering(primary, "p").hint("merge"), "posting_id", "left").join(covering(secondary, "s").hint("merge"), "posting_id", "left")
     chosen = F.coalesce("p", "s", F.struct(*fields))
     method = F.when(F.col("p").isNotNull(), "llm").when(F.col("s").isNotNull(), "llm-secondary").otherwise("fallback")
     return out.select("posting_id", *[chosen[c].alias(c) for c in fields], method.alias("method"))

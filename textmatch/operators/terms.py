@@ -76,8 +76,10 @@ def ngram_phrases(lines: DataFrame, n: int = 4, least: int = 2, key: str = "post
     """Phrases of one to n words that occur `least` times in a posting's lines, or hold a technical word: key, phrase, n.
 
     Lines are dealt to tasks by key, once; their phrases are counted there as 64-bit hashes, each with the line and place of
-    one occurrence, and written out as words only where they are kept.
+    one occurrence, and written out as words only where they are kept. n is below 1024.
     """
+    if not 0 < n < 1024:
+        raise ValueError("phrases of 1 to 1023 words")
     said = F.transform(F.filter(matches(F.col("line"), "[A-Za-z0-9_]+"), lambda w: (F.length(w) >= 4) & w.rlike(TECHNICAL_WORD)), lambda w: F.lower(w))
     rows = lines.select(key, F.xxhash64("line").alias("__line"), tokens(F.col("line")).alias("__t"), said.alias("__p")).repartition(key)
 
@@ -86,7 +88,7 @@ def ngram_phrases(lines: DataFrame, n: int = 4, least: int = 2, key: str = "post
 
         def gram(j: Column) -> Column:
             words = F.slice("__t", j, i)
-            return F.struct(F.xxhash64(words, F.lit(i)).alias("h"), (j * 16 + i).alias("at"), F.when(F.size("__p") > 0, F.arrays_overlap(words, F.col("__p"))).otherwise(False).alias("technical"))
+            return F.struct(F.xxhash64(words, F.lit(i)).alias("h"), (j.cast("long") * 1024 + i).alias("at"), F.when(F.size("__p") > 0, F.arrays_overlap(words, F.col("__p"))).otherwise(False).alias("technical"))
 
         return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), gram))
 
@@ -97,7 +99,7 @@ def ngram_phrases(lines: DataFrame, n: int = 4, least: int = 2, key: str = "post
     kept = counted.where((F.col("n") >= least) | F.col("__technical")).select(key, "n", "__w.__line", "__w.at")
     once = rows.select(key, "__line", "__t").dropDuplicates([key, "__line"])
     named = kept.join(once.hint("shuffle_hash"), [key, "__line"])
-    return named.select(key, F.array_join(F.slice("__t", F.shiftright("at", 4), F.col("at").bitwiseAND(F.lit(15))), " ").alias("phrase"), "n")
+    return named.select(key, F.array_join(F.slice("__t", F.shiftright("at", 10).cast("int"), F.col("at").bitwiseAND(F.lit(1023)).cast("int")), " ").alias("phrase"), "n")
 
 
 def dedup_subphrases(phrases: DataFrame, key: str = "posting_id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmatch.functions import text as X
+from textmatch.functions.embedding import hash_projection
 from textmatch.functions.joins import lookup_join, spread
 from textmatch.functions.vectors import dot, fit_score
 from textmatch.operators import blocks as B
@@ -634,12 +635,15 @@ def s10b_projected_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.projected_topk(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector"), e).select("query_id", "rank", "vec_id", "score")
 
 
-@query(f"WITH {V.BLOCKS_SQL} SELECT doc_id, pos, CAST(length(text) AS DOUBLE) AS chars, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS blanks, CASE WHEN text = '' THEN 0.0::DOUBLE ELSE CAST(unicode(text) % 97 AS DOUBLE) END AS first FROM blocks")
+@query(f"""WITH {V.BLOCKS_SQL}, texts AS (SELECT DISTINCT text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM blocks),
+    words AS (SELECT text, unnest(w) AS word FROM texts),
+    features AS (SELECT text, word AS f FROM words UNION ALL SELECT text, ('_' || word || '_')[i:i + 2] AS f FROM (SELECT text, word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    drawn AS (SELECT text, CAST('0x' || md5('p:' || f)[1 + 4 * k:4 + 4 * k] AS INTEGER) AS n FROM features, range(4) r(k)),
+    sums AS (SELECT text, n % 16 AS place, sum(1 - 2 * (n // 16 % 2)) AS v FROM drawn GROUP BY ALL),
+    vectors AS (SELECT text, list(coalesce(v, 0) ORDER BY place) AS v FROM (SELECT text, unnest(range(16)) AS place FROM texts) LEFT JOIN sums USING (text, place) GROUP BY text)
+    SELECT doc_id, pos, array_to_string(list_transform(v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ' ') AS vector FROM blocks JOIN vectors USING (text)""")
 def u1_embedder(spark: SparkSession, d: str) -> DataFrame:
-    """A callable in place of a model: it turns the lines of all documents into vectors, a batch a call."""
-    def embed(texts: list[str]) -> list[list[float]]:
-        return [[float(len(t)), float(t.count(" ")), float(ord(t[0]) % 97) if t else 0.0] for t in texts]
-
-    run = S.embedder(embed)
-    made = V.blocks(spark, d).select("doc_id", "pos", F.transform(run("text"), lambda x: x.cast("double")).alias("v"))
-    return made.select("doc_id", "pos", *[F.col("v")[i].alias(c) for i, c in enumerate(("chars", "blanks", "first"))])
+    """Lines of all documents as sums of hashed features, before they are scaled; the model is made once a worker."""
+    run = S.embedder(lambda: hash_projection(dims=16, unit=False))
+    made = V.blocks(spark, d).select("doc_id", "pos", F.transform(run("text"), lambda x: x.cast("long").cast("string")).alias("v"))
+    return made.select("doc_id", "pos", F.array_join("v", " ").alias("vector"))
