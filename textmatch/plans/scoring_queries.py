@@ -580,10 +580,14 @@ def v6_apply_edits(spark: SparkSession, d: str) -> DataFrame:
     return V10.apply_edits(blocks, accepted).select("doc_id", "block_id", "text")
 
 
-@query("SELECT p_partkey, CAST(len(regexp_extract_all(lower(p_type), 'steel|brass')) AS BIGINT) AS marked FROM part")
+@query(
+    "WITH s AS (SELECT p_partkey, list_filter(string_split(regexp_replace(p_type || ' steelbrass x', '(?i)(steel|brass)', chr(1) || chr(2) || '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS pieces FROM part)"
+    " SELECT p_partkey, array_to_string(list_transform(pieces, lambda x: CASE WHEN starts_with(x, chr(2)) THEN '[' || substr(x, 2) || ']' ELSE x END), '|') AS segments FROM s"
+)
 def v7_highlight_segments(spark: SparkSession, d: str) -> DataFrame:
-    parts = V10.highlight_segments(F.col("p_type"), ["steel", "BRASS"])
-    return V.table(spark, d, "part").select("p_partkey", F.size(F.filter(parts, lambda p: p["marked"])).cast("long").alias("marked"))
+    parts = V10.highlight_segments(F.concat("p_type", F.lit(" steelbrass x")), ["steel", "BRASS"])
+    shown = F.transform(parts, lambda p: F.when(p["marked"], F.concat(F.lit("["), p["text"], F.lit("]"))).otherwise(p["text"]))
+    return V.table(spark, d, "part").select("p_partkey", F.array_join(shown, "|").alias("segments"))
 
 
 @query(f"WITH {V.BLOCKS_SQL} SELECT doc_id, pos, CASE WHEN doc_id % 2 = 0 AND trim(text) = (SELECT trim(b.text) FROM blocks b WHERE b.doc_id = blocks.doc_id AND b.pos = 0) THEN 'replaced' ELSE text END AS text FROM blocks")

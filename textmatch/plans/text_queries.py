@@ -245,10 +245,26 @@ def e18_word_count(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", X.word_count(F.col("text")).alias("words"))
 
 
-@query("WITH t AS (SELECT page_id, regexp_extract_all(html, '(?is)<(h1|li)[^>]*>(.*?)</(?:h1|li)>', 2) AS a, regexp_extract_all(html, '(?is)<(h1|li)[^>]*>(.*?)</(?:h1|li)>', 1) AS t FROM pages), u AS (SELECT page_id, unnest(a) AS body, unnest(t) AS tag FROM t) SELECT page_id, CASE lower(tag) WHEN 'li' THEN 'bullet' ELSE 'h1' END AS block_type, count(*) AS n FROM u WHERE trim(regexp_replace(body, '<[^>]*>', '', 'g')) <> '' GROUP BY ALL")
+PLAIN = "regexp_replace(body, '<[^>]*>', '', 'g')"
+for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    PLAIN = f"replace({PLAIN}, '{_name}', '{_char}')"
+
+
+@query(f"""WITH pieces AS (SELECT page_id, unnest(string_split(html, '<')) AS piece, unnest(range(len(string_split(html, '<')))) AS i FROM pages),
+    marked AS (
+        SELECT *, sum(CAST(regexp_matches(piece, '(?i)^/?(?:h[1-6]|li|p|ul|ol|div|article|nav|footer|table)\\b') AS INTEGER)) OVER (PARTITION BY page_id ORDER BY i) AS g
+        FROM pieces WHERE i > 0),
+    parts AS (SELECT page_id, g, string_agg('<' || piece, '' ORDER BY i) AS s FROM marked GROUP BY page_id, g),
+    bodies AS (
+        SELECT page_id, g, lower(regexp_extract(s, '(?is)^<(h[1-3]|li|p)\\b[^>]*>', 1)) AS tag, regexp_replace(s, '(?is)^<(?:h[1-3]|li|p)\\b[^>]*>', '') AS body
+        FROM parts WHERE regexp_matches(s, '(?is)^<(?:h[1-3]|li|p)\\b[^>]*>')),
+    texts AS (SELECT page_id, g, tag, trim(regexp_replace({PLAIN}, '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM bodies),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY g) - 1 AS pos FROM texts WHERE text <> '')
+    SELECT page_id, CAST(pos AS INTEGER) AS pos, 'b' || CAST(pos AS VARCHAR) AS block_id, CASE tag WHEN 'li' THEN 'bullet' WHEN 'p' THEN 'paragraph' ELSE tag END AS block_type,
+        md5(text) AS text, tag IN ('li', 'p') AND length(text) > 15 AS is_editable
+    FROM kept""")
 def a3_read_blocks(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.read_blocks(V.table(spark, d, "pages"))
-    return rows.where("block_type in ('h1', 'bullet')").groupBy("page_id", "block_type").agg(F.count(F.lit(1)).alias("n"))
+    return B.read_blocks(V.table(spark, d, "pages")).withColumn("text", F.md5("text"))
 
 
 @query(f"WITH {V.BLOCKS_SQL}, r AS (SELECT doc_id, block_type AS section, text, row_number() OVER (PARTITION BY doc_id, block_type ORDER BY pos) AS place FROM blocks) SELECT doc_id, section, CAST(place AS INTEGER) AS place, substr(text, 1, 120) AS preview FROM r WHERE place <= 3")
