@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmatch.operators.substrings import substring_pairs
 from textmatch.schemas import STATUSES
 from textmatch.sources.storage import stored
 
@@ -132,9 +133,17 @@ def lookup_text(edits: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def containment_join(claims: DataFrame, reqs: DataFrame, on: Sequence[str], claim: str, req: str) -> DataFrame:
-    """Pairs inside a key where one string contains the other."""
-    joined = reqs.join(claims, list(on))
-    return joined.where(F.contains(claim, req) | F.contains(req, claim))
+    """Pairs inside a key where one string contains the other.
+
+    Distinct strings are paired by substring_pairs(), both ways, and rows are joined to what their strings were paired with.
+    """
+    on = list(on)
+    left, right = claims.select(*on, F.col(claim).alias("c")), reqs.select(*on, F.col(req).alias("r"))
+    inner = substring_pairs(right.withColumnRenamed("r", "needle"), left.withColumnRenamed("c", "haystack"), on).select(*on, F.col("haystack").alias("c"), F.col("needle").alias("r"))
+    outer = substring_pairs(left.withColumnRenamed("c", "needle"), right.withColumnRenamed("r", "haystack"), on).select(*on, F.col("needle").alias("c"), F.col("haystack").alias("r"))
+    pairs = stored(inner.unionByName(outer).distinct().select(*on, F.col("c").alias("__claim"), F.col("r").alias("__req")))
+    joined = reqs.withColumn("__req", F.col(req)).join(pairs.hint("merge"), [*on, "__req"])
+    return joined.join(claims.withColumn("__claim", F.col(claim)).hint("merge"), [*on, "__claim"]).drop("__claim", "__req")
 
 
 def prefer_required(required: DataFrame, preferred: DataFrame, name: str = "name") -> DataFrame:

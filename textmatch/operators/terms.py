@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textmatch.functions.joins import lookup_join
 from textmatch.functions.text import bounded_count, matches, normalise_term, protected_tokens, tokens
+from textmatch.operators.substrings import substring_pairs
 from textmatch.sources.storage import stored
 
 # Names of technologies and practices, grouped by kind; ends are lookarounds so that C++ and C# match.
@@ -246,11 +247,22 @@ def found_besides(found: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def contained_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Which of many terms each text contains, anywhere in its words: key, term. texts: key, text. terms: term.
+    """Which of many terms each text contains, in any case: key, term. texts: key, text. terms: term.
 
-    For terms without white space: each distinct word of all texts is tried once, against the terms that share four
-    characters with it (or all of a shorter term), instead of each term against each text.
+    A term without white space is tried against each distinct word of all texts once, if the word shares four characters
+    with it (or all of a shorter term), instead of each term against each text. One with blanks or tabs is looked up in
+    the distinct lines of all texts by its rarest run of characters. A term that holds a line end is found nowhere.
     """
+    spaced = F.col("term").rlike(r"\s")
+    lines = stored(texts.select(key, F.explode(F.array_distinct(F.split(F.lower("text"), "\n"))).alias("haystack")))
+    several = terms.where(spaced).select("term", F.lower("term").alias("needle"))
+    pairs = substring_pairs(several.select("needle"), lines.select("haystack"))
+    several = several.join(pairs.hint("shuffle_hash"), "needle").select("term", "haystack")
+    return _in_words(texts, terms.where(~spaced), key).unionByName(lines.join(several.hint("merge"), "haystack").select(key, "term").distinct())
+
+
+def _in_words(texts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """contained_terms() of terms without white space."""
     low = terms.select("term", F.lower("term").alias("__low")).where("__low <> ''").withColumn("__len", F.least(F.lit(4), F.length("__low")))
     lengths = sorted(r[0] for r in low.select("__len").distinct().collect())  # four rows at most
     words = stored(texts.select(key, F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("__word")))

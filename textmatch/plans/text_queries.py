@@ -444,9 +444,9 @@ def t12_term_present(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("present").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {V.TERMS_SQL} SELECT term, count(*) AS n FROM documents JOIN terms ON contains(lower(text), term) GROUP BY term")
+@query(f"WITH {V.TERMS_SQL} SELECT term, count(*) AS n FROM documents JOIN dictionary ON contains(lower(text), term) GROUP BY term")
 def t13_term_substring(spark: SparkSession, d: str) -> DataFrame:
-    held = T.contained_terms(_docs(spark, d).where("text is not null"), V.terms(spark, d).select("term"))
+    held = T.contained_terms(_docs(spark, d).where("text is not null"), V.dictionary(spark, d))
     return held.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
