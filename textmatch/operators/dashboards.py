@@ -7,6 +7,9 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textmatch.schemas import STATUSES
+from textmatch.sources.storage import stored
+
 
 def half_up(x: Column) -> Column:
     """Whole number nearest to a non-negative ratio, halves upwards."""
@@ -32,26 +35,39 @@ def headline_stats(postings: DataFrame) -> DataFrame:
 def daily_timeline(postings: DataFrame, as_of: datetime.date, days: int = 30) -> DataFrame:
     """Postings of each of the last days, zero-filled. The range filter reaches the scan."""
     first = as_of - datetime.timedelta(days=days - 1)
-    spark: SparkSession = postings.sparkSession
-    frame = spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(as_of))).alias("day"))
     counts = postings.where(F.to_date("created_at").between(first, as_of)).groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return _filled(counts, as_of, days)
+
+
+def _filled(counts: DataFrame, as_of: datetime.date, days: int) -> DataFrame:
+    """Counts (day, n) of each of the last days, zero where there is none."""
+    spark: SparkSession = counts.sparkSession
+    frame = spark.range(1).select(F.explode(F.sequence(F.lit(as_of - datetime.timedelta(days=days - 1)), F.lit(as_of))).alias("day"))
     return F.broadcast(frame).join(counts.hint("merge"), "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("count"))
 
 
 #: Lower bounds of score bins, best first; scores below all of them, or none, go to the last bin.
 BINS = ((90, "90+"), (80, "80s"), (70, "70s"), (60, "60s"))
 LAST_BIN = "<60"
+BIN_NAMES = [name for _, name in BINS] + [LAST_BIN]
 
 
-def score_histogram(postings: DataFrame) -> DataFrame:
-    """Counts in five score bins and their share of the largest; empty bins are there."""
+def _bin(score: Column) -> Column:
     label = F.lit(LAST_BIN)
     for low, name in reversed(BINS):
-        label = F.when(F.col("match_score") >= low, name).otherwise(label)
-    names = [name for _, name in BINS] + [LAST_BIN]
-    row = postings.agg(*[F.count_if(label == name).alias(name) for name in names])
-    bins = F.array(*[F.struct(F.lit(name).alias("bin"), F.col(f"`{name}`").alias("count")) for name in names])
-    largest = F.greatest(*[F.col(f"`{name}`") for name in names])
+        label = F.when(score >= low, name).otherwise(label)
+    return label
+
+
+def score_histogram(postings: DataFrame) -> DataFrame:
+    """Counts in five score bins and their share of the largest; empty bins are there."""
+    return _histogram(postings.agg(*[F.count_if(_bin(F.col("match_score")) == name).alias(name) for name in BIN_NAMES]))
+
+
+def _histogram(row: DataFrame) -> DataFrame:
+    """Bins from one row with a column for each."""
+    bins = F.array(*[F.struct(F.lit(name).alias("bin"), F.col(f"`{name}`").alias("count")) for name in BIN_NAMES])
+    largest = F.greatest(*[F.col(f"`{name}`") for name in BIN_NAMES])
     return row.select(largest.alias("m"), F.explode(bins).alias("b")).select("b.bin", "b.count", percent(F.col("b.count"), F.col("m")).alias("pct"))
 
 
@@ -70,19 +86,20 @@ def top_keywords(keywords: DataFrame, n: int = 10) -> DataFrame:
 
 def status_breakdown(postings: DataFrame) -> DataFrame:
     """Counts of all five statuses in one row, zero-filled."""
-    return postings.agg(*[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("Pending", "Tailoring", "Tailored", "Applied", "Skipped")])
+    return postings.agg(*[F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES])
 
 
 def conversion_rates(postings: DataFrame) -> DataFrame:
     """Four whole percentages of the funnel, 0 where nothing could convert."""
-    counts = postings.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "Tailored").alias("t"),
-        F.count_if(F.col("status") == "Applied").alias("a"), F.count_if(F.col("status") == "Skipped").alias("s"),
-    )
-    c = F.col
+    return _rates(postings.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("Tailored", "Applied", "Skipped")]))
+
+
+def _rates(counts: DataFrame) -> DataFrame:
+    """Rates from one row: total, tailored, applied, skipped."""
+    total, applied, skipped, prepared = F.col("total"), F.col("applied"), F.col("skipped"), F.col("tailored") + F.col("applied")
     return counts.select(
-        percent(c("t") + c("a"), c("total")).alias("prepared_rate"), percent(c("a"), c("t") + c("a")).alias("apply_rate"),
-        percent(c("a"), c("total")).alias("overall_rate"), percent(c("s"), c("total")).alias("skip_rate"),
+        percent(prepared, total).alias("prepared_rate"), percent(applied, prepared).alias("apply_rate"),
+        percent(applied, total).alias("overall_rate"), percent(skipped, total).alias("skip_rate"),
     )
 
 
@@ -107,8 +124,24 @@ def bar_heights(counts: DataFrame, least: int = 4) -> DataFrame:
     return counts.withColumn("height", F.when(F.col("count") > 0, F.greatest(height, F.lit(least))).otherwise(F.lit(0)).cast("long"))
 
 
-def summary(postings: DataFrame, keywords: DataFrame, as_of: datetime.date) -> DataFrame:
-    """All dashboard parts as one nested row. Each part is an aggregate of bounded size."""
+def _counted(postings: DataFrame, as_of: datetime.date, days: int) -> DataFrame:
+    """All counts that the summary needs, in one pass: by company, and by day of the range (null for all other days).
+
+    `of` says which; a row a company and a row a day, stored, as every part of the summary reads it. Rows by day add up to
+    those over everything.
+    """
+    day, first = F.to_date("created_at"), as_of - datetime.timedelta(days=days - 1)
+    positive, bins = F.col("match_score") > 0, _bin(F.col("match_score"))
+    rows = postings.select("match_score", "status", F.when(F.trim("company") != "", F.col("company")).alias("company"), F.when(day.between(first, as_of), day).alias("day"))
+    grouped = rows.groupingSets([["company"], ["day"]], "company", "day").agg(
+        F.grouping_id().alias("id"), F.count(F.lit(1)).alias("n"), F.count_if(positive).alias("positives"), F.sum(F.when(positive, F.col("match_score"))).alias("points"),
+        *[F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES], *[F.count_if(bins == name).alias(name) for name in BIN_NAMES],
+    )
+    return stored(grouped.withColumn("of", F.when(F.col("id") == 1, "company").otherwise("day")).drop("id"))
+
+
+def summary(postings: DataFrame, keywords: DataFrame, as_of: datetime.date, days: int = 30) -> DataFrame:
+    """All dashboard parts as one nested row. Postings are read once; each part is made from their counts, and has a bounded size."""
 
     def rows(df: DataFrame, name: str, order: list[str]) -> DataFrame:
         fields = F.struct(*order, *[c for c in df.columns if c not in order])
@@ -117,10 +150,18 @@ def summary(postings: DataFrame, keywords: DataFrame, as_of: datetime.date) -> D
     def one(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.struct(*df.columns).alias(name))
 
+    counts, c = _counted(postings, as_of, days), F.col
+    sums = ["n", "positives", "points", *[s.lower() for s in STATUSES], *BIN_NAMES]
+    every = counts.where("of = 'day'").agg(*[F.coalesce(F.sum(f"`{x}`"), F.lit(0)).alias(x) for x in sums])
+    stats = every.select(
+        c("n").alias("total"), F.coalesce(half_up(c("points") / F.nullif("positives", F.lit(0))), F.lit(0)).alias("avg_match"), (c("tailored") + c("applied")).alias("tailored"), "applied",
+    )
+    by_day = counts.where("of = 'day' and day is not null").select("day", "n")
+    companies = counts.where("of = 'company' and company is not null").select("company", c("n").alias("count")).orderBy(F.desc("count"), "company").limit(8)
     parts = [
-        one(headline_stats(postings), "stats"), rows(daily_timeline(postings, as_of), "timeline", ["day"]), rows(score_histogram(postings), "histogram", ["bin"]),
-        rows(top_companies(postings), "companies", ["company"]), rows(top_keywords(keywords), "keywords", ["name"]),
-        one(status_breakdown(postings), "statuses"), one(conversion_rates(postings), "rates"),
+        one(stats, "stats"), rows(_filled(by_day, as_of, days), "timeline", ["day"]), rows(_histogram(every), "histogram", ["bin"]),
+        rows(companies, "companies", ["company"]), rows(top_keywords(keywords), "keywords", ["name"]),
+        one(every.select(*[s.lower() for s in STATUSES]), "statuses"), one(_rates(every.withColumnRenamed("n", "total")), "rates"),
     ]
     out = parts[0]
     for part in parts[1:]:
