@@ -92,3 +92,19 @@ def test_terms_inside_words(spark):
 def test_any_number_of_profiles_is_paired(spark):
     pairs = P.pair_postings_profiles(spark.range(3).withColumnRenamed("id", "posting_id"), spark.range(1001).withColumnRenamed("id", "profile_id"), block=100)
     assert pairs.distinct().count() == pairs.count() == 3 * 1001
+
+
+def test_phrases_of_sixteen_words(spark):
+    from textmatch.operators import terms as T
+
+    words = " ".join(f"w{i}" for i in range(20))
+    lines = spark.createDataFrame([(1, words), (1, words + " more")], "posting_id long, line string")
+    got = {r["phrase"]: r["n"] for r in T.ngram_phrases(lines, n=16).collect()}
+    assert got[" ".join(f"w{i}" for i in range(16))] == 2 and "" not in got
+    assert sorted(got) == sorted(" ".join(f"w{i}" for i in range(a, a + n)) for n in range(1, 17) for a in range(21 - n))
+    for n in (0, 1024):
+        try:
+            T.ngram_phrases(lines, n=n)
+        except ValueError:
+            continue
+        raise AssertionError(n)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from textmatch.functions import text as X
 from textmatch.functions.embedding import hash_projection
 from textmatch.functions.joins import lookup_join, spread
-from textmatch.functions.vectors import dot, fit_score
 from textmatch.operators import blocks as B
 from textmatch.operators import inverted as I
 from textmatch.operators import projection as R
