@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import re
 import uuid
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -42,17 +45,36 @@ def rescore(postings: DataFrame, profiles: DataFrame, on: list[str]) -> DataFram
     return fresh.withColumn("match_score", F.coalesce("match_score", "__old")).drop("__old")
 
 
-def lexical_candidates(terms: DataFrame, phrases: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(term, phrase) pairs that share a token or a crude stem: an equi-join on both, no pair is tried in vain.
+def _keys(df: DataFrame, text: str, *kept: str) -> DataFrame:
+    """The kept columns, and the distinct tokens and crude stems of a text (__k); its tokens are made once."""
+    rows = df.select(*kept, tokens(F.col(text)).alias("__t"))
+    return rows.select(*kept, F.array_distinct(F.concat("__t", F.transform("__t", crude_stem))).alias("__k"))
+
+
+def _gathered(queries: DataFrame, phrases: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """A row for each value of by that has both: by.., __q (array of its queries), __lines (its distinct phrases).
 
-    by: columns of both sides that a pair must share, such as a document's id.
+    Phrases move once; what is made from the rows stays where they are. Null phrases are left out.
     """
+    asked = queries.groupBy(*by).agg(F.collect_list("__q").alias("__q"))
+    held = phrases.where("phrase is not null").groupBy(*by).agg(F.collect_set("phrase").alias("__lines"))
+    return held.join(asked.hint("shuffle_hash"), list(by))
 
-    def keys(df: DataFrame, c: str) -> DataFrame:
-        found = tokens(F.col(c))
-        return df.select(*by, c, F.explode(F.array_distinct(F.concat(found, F.transform(found, crude_stem)))).alias("key"))
 
-    return keys(terms, "term").join(keys(phrases, "phrase").hint("shuffle_hash"), [*by, "key"]).select(*by, "term", "phrase").distinct()
+def lexical_candidates(terms: DataFrame, phrases: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct (term, phrase) pairs that share a token or a crude stem.
+
+    by: columns of both sides that a pair must share, such as a document's id; the phrases of each value are a row then,
+    and each phrase is held against the terms of its row. Without by it is an equi-join on tokens and stems.
+    """
+    if not by:
+        left, right = (_keys(df, c, c).select(c, F.explode("__k").alias("key")) for df, c in ((terms, "term"), (phrases, "phrase")))
+        return left.join(right.hint("shuffle_hash"), "key").select("term", "phrase").distinct()
+    asked = _keys(terms.select(*by, "term").distinct(), "term", *by, "term").select(*by, F.struct("term", "__k").alias("__q"))
+    lines = _gathered(asked, phrases, by).select(*by, "__q", F.explode_outer("__lines").alias("phrase"))
+    met = F.filter("__q", lambda q: F.arrays_overlap(q["__k"], F.col("__k")))
+    hits = _keys(lines, "phrase", *by, "__q", "phrase").select(*by, "phrase", F.explode_outer(met).alias("__hit")).where("__hit is not null")
+    return hits.select(*by, "__hit.term", "phrase")
 
 
 def bm25(queries: DataFrame, phrases: DataFrame, config: RetrievalConfig = RetrievalConfig(), by: tuple[str, ...] = ()) -> DataFrame:
@@ -84,10 +106,53 @@ def bm25(queries: DataFrame, phrases: DataFrame, config: RetrievalConfig = Retri
     return scored.join(numbered.select("__p", "phrase").hint("merge"), "__p").drop("__p")
 
 
+def _best_phrases(lines: list[str], asked: list[str], config: RetrievalConfig) -> Iterator[tuple[str, str, float, int]]:
+    """bm25_topk() of one small collection: query, phrase, score, rank."""
+    words = [re.findall("[a-z0-9]+", line.lower()) for line in lines]
+    distinct, average = [set(w) for w in words], sum(map(len, words)) / len(words)
+    df = Counter(t for w in distinct for t in w)
+    raw = {f: math.log(len(lines) - f + 0.5) - math.log(f + 0.5) for f in set(df.values())}
+    mean = sum(raw[f] * n for f, n in Counter(df.values()).items()) / max(1, len(df))
+    wanted = {q: Counter(re.findall("[a-z0-9]+", q.lower())) for q in asked}
+    parts: dict[str, dict[int, float]] = {t: {} for tokens_of in wanted.values() for t in tokens_of if t in df}
+    for i, w in enumerate(words):
+        for t in distinct[i] & parts.keys():
+            idf, tf = raw[df[t]], w.count(t)
+            idf = config.idf_floor * mean if idf < 0 else idf
+            parts[t][i] = idf * tf * (config.k1 + 1) / (tf + config.k1 * (1 - config.b + config.b * len(w) / average))
+    for query, copies in Counter(asked).items():
+        scores: dict[int, float] = {}
+        for t, times in wanted[query].items():
+            for i, part in parts.get(t, {}).items():
+                scores[i] = scores.get(i, 0.0) + copies * times * part
+        best = sorted((-round(x, 9), lines[i]) for i, x in scores.items() if round(x, 9) > 0)[: config.top_k]
+        yield from ((query, phrase, -x, rank) for rank, (x, phrase) in enumerate(best, 1))
+
+
+def _bm25_topk_by(queries: DataFrame, phrases: DataFrame, config: RetrievalConfig, by: tuple[str, ...]) -> DataFrame:
+    """bm25_topk() of many collections, each of which is a row; only the best leave its task."""
+    rows = _gathered(queries.select(*by, F.col("query").alias("__q")), phrases.select(*by, "phrase"), by)
+    result = T.StructType([*[rows.schema[c] for c in by], *T.StructType.fromDDL("query string, phrase string, score double, rank int").fields])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [(at, *best) for at, (lines, asked) in enumerate(zip(batch["__lines"], batch["__q"], strict=True)) for best in _best_phrases(list(lines), list(asked), config)]
+            best = pd.DataFrame(made, columns=["__at", "query", "phrase", "score", "rank"])
+            yield pd.concat([batch[list(by)].iloc[best["__at"].astype(int)].reset_index(drop=True), best.drop(columns="__at")], axis=1)
+
+    return rows.mapInPandas(run, result)
+
+
 def bm25_topk(queries: DataFrame, phrases: DataFrame, config: RetrievalConfig = RetrievalConfig(), by: tuple[str, ...] = ()) -> DataFrame:
-    """Best top_k phrases with a positive score for each query; ties by phrase. Scores are rounded to nine places first."""
-    scored = bm25(queries, phrases, config, by).withColumn("score", F.round("score", 9)).where("score > 0")
-    order = Window.partitionBy(*by, "query").orderBy(F.desc("score"), "phrase")
+    """Best top_k phrases with a positive score for each query; ties by phrase. Scores are rounded to nine places first.
+
+    by: as in bm25(); equal phrases of a collection count once there, and a collection has to fit a row, as the lines of a
+    document do. One large collection, without by, is joined by tokens.
+    """
+    if by:
+        return _bm25_topk_by(queries, phrases, config, by)
+    scored = bm25(queries, phrases, config).withColumn("score", F.round("score", 9)).where("score > 0")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "phrase")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.top_k)
 
 

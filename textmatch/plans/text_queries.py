@@ -552,7 +552,7 @@ def _bm25_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sentences = V.table(spark, d, "benchmark").select(F.col("item_id").alias("posting_id"), F.explode(F.split("text", "[.\n]")).alias("query"))
     sentences = stored(sentences.select("posting_id", F.trim("query").alias("query")).where(F.size(X.tokens(F.col("query"))) > 0).distinct())
     queries = lookup_join(V.pairs(spark, d), sentences, ["posting_id"], salt="doc_id").select("doc_id", "query")
-    return queries, V.blocks(spark, d).select("doc_id", F.col("text").alias("phrase")).distinct()
+    return queries, V.blocks(spark, d).select("doc_id", F.col("text").alias("phrase"))
 
 
 DOC = ("doc_id",)
