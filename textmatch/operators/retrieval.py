@@ -9,13 +9,15 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textmatch.functions.joins import lookup_join
 from textmatch.functions.text import crude_stem, tokens
-from textmatch.functions.vectors import cosine, dot, fit_score
+from textmatch.functions.vectors import cosine, fit_score
 from textmatch.sources.storage import stored
 
 
@@ -170,15 +172,20 @@ def cap_pairs(candidates: DataFrame, on: str, cap: int = 500) -> DataFrame:
 def semantic_match(candidates: DataFrame, vectors: DataFrame, config: RetrievalConfig = RetrievalConfig(), by: tuple[str, ...] = ()) -> DataFrame:
     """Best phrase of each query's shortlist by cosine, matched from the threshold on.
 
-    candidates: by.., query, phrase, rank, is_required. vectors: text, vector. Required terms get no credit, others
-    credit times similarity, credit at most. Ties go to the better shortlist rank.
+    candidates: by.., query, phrase, rank, is_required; stored already, as they are read twice. vectors: text_key (xxhash64
+    of a text), vector. Required terms get no credit, others credit times similarity, credit at most. Ties go to the better
+    shortlist rank. Only the texts of the best phrases meet their rows again, vectors travel with keys.
     """
-    a, b = vectors.select(F.col("text").alias("query"), F.col("vector").alias("qv")), vectors.select(F.col("text").alias("phrase"), F.col("vector").alias("pv"))
-    scored = candidates.join(a.hint("merge"), "query").join(b.hint("merge"), "phrase").withColumn("sim", F.round(cosine(F.col("qv"), F.col("pv")), 6))
-    best = scored.groupBy(*by, "query", "is_required").agg(F.max(F.struct("sim", (-F.col("rank")).alias("r"), "phrase")).alias("m"))
-    hit = F.col("m.sim") >= config.threshold
-    credit = F.when(F.col("is_required") | ~hit, F.lit(0.0)).otherwise(F.least(F.lit(config.credit), F.round(config.credit * F.col("m.sim"), 6)))
-    return best.select(*by, "query", "is_required", F.col("m.phrase").alias("phrase"), F.col("m.sim").alias("similarity"), hit.alias("matched"), credit.alias("credit"))
+    vectors = vectors.where("text_key is not null and vector is not null")
+    a, b = vectors.select(F.col("text_key").alias("__a"), F.col("vector").alias("qv")), vectors.select(F.col("text_key").alias("__b"), F.col("vector").alias("pv"))
+    asked = stored(candidates.select(F.xxhash64("query").alias("__a")).distinct().join(a.hint("shuffle_hash"), "__a"))
+    keyed = candidates.select(*by, F.xxhash64("query").alias("__a"), F.xxhash64("phrase").alias("__b"), "rank")
+    scored = lookup_join(keyed.join(b.hint("merge"), "__b"), asked, ["__a"], salt="__b").select(*by, "__a", "rank", F.round(cosine(F.col("qv"), F.col("pv")), 6).alias("sim"))
+    best = scored.groupBy(*by, "__a").agg(F.max(F.struct("sim", (-F.col("rank")).alias("r"))).alias("m")).select(*by, "__a", "m.sim", (-F.col("m.r")).alias("rank"))
+    named = candidates.withColumn("__a", F.xxhash64("query")).join(best.hint("shuffle_hash"), [*by, "__a", "rank"])
+    hit = F.col("sim") >= config.threshold
+    credit = F.when(F.col("is_required") | ~hit, F.lit(0.0)).otherwise(F.least(F.lit(config.credit), F.round(config.credit * F.col("sim"), 6)))
+    return named.select(*by, "query", "is_required", "phrase", F.col("sim").alias("similarity"), hit.alias("matched"), credit.alias("credit"))
 
 
 def embedding_calls(candidates: DataFrame) -> DataFrame:
@@ -187,32 +194,59 @@ def embedding_calls(candidates: DataFrame) -> DataFrame:
     return both.agg(F.countDistinct("s").alias("calls"))
 
 
+def _nearest(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The k best vectors of a block for each query of another block, from one matrix product; ties by vec_id, those
+    without a score (known is false) last."""
+
+    def stacked(vectors: pd.Series, whole: np.ndarray) -> np.ndarray:
+        width = len(vectors[whole].iloc[0]) if whole.any() else 1
+        return np.stack([v if fits else np.zeros(width) for v, fits in zip(vectors, whole, strict=True)]).astype(np.float64)
+
+    def nearest(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or held.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "known": np.zeros(0, bool)})
+        held = held.sort_values("vec_id", kind="stable")
+        ids, has, asks = held["vec_id"].to_numpy(), held["whole"].to_numpy(), asked["whole"].to_numpy()
+        left, right = stacked(asked["qv"], asks), stacked(held["vector"], has)
+        scores = np.round(left @ right.T, 6) if asks.any() and has.any() else np.zeros((len(left), len(right)))
+        found = []
+        for query, fits, row in zip(asked["query_id"], asks, scores, strict=True):
+            at, known = np.flatnonzero(ids != query), has & fits
+            order = np.where(known, np.where(np.isnan(row), -np.inf, -row), np.inf)  # as Spark sorts them
+            if len(at) > k:
+                at = at[order[at] <= np.partition(order[at], k - 1)[k - 1]]  # with ties
+            at = at[np.argsort(order[at], kind="stable")][:k]
+            found.append(pd.DataFrame({"query_id": query, "vec_id": ids[at], "score": row[at], "known": known[at]}))
+        return pd.concat(found)
+
+    return nearest
+
+
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
     """Exact k best corpus rows (vec_id, vector) for each query row (query_id, vector) by inner product; ties by vec_id.
 
-    Both sides are dealt to hashed blocks of about `block` rows, and every block of one meets every block of the other.
-    A corpus block is one array, from which each query takes its k best at once, so that no row is made for a pair.
+    Both sides are dealt to hashed blocks of about `block` rows, and every block of one meets every block of the other in
+    one matrix product, from which each query takes its k best, so that no row is made for a pair. The work is the
+    product of both sides' rows. A vector that is null or holds a null has no score and comes last.
     """
 
     def blocks(df: DataFrame) -> int:
         return max(1, -(-df.count() // block))
 
-    asked = queries.where(F.col("query_id").isNotNull()).select("query_id", F.col("vector").alias("qv"))
-    held = corpus.where(F.col("vec_id").isNotNull()).select("vec_id", "vector")
-    nq, nv = blocks(asked), blocks(held)
-
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    packed = held.groupBy(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(nv)).cast("int").alias("vb")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("vs"))
-    asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id", "qv"), F.lit(nq)).cast("int")).withColumn("vb", every(nv))
-    met = asked.join(packed.withColumn("qb", every(nq)).hint("merge"), ["qb", "vb"])
-    others = F.filter("vs", lambda v: v["vec_id"] != F.col("query_id"))
-    scored = F.transform(others, lambda v: F.struct(F.round(dot(F.col("qv"), v["vector"]), 6).alias("score"), F.bitwise_not(v["vec_id"]).alias("turned")))
-    best = met.select("query_id", F.explode(F.slice(F.sort_array(scored, asc=False), 1, k)).alias("b"))  # turned: smaller vec_ids first
-    pairs = best.select("query_id", F.bitwise_not("b.turned").alias("vec_id"), "b.score")
+    def dealt(df: DataFrame, key: str, n: int, own: str, others: int, other: str) -> DataFrame:
+        rows = df.where(F.col(key).isNotNull()).select(key, "vector", F.coalesce(~F.exists("vector", lambda x: x.isNull()), F.lit(False)).alias("whole"))
+        return rows.withColumn(own, F.pmod(F.xxhash64(key, "vector"), F.lit(n)).cast("int")).withColumn(other, every(others))
+
+    nq, nv = blocks(queries), blocks(corpus)
+    asked, held = dealt(queries, "query_id", nq, "qb", nv, "vb").withColumnRenamed("vector", "qv"), dealt(corpus, "vec_id", nv, "vb", nq, "qb")
+    result = T.StructType([queries.schema["query_id"], corpus.schema["vec_id"], *T.StructType.fromDDL("score double, known boolean").fields])
+    best = asked.groupBy("qb", "vb").cogroup(held.groupBy("qb", "vb")).applyInPandas(_nearest(k), result)
+    best = best.select("query_id", "vec_id", F.when(F.col("known"), F.coalesce("score", F.lit(float("nan")))).alias("score"))  # pandas has nulls for NaN
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 _MODELS: dict[str, Callable[[list[str]], list[list[float]]]] = {}

@@ -609,7 +609,8 @@ def _hashed(spark: SparkSession, d: str, strings: DataFrame) -> DataFrame:
     e = V.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     n = max(1, e.count())
     number = F.length("text") * 31 + F.ascii("text")
-    return lookup_join(strings.withColumn("vec_id", (number % n).cast("long")), stored(e), ["vec_id"], salt="text").select("text", "vector")
+    named = strings.select(F.xxhash64("text").alias("text_key"), (number % n).cast("long").alias("vec_id")).distinct()
+    return lookup_join(named, stored(e), ["vec_id"], salt="text_key").select("text_key", "vector")
 
 
 def _shortlist(spark: SparkSession, d: str) -> DataFrame:
@@ -622,7 +623,7 @@ def _shortlist(spark: SparkSession, d: str) -> DataFrame:
        "SELECT doc_id, query, length(query) % 2 = 0 AS is_required, md5(phrase) AS phrase, sim AS similarity, sim >= 0.2 AS matched, CASE WHEN length(query) % 2 = 0 OR sim < 0.2 THEN 0.0::DOUBLE ELSE least(0.65::DOUBLE, round(0.65::DOUBLE * sim, 6)) END AS credit FROM r WHERE k = 1")
 def s7_semantic_match(spark: SparkSession, d: str) -> DataFrame:
     short = stored(_shortlist(spark, d))
-    strings = short.select(F.col("query").alias("text")).unionByName(short.select(F.col("phrase").alias("text"))).distinct()
+    strings = short.select(F.col("query").alias("text")).unionByName(short.select(F.col("phrase").alias("text")))
     return S.semantic_match(short, _hashed(spark, d, strings), S.RetrievalConfig(threshold=0.2), DOC).withColumn("phrase", F.md5("phrase"))
 
 
