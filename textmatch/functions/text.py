@@ -12,6 +12,12 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), group), F.array().cast("array<string>"))
 
 
+def each(items: Column) -> Column:
+    """A row for each item of an array that is costly to make, and one with null for an empty array, to be left out by what
+    follows. With explode() Spark makes the array twice more, to filter empty ones out first."""
+    return F.explode_outer(items)
+
+
 def normalise_text(text: Column) -> Column:
     """Typographic quotes, dashes, blanks and ligatures to ASCII; runs of blanks to one, of newlines to two; trimmed."""
     out = F.translate(text, "‘’“”–—   ​", "''\"\"--    ")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmatch.functions.joins import lookup_join
-from textmatch.functions.text import bounded_count, matches, normalise_term, protected_tokens, tokens
+from textmatch.functions.text import bounded_count, each, matches, normalise_term, protected_tokens, tokens
 from textmatch.operators.substrings import substring_pairs
 from textmatch.sources.storage import stored
 
@@ -69,8 +69,11 @@ def skill_whitelist(versions: DataFrame) -> DataFrame:
 
 def ngrams(words: Column, n: int) -> Column:
     """All runs of n words, joined by blanks, in order."""
+    if n == 1:
+        return words
     last = F.size(words) - (n - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    run = (lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)])) if n <= 8 else (lambda i: F.array_join(F.slice(words, i + 1, n), " "))
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), last) - 1), run)).otherwise(F.array().cast("array<string>"))
 
 
 def ngram_phrases(lines: DataFrame, n: int = 4, least: int = 2, key: str = "posting_id") -> DataFrame:
@@ -215,25 +218,36 @@ def term_variants(terms: DataFrame, abbreviations: DataFrame) -> DataFrame:
     return made.unionByName(named).distinct()
 
 
-def find_terms(variants: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Where each term occurs: doc_id, term, matched_variant, sections_found, last_year.
+def find_terms(variants: DataFrame, blocks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Where each term occurs: by.., doc_id, term, matched_variant, sections_found, last_year.
 
     Texts become runs of words, of those lengths that occur among the variants, and are joined to the
     variants by equality: no term is tried on a text that lacks it. Hyphens and other marks part words on both sides, so
     spellings that differ in them meet. blocks: doc_id, pos, text, section, recency_year. The first match is the
-    earliest block's, then the first in alphabetical order.
+    earliest block's, then the first in alphabetical order. by: columns of both sides that a match must share, for
+    terms that are looked for in some documents only.
+
+    Blocks are dealt to tasks by doc_id, so that all matches of a document are counted where its texts are.
     """
-    keyed = variants.withColumn("__g", F.array_join(tokens(F.col("variant")), " ")).where("__g <> ''").select("__g", "term", "variant")
-    keyed = stored(keyed)
+    order = Window.partitionBy(*by, "term").orderBy("variant")
+    keyed = variants.withColumn("__g", F.array_join(tokens(F.col("variant")), " ")).where("__g <> ''").withColumn("__v", F.rank().over(order).cast("long"))
+    spelled = stored(keyed.select(*by, "term", "__v", "variant").distinct())
+    keyed = stored(keyed.groupBy(*by, "__g", "term").agg(F.min("__v").alias("__v")))
     lengths = sorted(r[0] for r in keyed.select(F.size(F.split("__g", " "))).distinct().collect())  # a row a length
-    words = blocks.withColumn("__t", tokens(F.col("text")))
+    kept = [*by, "doc_id", "pos", "section", "recency_year"]
+    words = blocks.select(*kept, "text").repartition("doc_id").select(*kept, tokens(F.col("text")).alias("__t"))
     grams = F.array_distinct(F.flatten(F.array(*[ngrams(F.col("__t"), i) for i in lengths or [1]])))
-    hits = lookup_join(words.select("doc_id", "pos", "section", "recency_year", F.explode(grams).alias("__g")), keyed, ["__g"], salt="doc_id")
-    return hits.groupBy("doc_id", "term").agg(
-        F.min(F.struct("pos", "variant"))["variant"].alias("matched_variant"),
+    hits = lookup_join(words.select(*kept, each(grams).alias("__g")), keyed, [*by, "__g"], salt="doc_id")
+    # The first match as one number: the block's place, then the variant's among those of its term.
+    first = F.shiftleft(F.col("pos").cast("long"), 24) + F.col("__v")
+    parts = hits.groupBy(*by, "doc_id", "term", "section").agg(F.min(first).alias("__first"), F.max("recency_year").alias("last_year"))
+    found = parts.groupBy(*by, "doc_id", "term").agg(
+        F.min("__first").bitwiseAND(F.lit((1 << 24) - 1)).alias("__v"),
         F.sort_array(F.collect_set("section")).alias("sections_found"),
-        F.max("recency_year").alias("last_year"),
+        F.max("last_year").alias("last_year"),
     )
+    named = lookup_join(found, spelled, [*by, "term", "__v"], salt="doc_id")
+    return named.select(*by, "doc_id", "term", F.col("variant").alias("matched_variant"), "sections_found", "last_year")
 
 
 def found_besides(found: DataFrame, more: DataFrame) -> DataFrame:

@@ -98,10 +98,14 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms(spark, sf_dir).select("term").unionByName(phrases(spark, sf_dir))
 
 
+def posting_of(spark: SparkSession, sf_dir: str) -> Column:
+    """The posting that a document's number deals it to."""
+    return F.col("doc_id") % max(1, table(spark, sf_dir, "benchmark").count())
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the posting its number deals it to."""
-    n = max(1, table(spark, sf_dir, "benchmark").count())
-    return table(spark, sf_dir, "documents").where("text is not null").select((F.col("doc_id") % n).alias("posting_id"), "doc_id")
+    return table(spark, sf_dir, "documents").where("text is not null").select(posting_of(spark, sf_dir).alias("posting_id"), "doc_id")
 
 
 TERMS_SQL = """bench_words AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
