@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmatch.functions.joins import lookup_join
+from textmatch.functions.joins import fits_broadcast, lookup_join
 from textmatch.functions.text import bounded_count, each, matches, normalise_term, protected_tokens, tokens
 from textmatch.operators.substrings import substring_pairs
 from textmatch.sources.storage import stored
@@ -125,20 +125,34 @@ def extract_phrases(lines: DataFrame, stop_words: tuple[str, ...], allowed: Data
     strings) to take instead. allowed: a table of single words (term), joined, not collected.
     """
     stops = F.array(*[F.lit(w) for w in stop_words])
-    lines = lines.withColumn("__t", tokens(F.col("line")))
-    words = F.col("__t")
-
-    def runs(i: int) -> Column:
-        last = F.size(words) - (i - 1)
-        fits = lambda j: ~F.array_contains(stops, words[j - 1]) & ~F.array_contains(stops, words[j + i - 2])
-        return F.when(last >= 1, F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), fits), lambda j: F.array_join(F.slice(words, j, i), " ")))
-
-    made = F.col(chunks) if chunks else F.flatten(F.filter(F.array(*[runs(i) for i in range(2, n + 1)]), lambda x: x.isNotNull()))
-    several = F.concat(protected_tokens(F.col("line")), F.filter(F.coalesce(made, F.array().cast("array<string>")), lambda c: F.size(F.split(c, " ")) <= n))
-    phrases = lines.select(key, F.explode(F.array_distinct(several)).alias("phrase"))
-    single = lines.select(key, F.explode(F.array_distinct(words)).alias("phrase"))
-    single = lookup_join(single, stored(allowed.select(F.col("term").alias("phrase")).distinct()), ["phrase"], "left_semi", salt=key)
-    return phrases.unionByName(single).where(F.length("phrase") >= 4).distinct()
+    none = F.array().cast("array<string>")
+    said = F.filter(F.coalesce(F.col(chunks), none), lambda c: F.size(F.split(c, " ")) <= n) if chunks else none
+    # The lines of a key are one row, so that its phrases are told apart there and none is moved.
+    rows = lines.groupBy(key).agg(F.collect_list(F.struct("line", said.alias("said"))).alias("__lines"))
+    cut = F.transform("__lines", lambda x: F.struct(x["line"].alias("line"), x["said"].alias("said"), tokens(x["line"]).alias("t")))
+    # A word's place among those of its line, or 0 for a stop word.
+    cut = F.transform(cut, lambda x: F.struct(x["line"].alias("line"), x["said"].alias("said"), x["t"].alias("t"), F.transform(x["t"], lambda w, i: F.when(F.array_contains(stops, w), 0).otherwise(i + 1)).alias("at")))
+
+    def runs(x: Column, i: int) -> Column:
+        starts = F.filter(F.slice(x["at"], 1, F.greatest(F.lit(0), F.size(x["t"]) - (i - 1))), lambda j: (j > 0) & (F.get(x["at"], j + i - 2) > 0))
+        return F.transform(starts, lambda j: F.concat_ws(" ", *[F.get(x["t"], j + k - 1) for k in range(i)]))
+
+    def several(x: Column) -> Column:
+        return F.concat(protected_tokens(x["line"]), x["said"] if chunks else F.concat(*[runs(x, i) for i in range(2, n + 1)], none))
+
+    def long(items: Column) -> Column:
+        return F.array_distinct(F.filter(items, lambda c: F.length(c) >= 4))
+
+    made = F.transform(cut, lambda x: F.struct(several(x).alias("several"), x["t"].alias("t")))
+    both = rows.select(key, made.alias("__m")).select(key, each(F.concat(
+        F.transform(long(F.flatten(F.transform("__m", lambda x: x["several"]))), lambda c: F.struct(c.alias("phrase"), F.lit(True).alias("made"))),
+        F.transform(long(F.array_except(F.flatten(F.transform("__m", lambda x: x["t"])), F.flatten(F.transform("__m", lambda x: x["several"])))), lambda c: F.struct(c.alias("phrase"), F.lit(False).alias("made"))),
+    )).alias("__p")).where("__p is not null").select(key, "__p.*")
+    known = stored(allowed.select(F.col("term").alias("phrase")).distinct().withColumn("__known", F.lit(True)))
+    if fits_broadcast(known):  # both kinds in one pass
+        return both.join(F.broadcast(known), "phrase", "left").where("made or __known").select(key, "phrase")
+    single = lookup_join(both.where("not made"), known, ["phrase"], "left_semi", salt=key)
+    return both.where("made").unionByName(single).select(key, "phrase")
 
 
 def _occurrences(text: Column, term: Column) -> Column:
@@ -156,7 +170,7 @@ def in_texts(terms: DataFrame, texts: DataFrame, on: list[str], columns: list[st
     gathered = terms.groupBy(*on).agg(F.collect_list(F.struct(*columns)).alias("__terms"))
     rows = gathered.join(texts.hint("merge"), on)
     made = F.transform("__terms", lambda t: F.struct(*[t[c].alias(c) for c in columns], *[f(t).alias(name) for name, f in measures.items()]))
-    return rows.select(*on, F.explode(made).alias("__t")).select(*on, "__t.*")
+    return rows.select(*on, each(made).alias("__t")).where("__t is not null").select(*on, "__t.*")
 
 
 def weighted_terms(found: DataFrame, texts: DataFrame, config: WeightConfig = WeightConfig(), stack: bool = False) -> DataFrame:
