@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmatch.functions.joins import fits_broadcast, lookup_join
 from textmatch.functions.text import bounded_count, each, matches, normalise_term, protected_tokens, tokens
+from textmatch.operators import runs
 from textmatch.operators.substrings import substring_pairs
 from textmatch.sources.storage import stored
 
@@ -79,43 +82,34 @@ def ngrams(words: Column, n: int) -> Column:
 def ngram_phrases(lines: DataFrame, n: int = 4, least: int = 2, key: str = "posting_id") -> DataFrame:
     """Phrases of one to n words that occur `least` times in a posting's lines, or hold a technical word: key, phrase, n.
 
-    Lines are dealt to tasks by key, once; their phrases are counted there as 64-bit hashes, each with the line and place of
-    one occurrence, and written out as words only where they are kept. n is below 1024.
+    The lines of a key become one row; their runs of words are numbered and counted there, and written out as words only where
+    they are kept. n is below 1024.
     """
     if not 0 < n < 1024:
         raise ValueError("phrases of 1 to 1023 words")
-    said = F.transform(F.filter(matches(F.col("line"), "[A-Za-z0-9_]+"), lambda w: (F.length(w) >= 4) & w.rlike(TECHNICAL_WORD)), lambda w: F.lower(w))
-    rows = lines.select(key, F.xxhash64("line").alias("__line"), tokens(F.col("line")).alias("__t"), said.alias("__p")).repartition(key)
+    rows = lines.groupBy(key).agg(F.collect_list("line").alias("__lines"))
+    return _by_key(rows, runs.counted(n, least, TECHNICAL_WORD, key), key, "phrase string, n long")
 
-    def hashed(i: int) -> Column:
-        last = F.size("__t") - (i - 1)
 
-        def gram(j: Column) -> Column:
-            words = F.slice("__t", j, i)
-            return F.struct(F.xxhash64(words, F.lit(i)).alias("h"), (j.cast("long") * 1024 + i).alias("at"), F.when(F.size("__p") > 0, F.arrays_overlap(words, F.col("__p"))).otherwise(False).alias("technical"))
-
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), gram))
-
-    grams = F.flatten(F.filter(F.array(*[hashed(i) for i in range(1, n + 1)]), lambda x: x.isNotNull()))
-    counted = rows.select(key, "__line", F.explode(grams).alias("__g")).groupBy(key, F.col("__g.h").alias("__h")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("__line", "__g.at")).alias("__w"), F.max("__g.technical").alias("__technical")
-    )
-    kept = counted.where((F.col("n") >= least) | F.col("__technical")).select(key, "n", "__w.__line", "__w.at")
-    once = rows.select(key, "__line", "__t").dropDuplicates([key, "__line"])
-    named = kept.join(once.hint("shuffle_hash"), [key, "__line"])
-    return named.select(key, F.array_join(F.slice("__t", F.shiftright("at", 10).cast("int"), F.col("at").bitwiseAND(F.lit(1023)).cast("int")), " ").alias("phrase"), "n")
+def _by_key(rows: DataFrame, made: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], key: str, result: str) -> DataFrame:
+    """What is made from rows in tasks, the key as a string there, as pandas has no null among whole numbers."""
+    out = rows.withColumn(key, F.col(key).cast("string")).mapInPandas(made, f"`{key}` string, {result}")
+    return out.withColumn(key, F.col(key).cast(rows.schema[key].dataType))
 
 
 def dedup_subphrases(phrases: DataFrame, key: str = "posting_id") -> DataFrame:
     """Phrases that aren't a contiguous part of a longer one of the same key.
 
-    Only parts of lengths that occur among the phrases are made.
+    The phrases of a key become one row, and parts are looked for there. Null keys and phrases are parts of nothing.
     """
-    rows = phrases.select(key, "phrase", F.split("phrase", " ").alias("__w"))
-    lengths = sorted(r[0] for r in rows.select(F.size("__w").alias("n")).distinct().collect())[:-1]  # a row a length
-    parts = F.flatten(F.array(*[F.when(F.size("__w") > i, ngrams(F.col("__w"), i)).otherwise(F.array().cast("array<string>")) for i in lengths])) if lengths else F.array().cast("array<string>")
-    covered = rows.select(key, F.explode(F.array_distinct(parts)).alias("phrase")).distinct()
-    return phrases.join(covered.hint("shuffle_hash"), [key, "phrase"], "left_anti")
+
+    @F.pandas_udf("array<boolean>")
+    def stays(phrases: pd.Series) -> pd.Series:
+        return phrases.map(lambda some: runs.uncovered(list(some)))
+
+    rows = phrases.groupBy(key).agg(F.collect_list(F.struct(*phrases.columns)).alias("__rows")).withColumn("__stays", stays(F.col("__rows.phrase")))
+    both = rows.select(F.explode(F.arrays_zip(F.col("__rows").alias("row"), F.col("__stays").alias("stays"))).alias("__x"))
+    return both.where(F.col("__x.stays") | F.col(f"__x.row.{key}").isNull()).select("__x.row.*")
 
 
 def extract_phrases(lines: DataFrame, stop_words: tuple[str, ...], allowed: DataFrame, n: int = 6, key: str = "posting_id", chunks: str | None = None) -> DataFrame:
@@ -148,6 +142,11 @@ def extract_phrases(lines: DataFrame, stop_words: tuple[str, ...], allowed: Data
         F.transform(long(F.flatten(F.transform("__m", lambda x: x["several"]))), lambda c: F.struct(c.alias("phrase"), F.lit(True).alias("made"))),
         F.transform(long(F.array_except(F.flatten(F.transform("__m", lambda x: x["t"])), F.flatten(F.transform("__m", lambda x: x["several"])))), lambda c: F.struct(c.alias("phrase"), F.lit(False).alias("made"))),
     )).alias("__p")).where("__p is not null").select(key, "__p.*")
+    return _allowed(both, allowed, key)
+
+
+def _allowed(both: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
+    """Phrases that are made of several words, and those single words that are allowed."""
     known = stored(allowed.select(F.col("term").alias("phrase")).distinct().withColumn("__known", F.lit(True)))
     if fits_broadcast(known):  # both kinds in one pass
         return both.join(F.broadcast(known), "phrase", "left").where("made or __known").select(key, "phrase")
@@ -155,6 +154,17 @@ def extract_phrases(lines: DataFrame, stop_words: tuple[str, ...], allowed: Data
     return both.where("made").unionByName(single).select(key, "phrase")
 
 
+def key_terms(lines: DataFrame, stop_words: tuple[str, ...], allowed: DataFrame, n: int = 6, key: str = "posting_id", chunks: str | None = None) -> DataFrame:
+    """The phrases of extract_phrases() that aren't a contiguous part of a longer one of the same key.
+
+    Parts are told by where they stand in their line, in the one row that a key's lines are, so that of the phrases only those that stay are made.
+    """
+    none = F.array().cast("array<string>")
+    said = F.filter(F.coalesce(F.col(chunks), none), lambda c: F.size(F.split(c, " ")) <= n) if chunks else none
+    rows = lines.groupBy(key).agg(F.collect_list("line").alias("__lines"), F.flatten(F.collect_list(said)).alias("__said"))
+    return _allowed(_by_key(rows, runs.longest(n, stop_words, key, chunks is not None), key, "phrase string, made boolean"), allowed, key)
+
+
 def _occurrences(text: Column, term: Column) -> Column:
     """How often a term occurs in a text, both in lower case, without overlap."""
     rest = F.replace(text, term, F.lit(""))

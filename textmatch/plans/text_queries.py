@@ -329,12 +329,12 @@ def t5_extract_phrases(spark: SparkSession, d: str) -> DataFrame:
     + ") SELECT posting_id, phrase, n FROM phrases ANTI JOIN parts USING (posting_id, phrase)"
 )
 def t7_dedup_subphrases(spark: SparkSession, d: str) -> DataFrame:
-    return T.dedup_subphrases(stored(T.ngram_phrases(_lines(spark, d))))
+    return T.dedup_subphrases(T.ngram_phrases(_lines(spark, d)))
 
 
 @query()
 def t8_key_terms(spark: SparkSession, d: str) -> DataFrame:
-    return T.dedup_subphrases(stored(T.extract_phrases(_lines(spark, d), tuple(E.COVERAGE_STOP_WORDS), V.terms(spark, d))))
+    return T.key_terms(_lines(spark, d), tuple(E.COVERAGE_STOP_WORDS), V.terms(spark, d))
 
 
 FIRST_LINE = "split_part(text, chr(10), 1)"
