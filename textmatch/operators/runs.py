@@ -13,7 +13,23 @@ from textmatch.functions.text import PROTECTED_ANY_CASE, PROTECTED_BY_CASE
 
 #: Characters of the lines that are worked on at once, about; a key with more is taken whole.
 CHARS = 1 << 21
+#: Patterns of protected tokens by what a line must hold for them to be tried there: these characters, words or capitals.
 PROTECTED = [re.compile(p, re.ASCII) for p in (*PROTECTED_ANY_CASE, *PROTECTED_BY_CASE)]
+JOINED, WORDED, NUMBERED, CASED = dict(zip("&./", PROTECTED, strict=False)), PROTECTED[3], PROTECTED[4], PROTECTED[5:]
+NUMBER, INNER_CAPITAL = re.compile(r"[-\s][0-9]"), re.compile("[A-Za-z][A-Z]")
+
+
+def protected(line: str) -> set[str]:
+    """protected_tokens() of a line."""
+    tried = [p for c, p in JOINED.items() if c in line]
+    low = line.lower()
+    if "stack" in low or "source" in low or "end" in low:
+        tried.append(WORDED)
+    if NUMBER.search(line):
+        tried.append(NUMBERED)
+    if INNER_CAPITAL.search(line):
+        tried += CASED
+    return {token for p in tried for m in p.finditer(line) if len(token := m.group(0).lower()) >= 4}
 
 
 @dataclass
@@ -34,6 +50,7 @@ class Words:
     def __post_init__(self) -> None:
         self.ids = np.full(len(self.code), -1, dtype=np.int64)
         self.at = np.arange(len(self.code))
+        self.said = self.text.tolist()
 
     def runs(self, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For one to n words: their number, the places at which a run of so many starts, and a number for its key and words."""
@@ -44,7 +61,7 @@ class Words:
             yield size, at, ids
 
     def named(self, at: np.ndarray, size: int) -> list[str]:
-        return [" ".join(self.text[i : i + size]) for i in at.tolist()]
+        return [" ".join(self.said[i : i + size]) for i in at.tolist()]
 
 
 def _words(lines: list[tuple[int, str]]) -> Words:
@@ -78,6 +95,10 @@ def _firsts(at: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return first
 
 
+def _rows(keys: pd.Series, doc: np.ndarray, phrases: list[str], **more: object) -> pd.DataFrame:
+    return pd.DataFrame({keys.name: pd.Series(keys.to_numpy(dtype=object)[doc], dtype=object), "phrase": pd.Series(phrases, dtype=object), **more})
+
+
 def counted(n: int, least: int, technical: str, key: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Runs of one to n words that occur least times in the lines of a key, or hold a technical word of their line."""
     word, shape, likely = re.compile("[A-Za-z0-9_]+"), re.compile(technical), re.compile(technical.strip("^$"))
@@ -98,7 +119,7 @@ def counted(n: int, least: int, technical: str, key: str) -> Callable[[Iterator[
                     holds = np.bincount(ids, marks[at + size] > marks[at]) > 0
                     kept = np.flatnonzero((times >= least) | holds)
                     first = _firsts(at, ids)[kept]
-                    yield pd.DataFrame({key: batch[key].take(words.doc[first]).to_numpy(), "phrase": words.named(first, size), "n": times[kept]})
+                    yield _rows(batch[key], words.doc[first], words.named(first, size), n=times[kept])
 
     return run
 
@@ -131,7 +152,7 @@ def longest(n: int, stop_words: tuple[str, ...], key: str, chunks: bool) -> Call
     A run is part of a longer one if, at one of its occurrences, the nearest word that is no stop word beside it is near
     enough; no longer run is made to find out.
     """
-    stops, far = {*stop_words}, 1 << 30
+    stops, far, plain = {*stop_words}, 1 << 30, re.compile("[a-z0-9]+(?: [a-z0-9]+)*")
 
     def gaps(words: Words, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distance from each word to the nearest one before it, and behind it, in its line that is no stop word."""
@@ -142,19 +163,19 @@ def longest(n: int, stop_words: tuple[str, ...], key: str, chunks: bool) -> Call
         to, by = words.at - before, behind - words.at
         return np.where(to <= words.place, to, far), np.where(by < words.left, by, far)
 
-    def found(batch: pd.DataFrame, words: Words, special: dict[int, set[str]]) -> Iterator[tuple[int, str, bool]]:
+    def found(words: Words, special: dict[int, set[str]]) -> Iterator[tuple[bool, list[tuple[int, str]]]]:
         good = (np.zeros(len(words.kinds), dtype=bool) if chunks else ~words.kinds.isin(stops))[words.code]  # with chunks no runs are made
         to, by = gaps(words, good)
         own, other = np.where(good, 0, to), np.where(good, 0, by)
-        # Runs that stay, and the places of those of a key that are told of by a special phrase as well.
-        asked = {(d, p) for d, some in special.items() for p in some if re.fullmatch("[a-z0-9]+(?: [a-z0-9]+)*", p)}
+        # Special phrases that are runs of words too, by size; those that are part of a longer run; parts of special phrases.
+        asked: dict[int, set[tuple[int, str]]] = {}
+        for d, some in special.items():
+            for p in some:
+                if plain.fullmatch(p):
+                    asked.setdefault(p.count(" ") + 1, set()).add((d, p))
         inside: set[tuple[int, str]] = set()
-        several: dict[int, dict[int, set[tuple[str, ...]]]] = {}
-        for d, p in asked:
-            w = tuple(p.split(" "))
-            several.setdefault(d, {}).setdefault(len(w), set()).add(w)
-        leads = {size: words.kinds.isin({w[0] for some in several.values() for w in some.get(size, ())}) for some in several.values() for size in some}
         hidden = {d: {x for p in some for x in _parts(p)} for d, some in special.items()}
+        told = {d: special[d] | hidden[d] for d in special}
         for size, at, ids in words.runs(n):
             if not len(at):
                 continue
@@ -162,32 +183,27 @@ def longest(n: int, stop_words: tuple[str, ...], key: str, chunks: bool) -> Call
             whole = good[at] & good[last]
             reach = np.where(whole, np.minimum(to[at], by[last]), own[at] + other[last])
             held = np.bincount(ids, reach <= n - size) > 0
-            if size in leads:
-                for i in np.flatnonzero(leads[size][words.code[at]] & held[ids]).tolist():
-                    w, d = tuple(words.text[at[i] : at[i] + size]), int(words.doc[at[i]])
-                    if w in several.get(d, {}).get(size, ()):
-                        inside.add((d, " ".join(w)))
+            if size in asked:
+                leads = words.kinds.isin({p.split(" ", 1)[0] for _, p in asked[size]})
+                near = at[leads[words.code[at]] & held[ids]]
+                inside.update(asked[size].intersection(zip(words.doc[near].tolist(), words.named(near, size), strict=True)))
             free = (whole if size > 1 else np.ones(len(at), dtype=bool)) & ~held[ids]
-            first = np.unique(ids[free], return_index=True)[1]
-            first = at[free][first]
-            for d, p in zip(words.doc[first].tolist(), words.named(first, size), strict=True):
-                if len(p) >= 4 and p not in special.get(d, ()) and p not in hidden.get(d, ()):
-                    yield d, p, size > 1
-        for d, some in special.items():
-            yield from ((d, p, True) for p in some if p not in hidden[d] and (d, p) not in inside)
+            first = at[free][np.unique(ids[free], return_index=True)[1]]
+            named = zip(words.doc[first].tolist(), words.named(first, size), strict=True)
+            yield size > 1, [(d, p) for d, p in named if len(p) >= 4 and (d not in told or p not in told[d])]
+        yield True, [(d, p) for d, some in special.items() for p in some if p not in hidden[d] and (d, p) not in inside]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for words in pieces(batch):
                 special: dict[int, set[str]] = {}
                 for d, line in words.lines:
-                    some = {m.group(0).lower() for p in PROTECTED for m in p.finditer(line)}
-                    if some := {p for p in some if len(p) >= 4}:
+                    if some := protected(line):
                         special.setdefault(d, set()).update(some)
                 for d in {d for d, _ in words.lines} if chunks else ():
                     if some := {c for c in batch["__said"].iloc[d] if len(c) >= 4}:
                         special.setdefault(d, set()).update(some)
-                made = pd.DataFrame(found(batch, words, special), columns=["__d", "phrase", "made"])
-                yield made.assign(**{key: batch[key].take(made["__d"].astype(int)).to_numpy()})[[key, "phrase", "made"]]
+                for made, some in found(words, special):
+                    yield _rows(batch[key], np.array([d for d, _ in some], dtype=np.int64), [p for _, p in some], made=made)
 
     return run
