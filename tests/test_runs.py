@@ -34,3 +34,15 @@ def test_f13_f14_phrases_are_counted_where_the_lines_are(spark):
     assert not any("phrase#" in line for line in exchanges(kept))
     large = spark.createDataFrame([((1 << 60) + 1, "twice twice"), (None, "twice twice")], "posting_id long, line string")
     assert {r["posting_id"] for r in T.ngram_phrases(large, 1).collect()} == {(1 << 60) + 1, None}
+
+
+def test_f15_f16_f19_terms_are_counted_in_their_text_without_copies_of_it(spark):
+    texts = spark.createDataFrame([(1, "AAaa a.b A.B xa.b a.ba C++ c++17", "a.b"), (2, None, None), (3, "", "")], "posting_id long, description string, title string")
+    terms = spark.createDataFrame([(k, t) for k in (1, 2, 3) for t in ("aa", "a.B", "c++", "none", "")], "posting_id long, term string")
+    alone = T.term_frequency(terms.where("term <> ''"), texts, ["posting_id"])
+    assert {r["term"]: r["freq"] for r in alone.where("posting_id = 1").collect()} == {"aa": 0, "a.B": 2, "c++": 1, "none": 0}
+    assert alone.where("posting_id > 1 and freq > 0").count() == 0 and alone.count() == 12
+    assert [r["term"] for r in T.present_terms(terms, texts, ["posting_id"]).orderBy("term").collect()] == ["a.B", "c++"]
+    weights = T.weighted_terms(terms.withColumn("section", T.F.lit("other")), texts)
+    assert {r["term"]: r["freq"] for r in weights.where("posting_id = 1").collect()} == {"aa": 2, "a.B": 4, "c++": 2, "none": 0, "": 0}
+    assert "ArrowEvalPython" in weights._jdf.queryExecution().optimizedPlan().toString()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -165,20 +167,62 @@ def key_terms(lines: DataFrame, stop_words: tuple[str, ...], allowed: DataFrame,
     return _allowed(_by_key(rows, runs.longest(n, stop_words, key, chunks is not None), key, "phrase string, made boolean"), allowed, key)
 
 
-def _occurrences(text: Column, term: Column) -> Column:
-    """How often a term occurs in a text, both in lower case, without overlap."""
-    rest = F.replace(text, term, F.lit(""))
-    return F.when(F.length(term) > 0, (F.length(text) - F.length(rest)) / F.length(term)).otherwise(0).cast("long")
+def _bounded(text: str, term: str) -> int:
+    """How often a term occurs without a letter or digit beside it; see bounded_count()."""
+    n, at = 0, text.find(term)
+    while at >= 0:
+        end = at + len(term)
+        alone = text[at - 1 : at] not in ALNUM and text[end : end + 1] not in ALNUM
+        n, at = n + alone, text.find(term, end if alone else at + 1)
+    return n
 
 
-def in_texts(terms: DataFrame, texts: DataFrame, on: list[str], columns: list[str], measures: dict) -> DataFrame:
+ALNUM = {*"abcdefghijklmnopqrstuvwxyz0123456789"}
+
+
+def _counts(text: str, terms: list[str]) -> list[int]:
+    """How often each term occurs in a text, without overlap. Many terms of letters and digits are looked up among the parts of the text's distinct words."""
+    if len(text) * len(terms) < 1 << 20:
+        return [text.count(t) for t in terms]
+    wanted = {t for t in terms if re.fullmatch("[a-z0-9]+", t)}
+    found: dict[str, int] = dict.fromkeys(wanted, 0)
+    sizes = {len(t) for t in wanted}
+    for word, times in Counter(re.findall("[a-z0-9]+", text)).items():
+        for size in sizes:
+            for part in wanted.intersection([word[i : i + size] for i in range(len(word) - size + 1)]):
+                found[part] += times * word.count(part)
+    return [found[t] if t in found else text.count(t) for t in terms]
+
+
+def _occurrences(texts: pd.Series, terms: pd.Series) -> pd.Series:
+    """How often each of a text's terms occurs in it, all in lower case, without overlap."""
+
+    def counted(text: str | None, some: list[str | None]) -> list[int | None]:
+        if text is None:
+            return [None if t else 0 for t in some]
+        known = dict(zip(real := [t for t in some if t], _counts(text, real), strict=True))
+        return [known[t] if t else 0 for t in some]
+
+    return pd.Series([counted(None if pd.isna(text) else text, some) for text, some in zip(texts, terms, strict=True)], dtype=object)
+
+
+def _alone(texts: pd.Series, terms: pd.Series) -> pd.Series:
+    """As _occurrences(), of those without a letter or digit beside them."""
+    return pd.Series([[0 if pd.isna(text) or not t else _bounded(text, t) for t in some] for text, some in zip(texts, terms, strict=True)], dtype=object)
+
+
+def in_texts(terms: DataFrame, texts: DataFrame, on: list[str], columns: list[str], measures: dict, counts: Callable[[pd.Series, pd.Series], pd.Series] | None = None, text: str = "__d") -> DataFrame:
     """Measures of each term in its posting's texts, with the terms' columns.
 
     Terms are gathered by posting, as many as a posting has, so a text is read once and not copied for each of them.
-    measures: functions from a gathered element to a column over it and the columns of texts.
+    measures: functions from a gathered element to a column over it and the columns of texts. counts: how often the
+    elements' terms, in lower case, occur in a column of texts; the element has it as n then.
     """
     gathered = terms.groupBy(*on).agg(F.collect_list(F.struct(*columns)).alias("__terms"))
     rows = gathered.join(texts.hint("merge"), on)
+    if counts:
+        n = F.pandas_udf(counts, "array<long>")(F.col(text), F.transform("__terms", lambda t: F.lower(t["term"])))
+        rows = rows.withColumn("__n", n).withColumn("__terms", F.transform("__terms", lambda t, i: F.struct(*[t[c].alias(c) for c in columns], F.get("__n", i).alias("n"))))
     made = F.transform("__terms", lambda t: F.struct(*[t[c].alias(c) for c in columns], *[f(t).alias(name) for name, f in measures.items()]))
     return rows.select(*on, each(made).alias("__t")).where("__t is not null").select(*on, "__t.*")
 
@@ -191,10 +235,10 @@ def weighted_terms(found: DataFrame, texts: DataFrame, config: WeightConfig = We
     boosted from the third occurrence on; terms in the title are raised.
     """
     order = F.when(F.col("section") == "required", 0).when(F.col("section") == "preferred", 1).otherwise(2)
-    rows = found.groupBy("posting_id", "term").agg(F.min(order).alias("__o"), F.max(order == 1).alias("__p"))
+    rows = found.repartition("posting_id").groupBy("posting_id", "term").agg(F.min(order).alias("__o"), F.max(order == 1).alias("__p"))
     low = texts.select("posting_id", F.lower("description").alias("__d"), F.lower("title").alias("__title"))
-    measures = {"n": lambda t: _occurrences(F.col("__d"), F.lower(t["term"])), "__in_title": lambda t: F.contains(F.col("__title"), F.lower(t["term"]))}
-    rows = in_texts(rows, low, ["posting_id"], ["term", "__o", "__p"], measures)
+    measures = {"n": lambda t: t["n"], "__in_title": lambda t: F.contains(F.col("__title"), F.lower(t["term"]))}
+    rows = in_texts(rows, low, ["posting_id"], ["term", "__o", "__p"], measures, _occurrences)
     n = F.col("n")
     boost = F.when(n >= config.boost_from, F.least(F.lit(config.boost_cap), 1 + config.boost_step * F.least(F.lit(5), n - 2))).otherwise(F.lit(1.0))
     first = F.when(F.col("__o") == 0, config.required).when(F.col("__o") == 1, config.preferred).otherwise(1.0)
@@ -327,15 +371,19 @@ def term_substring(text: Column, variant: Column) -> Column:
 
 def term_frequency(terms: DataFrame, texts: DataFrame, on: list[str]) -> DataFrame:
     """Bounded occurrences of each term in its posting."""
-    measures = {"freq": lambda t: F.coalesce(bounded_count(F.col("description"), t["term"]), F.lit(0)).cast("long")}
-    return in_texts(terms, texts.select(*on, "description"), on, ["term"], measures)
+    return in_texts(terms, texts.select(*on, F.lower("description").alias("__d")), on, ["term"], {"freq": lambda t: t["n"]}, _alone)
+
+
+def present_terms(terms: DataFrame, texts: DataFrame, on: list[str]) -> DataFrame:
+    """Terms that stand alone in their posting's text: on.., term. texts: on.., description."""
+    return term_frequency(terms, texts, on).where("freq > 0").select(*on, "term")
 
 
 def critical_missing(missing: DataFrame, texts: DataFrame, on: list[str], least: int = 3) -> DataFrame:
     """Missing terms that are required, frequent or in the title, ranked: required first, then by count, then by term."""
     low = texts.select(*on, F.lower("description").alias("__d"), F.lower("title").alias("__title"))
-    measures = {"freq": lambda t: F.coalesce(_occurrences(F.col("__d"), F.lower(t["term"])), F.lit(0)), "__in_title": lambda t: F.contains(F.col("__title"), F.lower(t["term"]))}
-    rows = in_texts(missing, low, on, ["term", "is_required"], measures)
+    measures = {"freq": lambda t: F.coalesce(t["n"], F.lit(0)), "__in_title": lambda t: F.contains(F.col("__title"), F.lower(t["term"]))}
+    rows = in_texts(missing, low, on, ["term", "is_required"], measures, _occurrences)
     rows = rows.where(F.col("is_required") | (F.col("freq") >= least) | F.col("__in_title"))
     order = Window.partitionBy(*on).orderBy(F.desc("is_required"), F.desc("freq"), "term")
     return rows.select(*on, "term", "is_required", "freq", F.row_number().over(order).alias("rank"))

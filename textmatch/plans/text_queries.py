@@ -349,10 +349,10 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 def _found(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     texts = _texts(spark, d)
     section = F.when(F.col("is_required"), "required").when(F.col("code") % 3 == 0, "preferred").otherwise("other")
+    both = F.col("is_required") & (F.length("term") % 3 == 0)
     hits = texts.select("posting_id", F.explode(F.array_distinct(X.tokens(F.col("description")))).alias("term"))
-    found = lookup_join(hits, stored(V.terms(spark, d)), ["term"], salt="posting_id").select("posting_id", "term", section.alias("section"))
-    also = found.where("section = 'required' and length(term) % 3 = 0").withColumn("section", F.lit("preferred"))
-    return found.unionByName(also), texts
+    found = lookup_join(hits, stored(V.terms(spark, d)), ["term"], salt="posting_id")
+    return found.select("posting_id", "term", F.explode(F.when(both, F.array(F.lit("required"), F.lit("preferred"))).otherwise(F.array(section))).alias("section")), texts
 
 
 WEIGHED_SQL = (
@@ -439,8 +439,7 @@ def t12_term_present(spark: SparkSession, d: str) -> DataFrame:
     texts = _texts(spark, d).select("posting_id", "description")
     words = texts.select("posting_id", F.explode(F.array_distinct(X.tokens(F.col("description")))).alias("term"))
     tried = lookup_join(words, stored(V.terms(spark, d).select("term")), ["term"], salt="posting_id")
-    rows = T.in_texts(tried, texts, ["posting_id"], ["term"], {"present": lambda t: T.term_present(F.col("description"), t["term"])})
-    return rows.where("present").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return T.present_terms(tried, texts, ["posting_id"]).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {V.TERMS_SQL} SELECT term, count(*) AS n FROM documents JOIN dictionary ON contains(lower(text), term) GROUP BY term")
