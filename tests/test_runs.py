@@ -46,3 +46,11 @@ def test_f15_f16_f19_terms_are_counted_in_their_text_without_copies_of_it(spark)
     weights = T.weighted_terms(terms.withColumn("section", T.F.lit("other")), texts)
     assert {r["term"]: r["freq"] for r in weights.where("posting_id = 1").collect()} == {"aa": 2, "a.B": 4, "c++": 2, "none": 0, "": 0}
     assert "ArrowEvalPython" in weights._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_f17_texts_are_not_moved_to_look_for_terms_inside(spark):
+    texts = spark.createDataFrame([(1, "Foobar C++17\nbig  data"), (2, "bar\nBIG DATA, and big\tdata"), (3, None), (4, ""), (5, "a\nb bar bar"), (5, "bar")], "doc_id int, text string")
+    terms = spark.createDataFrame([(t,) for t in ("bar", "OBAR", "c++", "foobars", "", "big data", "big\tdata", "a\nb", "b b", "a")], "term string")
+    found = T.contained_terms(texts, terms)
+    assert sorted(map(tuple, found.collect())) == sorted([(1, "OBAR"), (1, "a"), (1, "bar"), (1, "c++"), (2, "a"), (2, "bar"), (2, "big data"), (2, "big\tdata"), (5, "a"), (5, "b b"), (5, "bar")])
+    assert all("posting_id" not in line and "term#" in line for line in exchanges(found))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textmatch.functions.joins import fits_broadcast, lookup_join
 from textmatch.functions.text import bounded_count, each, matches, normalise_term, protected_tokens, tokens
 from textmatch.operators import runs
-from textmatch.operators.substrings import substring_pairs
+from textmatch.operators.substrings import Q, substring_pairs
 from textmatch.sources.storage import stored
 
 # Names of technologies and practices, grouped by kind; ends are lookarounds so that C++ and C# match.
@@ -334,7 +334,11 @@ def contained_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id") ->
     A term without white space is tried against each distinct word of all texts once, if the word shares four characters
     with it (or all of a shorter term), instead of each term against each text. One with blanks or tabs is looked up in
     the distinct lines of all texts by its rarest run of characters. A term that holds a line end is found nowhere.
+    A table of terms that can be sent to every task is; texts stay where they are then.
     """
+    asked = stored(terms.select("term", F.lower("term").alias("needle")).where("needle <> ''").distinct())
+    if fits_broadcast(asked):
+        return _by_runs(texts, asked, key)
     spaced = F.col("term").rlike(r"\s")
     lines = stored(texts.select(key, F.explode(F.array_distinct(F.split(F.lower("text"), "\n"))).alias("haystack")))
     several = terms.where(spaced).select("term", F.lower("term").alias("needle"))
@@ -343,6 +347,34 @@ def contained_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id") ->
     return _in_words(texts, terms.where(~spaced), key).unionByName(lines.join(several.hint("merge"), "haystack").select(key, "term").distinct())
 
 
+def _by_runs(texts: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """contained_terms() of a small table of terms (term, needle), which goes to every task; no text moves.
+
+    A term is tried on a text that holds one run of its characters, that which the fewest other terms have.
+    """
+    needles = [(r["term"], r["needle"]) for r in asked.where(~F.contains("needle", F.lit("\n"))).collect()]  # as many as can be broadcast
+
+    def pieces(text: str, size: int) -> set[str]:
+        return {text[i : i + size] for i in range(len(text) - size + 1)}
+
+    often = Counter(run for _, low in needles for run in pieces(low, min(Q, len(low))))
+    keyed: dict[str, list[tuple[str, str]]] = {}
+    for term, low in needles:
+        keyed.setdefault(min(pieces(low, min(Q, len(low))), key=lambda run: (often[run], run)), []).append((term, low))
+    sizes = sorted({len(run) for run in keyed})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held, found = [], []
+            for at, text in zip(batch[key], batch["__low"], strict=True):
+                known = [term for size in sizes for piece in keyed.keys() & pieces(text, size) for term, low in keyed[piece] if low in text]
+                found += known
+                held += [at] * len(known)
+            yield pd.DataFrame({key: pd.Series(held, dtype=object), "term": pd.Series(found, dtype=object)})
+
+    return _by_key(texts.where("text is not null").select(key, F.lower("text").alias("__low")), run, key, "term string").distinct()
+
+
 def _in_words(texts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     """contained_terms() of terms without white space."""
     low = terms.select("term", F.lower("term").alias("__low")).where("__low <> ''").withColumn("__len", F.least(F.lit(4), F.length("__low")))
