@@ -71,13 +71,23 @@ def knockouts(facts: DataFrame, reqs: DataFrame, on: list[str], config: ScoreCon
     return rows.select(*on, "years", "min_years", years_ok.alias("years_ok"), degree_ok.alias("degree_ok"), flags.alias("review_flags"), (years_ok & degree_ok).alias("passes"))
 
 
+def asked_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Each of docs (posting_id, doc_id) with every term of its posting, and the other columns of terms.
+
+    The terms of a posting become one row, so that a small row a document meets it, however many terms there are in all.
+    """
+    columns = [c for c in terms.columns if c != "posting_id"]
+    gathered = stored(terms.groupBy("posting_id").agg(F.collect_list(F.struct(*columns)).alias("__terms")))
+    rows = lookup_join(docs.select("posting_id", "doc_id"), gathered, ["posting_id"], salt="doc_id")
+    return rows.select("posting_id", "doc_id", F.explode("__terms").alias("__t")).select("posting_id", "doc_id", "__t.*")
+
+
 def match_terms(terms: DataFrame, found: DataFrame, docs: DataFrame, as_of_year: int = 2025, config: ScoreConfig = ScoreConfig()) -> DataFrame:
     """Every term of every pair, matched or not, with its best section, placement and recency.
 
     terms: posting_id, term, is_required. docs: posting_id, doc_id, the pairs to score. found: from find_terms.
     """
-    asked = lookup_join(docs.select("posting_id", "doc_id"), stored(terms), ["posting_id"], salt="doc_id")
-    rows = asked.join(found.hint("merge"), ["doc_id", "term"], "left")
+    rows = asked_terms(docs.select("posting_id", "doc_id"), terms.select("posting_id", "term", "is_required")).join(found.hint("merge"), ["doc_id", "term"], "left")
     matched = F.col("sections_found").isNotNull()
     section = best_section(F.col("sections_found"), config)
     return rows.select(

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -295,27 +296,91 @@ def find_terms(variants: DataFrame, blocks: DataFrame, by: tuple[str, ...] = ())
     earliest block's, then the first in alphabetical order. by: columns of both sides that a match must share, for
     terms that are looked for in some documents only.
 
-    Blocks are dealt to tasks by doc_id, so that all matches of a document are counted where its texts are.
+    Blocks are dealt to tasks by doc_id, so that all matches of a document are counted where its texts are. With by, the
+    variants of a key and the blocks of a document are a row each, and no run of words is moved, however many keys there are.
     """
-    order = Window.partitionBy(*by, "term").orderBy("variant")
+    if by:
+        return find_spelled(spelled_terms(variants, by), blocks, by)
+    order = Window.partitionBy("term").orderBy("variant")
     keyed = variants.withColumn("__g", F.array_join(tokens(F.col("variant")), " ")).where("__g <> ''").withColumn("__v", F.rank().over(order).cast("long"))
-    spelled = stored(keyed.select(*by, "term", "__v", "variant").distinct())
-    keyed = stored(keyed.groupBy(*by, "__g", "term").agg(F.min("__v").alias("__v")))
+    spelled = stored(keyed.select("term", "__v", "variant").distinct())
+    keyed = stored(keyed.groupBy("__g", "term").agg(F.min("__v").alias("__v")))
     lengths = sorted(r[0] for r in keyed.select(F.size(F.split("__g", " "))).distinct().collect())  # a row a length
-    kept = [*by, "doc_id", "pos", "section", "recency_year"]
+    kept = ["doc_id", "pos", "section", "recency_year"]
     words = blocks.select(*kept, "text").repartition("doc_id").select(*kept, tokens(F.col("text")).alias("__t"))
     grams = F.array_distinct(F.flatten(F.array(*[ngrams(F.col("__t"), i) for i in lengths or [1]])))
-    hits = lookup_join(words.select(*kept, each(grams).alias("__g")), keyed, [*by, "__g"], salt="doc_id")
+    hits = lookup_join(words.select(*kept, each(grams).alias("__g")), keyed, ["__g"], salt="doc_id")
     # The first match as one number: the block's place, then the variant's among those of its term.
     first = F.shiftleft(F.col("pos").cast("long"), 24) + F.col("__v")
-    parts = hits.groupBy(*by, "doc_id", "term", "section").agg(F.min(first).alias("__first"), F.max("recency_year").alias("last_year"))
-    found = parts.groupBy(*by, "doc_id", "term").agg(
+    parts = hits.groupBy("doc_id", "term", "section").agg(F.min(first).alias("__first"), F.max("recency_year").alias("last_year"))
+    found = parts.groupBy("doc_id", "term").agg(
         F.min("__first").bitwiseAND(F.lit((1 << 24) - 1)).alias("__v"),
         F.sort_array(F.collect_set("section")).alias("sections_found"),
         F.max("last_year").alias("last_year"),
     )
-    named = lookup_join(found, spelled, [*by, "term", "__v"], salt="doc_id")
-    return named.select(*by, "doc_id", "term", F.col("variant").alias("matched_variant"), "sections_found", "last_year")
+    named = lookup_join(found, spelled, ["term", "__v"], salt="doc_id")
+    return named.select("doc_id", "term", F.col("variant").alias("matched_variant"), "sections_found", "last_year")
+
+
+def spelled_terms(variants: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The variants of each key in one stored row, for find_spelled(): by.., __said, __spelled.
+
+    __spelled: terms and variants, in order. __said: a line for each of them, its term's number and the variant's words.
+    """
+    rows = variants.select(*by, "term", "variant", F.array_join(tokens(F.col("variant")), " ").alias("__g")).where("__g <> ''").distinct()
+    rows = rows.withColumn("__t", F.dense_rank().over(Window.partitionBy(*by).orderBy("term")))
+    gathered = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("__t", "variant", "term", "__g"))).alias("__s"))
+    said = F.array_join(F.transform("__s", lambda x: F.concat_ws(" ", x["__t"].cast("string"), x["__g"])), "\n")
+    return stored(gathered.select(*by, said.alias("__said"), F.transform("__s", lambda x: F.struct(x["term"].alias("term"), x["variant"].alias("variant"))).alias("__spelled")))
+
+
+@lru_cache(256)
+def _spelled(said: str) -> tuple[dict[str, list[tuple[int, int]]], list[int]]:
+    """Terms and places of the variants that some words spell, from a row's __said, and the numbers of words that occur."""
+    known: dict[str, list[tuple[int, int]]] = {}
+    for at, line in enumerate(said.split("\n")):
+        term, _, words = line.partition(" ")
+        known.setdefault(words, []).append((int(term), at))
+    return known, sorted({words.count(" ") + 1 for words in known})
+
+
+def _first_spelling(texts: pd.Series, places: pd.Series, said: pd.Series) -> pd.Series:
+    """For each term found in some texts its first variant's place in __spelled, then the texts that it is in."""
+
+    def found(some: list[str | None], at: list[int], known: dict[str, list[tuple[int, int]]], sizes: list[int]) -> list[list[int]]:
+        first: dict[int, tuple[int, int]] = {}
+        held: dict[int, dict[int, None]] = {}
+        for i, text in enumerate(some):
+            words = re.findall("[a-z0-9]+", text or "")
+            for size in sizes:
+                for run in known.keys() & (words if size == 1 else [" ".join(words[j : j + size]) for j in range(len(words) - size + 1)]):
+                    for term, variant in known[run]:
+                        first[term] = min(first.get(term, (at[i], variant)), (at[i], variant))
+                        held.setdefault(term, {})[i] = None
+        return [[first[term][1], *held[term]] for term in held]
+
+    return pd.Series([found(some, at, *_spelled(line)) for some, at, line in zip(texts, places, said, strict=True)], dtype=object)
+
+
+def find_spelled(spelled: DataFrame, blocks: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """find_terms() with the rows of spelled_terms().
+
+    The blocks of a document become one row, texts move once for that; the rows of spelled_terms() are sent to every task,
+    or, if they are too many, the documents to them.
+    """
+    block = F.struct(F.coalesce("pos", F.lit((1 << 31) - 1)).cast("int").alias("pos"), F.lower("text").alias("text"), "section", F.col("recency_year").alias("year"))
+    docs = blocks.groupBy(*by, "doc_id").agg(F.collect_list(block).alias("__b"))
+    firsts = F.pandas_udf(_first_spelling, "array<array<int>>")("__b.text", "__b.pos", "__said")
+    rows = lookup_join(docs, spelled, list(by), salt="doc_id").withColumn("__found", firsts)
+
+    def of(x: Column, name: str) -> Column:
+        return F.transform(F.slice(x, 2, F.size(x) - 1), lambda i: F.get("__b", i)[name])
+
+    made = F.transform("__found", lambda x: F.struct(
+        F.get("__spelled", x[0])["term"].alias("term"), F.get("__spelled", x[0])["variant"].alias("matched_variant"),
+        F.sort_array(F.array_compact(F.array_distinct(of(x, "section")))).alias("sections_found"), F.array_max(of(x, "year")).alias("last_year"),
+    ))
+    return rows.select(*by, "doc_id", each(made).alias("__x")).where("__x is not null").select(*by, "doc_id", "__x.*")
 
 
 def found_besides(found: DataFrame, more: DataFrame) -> DataFrame:
