@@ -300,7 +300,8 @@ def find_terms(variants: DataFrame, blocks: DataFrame, by: tuple[str, ...] = ())
     variants of a key and the blocks of a document are a row each, and no run of words is moved, however many keys there are.
     """
     if by:
-        return find_spelled(spelled_terms(variants, by), blocks, by)
+        block = F.struct("pos", "text", "section", "recency_year")
+        return find_spelled(spelled_terms(variants, by), blocks.groupBy(*by, "doc_id").agg(F.collect_list(block).alias("blocks")), by)
     order = Window.partitionBy("term").orderBy("variant")
     keyed = variants.withColumn("__g", F.array_join(tokens(F.col("variant")), " ")).where("__g <> ''").withColumn("__v", F.rank().over(order).cast("long"))
     spelled = stored(keyed.select("term", "__v", "variant").distinct())
@@ -362,25 +363,32 @@ def _first_spelling(texts: pd.Series, places: pd.Series, said: pd.Series) -> pd.
     return pd.Series([found(some, at, *_spelled(line)) for some, at, line in zip(texts, places, said, strict=True)], dtype=object)
 
 
-def find_spelled(spelled: DataFrame, blocks: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """find_terms() with the rows of spelled_terms().
+def find_spelled(spelled: DataFrame, docs: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """find_terms() with the rows of spelled_terms(), in documents whose blocks are in one row, or in several.
 
-    The blocks of a document become one row, texts move once for that; the rows of spelled_terms() are sent to every task,
-    or, if they are too many, the documents to them.
+    docs: by.., doc_id, blocks (array of pos, text, section, recency_year). No text is moved, as the rows of spelled_terms()
+    are sent to every task; if they are too many for that, the documents are sent to them.
     """
-    block = F.struct(F.coalesce("pos", F.lit((1 << 31) - 1)).cast("int").alias("pos"), F.lower("text").alias("text"), "section", F.col("recency_year").alias("year"))
-    docs = blocks.groupBy(*by, "doc_id").agg(F.collect_list(block).alias("__b"))
+    asked = docs.where("blocks is not null").select(*by, "doc_id", F.transform("blocks", lambda b: F.struct(
+        F.coalesce(b["pos"], F.lit((1 << 31) - 1)).cast("int").alias("pos"), F.lower(b["text"]).alias("text"), b["section"].alias("section"), b["recency_year"].alias("year"),
+    )).alias("__b"))
     firsts = F.pandas_udf(_first_spelling, "array<array<int>>")("__b.text", "__b.pos", "__said")
-    rows = lookup_join(docs, spelled, list(by), salt="doc_id").withColumn("__found", firsts)
+    rows = lookup_join(asked, spelled, list(by), salt="doc_id").withColumn("__found", firsts)
 
     def of(x: Column, name: str) -> Column:
         return F.transform(F.slice(x, 2, F.size(x) - 1), lambda i: F.get("__b", i)[name])
 
     made = F.transform("__found", lambda x: F.struct(
-        F.get("__spelled", x[0])["term"].alias("term"), F.get("__spelled", x[0])["variant"].alias("matched_variant"),
-        F.sort_array(F.array_compact(F.array_distinct(of(x, "section")))).alias("sections_found"), F.array_max(of(x, "year")).alias("last_year"),
+        F.get("__spelled", x[0])["term"].alias("term"), F.struct(F.array_min(of(x, "pos")).alias("pos"), F.get("__spelled", x[0])["variant"].alias("variant")).alias("__first"),
+        F.array_distinct(of(x, "section")).alias("__sections"), F.array_max(of(x, "year")).alias("last_year"),
     ))
-    return rows.select(*by, "doc_id", each(made).alias("__x")).where("__x is not null").select(*by, "doc_id", "__x.*")
+    hits = rows.select(*by, "doc_id", each(made).alias("__x")).where("__x is not null").select(*by, "doc_id", "__x.*")
+    # Usually one row each; an id has several only if its document has several rows.
+    return hits.groupBy(*by, "doc_id", "term").agg(
+        F.min("__first")["variant"].alias("matched_variant"),
+        F.sort_array(F.array_compact(F.array_distinct(F.flatten(F.collect_list("__sections"))))).alias("sections_found"),
+        F.max("last_year").alias("last_year"),
+    )
 
 
 def found_besides(found: DataFrame, more: DataFrame) -> DataFrame:

@@ -407,9 +407,23 @@ def t11_term_variants(spark: SparkSession, d: str) -> DataFrame:
     return _variants(spark, d)
 
 
+def _section(pos: F.Column) -> F.Column:
+    return F.when(pos % 3 == 0, "skills").when(pos % 3 == 1, "experience").otherwise("other")
+
+
+def _year(pos: F.Column) -> F.Column:
+    return F.when(pos % 4 != 0, (2010 + F.col("doc_id") % 12 + pos % 3).cast("int"))
+
+
 def _sectioned(spark: SparkSession, d: str) -> DataFrame:
-    section = F.when(F.col("pos") % 3 == 0, "skills").when(F.col("pos") % 3 == 1, "experience").otherwise("other")
-    return V.blocks(spark, d).withColumn("section", section).withColumn("recency_year", F.when(F.col("pos") % 4 != 0, (2010 + F.col("doc_id") % 12 + F.col("pos") % 3).cast("int")))
+    pos = F.col("pos")
+    return V.blocks(spark, d).withColumn("section", _section(pos)).withColumn("recency_year", _year(pos))
+
+
+def _sectioned_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of _sectioned() where their documents are: doc_id, blocks."""
+    docs = spread(V.table(spark, d, "documents").where("text is not null").select("doc_id", "text"))
+    return docs.select("doc_id", F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("text"), _section(i).alias("section"), _year(i).alias("recency_year"))).alias("blocks"))
 
 
 SECTIONED_SQL = f"""{VARIANTS_SQL}, {V.BLOCKS_SQL},
