@@ -72,7 +72,8 @@ def degree_levels(text: Column) -> Column:
     """Levels of all degree words in a text, dots inside them ignored; BE counts in capitals only."""
     words = matches(F.lower(F.replace(text, F.lit("."), F.lit(""))), "[a-z']+")
     table = F.create_map(*[F.lit(x) for pair in DEGREES for x in pair])
-    levels = F.filter(F.transform(words, lambda w: F.try_element_at(table, F.replace(w, F.lit("'"), F.lit("")))), lambda x: x.isNotNull())
+    bare = F.filter(F.transform(words, lambda w: F.replace(w, F.lit("'"), F.lit(""))), lambda w: w.isin([w for w, _ in DEGREES]))
+    levels = F.transform(bare, lambda w: F.try_element_at(table, w))
     engineer = F.replace(text, F.lit("."), F.lit("")).rlike(r"(^|[^A-Za-z])BE([^A-Za-z]|$)")
     return F.concat(levels, F.when(engineer, F.array(F.lit(3))).otherwise(F.array().cast("array<int>")))
 
@@ -83,13 +84,19 @@ def degree_level(text: Column, best: bool, default: int) -> Column:
     return F.coalesce(F.array_max(levels) if best else F.array_min(levels), F.lit(default))
 
 
+def facts_of(experience: Column, education: Column, as_of_year: int = 2025) -> tuple[Column, Column]:
+    """Years and degree that two sections of a document tell of."""
+    years = F.when(experience.isNull(), 0).otherwise(experience_span(experience, as_of_year))
+    return years.alias("years"), degree_level(education, True, 3).alias("degree")
+
+
 def candidate_facts(section_texts: DataFrame, as_of_year: int = 2025) -> DataFrame:
     """Years and degree of each document. section_texts: doc_id, section, text. Fewer than two years say nothing."""
     def of(section: str) -> Column:
         return F.max(F.when(F.col("section") == section, F.col("text")))
 
     rows = section_texts.groupBy("doc_id").agg(of("experience").alias("e"), of("education").alias("d"))
-    return rows.select("doc_id", F.when(F.col("e").isNull(), 0).otherwise(experience_span(F.col("e"), as_of_year)).alias("years"), degree_level(F.col("d"), True, 3).alias("degree"))
+    return rows.select("doc_id", *facts_of(F.col("e"), F.col("d"), as_of_year))
 
 
 def posting_requirements(texts: DataFrame) -> DataFrame:
