@@ -78,7 +78,7 @@ def asked_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """
     columns = [c for c in terms.columns if c != "posting_id"]
     gathered = stored(terms.groupBy("posting_id").agg(F.collect_list(F.struct(*columns)).alias("__terms")))
-    rows = lookup_join(docs.select("posting_id", "doc_id"), gathered, ["posting_id"], salt="doc_id")
+    rows = lookup_join(docs.select("posting_id", "doc_id"), gathered, ["posting_id"], salt="doc_id", keys=docs.select("posting_id"))
     return rows.select("posting_id", "doc_id", F.explode("__terms").alias("__t")).select("posting_id", "doc_id", "__t.*")
 
 

@@ -367,13 +367,13 @@ def find_spelled(spelled: DataFrame, docs: DataFrame, by: tuple[str, ...]) -> Da
     """find_terms() with the rows of spelled_terms(), in documents whose blocks are in one row, or in several.
 
     docs: by.., doc_id, blocks (array of pos, text, section, recency_year). No text is moved, as the rows of spelled_terms()
-    are sent to every task; if they are too many for that, the documents are sent to them.
+    are sent to every task; if they are too many for that, the documents are sent to them. Keys of docs are counted then.
     """
     asked = docs.where("blocks is not null").select(*by, "doc_id", F.transform("blocks", lambda b: F.struct(
         F.coalesce(b["pos"], F.lit((1 << 31) - 1)).cast("int").alias("pos"), F.lower(b["text"]).alias("text"), b["section"].alias("section"), b["recency_year"].alias("year"),
     )).alias("__b"))
     firsts = F.pandas_udf(_first_spelling, "array<array<int>>")("__b.text", "__b.pos", "__said")
-    rows = lookup_join(asked, spelled, list(by), salt="doc_id").withColumn("__found", firsts)
+    rows = lookup_join(asked, spelled, list(by), salt="doc_id", keys=docs.select(*by)).withColumn("__found", firsts)
 
     def of(x: Column, name: str) -> Column:
         return F.transform(F.slice(x, 2, F.size(x) - 1), lambda i: F.get("__b", i)[name])

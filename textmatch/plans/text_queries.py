@@ -465,7 +465,7 @@ def t13_term_substring(spark: SparkSession, d: str) -> DataFrame:
 def _missing(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The terms of each document's posting, and the document's text."""
     asked = stored(V.posting_terms(spark, d).select("posting_id", "term", "is_required"))
-    rows = lookup_join(V.pairs(spark, d), asked, ["posting_id"], salt="doc_id")
+    rows = lookup_join(pairs := V.pairs(spark, d), asked, ["posting_id"], salt="doc_id", keys=pairs.select("posting_id"))
     return rows.select(F.col("doc_id").alias("posting_id"), "term", "is_required"), _texts(spark, d)
 
 
@@ -564,7 +564,7 @@ def _bm25_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Sentences of each document's posting as queries, and all its lines as phrases."""
     sentences = V.table(spark, d, "benchmark").select(F.col("item_id").alias("posting_id"), F.explode(F.split("text", "[.\n]")).alias("query"))
     sentences = stored(sentences.select("posting_id", F.trim("query").alias("query")).where(F.size(X.tokens(F.col("query"))) > 0).distinct())
-    queries = lookup_join(V.pairs(spark, d), sentences, ["posting_id"], salt="doc_id").select("doc_id", "query")
+    queries = lookup_join(pairs := V.pairs(spark, d), sentences, ["posting_id"], salt="doc_id", keys=pairs.select("posting_id")).select("doc_id", "query")
     return queries, V.blocks(spark, d).select("doc_id", F.col("text").alias("phrase"))
 
 
